@@ -62,7 +62,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     schedule = schedule_of(sources, tokens, total["least"] or 1.0, total["k"], block)
     # Where each document's tokens lie in its source's shuffled stream, cut at block edges.
-    placed = running_total(rows.filter("size > 0"), ["srank"], ["key", "doc_id", "uid"], "size", "start", 1 + n_docs // 20_000)
+    placed = running_total(rows.filter("size > 0"), ["srank"], ["key", "doc_id", "uid"], "size", "start", 1 + n_docs // 1_000)
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     pieces = placed.select("uid", "srank", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
     begin = F.greatest("start", F.col("block") * block)
@@ -92,7 +92,7 @@ def schedule_of(sources: DataFrame, tokens: float, least: float, n_sources: int,
     lookup = F.broadcast(spans) if n_sources <= 100_000 else spans
     slots = slots.join(lookup, (F.col("scell") == F.col("cell")) & (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
     slots = slots.select((F.col("slot") * F.lit((1 << 62) // max(n, 1))).alias("at"), "slot", "srank", "source_size", "goal", F.lit(1).cast("long").alias("one"))
-    slots = running_total(slots, ["srank"], ["at"], "one", "place", 1 + n // 20_000)
+    slots = running_total(slots, ["srank"], ["at"], "one", "place", 1 + n // 4_000)
     blocks = F.ceil(F.col("source_size") / block)
     slots = slots.withColumns({"block": F.col("place") % blocks, "epoch": F.floor(F.col("place") / blocks)})
     at = F.col("epoch") * F.col("source_size") + F.col("block") * block
