@@ -9,13 +9,12 @@ Texts are cut at ASCII white space, which no token crosses; each distinct chunk
 normaliser and pre-tokeniser, then through the trie. Special tokens in a text become their ids, as the library has it.
 
 Defined results. Null counts as empty: no tokens, digests of the empty string. Repeated rows give repeated rows. Texts of
-any length are read whole, about a megabyte at a time. Extra columns are ignored. An empty table gives an empty result.
+any length are read whole. Extra columns are ignored. An empty table gives an empty result.
 Memory is bounded: the trie and the chunk table start anew beyond MAX_NODES and MAX_CHUNKS, which changes no result.
 """
 
 from __future__ import annotations
 
-import contextlib
 import gc
 import hashlib
 import json
@@ -28,15 +27,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tracelens.llm.chunks import chunked
 from tracelens.llm.common import ship
 
-MAX_NODES, MAX_CHUNKS, PIECE = 600_000, 200_000, 1 << 20
+MAX_NODES, MAX_CHUNKS = 600_000, 250_000
 #: Letters up to U+00FF, closed by marks: the normaliser only lowers them, the pre-tokeniser cuts before the marks.
 PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
 
 
-#: Marks between a letter and white space.
-MARKS = re.compile(rb"(?<=[a-z])([.,;:!?]+)(?=[ \n\r\t\x0b\x0c])")
 PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
@@ -49,6 +47,14 @@ def byte_characters() -> dict[int, int]:
 BYTES = byte_characters()
 
 
+def plain(text: str) -> tuple[str, str] | None:
+    """A chunk of letters and marks as the byte-level characters of its word, and its marks; None for other chunks."""
+    if not (m := PLAIN.fullmatch(text)):
+        return None
+    word = m[1].lower()
+    return word if word.isascii() else word.encode().decode("latin-1").translate(BYTES), m[2]
+
+
 class Trie:
     """Encoder of pre-tokens (strings of byte-level characters) under ranked merges and an end-of-word suffix."""
 
@@ -159,17 +165,14 @@ class Encoder:
         self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.names = {i: t.encode() for t, i in (model["vocab"] | self.special).items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.ids: dict[bytes, bytes] = {}
-        self.shown: dict[bytes, bytes] = {}
+        self.ids: dict[bytes, bytes] = {b"": b""}
+        self.shown: dict[bytes, bytes] = {b"": b""}
 
     def words(self, chunk: bytes) -> list[str | int]:
         """The pre-tokens of a chunk; an int is a special token's id."""
         text = chunk.decode()
-        if m := PLAIN.fullmatch(text):
-            word = m[1].lower()
-            if not word.isascii():
-                word = word.encode().decode("latin-1").translate(BYTES)
-            return [word, m[2]] if m[2] else [word]
+        if pair := plain(text):
+            return [x for x in pair if x]
         out: list[str | int] = []
         for part in self.cut.split(text) if self.cut else [text]:
             if part in self.special:
@@ -185,32 +188,24 @@ class Encoder:
             self.shown = {c: self.shown[c] for c in self.ids}
         if len(self.trie.last) > MAX_NODES:
             self.trie.clear()
-        parsed = {c: self.words(c) for c in chunks if c not in self.ids}
+        new = chunks.difference(self.ids)
+        split = {c: parted(c) for c in new}
+        bare = {x for pair in split.values() for x in pair if x}.difference(self.ids)
+        parsed = {c: self.words(c) for c in bare}
         known = {w: self.trie.insert(w) for w in sorted({w for ws in parsed.values() for w in ws if isinstance(w, str)})}
         for c, ws in parsed.items():
-            ids = [i for w in ws for i in (known[w] if isinstance(w, str) else [w])]
+            ids = known[ws[0]] if len(ws) == 1 and isinstance(ws[0], str) else [i for w in ws for i in (known[w] if isinstance(w, str) else [w])]
             self.ids[c] = PACK[len(ids)](*ids) if len(ids) < len(PACK) else np.array(ids, "<u4").tobytes()
             self.shown[c] = b" ".join([self.names[i] for i in ids])  # without a decoder in the file, tokens are joined by blanks
+        for c, (base, tail) in split.items():
+            if tail:
+                self.ids[c], self.shown[c] = self.ids[base] + self.ids[tail], b" ".join(filter(None, (self.shown[base], self.shown[tail])))
 
 
-def prepared(text: str | None) -> bytes:
-    """The text's bytes with blanks where a pre-token ends anyway, and lowered where that is done letter by letter."""
-    text = text or ""
-    with contextlib.suppress(UnicodeEncodeError):
-        text.encode("latin-1")
-        text = text.lower()
-    return MARKS.sub(rb" \1", text.encode())
-
-
-def pieces(data: bytes, size: int = PIECE) -> Iterator[list[bytes]]:
-    """The chunks between ASCII white space, some at a time."""
-    at = 0
-    while at < len(data):
-        end = min(len(data), at + size)
-        while end < len(data) and data[end] not in b" \t\n\x0b\x0c\r":
-            end += 1
-        yield data[at:end].split()
-        at = end
+def parted(chunk: bytes) -> tuple[bytes, bytes]:
+    """A chunk and the marks behind its last letter: these are a pre-token of their own."""
+    base = chunk.rstrip(b".,;:!?")
+    return (base, chunk[len(base) :]) if base[-1:].isalpha() else (chunk, b"")
 
 
 def encoder(spec: str) -> Encoder:
@@ -224,10 +219,12 @@ def encoder(spec: str) -> Encoder:
     return kept[key]
 
 
-def _texts(batch: pa.RecordBatch, rows: int = 512) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    for at in range(0, batch.num_rows, rows):
-        part = batch.slice(at, rows)
-        yield part, [prepared(x.as_py()) for x in part.column("text")]
+def _joined(parts: list[bytes], numbers: np.ndarray, between: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """A text's chunks put together, so many at a time."""
+    for at in range(0, len(numbers), size):
+        some = [x for i in numbers[at : at + size].tolist() if (x := parts[i])]
+        if some:
+            yield between.join(some)
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,26 +235,20 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(spec.value)
         for batch in batches:
-            for part, texts in _texts(batch):
+            for at, offsets, numbers, chunks in chunked(batch.column("text"), keep="<|"):
+                e.learn(set(chunks))
+                ids, shown = [e.ids[c] for c in chunks], [e.shown[c] for c in chunks]
                 out: tuple[list, list, list] = ([], [], [])
-                small = [t.split() if len(t) <= PIECE else None for t in texts]
-                e.learn({c for chunks in small if chunks for c in chunks})
-                for text, chunks in zip(texts, small):
-                    if chunks is not None:
-                        ids = b"".join([e.ids[c] for c in chunks])
-                        shown = b" ".join(filter(None, [e.shown[c] for c in chunks]))
-                        n, a, b = len(ids) // 4, hashlib.sha256(ids), hashlib.sha256(shown)
-                    else:
-                        n, a, b = 0, hashlib.sha256(), hashlib.sha256()
-                        for chunks in pieces(text):
-                            e.learn(set(chunks) | {c for x in small if x for c in x})
-                            ids = b"".join([e.ids[c] for c in chunks])
-                            shown = b" ".join(filter(None, [e.shown[c] for c in chunks]))
-                            a.update(ids)
-                            b.update(b" " + shown if n and shown else shown)
-                            n += len(ids) // 4
-                    for column, x in zip(out, (n, a.hexdigest(), b.hexdigest())):
-                        column.append(x)
+                for x, y in zip(offsets[:-1], offsets[1:]):
+                    n, a, b = 0, hashlib.sha256(), hashlib.sha256()
+                    for got in _joined(ids, numbers[x:y], b""):
+                        a.update(got)
+                        n += len(got) // 4
+                    for i, got in enumerate(_joined(shown, numbers[x:y], b" ")):
+                        b.update(b" " + got if i else got)
+                    for column, v in zip(out, (n, a.hexdigest(), b.hexdigest())):
+                        column.append(v)
+                part = batch.slice(at, len(out[0]))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text")
@@ -273,14 +264,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(spec.value)
         for batch in batches:
-            for part, texts in _texts(batch):
-                ids = []
-                for text in texts:
-                    got = []
-                    for chunks in pieces(text):
-                        e.learn(set(chunks))
-                        got += [e.ids[c] for c in chunks]
-                    ids.append(np.frombuffer(b"".join(got), "<u4").astype(np.int32))
+            for at, offsets, numbers, chunks in chunked(batch.column("text"), keep="<|"):
+                e.learn(set(chunks))
+                known = [e.ids[c] for c in chunks]
+                ids = [np.frombuffer(b"".join(_joined(known, numbers[x:y], b"")), "<u4").astype(np.int32) for x, y in zip(offsets[:-1], offsets[1:])]
+                part = batch.slice(at, len(ids))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     rows = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text")

@@ -32,37 +32,36 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelens.llm.bpe import pieces
+from tracelens.llm.chunks import chunked
 from tracelens.llm.common import components, cut, deal, gather, join_groups, mix, partitions, scatter, ship
 
 KEY = np.dtype([("key", "<u8"), ("node", "<u8")])
 #: Fragments by which pairs are counted, and by which their overlap is bounded.
 COUNTED, BOUND = 16, 64
-MAX_WORDS = 1_000_000
 SPREAD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
 
-class Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MAX_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def shingles(text: str | None, width: int, words: Words) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text."""
-    data = (text or "").encode().lower()  # bytes: A-Z only
-    h = np.concatenate([np.fromiter(map(words.__getitem__, p), np.uint64, len(p)) for p in pieces(data)] or [np.zeros(0, np.uint64)])
-    if not len(h):
-        return h
-    n = min(width, len(h))
-    out = np.full(len(h) - n + 1, np.uint64(n))
+def shingles(words: np.ndarray, width: int) -> np.ndarray:
+    """The sorted distinct shingle hashes of a sequence of word hashes."""
+    if not len(words):
+        return words
+    n = min(width, len(words))
+    out = np.full(len(words) - n + 1, np.uint64(n))
     for i in range(n):
-        out = mix(out * np.uint64(0x9FB21C651E98DF25) + h[i : len(h) - n + 1 + i] * SPREAD[i % len(SPREAD)])
+        out = mix(out * np.uint64(0x9FB21C651E98DF25) + words[i : len(words) - n + 1 + i] * SPREAD[i % len(SPREAD)])
     return np.unique(out)
 
 
+def sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """The shingle set of each text in turn; words are lower-cased for A-Z."""
+    for _, offsets, numbers, chunks in chunked(texts):
+        known = np.array([xxhash.xxh3_64_intdigest(c) for c in chunks], np.uint64)
+        none = chunks.index(b"") if b"" in chunks else -1
+        for x, y in zip(offsets[:-1], offsets[1:]):
+            some = numbers[x:y]
+            yield shingles(known[some] if y - x > 1 or some[0] != none else known[:0], width)
+
+
 def differ(size: int, threshold: int) -> int:
     """The most elements by which a set of that size and a linked one of at least that size can differ."""
     return size * (100 - threshold) // threshold
@@ -122,11 +121,9 @@ def nodes(docs: DataFrame, width: int, threshold: int, id_col: str = "doc_id", t
     """doc_id, node, n of every row, with the set's size by each of BOUND fragments; node null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
             node, n, hist = [], [], []
-            for x in batch.column("text"):
-                s = shingles(x.as_py(), width, words)
+            for s in sets(batch.column("text"), width):
                 n.append(len(s))
                 node.append(node_of(s) if len(s) else None)
                 hist.append(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BOUND).astype("<u4").tobytes() if len(s) else None)
@@ -141,7 +138,6 @@ def met(docs: DataFrame, width: int, threshold: int, id_col: str = "doc_id", tex
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
-        words = Words()
 
         def flush(held: list[np.ndarray]) -> pa.RecordBatch:
             records = np.unique(np.concatenate(held))
@@ -150,8 +146,7 @@ def met(docs: DataFrame, width: int, threshold: int, id_col: str = "doc_id", tex
 
         held, size = [], 0
         for batch in batches:
-            for x in batch.column("text"):
-                s = shingles(x.as_py(), width, words)
+            for s in sets(batch.column("text"), width):
                 if len(s):
                     k = keys(s, threshold)
                     r = np.empty(len(k), KEY)
@@ -207,11 +202,9 @@ def verified(pairs: DataFrame, docs: DataFrame, stats: DataFrame, width: int, th
     texts = texts.join(F.broadcast(first) if few else first, F.col("doc_id") == F.col("__id"), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
             node, fragment, some = [], [], []
-            for x in batch.column("text"):
-                s = shingles(x.as_py(), width, words)
+            for s in sets(batch.column("text"), width):
                 if len(s):
                     at = np.searchsorted(s >> np.uint64(32), np.arange(1, COUNTED, dtype=np.uint64) * np.uint64((1 << 32) // COUNTED))
                     for f, part in enumerate(np.split(s, at)):

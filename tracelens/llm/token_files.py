@@ -16,6 +16,7 @@ import gc
 import hashlib
 import json
 import os
+import struct
 import sys
 import uuid
 import zlib
@@ -26,31 +27,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelens.llm.bpe import pieces, prepared
+from tracelens.llm.bpe import parted, plain
+from tracelens.llm.chunks import chunked
 from tracelens.llm.common import partitions, shared_dir, ship
 
-MAX_CHUNKS = 500_000
+MAX_CHUNKS = 1_000_000
 
 
-class _Chunks(dict):
-    """Chunk to its ids' bytes, by the library; starts anew beyond MAX_CHUNKS."""
+class _Chunks:
+    """Chunk to its ids' bytes, by the library; the long ones are dropped beyond MAX_CHUNKS."""
 
     def __init__(self, spec: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.kind = Tokenizer.from_str(spec), kind
+        self.tok, self.code, self.kind = Tokenizer.from_str(spec), {2: "H", 4: "I"}[np.dtype(kind).itemsize], kind
+        self.pack = [struct.Struct(f"<{n}{self.code}").pack for n in range(32)]
+        self.ids: dict[bytes, bytes] = {b"": b""}
 
     def learn(self, chunks: set[bytes]) -> None:
-        if len(self) > MAX_CHUNKS:
-            kept = {c: x for c, x in self.items() if len(c) < 7}
-            self.clear()
-            self.update(kept)
-        new = [c for c in chunks if c not in self]
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for c, e in zip(some, self.tok.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)):
-                self[c] = np.array(e.ids, self.kind).tobytes()
+        if len(self.ids) > MAX_CHUNKS:
+            self.ids = {c: x for c, x in self.ids.items() if len(c) < 7}
+        known, pack, word_ids = self.ids, self.pack, self.tok.model.tokenize
+        split = {c: parted(c) for c in chunks.difference(known)}
+        new = []
+        for c in {x for pair in split.values() for x in pair if x}.difference(known):
+            text = c.decode()
+            if (pair := plain(text)) and not pair[1]:  # one pre-token: straight to the library's model
+                ids = [t.id for t in word_ids(pair[0])]
+                known[c] = pack[len(ids)](*ids) if len(ids) < 32 else np.array(ids, self.kind).tobytes()
+            else:
+                new.append(text)
+        for at in range(0, len(new), 10_000):
+            some = new[at : at + 10_000]
+            for c, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False)):
+                ids = e.ids
+                known[c.encode()] = pack[len(ids)](*ids) if len(ids) < 32 else np.array(ids, self.kind).tobytes()
+        for c, (base, tail) in split.items():
+            if tail:
+                known[c] = known[base] + known[tail]
 
 
 def _chunks(spec: str, kind: str) -> _Chunks:
@@ -93,22 +108,11 @@ def write(docs: DataFrame, path: str, out: str | None = None, end_id: int = 2, i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _chunks(spec.value, kind)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = []
-                texts = [prepared(x.as_py()) for x in part.column("text")]
-                small = [t.split() if len(t) <= 1 << 20 else None for t in texts]
-                known.learn({c for s in small if s for c in s})
-                for t, s in zip(texts, small):
-                    if s is not None:
-                        ids.append(b"".join([known[c] for c in s]) + closing)
-                for i, (t, s) in enumerate(zip(texts, small)):  # long texts after the others: they may start the table anew
-                    if s is None:
-                        got = []
-                        for chunks in pieces(t):
-                            known.learn(set(chunks))
-                            got.append(b"".join([known[c] for c in chunks]))
-                        ids.insert(i, b"".join(got) + closing)
+            for at, offsets, numbers, chunks in chunked(batch.column("text"), keep="<|"):
+                known.learn(set(chunks))
+                each = [known.ids[c] for c in chunks]
+                ids = [b"".join([each[i] for i in numbers[x:y].tolist()]) + closing for x, y in zip(offsets[:-1], offsets[1:])]
+                part = batch.slice(at, len(ids))
                 keys = part.column("doc_id")
                 to = np.searchsorted(bounds, keys.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "right")
                 yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), keys, pa.array(ids, pa.binary())], ["part", "doc_id", "ids"])

@@ -27,17 +27,20 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelens.llm.bpe import pieces
+from tracelens.llm.chunks import chunked
 from tracelens.llm.common import SPACE, ship
 from tracelens.llm.rules import words_of
 
 #: Most labelled texts, positive words, negative words and landmarks of each kind that the machine is fitted to.
 MAX_TEXTS, MAX_WORDS, LANDMARKS = 8000, 3000, 300
 DECAY, WIDTH, SYMBOLS, BEGIN, MAX_CHUNKS = 0.6, 14, 64, 63, 500_000
+#: Three characters or more with single blanks between, and what a text that has such holds.
 SINGLES = re.compile(rb"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
+SPACED = r"(^|\s)\S[ \t]\S[ \t]\S(\s|$)|(^|\s)\S[ \t]\S[ \t]\S[ \t]"
 #: Digits and marks that stand for letters.
 STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 
@@ -240,27 +243,32 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return machine
 
 
-def _highest(texts: list[str | None], machine: Machine, known: dict[bytes, float]) -> tuple[list[float], list[str]]:
-    floor, out, best = machine.floor, [], []
-    for at in range(0, len(texts), 512):
-        parsed = []
-        for t in texts[at : at + 512]:
-            data = (t or "").encode().lower()
-            parsed.append((list(pieces(data)), [m[0].replace(b" ", b"").replace(b"\t", b"") for m in SINGLES.finditer(data)]))
-        if len(known) > MAX_CHUNKS:
-            known.clear()
-        new = list({c for chunks, joined in parsed for some in (*chunks, joined) for c in some} - known.keys())
+def _highest(texts: pa.Array, machine: Machine, known: dict[bytes, float]) -> tuple[list[float], list[str]]:
+    """Each text's highest margin, and the word that has it."""
+    out, best = [], []
+
+    def learn(words: set[bytes]) -> None:
+        new = list(words.difference(known))
         for k in range(0, len(new), 100_000):
             some = new[k : k + 100_000]
             known.update(zip(some, machine.margins([c.decode() for c in some]).tolist()))
-        for chunks, joined in parsed:
-            top, word = floor, b""
-            for some in (*chunks, joined):
-                if some:
-                    value = max(map(known.__getitem__, some))
-                    if value > top:
-                        top, word = value, max(some, key=known.__getitem__)
-            out.append(top)
+
+    for at, offsets, numbers, chunks in chunked(texts):
+        if len(known) > MAX_CHUNKS:
+            known.clear()
+        n = len(offsets) - 1
+        lowered = pc.ascii_lower(pc.fill_null(texts.slice(at, n), ""))
+        spaced = {int(i): [m[0].replace(b" ", b"").replace(b"\t", b"") for m in SINGLES.finditer(lowered[int(i)].as_buffer())] for i in np.flatnonzero(np.asarray(pc.match_substring_regex(lowered, SPACED)))}
+        learn(set(chunks).union(*spaced.values()))
+        each = np.array([known[c] for c in chunks])
+        for i, (x, y) in enumerate(zip(offsets[:-1], offsets[1:])):
+            some = numbers[x:y]
+            top = int(some[np.argmax(each[some])])
+            value, word = float(each[top]), chunks[top]
+            for w in spaced.get(i, ()):
+                if known[w] > value:
+                    value, word = known[w], w
+            out.append(value)
             best.append(word.decode())
     return out, best
 
@@ -272,7 +280,7 @@ def margins(rows: DataFrame, machine: Machine) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            top, word = _highest(batch.column("text").to_pylist(), shared.value, {})
+            top, word = _highest(batch.column("text"), shared.value, {})
             yield pa.RecordBatch.from_arrays([batch.column("y").cast(pa.int32()), pa.array(top, pa.float64()), pa.array(word, pa.string())], ["y", "margin", "word"])
 
     return rows.select("y", "text").mapInArrow(run, "y int, margin double, word string")
@@ -293,12 +301,12 @@ def score(docs: DataFrame, machine: Machine | float, id_col: str = "doc_id", tex
             kept.clear()
             kept[key] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
                 if isinstance(m, float):
                     value = np.full(part.num_rows, m)
                 else:
-                    value = m.score(np.array(_highest(part.column("text").to_pylist(), m, kept[key])[0]))
+                    value = m.score(np.array(_highest(part.column("text"), m, kept[key])[0]))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(value, pa.float64())], ["doc_id", "score"])
 
     found = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
