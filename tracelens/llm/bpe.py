@@ -2,7 +2,7 @@
 
 A byte-pair encoding is the one sequence of tokens in which every token encodes to itself and every two neighbours encode
 to themselves. So the last token of a prefix, with the place where it begins, is all that is needed to go on: a trie node
-holds that state, and a word's tokens are read off by following it back. Distinct words are inserted in sorted order, so
+holds that state, and a word's tokens are read off by following it back from its leaf. Distinct words are inserted in sorted order, so
 that nodes arise, and states propagate, depth first; a prefix that words share is encoded once.
 
 Texts are cut at ASCII white space, which no token crosses; each distinct chunk goes through the tokenizer file's own
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from tracelens.llm.chunks import chunked
 from tracelens.llm.common import ship
 
-MAX_NODES, MAX_CHUNKS = 600_000, 250_000
+MAX_NODES, MAX_CHUNKS = 1_200_000, 700_000
 #: Letters up to U+00FF, closed by marks: the normaliser only lowers them, the pre-tokeniser cuts before the marks.
 PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
 
@@ -114,43 +114,57 @@ class Trie:
             known = self.pairs[left, right] = self.apart(left, right, 1 << 60)
         return known
 
-    def grow(self, path: list[int], word: str, end: int, tail: str) -> int:
-        """A node for word[:end] + tail: its last token, the node where that begins, and the first place where one may begin."""
-        good, last, pairs, starts = self.good, self.last, self.pairs, self.starts
-        first = self.first[path[-1]]
-        while word[first:end] not in starts and first < end - 1:  # what no token starts with, none does when it grows
-            first += 1
+    def ending(self, path: list[int], word: str, end: int, tail: str, first: int) -> int:
+        """Where the last token of word[:end] + tail begins; path has the nodes of the word's prefixes."""
+        good, last, pairs = self.good, self.last, self.pairs
         begin = end
         while begin > first:
             begin -= 1
             token = word[begin:end] + tail if tail else word[begin:end]
             if token in good:
-                if begin:
-                    pair = (last[path[begin]], token)
-                    if (known := pairs.get(pair)) is None:
-                        known = self.fits(*pair)
-                    if not known:
-                        continue
-                last.append(token)
-                self.back.append(path[begin])
-                self.first.append(first)
-                return len(last) - 1
+                if not begin:
+                    return begin
+                pair = (last[path[begin]], token)
+                if (known := pairs.get(pair)) is None:
+                    known = self.fits(*pair)
+                if known:
+                    return begin
         raise ValueError(f"no token ends {word[:end] + tail!r}")
 
-    def insert(self, word: str) -> list[int]:
-        """The ids of a word; new nodes get their states on the way."""
-        node, path, child, n = 0, [0], self.child, len(word) - 1
-        for i, c in enumerate(word):
-            at = node << 10 | ord(c) | (512 if i == n else 0)
-            if (new := child.get(at)) is None:
-                new = child[at] = self.grow(path, word, i + 1, "" if i < n else self.suffix)
-            node = new
-            path.append(node)
-        ids = []
-        while node:
-            ids.append(self.vocab[self.last[node]])
-            node = self.back[node]
-        return ids[::-1]
+    def insert(self, words: list[str]) -> dict[str, list[int]]:
+        """The ids of sorted words. Nodes for prefixes arise depth first, each from its parent's state; leaves are not kept."""
+        out, child, vocab, starts = {}, self.child, self.vocab, self.starts
+        last, back, first, suffix = self.last, self.back, self.first, self.suffix
+        before, path = "", [0]
+        for word in words:
+            n, k = len(word) - 1, 0
+            most = min(len(path) - 1, n)
+            while k < most and word[k] == before[k]:
+                k += 1
+            del path[k + 1 :]
+            node = path[k]
+            for i in range(k, n):
+                at = node << 9 | ord(word[i])
+                if (new := child.get(at)) is None:
+                    f = first[node]
+                    while word[f : i + 1] not in starts and f < i:  # what no token starts with, none does when it grows
+                        f += 1
+                    begin = self.ending(path, word, i + 1, "", f)
+                    new = child[at] = len(last)
+                    last.append(word[begin : i + 1])
+                    back.append(path[begin])
+                    first.append(f)
+                node = new
+                path.append(node)
+            begin = self.ending(path, word, n + 1, suffix, first[node])
+            ids, at = [vocab[word[begin:] + suffix]], path[begin]
+            while at:
+                ids.append(vocab[last[at]])
+                at = back[at]
+            ids.reverse()
+            out[word] = ids
+            before = word
+        return out
 
 
 class Encoder:
@@ -192,7 +206,7 @@ class Encoder:
         split = {c: parted(c) for c in new}
         bare = {x for pair in split.values() for x in pair if x}.difference(self.ids)
         parsed = {c: self.words(c) for c in bare}
-        known = {w: self.trie.insert(w) for w in sorted({w for ws in parsed.values() for w in ws if isinstance(w, str)})}
+        known = self.trie.insert(sorted({w for ws in parsed.values() for w in ws if isinstance(w, str)}))
         for c, ws in parsed.items():
             ids = known[ws[0]] if len(ws) == 1 and isinstance(ws[0], str) else [i for w in ws for i in (known[w] if isinstance(w, str) else [w])]
             self.ids[c] = PACK[len(ids)](*ids) if len(ids) < len(PACK) else np.array(ids, "<u4").tobytes()
