@@ -1,17 +1,17 @@
 """N-gram Jaccard join by vertical partitioning.
 
 A document is the set of its distinct shingles of `width` words, as 64-bit hashes; documents with one set are one class from
-the start. The hash order is the global n-gram order. It is cut into fragments, as many as two linked sets can differ in and
-some more: then two linked sets agree on whole fragments, and the hash of such a fragment is a key under which they meet.
-Keys of fragments of fewer than two shingles are left out, which is safe as long as a set has no more of them than there are
-fragments to spare; a set that has more sends all its keys. The number of fragments goes by classes of set size, and a set
-sends keys for each class that a linked smaller set can be in.
+the start. The global n-gram order is that of the hashes, but for shingles of a thousandth of all documents or more, which come
+last, rarest first. Two linked sets share one of the first n - ceil(n * threshold / 100) + 1 shingles of each: the keys.
 
 Under a key the set that meets the most others is the centre and is paired with the rest, one pair each. The pairs are
-verified: both sets are cut into fragments of equal width, the overlaps are counted fragment by fragment and summed per pair.
-Verified links give components, and keys whose sets lie in more than one component pair these across: all but the members of
-the key's largest component, with all others. So every pair that could join two components is verified, and no group emits
-all its pairs. Pairs whose counts by fragment allow no link are dropped before any set is moved.
+verified by vertical partitioning: the hash order is cut into fragments of equal width, the overlaps of the two sets are counted
+fragment by fragment and summed per pair.
+Pairs whose counts by fragment allow no link are dropped before any set is moved. Verified links give components. Sets that meet
+around one centre and lie in several components are compared by what they differ in from the centre, which is little: the
+difference of two sets is that of their differences, counted over an inverted list of the elements, and pairs are not written
+out; only the links found are, one for each set and component. A set whose counts by fragment rule out its centre is paired
+with those sets of other components under that key that its counts allow. So every pair that could join two components is verified or ruled out.
 
 Defined results. Text is lower-cased for A-Z; words are [^\\x20\\x09-\\x0D]+. With fewer words than `width`, the sequence of all
 words is the one shingle. Null, empty and blank texts have the empty set and link with nothing. Repeated rows, and rows that
@@ -22,9 +22,7 @@ empty table gives an empty result. Extra columns are ignored.
 from __future__ import annotations
 
 import gc
-import math
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -62,49 +60,15 @@ def sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
             yield shingles(known[some] if y - x > 1 or some[0] != none else known[:0], width)
 
 
-def differ(size: int, threshold: int) -> int:
-    """The most elements by which a set of that size and a linked one of at least that size can differ."""
-    return size * (100 - threshold) // threshold
-
-
-@cache
-def size_class(size: int, threshold: int) -> int:
-    return int(math.log(size) / math.log(100 / threshold) + 1e-9)
-
-
-@cache
-def plan(c: int, threshold: int) -> tuple[int, int]:
-    """Fragments of a size class, and how many small ones a set may leave out."""
-    ratio = 100 / threshold
-    most, least = math.ceil(ratio ** (c + 1)) + 1, max(1, math.floor(ratio**c) - 1)
-    need, spare = differ(most, threshold) + 1, 0
-    for _ in range(20):
-        rate = least / (need + spare)
-        small = (need + spare) * math.exp(-rate) * (1 + rate)
-        if small * 1.2 + 3 <= spare or spare >= need:
-            break
-        spare = min(need, math.ceil(small * 1.2 + 3))
-    return need + spare, spare
-
-
-def keys(s: np.ndarray, threshold: int) -> np.ndarray:
-    """The fragment keys of a set of shingles."""
+def keys(s: np.ndarray, threshold: int, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the global order: hash order, then the hot ones, rarest first."""
     n = len(s)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(s), dtype=np.uint64)])
-    high = s >> np.uint64(32)
-    out = []
-    for c in range(size_class(max(1, -(-n * threshold // 100)), threshold), size_class(n, threshold) + 1):
-        m, spare = plan(c, threshold)
-        fragment = (high * np.uint64(m)) >> np.uint64(32)
-        ends = np.searchsorted(fragment, np.arange(m + 1, dtype=np.uint64))
-        sizes = np.diff(ends)
-        value = total[ends[1:]] - total[ends[:-1]] + sizes.astype(np.uint64)
-        kept = sizes >= 2
-        if m - kept.sum() > spare:
-            kept[:] = True
-        f = np.flatnonzero(kept).astype(np.uint64)
-        out.append(mix(mix(value[kept]) + f * SPREAD[0] + np.full(len(f), c, np.uint64) * SPREAD[1]))
-    return np.concatenate(out)
+    count = n - -(-n * threshold // 100) + 1
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
+        often = hot[at] == s
+        s = np.concatenate([s[~often][:count], s[often][np.argsort(rank[at[often]], kind="stable")]])
+    return s[:count]
 
 
 def node_of(s: np.ndarray) -> int:
@@ -118,23 +82,56 @@ def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def nodes(docs: DataFrame, width: int, threshold: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, node, n of every row, with the set's size by each of BOUND fragments; node null for an empty set."""
+    """doc_id, node, n of every row, with the set's size by each of BOUND fragments; node null for an empty set.
+
+    Between them stand rows with counts of shingles that are frequent among some thousand texts (often, not null).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "node", "n", "hist", "often", "times"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+
+        def frequent(held: list[np.ndarray]) -> pa.RecordBatch:
+            value, count = np.unique(np.concatenate(held), return_counts=True)
+            kept = count >= 3
+            row = [None, None, None, None, value[kept].view(np.int64), count[kept]]
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
+
+        held, size = [], 0
         for batch in batches:
             node, n, hist = [], [], []
             for s in sets(batch.column("text"), width):
                 n.append(len(s))
                 node.append(node_of(s) if len(s) else None)
                 hist.append(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BOUND).astype("<u4").tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(hist, pa.binary())], ["doc_id", "node", "n", "hist"])
+                held.append(s)
+                size += len(s)
+                if size > 4_000_000:
+                    yield frequent(held)
+                    held, size = [], 0
+            none = [None] * len(n)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x, k) for x, k in zip((node, n, hist, none, none), kinds[1:])]], names)
+        if size:
+            yield frequent(held)
+
+    return _sets(docs, id_col, text_col).mapInArrow(run, "doc_id long, node long, n long, hist binary, often array<long>, times array<long>")
 
-    return _sets(docs, id_col, text_col).mapInArrow(run, "doc_id long, node long, n long, hist binary")
 
+def hot_shingles(named: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles counted in a thousandth of all rows or more: at most a thousand times the mean set's size."""
+    least = max(32, named.filter("often IS NULL").count() // 1000)
+    each = named.filter("often IS NOT NULL").select(F.explode(F.arrays_zip("often", "times")).alias("x"))
+    found = each.groupBy(F.col("x.often").alias("s")).agg(F.sum("x.times").alias("t")).filter(F.col("t") >= least)
+    rows = sorted((r["t"], r["s"]) for r in found.collect())
+    value = np.array([v for _, v in rows], np.int64).view(np.uint64)
+    order = np.argsort(value)
+    return value[order], order  # sorted, each with its place in the order of counts
 
-def met(docs: DataFrame, width: int, threshold: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def met(docs: DataFrame, width: int, threshold: int, hot: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(part, blob) of the keys under which two sets or more meet."""
     parts = partitions(docs.sparkSession)
+    hot = docs.sparkSession.sparkContext.broadcast(hot)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
@@ -148,7 +145,7 @@ def met(docs: DataFrame, width: int, threshold: int, id_col: str = "doc_id", tex
         for batch in batches:
             for s in sets(batch.column("text"), width):
                 if len(s):
-                    k = keys(s, threshold)
+                    k = keys(s, threshold, *hot.value)
                     r = np.empty(len(k), KEY)
                     r["key"], r["node"] = k, np.int64(node_of(s)).view(np.uint64)
                     held.append(r)
@@ -192,8 +189,39 @@ def _bounded(pairs: DataFrame, stats: DataFrame, threshold: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, stats: DataFrame, width: int, threshold: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) that are linked: overlaps by fragment, summed per pair."""
+def _under_keys(rows: DataFrame, threshold: int, parts: int) -> DataFrame:
+    """Pairs (a, b) of far sets with sets of other components under a key, whose sizes by fragment allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(held: list[tuple]) -> pa.RecordBatch:
+            node, root, far = np.array([h[1] for h in held]), np.array([h[2] for h in held]), np.array([h[3] for h in held])
+            hist = np.frombuffer(b"".join(h[4] for h in held), "<u4").reshape(-1, BOUND).astype(np.int32)
+            n, out = hist.sum(1), [[], []]
+            for i in np.flatnonzero(far):
+                other = np.flatnonzero((root != root[i]) & (100 * np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i])))
+                most = np.minimum(hist[other], hist[i]).sum(1)
+                for j in other[100 * most >= threshold * (n[other] + n[i] - most)]:
+                    out[0].append(min(node[i], node[j]))
+                    out[1].append(max(node[i], node[j]))
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+
+        held: list[tuple] = []
+        for batch in batches:
+            for r in zip(*[batch.column(c).to_pylist() for c in ("key", "node", "root", "far", "hist")]):
+                if held and r[0] != held[0][0]:
+                    if len(held) > 1:
+                        yield done(held)
+                    held = []
+                held.append(r)
+        if len(held) > 1:
+            yield done(held)
+
+    # Cut first: else the planner drops this dealing and sorting as done by a join below, which may then run as another join.
+    return cut(rows).repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, stats: DataFrame, width: int, threshold: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The pairs (a, b) that are linked: overlaps by fragment, summed per pair. Also the pairs that were counted, and the cut sets."""
     pairs = cut(_bounded(pairs, stats, threshold))
     used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     first = cut(stats.join(used, "node", "left_semi").select("node", F.col("first").alias("__id")))
@@ -208,10 +236,9 @@ def verified(pairs: DataFrame, docs: DataFrame, stats: DataFrame, width: int, th
                 if len(s):
                     at = np.searchsorted(s >> np.uint64(32), np.arange(1, COUNTED, dtype=np.uint64) * np.uint64((1 << 32) // COUNTED))
                     for f, part in enumerate(np.split(s, at)):
-                        if len(part):
-                            node.append(node_of(s))
-                            fragment.append(f)
-                            some.append(part.tobytes())
+                        node.append(node_of(s))
+                        fragment.append(f)
+                        some.append(part.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(fragment, pa.int32()), pa.array(some, pa.binary())], ["node", "fragment", "some"])
 
     cuts = texts.mapInArrow(run, "node long, fragment int, some binary").dropDuplicates(["node", "fragment"])
@@ -227,7 +254,59 @@ def verified(pairs: DataFrame, docs: DataFrame, stats: DataFrame, width: int, th
     sums = both.select("a", "b", "sa", "sb").mapInArrow(overlap, "a long, b long, part long").groupBy("a", "b").agg(F.sum("part").alias("inter"))
     size = stats.select("node", "n")
     sums = sums.join(size.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    return sums.filter(100 * F.col("inter") >= threshold * (F.col("na") + F.col("nb") - F.col("inter"))).select("a", "b", "inter")
+    linked = sums.filter(100 * F.col("inter") >= threshold * (F.col("na") + F.col("nb") - F.col("inter")))
+    return linked.select("a", "b", "inter"), pairs, cuts
+
+
+def _around(members: DataFrame, cuts: DataFrame, stats: DataFrame, threshold: int, parts: int) -> DataFrame:
+    """Links (a, b, inter) between components among the members (centre, node, root) of each centre."""
+    own = cuts.select(F.col("node").alias("__n"), F.col("fragment"), F.col("some").alias("sx"))
+    base = cuts.select(F.col("node").alias("__c"), F.col("fragment").alias("__f"), F.col("some").alias("sc"))
+    rows = members.join(own, F.col("node") == F.col("__n")).join(base, (F.col("centre") == F.col("__c")) & (F.col("fragment") == F.col("__f")))
+
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            e = [np.setxor1d(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), assume_unique=True).tobytes() for x, y in zip(batch.column("sx"), batch.column("sc"))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("centre", "node", "root")], pa.array(e, pa.binary())], ["centre", "node", "root", "e"])
+
+    rows = rows.select("centre", "node", "root", "sx", "sc").mapInArrow(differences, "centre long, node long, root long, e binary")
+    rows = rows.groupBy("centre", "node", "root").agg(F.collect_list("e").alias("e"))
+    rows = rows.join(stats.select("node", "n"), "node").select("centre", "node", "root", "n", "e")
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(held: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
+            node, root, n = (np.array([h[i] for h in held], np.int64) for i in range(3))
+            size = np.array([len(h[3]) for h in held], np.int64)
+            element, owner = np.concatenate([h[3] for h in held]), np.repeat(np.arange(len(held)), size)
+            order = np.argsort(element, kind="stable")
+            element, owner = element[order], owner[order]
+            label, count = np.unique(root, return_counts=True)
+            a, b, inter = [], [], []
+            for i in np.flatnonzero(root != label[np.argmax(count)]):
+                lo, hi = np.searchsorted(element, held[i][3], "left"), np.searchsorted(element, held[i][3], "right")
+                met = np.bincount(np.concatenate([owner[x:y] for x, y in zip(lo, hi)] or [owner[:0]]), minlength=len(held))
+                both = n[i] + n
+                shared = (both - (size[i] + size - 2 * met)) // 2
+                found = np.flatnonzero((100 * shared >= threshold * (both - shared)) & (root != root[i]))
+                _, at = np.unique(root[found], return_index=True)
+                for j in found[at]:
+                    a.append(min(node[i], node[j]))
+                    b.append(max(node[i], node[j]))
+                    inter.append(shared[j])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, inter)], ["a", "b", "inter"])
+
+        held, last = [], None
+        for batch in batches:
+            for r in zip(*[batch.column(c).to_pylist() for c in ("centre", "node", "root", "n", "e")]):
+                if held and r[0] != last:
+                    yield done(held)
+                    held = []
+                last = r[0]
+                held.append((r[1], r[2], r[3], np.frombuffer(b"".join(r[4]), "<u8")))
+        if held:
+            yield done(held)
+
+    return cut(rows).repartition(parts, "centre").sortWithinPartitions("centre").mapInArrow(links, "a long, b long, inter long")
 
 
 def _pairs(a: str, b: str) -> list:
@@ -240,26 +319,37 @@ def join(docs: DataFrame, width: int = 5, threshold: int = 80, id_col: str = "do
     threshold is in hundredths: two documents link when 100 * intersection >= threshold * union.
     """
     named = cut(nodes(docs, width, threshold, id_col, text_col))
+    hot = hot_shingles(named)
+    named = named.filter("often IS NULL").select("doc_id", "node", "n", "hist")
     stats = named.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("hist").alias("hist"))
     stats = cut(stats)
-    meets = cut(met(docs, width, threshold, id_col, text_col))
+    meets = cut(met(docs, width, threshold, hot, id_col, text_col))
     # The centre of a key: the set that meets most, over all its keys.
     sizes = meets.groupBy("key").agg(F.count("*").alias("g"))
     weight = cut(meets.join(sizes, "key").groupBy("node").agg(F.sum("g").alias("w")))
     weighed = meets.join(weight, "node")
     centre = weighed.groupBy("key").agg(F.max(F.struct("w", "node")).alias("c")).select("key", F.col("c.node").alias("centre"))
-    star = meets.join(centre, "key").filter("node <> centre").select(*_pairs("node", "centre")).distinct()
-    links = cut(verified(cut(star), docs, stats, width, threshold, id_col, text_col))
-    # Keys that hold sets of several components: all outside the key's largest one, against the others.
+    placed = cut(meets.join(centre, "key").join(stats.select("node", "n"), "node"))
+    spokes = placed.filter("node <> centre").select("centre", "node").distinct()
+    star = cut(spokes.select(*_pairs("node", "centre")).distinct())
+    links, counted, cuts = verified(star, docs, stats, width, threshold, id_col, text_col)
+    links = cut(links)
     roots = cut(components(links.select("a", "b")))
-    labelled = cut(meets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
-    groups = labelled.groupBy("key", "root").agg(F.count("*").alias("g"))
-    split = groups.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("g", "root")).alias("top")).filter("k > 1").select("key", F.col("top.root").alias("top"))
-    mixed = labelled.join(split, "key")
-    minor = mixed.filter("root <> top").select("key", F.col("node").alias("x"), F.col("root").alias("xr"))
-    across = mixed.select("key", "node", "root").join(minor, "key").filter("root <> xr").select(*_pairs("node", "x")).distinct()
+    near = spokes.join(counted, (F.least("node", "centre") == F.col("a")) & (F.greatest("node", "centre") == F.col("b"))).select("centre", "node")
+    near = cut(near)
+    # Around a centre: the sets that were counted against it, and itself.
+    members = near.unionByName(near.select("centre", F.col("centre").alias("node")).distinct()).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = members.groupBy("centre").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("centre")
+    around = _around(members.join(several, "centre", "left_semi"), cuts, stats, threshold, partitions(docs.sparkSession))
+    # Under a key: the sets that can't be linked with its centre, against those of other components.
+    labelled = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    flagged = labelled.join(near.withColumn("near", F.lit(True)), ["centre", "node"], "left").withColumn("far", F.col("near").isNull() & (F.col("node") != F.col("centre")))
+    split = flagged.groupBy("key").agg(F.max("far").alias("any"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("any AND lo <> hi").select("key")
+    rows = flagged.join(split, "key", "left_semi").join(stats.select("node", "hist"), "node").select("key", "node", "root", "far", "hist")
+    across = _under_keys(rows, threshold, partitions(docs.sparkSession)).distinct()
     across = cut(across.join(star, ["a", "b"], "left_anti"))
-    links = cut(links.unionByName(verified(across, docs, stats, width, threshold, id_col, text_col)))
+    further, _, _ = verified(across, docs, stats, width, threshold, id_col, text_col)
+    links = cut(links.unionByName(around).unionByName(further))
     # Rows of one set, and rows of one doc_id, belong together too: the graph is over sets, then over ids.
     roots = components(links.select("a", "b"))
     rows = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
