@@ -1,11 +1,165 @@
-"""Every query of the trace analytics, with its oracle."""
+"""Every query of the trace analytics over the driver's tables, with its oracle.
+
+The tables stand in for traces: an event is a run (event_type the provider, user_id the question, value its tokens, event_id the
+line number), a page or document a retrieved result, a benchmark item a gold answer. A query in SQL that both engines read the
+same is its own oracle text, run by two engines; {name} marks a table.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracelens.functions import text as T
+from tracelens.operators import relational as R
 
 FLAGSHIP = "provider_summary"
 
+RUNS = "SELECT event_type AS provider, user_id AS query_id, event_id AS line_num, value AS tokens, value > 60 AS correct, event_id % 7 = 0 AS failed FROM {events}"
+LATEST = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY provider, query_id ORDER BY line_num DESC) AS rn FROM ({RUNS}) r) x WHERE rn = 1"
+#: A URL's state for the fetch policies: rank, support before and after the fetch, contradiction, fetched, page tokens.
+URLS = "SELECT user_id % 50 AS query_id, event_type AS provider, row_number() OVER (PARTITION BY event_type, user_id % 50 ORDER BY event_id) AS rn, event_id % 11 = 0 AS pre, event_id % 5 = 0 AS page, event_id % 13 = 0 AS contra, event_id % 4 = 0 AS fetched, CAST(floor(value) AS BIGINT) AS tokens FROM {events}"
+STATES = f"SELECT provider, query_id, bool_or(pre) AS any_pre, bool_or(page) AS any_page, bool_or(fetched) AS any_fetched, bool_or(pre AND fetched) AS pre_fetched, count(*) AS n_urls FROM ({URLS}) u GROUP BY provider, query_id"
+
+SQL = {
+    "provider_summary": f"""
+        SELECT provider, count(*) AS queries, count_if(correct) AS correct, count_if(failed) AS failed,
+          round(avg(tokens), 4) AS avg_tokens, round(median(tokens), 4) AS median_tokens, round(max(tokens), 4) AS max_tokens,
+          round(percentile_disc(0.9) WITHIN GROUP (ORDER BY tokens), 4) AS p90_tokens, count_if(tokens > 50) AS over_50, count_if(tokens > 90) AS over_90
+        FROM ({LATEST}) l GROUP BY provider""",
+    "reliability": f"""
+        SELECT h.provider, count(*) AS runs, count_if(h.failed) AS failed_runs, count_if(l.failed AND l.line_num = h.line_num) AS latest_failed,
+          count_if(h.failed AND NOT l.failed) AS recovered
+        FROM ({RUNS}) h JOIN ({LATEST}) l ON h.provider = l.provider AND h.query_id = l.query_id GROUP BY h.provider""",
+    "pairwise_outcomes": f"""
+        SELECT a.provider AS provider_a, b.provider AS provider_b,
+          CASE WHEN a.correct AND b.correct THEN 'both_correct' WHEN a.correct THEN 'a_only' WHEN b.correct THEN 'b_only' ELSE 'both_wrong' END AS outcome, count(*) AS n
+        FROM ({LATEST}) a JOIN ({LATEST}) b ON a.query_id = b.query_id AND a.provider < b.provider GROUP BY 1, 2, 3""",
+    "multiway_outcomes": f"""
+        SELECT n_providers, n_correct, count(*) AS queries FROM (SELECT query_id, count(DISTINCT provider) AS n_providers, count_if(correct) AS n_correct FROM ({LATEST}) l GROUP BY query_id) q
+        WHERE n_providers >= 3 GROUP BY n_providers, n_correct""",
+    "complementarity": f"""
+        SELECT region, count(*) AS queries FROM (SELECT query_id, concat_ws('_', max(CASE WHEN provider = 'click' AND correct THEN 'click' END), max(CASE WHEN provider = 'view' AND correct THEN 'view' END),
+          max(CASE WHEN provider = 'signup' AND correct THEN 'signup' END)) AS region FROM ({LATEST}) l GROUP BY query_id) q GROUP BY region""",
+    "best_single_and_oracle": f"""
+        SELECT (SELECT max(n) FROM (SELECT count_if(correct) AS n FROM ({LATEST}) l GROUP BY provider) p) AS best_single, (SELECT count(*) FROM (SELECT query_id FROM ({LATEST}) l GROUP BY query_id HAVING bool_or(correct)) q) AS oracle_router""",
+    "decision_partition": f"""
+        WITH s AS (SELECT provider, query_id, CASE WHEN any_pre AND pre_fetched THEN 'SMART' WHEN any_pre THEN 'MISSED' WHEN any_fetched THEN 'BLIND' ELSE 'NOOP' END AS cell, any_page AS correct FROM ({STATES}) t),
+        cells AS (SELECT p.provider, c.cell FROM (SELECT DISTINCT provider FROM s) p CROSS JOIN (SELECT 'SMART' AS cell UNION ALL SELECT 'MISSED' UNION ALL SELECT 'BLIND' UNION ALL SELECT 'NOOP') c)
+        SELECT cells.provider, cells.cell, count(s.query_id) AS queries, coalesce(count_if(s.correct), 0) AS correct, round(coalesce(count_if(s.correct), 0) / nullif(CAST(count(s.query_id) AS DOUBLE), 0), 4) AS rate
+        FROM cells LEFT JOIN s ON s.provider = cells.provider AND s.cell = cells.cell GROUP BY cells.provider, cells.cell""",
+    "support_split": f"""
+        SELECT provider, count_if(any_pre) AS pre_support, count_if(NOT any_pre AND any_page) AS post_discovered, count_if(any_pre OR any_page) AS trajectory, sum(n_urls) AS urls FROM ({STATES}) s GROUP BY provider""",
+    "policy_ablation": f"""
+        WITH u AS (SELECT *, min(CASE WHEN pre OR page THEN rn END) OVER (PARTITION BY provider, query_id) AS first_any, min(CASE WHEN page THEN rn END) OVER (PARTITION BY provider, query_id) AS first_page,
+            max(CASE WHEN pre THEN 1 ELSE 0 END) OVER (PARTITION BY provider, query_id) AS has_pre FROM ({URLS}) x),
+        p AS (SELECT 'snippet_only' AS policy UNION ALL SELECT 'fetch_rank_1' UNION ALL SELECT 'fetch_top_3' UNION ALL SELECT 'fetch_top_5' UNION ALL SELECT 'observed_agent_policy' UNION ALL SELECT 'oracle_fetch_if_any_support' UNION ALL SELECT 'oracle_fetch_if_needed'),
+        s AS (SELECT u.*, p.policy, coalesce(CASE p.policy WHEN 'fetch_rank_1' THEN rn <= 1 WHEN 'fetch_top_3' THEN rn <= 3 WHEN 'fetch_top_5' THEN rn <= 5 WHEN 'observed_agent_policy' THEN fetched
+            WHEN 'oracle_fetch_if_any_support' THEN rn = first_any WHEN 'oracle_fetch_if_needed' THEN has_pre = 0 AND rn = first_page ELSE FALSE END, FALSE) AS selected FROM u CROSS JOIN p),
+        q AS (SELECT provider, policy, query_id, bool_or(pre) OR bool_or(page AND selected) AS captured, NOT bool_or(pre) AND bool_or(page AND selected) AS incremental, count_if(selected) AS fetches,
+            sum(CASE WHEN selected THEN tokens ELSE 0 END) AS tokens, bool_or(contra AND selected) AS opened_contra FROM s GROUP BY provider, policy, query_id)
+        SELECT provider, policy, count(*) AS queries, count_if(captured) AS captured, count_if(incremental) AS incremental, sum(fetches) AS fetches, sum(tokens) AS fetch_tokens, count_if(opened_contra) AS contradictions,
+          round(count_if(captured) / nullif(CAST(sum(fetches) AS DOUBLE), 0), 4) AS support_per_fetch FROM q GROUP BY provider, policy""",
+    "median_imputation": "SELECT event_type AS provider, coalesce(median(nullif(floor(value), 0)), median(floor(value)), 0) AS imputed FROM {events} GROUP BY event_type",
+    "linear_percentiles": "SELECT event_type AS provider, round(percentile_cont(0.025) WITHIN GROUP (ORDER BY value), 6) AS low, round(percentile_cont(0.975) WITHIN GROUP (ORDER BY value), 6) AS high FROM {events} GROUP BY event_type",
+    "resume_anti_join": "SELECT o.o_orderkey FROM {orders} o WHERE NOT EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_orderkey = o.o_orderkey)",
+    "semi_join_universe": "SELECT event_type, count(*) AS n FROM {events} e WHERE EXISTS (SELECT 1 FROM {customer} c WHERE c.c_custkey = e.user_id AND c.c_acctbal > 0) GROUP BY event_type",
+    "incremental_reuse": """
+        SELECT reuse_class, count(*) AS n FROM (SELECT CASE WHEN event_id = min(event_id) OVER (PARTITION BY user_id, event_type) THEN 'fresh' ELSE 'duplicate' END AS reuse_class FROM {events}) x GROUP BY reuse_class""",
+    "latest_match": """
+        SELECT q.user_id, q.event_id, max(s.event_id) AS source_event FROM {events} q LEFT JOIN {events} s ON s.user_id = q.user_id AND s.event_type = 'view' AND s.event_id < q.event_id
+        WHERE q.event_type = 'purchase' GROUP BY q.user_id, q.event_id""",
+    "first_hit_rank": "SELECT user_id, min_by(rn, event_id) FILTER (WHERE hit) AS first_hit, round(coalesce(1.0 / min_by(rn, event_id) FILTER (WHERE hit), 0.0), 6) AS mrr FROM (SELECT user_id, event_id, value > 80 AS hit, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM {events}) x GROUP BY user_id",
+    "top_domains": "SELECT source AS domain, count(*) AS n, min(doc_id) AS first_pos FROM {documents} GROUP BY source ORDER BY n DESC, first_pos LIMIT 20",
+    "first_n_per_group": "SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM {documents}) x WHERE rn <= 8",
+    "label_unpivot": "SELECT doc_id, 'quality' AS label, quality AS label_value FROM {labels} WHERE quality IS NOT NULL UNION ALL SELECT doc_id, 'toxic', toxic FROM {labels} WHERE toxic IS NOT NULL",
+    "agreement_grouping_sets": """
+        SELECT d.lang, d.source, count(*) AS reviewed, count_if(l.quality = 1) AS agree, round(count_if(l.quality = 1) / CAST(count(*) AS DOUBLE), 4) AS rate
+        FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id GROUP BY GROUPING SETS ((d.lang), (d.source), ())""",
+    "quota_rollup": """
+        SELECT d.lang, l.quality, l.toxic, count(*) AS n, least(5, count(*)) AS target FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id GROUP BY d.lang, l.quality, l.toxic""",
+    "distribution_drift": """
+        WITH a AS (SELECT lang, 100.0 * count(*) / (SELECT count(*) FROM {documents}) AS pct FROM {documents} GROUP BY lang),
+        b AS (SELECT lang, 100.0 * count(*) / (SELECT count(*) FROM {documents} WHERE doc_id % 3 = 0) AS pct FROM {documents} WHERE doc_id % 3 = 0 GROUP BY lang)
+        SELECT coalesce(a.lang, b.lang) AS lang, round(CAST(abs(coalesce(a.pct, 0) - coalesce(b.pct, 0)) AS DOUBLE), 2) AS delta_pp FROM a FULL OUTER JOIN b ON a.lang = b.lang""",
+    "fill_counts": "SELECT count(*) AS n, count_if(text IS NOT NULL AND text <> '') AS with_text, count_if(coalesce(lang, '') <> '') AS with_lang, count(DISTINCT source) AS sources FROM {documents}",
+    "balanced_sample": """
+        SELECT quality, doc_id FROM (SELECT quality, doc_id, row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(doc_id AS STRING)), doc_id) AS rn FROM {labels}) x WHERE rn <= 20""",
+    "paired_bootstrap": """
+        WITH q AS (SELECT row_number() OVER (ORDER BY user_id) - 1 AS pos, count_if(value > 60) AS a, count_if(value > 40) AS b, count(*) OVER () AS n FROM {events} GROUP BY user_id),
+        r AS (SELECT rep, i FROM (SELECT DISTINCT event_id AS rep FROM {events} WHERE event_id BETWEEN 1 AND 40) x CROSS JOIN (SELECT pos AS i FROM q) y),
+        m AS (SELECT rep, avg(q.a - q.b) AS diff FROM (SELECT rep, (rep * 7919 + i * 104729 + rep * i * 31) % (SELECT max(n) FROM q) AS pick FROM r) d JOIN q ON q.pos = d.pick GROUP BY rep)
+        SELECT round(percentile_cont(0.025) WITHIN GROUP (ORDER BY diff), 6) AS low, round(percentile_cont(0.975) WITHIN GROUP (ORDER BY diff), 6) AS high, count(*) AS reps FROM m""",
+    "set_union_except": "SELECT 'both' AS part, count(*) AS n FROM (SELECT doc_id FROM {documents} INTERSECT SELECT doc_id FROM {labels}) x UNION ALL SELECT 'unlabelled', count(*) FROM (SELECT doc_id FROM {documents} EXCEPT SELECT doc_id FROM {labels}) y",
+    "page_search": "SELECT page_id, url FROM {pages} WHERE lower(url) LIKE '%/a%' OR lower(html) LIKE '%license%' ORDER BY page_id LIMIT 50 OFFSET 5",
+    "containment_join": "SELECT b.item_id, count(d.doc_id) AS docs FROM {benchmark} b LEFT JOIN {documents} d ON contains(lower(d.text), lower(b.text)) GROUP BY b.item_id",
+    "cost_rollup": "SELECT user_id, round(sum(CASE WHEN event_type = 'view' THEN value ELSE 0 END) * 0.002 + sum(CASE WHEN event_type = 'click' THEN value ELSE 0 END) * 0.008, 6) AS cost, count(*) AS calls FROM {events} GROUP BY user_id",
+    "garbage_precheck": """
+        SELECT page_id, CASE WHEN html IS NULL THEN 'fetch_failed' WHEN length(html) = 0 THEN 'empty_success' WHEN lower(url) LIKE '%.pdf' THEN 'unsupported_content' WHEN lower(url) LIKE '%.jpg' THEN 'media_content' ELSE 'not_garbage' END AS category FROM {pages}""",
+}
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def _run(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+    names = set(re.findall(r"\{(\w+)\}", sql))
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(sql, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
+
+    return query
+
+
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, u = spark.read.parquet(f"{sf_dir}/pages.parquet"), F.col("url")
+    return pages.select("page_id", T.normalize_url(u).alias("normalized"), T.root_domain(u).alias("domain"))
+
+
+URL_SQL = r"""
+WITH p AS (SELECT page_id, trim(url) AS u, list_filter(string_split(regexp_extract(trim(url), '\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_')
+  AND string_split(x, '=')[1] NOT IN ('gclid', 'fbclid', 'mc_cid', 'mc_eid', 'igshid', 'ref', 'ref_src')) AS q FROM pages)
+SELECT page_id, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)) || regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/$', '')
+  || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS normalized,
+  regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\.', '') AS domain
+FROM p"""
+
+
+def answer_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    a, b = F.col("text"), F.concat(F.lit("The "), F.upper("text"), F.lit("!"))
+    return items.select("item_id", T.normalize_answer(a).alias("normalized"), T.exact_match(a, b).alias("exact"), F.round(T.token_f1(a, b), 6).alias("f1"), T.estimate_tokens(a).alias("tokens"))
+
+
+def page_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, u = spark.read.parquet(f"{sf_dir}/pages.parquet"), F.col("url")
+    return pages.groupBy(T.source_family(u).alias("family")).agg(F.count("*").alias("n"))
+
+
+def latest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "user_id", "event_id", "value")
+    return R.latest_by_key(events, ["event_type", "user_id"], "event_id")
+
+
+def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return R.apportion(docs.groupBy(F.col("lang").alias("cell")).agg(F.count("*").alias("n")), 100)
+
+
+LATEST_SQL = "SELECT event_type, user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id DESC) AS rn FROM events) x WHERE rn = 1"
+STRATA_SQL = """
+WITH c AS (SELECT lang AS cell, count(*) AS n FROM documents GROUP BY lang), x AS (SELECT *, n * 100.0 / sum(n) OVER () AS x FROM c),
+r AS (SELECT *, row_number() OVER (ORDER BY x - floor(x) DESC, n DESC, cell DESC) AS rn, 100 - sum(floor(x)) OVER () AS rest FROM x)
+SELECT cell, n, CAST(least(n, floor(x) + CASE WHEN rn <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r"""
+
 
-def queries():
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = {name: _run(sql) for name, sql in SQL.items()}
+    return found | {"url_parts": url_parts, "answer_grades": answer_grades, "page_families": page_families, "latest_runs": latest_runs, "stratified_sample": stratified_sample}
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    found = {name: re.sub(r"\{(\w+)\}", r"\1", sql) for name, sql in SQL.items()}
+    return found | {"url_parts": URL_SQL, "latest_runs": LATEST_SQL, "stratified_sample": STRATA_SQL}

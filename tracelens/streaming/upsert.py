@@ -1,0 +1,10 @@
+"""Structured Streaming over append-only trace folders (an extension: the analytics themselves are batch)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def stream_traces(spark: SparkSession, folder: str, schema: str, keys: list[str], time: str, late: str = "1 hour") -> DataFrame:
+    """New lines of a folder of JSON files, the first of each key within the watermark."""
+    return spark.readStream.schema(schema).json(folder).withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
