@@ -103,7 +103,7 @@ def nodes(docs: DataFrame, width: int, threshold: int, id_col: str = "doc_id", t
             for s in sets(batch.column("text"), width):
                 n.append(len(s))
                 node.append(node_of(s) if len(s) else None)
-                hist.append(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BOUND).astype("<u4").tobytes() if len(s) else None)
+                hist.append(np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BOUND), 255).astype(np.uint8).tobytes() if len(s) else None)
                 held.append(s)
                 size += len(s)
                 if size > 4_000_000:
@@ -172,6 +172,12 @@ def met(docs: DataFrame, width: int, threshold: int, hot: tuple[np.ndarray, np.n
     return deal(sent, parts).mapInArrow(meet, "key long, node long")
 
 
+def _allowed(a: np.ndarray, b: np.ndarray, threshold: int) -> np.ndarray:
+    """Whether sizes by fragment (rows of bytes) allow a link; 255 stands for any size from there on."""
+    most, both = np.minimum(a, b).sum(1, dtype=np.int64), a.sum(1, dtype=np.int64) + b.sum(1, dtype=np.int64)
+    return (100 * most >= threshold * (both - most)) | (a == 255).any(1) | (b == 255).any(1)
+
+
 def _bounded(pairs: DataFrame, stats: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose sizes by fragment allow a link."""
     left = stats.select(F.col("node").alias("a"), F.col("hist").alias("ha"))
@@ -181,10 +187,8 @@ def _bounded(pairs: DataFrame, stats: DataFrame, threshold: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, BOUND).astype(np.int64) for c in ("ha", "hb"))
-                most = np.minimum(a, b).sum(1)
-                kept = 100 * most >= threshold * (a.sum(1) + b.sum(1) - most)
-                yield batch.select(["a", "b"]).filter(pa.array(kept))
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BOUND) for c in ("ha", "hb"))
+                yield batch.select(["a", "b"]).filter(pa.array(_allowed(a, b, threshold)))
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -195,12 +199,11 @@ def _under_keys(rows: DataFrame, threshold: int, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(held: list[tuple]) -> pa.RecordBatch:
             node, root, far = np.array([h[1] for h in held]), np.array([h[2] for h in held]), np.array([h[3] for h in held])
-            hist = np.frombuffer(b"".join(h[4] for h in held), "<u4").reshape(-1, BOUND).astype(np.int32)
-            n, out = hist.sum(1), [[], []]
+            hist = np.frombuffer(b"".join(h[4] for h in held), np.uint8).reshape(-1, BOUND)
+            out: tuple[list, list] = ([], [])
             for i in np.flatnonzero(far):
-                other = np.flatnonzero((root != root[i]) & (100 * np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i])))
-                most = np.minimum(hist[other], hist[i]).sum(1)
-                for j in other[100 * most >= threshold * (n[other] + n[i] - most)]:
+                other = np.flatnonzero(root != root[i])
+                for j in other[_allowed(hist[other], hist[i : i + 1], threshold)]:
                     out[0].append(min(node[i], node[j]))
                     out[1].append(max(node[i], node[j]))
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
@@ -216,8 +219,9 @@ def _under_keys(rows: DataFrame, threshold: int, parts: int) -> DataFrame:
         if len(held) > 1:
             yield done(held)
 
-    # Cut first: else the planner drops this dealing and sorting as done by a join below, which may then run as another join.
-    return cut(rows).repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    # Dealt by a hash of the key: by the key itself the planner drops dealing and sorting as done by a join below, and that
+    # join may then run as another.
+    return rows.withColumn("h", F.xxhash64("key")).repartition(parts, "h").sortWithinPartitions("h", "key").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, stats: DataFrame, width: int, threshold: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -306,7 +310,7 @@ def _around(members: DataFrame, cuts: DataFrame, stats: DataFrame, threshold: in
         if held:
             yield done(held)
 
-    return cut(rows).repartition(parts, "centre").sortWithinPartitions("centre").mapInArrow(links, "a long, b long, inter long")
+    return rows.withColumn("h", F.xxhash64("centre")).repartition(parts, "h").sortWithinPartitions("h", "centre").mapInArrow(links, "a long, b long, inter long")
 
 
 def _pairs(a: str, b: str) -> list:
@@ -330,7 +334,9 @@ def join(docs: DataFrame, width: int = 5, threshold: int = 80, id_col: str = "do
     weighed = meets.join(weight, "node")
     centre = weighed.groupBy("key").agg(F.max(F.struct("w", "node")).alias("c")).select("key", F.col("c.node").alias("centre"))
     placed = cut(meets.join(centre, "key").join(stats.select("node", "n"), "node"))
-    spokes = placed.filter("node <> centre").select("centre", "node").distinct()
+    size = stats.select(F.col("node").alias("centre"), F.col("n").alias("cn"))
+    spokes = placed.filter("node <> centre").select("centre", "node", "n").distinct().join(size, "centre")
+    spokes = spokes.filter(100 * F.least("n", "cn") >= threshold * F.greatest("n", "cn")).select("centre", "node")
     star = cut(spokes.select(*_pairs("node", "centre")).distinct())
     links, counted, cuts = verified(star, docs, stats, width, threshold, id_col, text_col)
     links = cut(links)
