@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tracelens.llm.chunks import chunked
 from tracelens.llm.common import components, cut, deal, gather, join_groups, mix, partitions, scatter, ship
 
-KEY = np.dtype([("key", "<u8"), ("node", "<u8")])
+KEY = np.dtype([("key", "<u8"), ("node", "<u8"), ("n", "<u4")])
 #: Fragments by which pairs are counted, and by which their overlap is bounded.
 COUNTED, BOUND = 16, 64
 SPREAD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
@@ -129,7 +129,7 @@ def hot_shingles(named: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def met(docs: DataFrame, width: int, threshold: int, hot: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(part, blob) of the keys under which two sets or more meet."""
+    """Rows (key, node, n) of the keys under which sets meet that could be linked by their sizes."""
     parts = partitions(docs.sparkSession)
     hot = docs.sparkSession.sparkContext.broadcast(hot)
 
@@ -147,7 +147,7 @@ def met(docs: DataFrame, width: int, threshold: int, hot: tuple[np.ndarray, np.n
                 if len(s):
                     k = keys(s, threshold, *hot.value)
                     r = np.empty(len(k), KEY)
-                    r["key"], r["node"] = k, np.int64(node_of(s)).view(np.uint64)
+                    r["key"], r["node"], r["n"] = k, np.int64(node_of(s)).view(np.uint64), len(s)
                     held.append(r)
                     size += len(r)
                 if size > 2_000_000:
@@ -164,12 +164,16 @@ def met(docs: DataFrame, width: int, threshold: int, hot: tuple[np.ndarray, np.n
         if blobs:
             r = np.unique(gather(blobs, KEY))
             blobs.clear()
-            same = r["key"][1:] == r["key"][:-1]
-            r = r[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-            yield pa.RecordBatch.from_arrays([pa.array(r["key"].view(np.int64), pa.int64()), pa.array(r["node"].view(np.int64), pa.int64())], ["key", "node"])
+            # In order of size, a set that could be linked with any under its key could be with the one before or after it.
+            r = r[np.lexsort((r["n"], r["key"]))]
+            n = r["n"].astype(np.int64)
+            same = (r["key"][1:] == r["key"][:-1]) & (100 * n[:-1] >= threshold * n[1:])
+            r = r[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(r) else r
+            key, node = (pa.array(np.ascontiguousarray(r[c]).view(np.int64), pa.int64()) for c in ("key", "node"))
+            yield pa.RecordBatch.from_arrays([key, node, pa.array(r["n"].astype(np.int64), pa.int64())], ["key", "node", "n"])
 
     sent = _sets(docs, id_col, text_col).select("text").mapInArrow(send, "part int, blob binary")
-    return deal(sent, parts).mapInArrow(meet, "key long, node long")
+    return deal(sent, parts).mapInArrow(meet, "key long, node long, n long")
 
 
 def _allowed(a: np.ndarray, b: np.ndarray, threshold: int) -> np.ndarray:
@@ -333,7 +337,7 @@ def join(docs: DataFrame, width: int = 5, threshold: int = 80, id_col: str = "do
     weight = cut(meets.join(sizes, "key").groupBy("node").agg(F.sum("g").alias("w")))
     weighed = meets.join(weight, "node")
     centre = weighed.groupBy("key").agg(F.max(F.struct("w", "node")).alias("c")).select("key", F.col("c.node").alias("centre"))
-    placed = cut(meets.join(centre, "key").join(stats.select("node", "n"), "node"))
+    placed = cut(meets.join(centre, "key"))
     size = stats.select(F.col("node").alias("centre"), F.col("n").alias("cn"))
     spokes = placed.filter("node <> centre").select("centre", "node", "n").distinct().join(size, "centre")
     spokes = spokes.filter(100 * F.least("n", "cn") >= threshold * F.greatest("n", "cn")).select("centre", "node")
