@@ -228,8 +228,8 @@ def _under_keys(rows: DataFrame, threshold: int, parts: int) -> DataFrame:
     return rows.withColumn("h", F.xxhash64("key")).repartition(parts, "h").sortWithinPartitions("h", "key").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, stats: DataFrame, width: int, threshold: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The pairs (a, b) that are linked: overlaps by fragment, summed per pair. Also the pairs that were counted, and the cut sets."""
+def verified(pairs: DataFrame, docs: DataFrame, stats: DataFrame, width: int, threshold: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) that are linked: overlaps by fragment, summed per pair. Also all pairs that were counted, with their differences e."""
     pairs = cut(_bounded(pairs, stats, threshold))
     used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     first = cut(stats.join(used, "node", "left_semi").select("node", F.col("first").alias("__id")))
@@ -256,30 +256,26 @@ def verified(pairs: DataFrame, docs: DataFrame, stats: DataFrame, width: int, th
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [len(np.intersect1d(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), assume_unique=True)) for x, y in zip(batch.column("sa"), batch.column("sb"))]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(n, pa.int64())], ["a", "b", "part"])
-
-    sums = both.select("a", "b", "sa", "sb").mapInArrow(overlap, "a long, b long, part long").groupBy("a", "b").agg(F.sum("part").alias("inter"))
+            n, e = [], []
+            for x, y in zip(batch.column("sa"), batch.column("sb")):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                odd = np.setxor1d(x, y, assume_unique=True)
+                n.append((len(x) + len(y) - len(odd)) // 2)
+                e.append(odd.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(n, pa.int64()), pa.array(e, pa.binary())], ["a", "b", "part", "e"])
+
+    sums = both.select("a", "b", "sa", "sb").mapInArrow(overlap, "a long, b long, part long, e binary")
+    sums = cut(sums.groupBy("a", "b").agg(F.sum("part").alias("inter"), F.collect_list("e").alias("e")))
+    counted = sums
     size = stats.select("node", "n")
     sums = sums.join(size.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
     linked = sums.filter(100 * F.col("inter") >= threshold * (F.col("na") + F.col("nb") - F.col("inter")))
-    return linked.select("a", "b", "inter"), pairs, cuts
-
+    return linked.select("a", "b", "inter"), counted
 
-def _around(members: DataFrame, cuts: DataFrame, stats: DataFrame, threshold: int, parts: int) -> DataFrame:
-    """Links (a, b, inter) between components among the members (centre, node, root) of each centre."""
-    own = cuts.select(F.col("node").alias("__n"), F.col("fragment"), F.col("some").alias("sx"))
-    base = cuts.select(F.col("node").alias("__c"), F.col("fragment").alias("__f"), F.col("some").alias("sc"))
-    rows = members.join(own, F.col("node") == F.col("__n")).join(base, (F.col("centre") == F.col("__c")) & (F.col("fragment") == F.col("__f")))
-
-    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            e = [np.setxor1d(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), assume_unique=True).tobytes() for x, y in zip(batch.column("sx"), batch.column("sc"))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("centre", "node", "root")], pa.array(e, pa.binary())], ["centre", "node", "root", "e"])
 
-    rows = rows.select("centre", "node", "root", "sx", "sc").mapInArrow(differences, "centre long, node long, root long, e binary")
-    rows = rows.groupBy("centre", "node", "root").agg(F.collect_list("e").alias("e"))
-    rows = rows.join(stats.select("node", "n"), "node").select("centre", "node", "root", "n", "e")
+def _around(members: DataFrame, stats: DataFrame, threshold: int, parts: int) -> DataFrame:
+    """Links (a, b, inter) between components among the members (centre, node, root, e) of each centre; e: what differs from it."""
+    rows = members.join(stats.select("node", "n"), "node").select("centre", "node", "root", "n", "e")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(held: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
@@ -342,23 +338,23 @@ def join(docs: DataFrame, width: int = 5, threshold: int = 80, id_col: str = "do
     spokes = placed.filter("node <> centre").select("centre", "node", "n").distinct().join(size, "centre")
     spokes = spokes.filter(100 * F.least("n", "cn") >= threshold * F.greatest("n", "cn")).select("centre", "node")
     star = cut(spokes.select(*_pairs("node", "centre")).distinct())
-    links, counted, cuts = verified(star, docs, stats, width, threshold, id_col, text_col)
+    links, counted = verified(star, docs, stats, width, threshold, id_col, text_col)
     links = cut(links)
     roots = cut(components(links.select("a", "b")))
-    near = spokes.join(counted, (F.least("node", "centre") == F.col("a")) & (F.greatest("node", "centre") == F.col("b"))).select("centre", "node")
+    near = spokes.join(counted, (F.least("node", "centre") == F.col("a")) & (F.greatest("node", "centre") == F.col("b"))).select("centre", "node", "e")
     near = cut(near)
     # Around a centre: the sets that were counted against it, and itself.
-    members = near.unionByName(near.select("centre", F.col("centre").alias("node")).distinct()).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = near.unionByName(near.select("centre", F.col("centre").alias("node")).distinct().withColumn("e", F.array().cast("array<binary>"))).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = members.groupBy("centre").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("centre")
-    around = _around(members.join(several, "centre", "left_semi"), cuts, stats, threshold, partitions(docs.sparkSession))
+    around = _around(members.join(several, "centre", "left_semi"), stats, threshold, partitions(docs.sparkSession))
     # Under a key: the sets that can't be linked with its centre, against those of other components.
     labelled = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    flagged = labelled.join(near.withColumn("near", F.lit(True)), ["centre", "node"], "left").withColumn("far", F.col("near").isNull() & (F.col("node") != F.col("centre")))
+    flagged = labelled.join(near.select("centre", "node").withColumn("near", F.lit(True)), ["centre", "node"], "left").withColumn("far", F.col("near").isNull() & (F.col("node") != F.col("centre")))
     split = flagged.groupBy("key").agg(F.max("far").alias("any"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("any AND lo <> hi").select("key")
     rows = flagged.join(split, "key", "left_semi").join(stats.select("node", "hist"), "node").select("key", "node", "root", "far", "hist")
     across = _under_keys(rows, threshold, partitions(docs.sparkSession)).distinct()
     across = cut(across.join(star, ["a", "b"], "left_anti"))
-    further, _, _ = verified(across, docs, stats, width, threshold, id_col, text_col)
+    further, _ = verified(across, docs, stats, width, threshold, id_col, text_col)
     links = cut(links.unionByName(around).unionByName(further))
     # Rows of one set, and rows of one doc_id, belong together too: the graph is over sets, then over ids.
     roots = components(links.select("a", "b"))
