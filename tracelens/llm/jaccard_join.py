@@ -103,7 +103,7 @@ def nodes(docs: DataFrame, width: int, threshold: int, id_col: str = "doc_id", t
             for s in sets(batch.column("text"), width):
                 n.append(len(s))
                 node.append(node_of(s) if len(s) else None)
-                hist.append(np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BOUND), 255).astype(np.uint8).tobytes() if len(s) else None)
+                hist.append(np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BOUND), 65535).astype("<u2").tobytes() if len(s) else None)
                 held.append(s)
                 size += len(s)
                 if size > 4_000_000:
@@ -177,9 +177,9 @@ def met(docs: DataFrame, width: int, threshold: int, hot: tuple[np.ndarray, np.n
 
 
 def _allowed(a: np.ndarray, b: np.ndarray, threshold: int) -> np.ndarray:
-    """Whether sizes by fragment (rows of bytes) allow a link; 255 stands for any size from there on."""
+    """Whether sizes by fragment allow a link; 65535 stands for any size from there on."""
     most, both = np.minimum(a, b).sum(1, dtype=np.int64), a.sum(1, dtype=np.int64) + b.sum(1, dtype=np.int64)
-    return (100 * most >= threshold * (both - most)) | (a == 255).any(1) | (b == 255).any(1)
+    return (100 * most >= threshold * (both - most)) | (a == 65535).any(1) | (b == 65535).any(1)
 
 
 def _bounded(pairs: DataFrame, stats: DataFrame, threshold: int) -> DataFrame:
@@ -191,7 +191,7 @@ def _bounded(pairs: DataFrame, stats: DataFrame, threshold: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BOUND) for c in ("ha", "hb"))
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, BOUND) for c in ("ha", "hb"))
                 yield batch.select(["a", "b"]).filter(pa.array(_allowed(a, b, threshold)))
 
     return rows.mapInArrow(run, "a long, b long")
@@ -203,7 +203,7 @@ def _under_keys(rows: DataFrame, threshold: int, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(held: list[tuple]) -> pa.RecordBatch:
             node, root, far = np.array([h[1] for h in held]), np.array([h[2] for h in held]), np.array([h[3] for h in held])
-            hist = np.frombuffer(b"".join(h[4] for h in held), np.uint8).reshape(-1, BOUND)
+            hist = np.frombuffer(b"".join(h[4] for h in held), "<u2").reshape(-1, BOUND)
             out: tuple[list, list] = ([], [])
             for i in np.flatnonzero(far):
                 other = np.flatnonzero(root != root[i])
