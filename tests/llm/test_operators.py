@@ -143,6 +143,22 @@ def test_rules_counts_match_brute_force(spark, sf_dir):
         assert got[i]["base_failed"] == (len(w) < 50 or 100 * len(hit) > 50 * len(w)) and not (got[i]["kept"] and got[i]["base_failed"])
 
 
+def test_rules_reject_texts_without_their_languages_words(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    base = by_id(rules.judge(docs))
+    long = {i for i, r in base.items() if not r["base_failed"] and r["n_words"] >= 100}
+    clean = {r["doc_id"]: r for r in docs.join(labels.filter("quality = 1"), "doc_id").collect() if r["doc_id"] in long}
+    assert all(base[i]["kept"] for i in clean) and not any(base[i]["kept"] for i in (233, 442, 982))
+    # 20 texts of every language put under each other language, and one without common words under all four, among the whole table.
+    trials = [(lang, r["text"]) for was in rules.COMMON_WORDS for r in [x for x in clean.values() if x["lang"] == was][:20] for lang in rules.COMMON_WORDS if lang != was]
+    bare = " ".join(f"lomo{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400))
+    trials += [(lang, bare) for lang in rules.COMMON_WORDS]
+    added = spark.createDataFrame([(10**6 + i, t, lang) for i, (lang, t) in enumerate(trials)], "doc_id long, text string, lang string")
+    got = by_id(rules.judge(docs.select("doc_id", "text", "lang").unionByName(added)))
+    kept = [i for i in range(len(trials)) if got[10**6 + i]["kept"]]
+    assert len(kept) <= 0.05 * len(trials) and not any(got[10**6 + i]["kept"] for i in range(len(trials) - 4, len(trials)))
+
+
 def test_classifiers_on_labels(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")

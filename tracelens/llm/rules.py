@@ -5,6 +5,10 @@ Jensen-Shannon divergence (base 2). The references are sums over all documents o
 (grouped aggregation). A language with fewer than min_docs documents, and null, use the sums over all languages.
 Short texts are guarded: below min_chars the character test passes, below min_words the word test.
 
+A text without any common word is only as far from the reference as the reference's common-word share allows (0.13 to 0.14
+at a share of a quarter). The word test's bound is therefore reach of that distance, plus what n words drawn from the
+reference itself diverge by on average (cells - 1) / (8 ln 2 n), and never above max_common.
+
 Defined results. Null and empty texts have zero counts and fail the base rules. Repeated rows are judged one by one. An
 empty table gives an empty result. Extra columns are ignored. Texts of any length are read whole; all steps are linear in
 the words but for one primitive sort.
@@ -12,6 +16,8 @@ the words but for one primitive sort.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,7 +117,7 @@ def divergence(p: Column, q: Column) -> Column:
     return let(F.struct(total(p).alias("p"), total(q).alias("q")), with_totals)
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_chars: int = 200, min_words: int = 100, max_classes: float = 0.05, max_common: float = 0.2, min_docs: int = 20) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_chars: int = 200, min_words: int = 100, max_classes: float = 0.05, max_common: float = 0.2, min_docs: int = 20, reach: float = 0.25) -> DataFrame:
     """doc_id, n_words, the base counts, base_failed, kept, and the two divergences."""
     rows = cut(counts(docs, id_col, text_col, lang_col))
     k, widest = len(CLASSES) + 1, 1 + max(len(x) for x in COMMON_WORDS.values())
@@ -124,6 +130,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     own = by_lang.filter((F.col("n") >= min_docs) & (F.col("n") * 1000 > total) & F.col("lang").isNotNull())
     words = F.filter(F.array(*[F.col(f"w{i}").cast("double") for i in range(widest)]), lambda x: x.isNotNull())
     own = own.select(F.col("lang").alias("__lang"), both(k).alias("ref_classes"), words.alias("ref_common"))
+    none_common = F.transform("ref_common", lambda x, i: F.when(i == F.size("ref_common") - 1, F.lit(1.0)).otherwise(F.lit(0.0)))
+    own = own.withColumn("farthest", divergence(none_common, F.col("ref_common")))
     whole = by_lang.agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(k)]).select(both(k).alias("all_classes"))
     rows = rows.join(F.broadcast(own), F.col("lang") == F.col("__lang"), "left").join(F.broadcast(whole))
     as_double = lambda c: F.transform(c, lambda x: x.cast("double"))
@@ -131,5 +139,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         "class_divergence": divergence(as_double("classes"), F.coalesce("ref_classes", F.transform("all_classes", lambda x: F.coalesce(x, F.lit(0.0))))),
         "word_divergence": F.coalesce(divergence(as_double("common"), F.coalesce("ref_common", F.array().cast("array<double>"))), F.lit(0.0)),
     })
-    fits = ((F.col("word_chars") < min_chars) | (F.col("class_divergence") <= max_classes)) & ((F.col("n_words") < min_words) | (F.col("word_divergence") <= max_common))
+    by_chance = (F.size("common") - 1) / (8 * math.log(2) * F.greatest(F.col("n_words"), F.lit(1)))
+    bound = F.least(F.lit(max_common), reach * F.coalesce("farthest", F.lit(0.0)) + by_chance)
+    fits = ((F.col("word_chars") < min_chars) | (F.col("class_divergence") <= max_classes)) & ((F.col("n_words") < min_words) | (F.col("word_divergence") <= bound))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & fits).alias("kept"), "class_divergence", "word_divergence")
