@@ -55,3 +55,25 @@ def test_queries_match_their_oracles(spark, sf_dir):
         ours = sorted((tuple(norm(x) for x in r) for r in rows.select(*names).collect()), key=repr)
         theirs = sorted((tuple(norm(x) for x in r) for r in con.sql(f"SELECT {','.join(names)} FROM ({oracle[name]})").fetchall()), key=repr)
         assert ours == theirs, name
+
+
+def test_query_states_grow_with_the_users_and_fill_every_cell(spark):
+    d = "/root/testdata/sf0.01"
+    events = spark.read.parquet(f"{d}/events.parquet").toPandas()
+    cells, split, fetches = {}, {}, {}
+    for (provider, _), g in events.sort_values("event_id").groupby(["event_type", "user_id"]):
+        pre, page, fetched = g.event_id % 11 == 0, g.event_id % 5 == 0, g.event_id % 4 == 0
+        cell = "SMART" if (pre & fetched).any() else "MISSED" if pre.any() else "BLIND" if fetched.any() else "NOOP"
+        n, correct = cells.get((provider, cell), (0, 0))
+        cells[provider, cell] = n + 1, correct + int(page.any())
+        was = split.get(provider, (0, 0, 0, 0))
+        split[provider] = tuple(a + int(b) for a, b in zip(was, (pre.any(), not pre.any() and page.any(), (pre | page).any(), len(g))))
+        for policy, k in (("fetch_rank_1", 1), ("fetch_top_3", 3), ("fetch_top_5", 5)):
+            n, captured, opened = fetches.get((provider, policy), (0, 0, 0))
+            fetches[provider, policy] = n + 1, captured + int(pre.any() or page[:k].any()), opened + min(k, len(g))
+    queries = catalog.queries()
+    got = {(r["provider"], r["cell"]): (r["queries"], r["correct"]) for r in queries["decision_partition"](spark, d).collect()}
+    assert {k: v for k, v in got.items() if v[0]} == cells and {c for _, c in cells} == {"SMART", "MISSED", "BLIND", "NOOP"}
+    assert {r["provider"]: (r["pre_support"], r["post_discovered"], r["trajectory"], r["urls"]) for r in queries["support_split"](spark, d).collect()} == split
+    got = {(r["provider"], r["policy"]): (r["queries"], r["captured"], r["fetches"]) for r in queries["policy_ablation"](spark, d).collect()}
+    assert {k: got[k] for k in fetches} == fetches

@@ -21,7 +21,7 @@ FLAGSHIP = "provider_summary"
 RUNS = "SELECT event_type AS provider, user_id AS query_id, event_id AS line_num, value AS tokens, value > 60 AS correct, event_id % 7 = 0 AS failed FROM {events}"
 LATEST = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY provider, query_id ORDER BY line_num DESC) AS rn FROM ({RUNS}) r) x WHERE rn = 1"
 #: A URL's state for the fetch policies: rank, support before and after the fetch, contradiction, fetched, page tokens.
-URLS = "SELECT user_id % 50 AS query_id, event_type AS provider, row_number() OVER (PARTITION BY event_type, user_id % 50 ORDER BY event_id) AS rn, event_id % 11 = 0 AS pre, event_id % 5 = 0 AS page, event_id % 13 = 0 AS contra, event_id % 4 = 0 AS fetched, CAST(floor(value) AS BIGINT) AS tokens FROM {events}"
+URLS = "SELECT user_id AS query_id, event_type AS provider, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS rn, event_id % 11 = 0 AS pre, event_id % 5 = 0 AS page, event_id % 13 = 0 AS contra, event_id % 4 = 0 AS fetched, CAST(floor(value) AS BIGINT) AS tokens FROM {events}"
 STATES = f"SELECT provider, query_id, bool_or(pre) AS any_pre, bool_or(page) AS any_page, bool_or(fetched) AS any_fetched, bool_or(pre AND fetched) AS pre_fetched, count(*) AS n_urls FROM ({URLS}) u GROUP BY provider, query_id"
 
 SQL = {
