@@ -77,3 +77,20 @@ def test_query_states_grow_with_the_users_and_fill_every_cell(spark):
     assert {r["provider"]: (r["pre_support"], r["post_discovered"], r["trajectory"], r["urls"]) for r in queries["support_split"](spark, d).collect()} == split
     got = {(r["provider"], r["policy"]): (r["queries"], r["captured"], r["fetches"]) for r in queries["policy_ablation"](spark, d).collect()}
     assert {k: got[k] for k in fetches} == fetches
+
+
+def test_bootstrap_resamples_with_replacement(spark, sf_dir):
+    import hashlib
+
+    import numpy as np
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").toPandas()
+    d = np.array([(g > 60).sum() - (g > 40).sum() for _, g in events.groupby("user_id")["value"]])
+    pick = lambda rep, i: int(hashlib.md5(f"20260628:{rep}:{i}".encode()).hexdigest()[:8], 16) % len(d)
+    means = [d[[pick(rep, i) for i in range(len(d))]].mean() for rep in range(10_000)]
+    got = catalog.queries()["paired_bootstrap"](spark, sf_dir).first()
+    assert got["reps"] == 10_000 and len(set(means)) > 40
+    assert (got["low"], got["high"]) == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])), abs=1e-6)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{sf_dir}/events.parquet'")
+    assert con.sql(f"SELECT low, high, reps FROM ({catalog.oracle_sql()['paired_bootstrap']})").fetchall()[0] == pytest.approx((got["low"], got["high"], got["reps"]))

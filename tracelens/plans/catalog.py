@@ -10,13 +10,15 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelens.functions import text as T
 from tracelens.operators import relational as R
 
 FLAGSHIP = "provider_summary"
+#: Of the paired bootstrap, as in the reference.
+REPLICATES, SEED = 10_000, 20260628
 
 RUNS = "SELECT event_type AS provider, user_id AS query_id, event_id AS line_num, value AS tokens, value > 60 AS correct, event_id % 7 = 0 AS failed FROM {events}"
 LATEST = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY provider, query_id ORDER BY line_num DESC) AS rn FROM ({RUNS}) r) x WHERE rn = 1"
@@ -88,11 +90,6 @@ SQL = {
     "fill_counts": "SELECT count(*) AS n, count_if(text IS NOT NULL AND text <> '') AS with_text, count_if(coalesce(lang, '') <> '') AS with_lang, count(DISTINCT source) AS sources FROM {documents}",
     "balanced_sample": """
         SELECT quality, doc_id FROM (SELECT quality, doc_id, row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(doc_id AS STRING)), doc_id) AS rn FROM {labels}) x WHERE rn <= 20""",
-    "paired_bootstrap": """
-        WITH q AS (SELECT row_number() OVER (ORDER BY user_id) - 1 AS pos, count_if(value > 60) AS a, count_if(value > 40) AS b, count(*) OVER () AS n FROM {events} GROUP BY user_id),
-        r AS (SELECT rep, i FROM (SELECT DISTINCT event_id AS rep FROM {events} WHERE event_id BETWEEN 1 AND 40) x CROSS JOIN (SELECT pos AS i FROM q) y),
-        m AS (SELECT rep, avg(q.a - q.b) AS diff FROM (SELECT rep, (rep * 7919 + i * 104729 + rep * i * 31) % (SELECT max(n) FROM q) AS pick FROM r) d JOIN q ON q.pos = d.pick GROUP BY rep)
-        SELECT round(percentile_cont(0.025) WITHIN GROUP (ORDER BY diff), 6) AS low, round(percentile_cont(0.975) WITHIN GROUP (ORDER BY diff), 6) AS high, count(*) AS reps FROM m""",
     "set_union_except": "SELECT 'both' AS part, count(*) AS n FROM (SELECT doc_id FROM {documents} INTERSECT SELECT doc_id FROM {labels}) x UNION ALL SELECT 'unlabelled', count(*) FROM (SELECT doc_id FROM {documents} EXCEPT SELECT doc_id FROM {labels}) y",
     "page_search": "SELECT page_id, url FROM {pages} WHERE lower(url) LIKE '%/a%' OR lower(html) LIKE '%license%' ORDER BY page_id LIMIT 50 OFFSET 5",
     "containment_join": "SELECT b.item_id, count(d.doc_id) AS docs FROM {benchmark} b LEFT JOIN {documents} d ON contains(lower(d.text), lower(b.text)) GROUP BY b.item_id",
@@ -148,6 +145,26 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.apportion(docs.groupBy(F.col("lang").alias("cell")).agg(F.count("*").alias("n")), 100)
 
 
+def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """REPLICATES resamples of the users with replacement, the same for both metrics; the index is md5(seed:rep:i) % n."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    users = events.groupBy("user_id").agg((F.count_if(F.col("value") > 60) - F.count_if(F.col("value") > 40)).alias("d"))
+    n = users.count()
+    users = users.select("d", (F.row_number().over(Window.orderBy("user_id")) - 1).cast("long").alias("pos"))
+    draws = spark.range(REPLICATES).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))).alias("i"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(SEED)), F.col("rep").cast("string"), F.col("i").cast("string")).cast("binary"))
+    draws = draws.select("rep", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % max(n, 1)).alias("pos"))
+    means = draws.join(users, "pos").groupBy("rep").agg(F.avg("d").alias("diff"))
+    at = lambda p: F.round(F.percentile("diff", F.lit(p)), 6)
+    return means.agg(at(0.025).alias("low"), at(0.975).alias("high"), F.count("*").alias("reps"))
+
+
+BOOTSTRAP_SQL = f"""
+WITH u AS (SELECT row_number() OVER (ORDER BY user_id) - 1 AS pos, count_if(value > 60) - count_if(value > 40) AS d, count(*) OVER () AS n FROM events GROUP BY user_id),
+m AS (SELECT r.rep, avg(u.d) AS diff FROM (SELECT r.range AS rep, ('0x' || substr(md5('{SEED}:' || r.range || ':' || q.pos), 1, 8))::BIGINT % q.n AS pick FROM range({REPLICATES}) r CROSS JOIN u q) r JOIN u ON u.pos = r.pick GROUP BY r.rep)
+SELECT round(quantile_cont(diff, 0.025), 6) AS low, round(quantile_cont(diff, 0.975), 6) AS high, count(*) AS reps FROM m"""
+
+
 LATEST_SQL = "SELECT event_type, user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id DESC) AS rn FROM events) x WHERE rn = 1"
 STRATA_SQL = """
 WITH c AS (SELECT lang AS cell, count(*) AS n FROM documents GROUP BY lang), x AS (SELECT *, n * 100.0 / sum(n) OVER () AS x FROM c),
@@ -157,9 +174,9 @@ SELECT cell, n, CAST(least(n, floor(x) + CASE WHEN rn <= rest THEN 1 ELSE 0 END)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: _run(sql) for name, sql in SQL.items()}
-    return found | {"url_parts": url_parts, "answer_grades": answer_grades, "page_families": page_families, "latest_runs": latest_runs, "stratified_sample": stratified_sample}
+    return found | {"url_parts": url_parts, "answer_grades": answer_grades, "page_families": page_families, "latest_runs": latest_runs, "stratified_sample": stratified_sample, "paired_bootstrap": paired_bootstrap}
 
 
 def oracle_sql() -> dict[str, str]:
     found = {name: re.sub(r"\{(\w+)\}", r"\1", sql) for name, sql in SQL.items()}
-    return found | {"url_parts": URL_SQL, "latest_runs": LATEST_SQL, "stratified_sample": STRATA_SQL}
+    return found | {"url_parts": URL_SQL, "latest_runs": LATEST_SQL, "stratified_sample": STRATA_SQL, "paired_bootstrap": BOOTSTRAP_SQL}
