@@ -119,6 +119,16 @@ def test_mixture_meets_targets(spark, sf_dir):
     assert set(by_id(mixing.mix(documents(spark)).documents)) == set(range(len(TEXTS)))
 
 
+@pytest.mark.parametrize("sizes", [[200_000] * 20 + [5], [200_000] * 20 + [20], [500_000] + [5 + k * 195 // 299 for k in range(300)]])
+def test_mixing_serves_sources_of_few_words(spark, sizes):
+    rows = [(i * 1000 + k, "w " * min(5000, n - 5000 * k), f"s{i:03d}") for i, n in enumerate(sizes) for k in range((n + 4999) // 5000)]
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = found.documents.toPandas().groupby("source").agg({"taken": "sum", "target": "first", "source_size": "first"})
+    assert len(got) == len(sizes) and (got["taken"] == np.floor(got["target"])).all() and (got["taken"] > 0).all()
+    slots = found.schedule.toPandas()
+    assert slots["slot"].is_unique and not slots.duplicated(["srank", "place"]).any()
+
+
 def test_chats_read_back(spark):
     turns = [(1, 0, "user", "</s>[INST] ok [/INST]"), (1, 1, "user", None), (1, 2, "assistant", "<\\s> [\\\\INST] <s>"), (2, 0, None, "x<"), (None, 0, "assistant", "y")]
     rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS formatted")

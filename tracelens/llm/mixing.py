@@ -3,7 +3,8 @@
 Sources by code point (null last) have cyclic weights and share epochs x all sizes; no target passes limit x its source's
 size, the excess is reshared by weight until none is above. Slot n of the schedule is the point frac(n x golden ratio),
 mapped through the cumulative target shares to a source; a source's slots are ranked, and rank r stands for one block of
-equal token count in the source's shuffled order (hash of doc_id and seed), epoch after epoch. The last block of a source
+equal token count in the source's shuffled order (hash of doc_id and seed), epoch after epoch. Slots that a source still
+lacks for its target when the sequence ends, as one of few words does, follow it by source. The last block of a source
 is cut at its target, so what is taken meets the target to the word, and no document is taken more than limit times.
 
 Defined results. Null and empty texts have size 0 and take nothing. Sources whose sizes are all 0 have target 0. Ties in
@@ -78,6 +79,7 @@ def schedule_of(sources: DataFrame, tokens: float, least: float, n_sources: int,
     spark = sources.sparkSession
     needed = math.ceil(tokens / block)
     # Points beyond the needed ones let sources that the sequence serves late reach their targets; others' are dropped.
+    # A source of few words is a block in every epoch, more than its share of the points: what it lacks is appended below.
     n = needed + min(needed, math.ceil(4 * tokens / max(least, 1.0))) + 4 * n_sources if tokens else 0
     share = F.col("target") / F.lit(tokens or 1.0)
     w = Window.orderBy("srank").rowsBetween(Window.unboundedPreceding, -1)
@@ -92,8 +94,16 @@ def schedule_of(sources: DataFrame, tokens: float, least: float, n_sources: int,
     lookup = F.broadcast(spans) if n_sources <= 100_000 else spans
     slots = slots.join(lookup, (F.col("scell") == F.col("cell")) & (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
     slots = slots.select((F.col("slot") * F.lit((1 << 62) // max(n, 1))).alias("at"), "slot", "srank", "source_size", "goal", F.lit(1).cast("long").alias("one"))
-    slots = running_total(slots, ["srank"], ["at"], "one", "place", 1 + n // 4_000)
     blocks = F.ceil(F.col("source_size") / block)
+    need = F.expr("goal div source_size") * blocks + F.ceil((F.col("goal") % F.col("source_size")) / block)
+    had = slots.groupBy("srank").agg(F.count("*").alias("had"))
+    late = sources.filter("target > 0").select("srank", "source_size", F.floor("target").alias("goal")).join(had, "srank", "left")
+    late = late.withColumns({"had": F.coalesce("had", F.lit(0).cast("long")), "need": need.cast("long")}).filter("need > had")
+    late = late.withColumn("after", F.lit(n) + F.coalesce(F.sum(F.col("need") - F.col("had")).over(w), F.lit(0)) - F.col("had"))
+    late = late.withColumn("place", F.explode(F.sequence(F.col("had"), F.col("need") - 1))).withColumn("slot", F.col("after") + F.col("place"))
+    slots = running_total(slots, ["srank"], ["at"], "one", "place", 1 + n // 4_000)
+    columns = ["slot", "srank", "source_size", "goal", "place"]
+    slots = slots.select(*columns).unionByName(late.select(*columns))
     slots = slots.withColumns({"block": F.col("place") % blocks, "epoch": F.floor(F.col("place") / blocks)})
     at = F.col("epoch") * F.col("source_size") + F.col("block") * block
     return slots.filter(at < F.col("goal")).select("slot", "srank", "place", "block", "epoch", F.least(F.lit(block), F.col("goal") - at).cast("long").alias("take"))
