@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -32,20 +34,84 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may do without it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def remove(spark: SparkSession, folder: str, at_exit: bool = False) -> None:
+    """Deletes a folder in any store that Spark writes to; at_exit: when the driver ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.deleteOnExit(path) if at_exit else store.delete(path, True)
+
+
+class Work:
+    """Tables in one folder below the shared one. What cut() writes inside the with block goes when the block ends."""
+
+    current: ContextVar = ContextVar("work", default=None)
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.made = spark, f"{shared_dir(spark)}/work-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Work:
+        self.outer = Work.current.get()
+        Work.current.set(self)
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        Work.current.set(self.outer)
+        remove(self.spark, self.folder)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Like cut(), but the table outlives the block: until the block around it, or the driver, ends."""
+        Work.current.set(self.outer)
+        try:
+            return cut(df)
+        finally:
+            Work.current.set(self)
+
+
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting inside the with block."""
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Computes df once, into the shared folder: later plans read it there, also after a lost executor."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    """Computes df once, into a table in the shared folder: later plans read it there, also after a lost executor."""
+    spark, work = df.sparkSession, Work.current.get()
+    if work:
+        work.made += 1
+        path = f"{work.folder}/{work.made}"
+    else:
+        path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+        remove(spark, path, at_exit=True)
+    # Shuffle files of a query that ends in a table are of no further use, also after a lost executor: they go with it.
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each prolonged until it is none of df's columns in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def partitions(spark: SparkSession) -> int:
@@ -58,6 +124,18 @@ def n_words(text: Column) -> Column:
     return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, f"[{SPACE_CLASS}]+"))).cast("long")
 
 
+#: So many ids go to every executor: a few megabytes. More are joined by a shuffle; the result is the same.
+FEW_IDS = 200_000
+
+
+def of_ids(rows: DataFrame, ids: DataFrame, key: str, but: bool = False) -> DataFrame:
+    """The rows whose key is among ids (a computed table of one column, distinct); with but, the others."""
+    (name,) = unused(rows, "wanted_id")
+    ids = ids.select(F.col(ids.columns[0]).alias(name))
+    ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+    return rows.join(ids, F.col(key) == F.col(name), "left_anti" if but else "left_semi")
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
     """rows joined (inner, null-safe) with groups, which has one row per key and its row count in column size.
 
@@ -65,7 +143,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     others are joined by a shuffle whose largest key holds 1 / HOT of the rows.
     """
     hot, cold = groups.filter(F.col(size) * HOT > total), groups.filter(F.col(size) * HOT <= total)
-    mine = [f"__{k}" for k in keys]
+    mine = unused(rows, *[f"group_{k}" for k in keys])
 
     def on(other: DataFrame) -> tuple[DataFrame, Column]:
         renamed = other.withColumnsRenamed(dict(zip(keys, mine)))

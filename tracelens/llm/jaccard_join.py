@@ -1,28 +1,37 @@
 """N-gram Jaccard join by vertical partitioning.
 
 A document is the set of its distinct shingles of `width` words, as 64-bit hashes; documents with one set are one class from
-the start. The global n-gram order is that of the hashes, but for shingles of a thousandth of all documents or more, which come
-last, rarest first. Two linked sets share one of the first n - ceil(n * threshold / 100) + 1 shingles of each: the keys.
-
-Under a key the set that meets the most others is the centre and is paired with the rest, one pair each. The pairs are
-verified by vertical partitioning: the hash order is cut into fragments of equal width, the overlaps of the two sets are counted
-fragment by fragment and summed per pair.
-Pairs whose counts by fragment allow no link are dropped before any set is moved. Verified links give components. Sets that meet
-around one centre and lie in several components are compared by what they differ in from the centre, which is little: the
-difference of two sets is that of their differences, counted over an inverted list of the elements, and pairs are not written
-out; only the links found are, one for each set and component. A set whose counts by fragment rule out its centre is paired
-with those sets of other components under that key that its counts allow. So every pair that could join two components is verified or ruled out.
+the start. The global n-gram order is that of the hashes. It is cut into fragments, more than two linked sets can differ in
+shingles: so these agree in a whole fragment, and that fragment's digest is a key under which they meet. The number of fragments
+goes by classes of set size; a set also uses the next class's fragments if a partner may lie there. A set with so many empty
+fragments that the count of the others does not suffice also has its first shingles as keys, for partners of the same kind.
+Under a key the set that meets the most others, over all its keys, is the centre (in a group of copies the one that the others
+are closest to), and the others are its spokes. Keys of a thousandth of all documents or more are hot: their members are dealt
+by key and set, and only counted by aggregations.
+
+Pairs are counted by the same partitioning: the hash order is cut into fragments, the overlaps of the two sets are counted
+fragment by fragment and summed per pair. Before any set is moved, pairs are dropped whose sizes by finer fragments (some three
+shingles each) allow no link; a spoke stays if they allow twice the distance of a link. Linked spokes give components.
+
+What could still join two components is compared without writing pairs. Around a centre, the difference of two sets is that of
+their differences from it, counted over an inverted list of these; under a key, sets of which one was not counted against the
+centre go by their sizes by fragment, and what these allow is verified like the spokes. In each such group the rows outside
+its largest component are the strays: they are compared with all members, in blocks of at most `block` strays by `block` members,
+so a group of any size is split over tasks. So every pair that could join two components is verified or ruled out.
 
 Defined results. Text is lower-cased for A-Z; words are [^\\x20\\x09-\\x0D]+. With fewer words than `width`, the sequence of all
 words is the one shingle. Null, empty and blank texts have the empty set and link with nothing. Repeated rows, and rows that
-share a doc_id, give a row each; their component is that of all links of the doc_id. A null doc_id gives component null. An
-empty table gives an empty result. Extra columns are ignored.
+share a doc_id, give a row each; their component is that of all links of the doc_id. A row of null doc_id links, and joins others,
+like any row, but its own component is null and it names none. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import gc
+import math
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +40,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelens.llm.chunks import chunked
-from tracelens.llm.common import components, cut, deal, gather, join_groups, mix, partitions, scatter, ship
-
-KEY = np.dtype([("key", "<u8"), ("node", "<u8"), ("n", "<u4")])
-#: Fragments by which pairs are counted, and by which their overlap is bounded.
-COUNTED, BOUND = 16, 64
+from tracelens.llm.common import Work, components, cut, deal, gather, join_groups, mix, of_ids, partitions, scatter, ship
+
+#: A key, by 48 bits (that two keys share these costs a comparison only), and a member.
+KEY = np.dtype([("high", "<u2"), ("low", "<u4"), ("node", "<u8")])
+MASK = np.uint64((1 << 48) - 1)
+#: Least ratio of neighbouring bounds of the classes of set size.
+RATIO = 1.6
+#: Fragments by which pairs are counted; the least number by which their overlap is bounded, and shingles in each beyond that.
+COUNTED, BOUND, FINE = 8, 64, 2
+#: Rows of one group of strays or members that are compared in one task, at least; beyond, a thousandth of all documents.
+BLOCK = 500
 SPREAD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
 
@@ -60,15 +75,46 @@ def sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
             yield shingles(known[some] if y - x > 1 or some[0] != none else known[:0], width)
 
 
-def keys(s: np.ndarray, threshold: int, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first shingles of a set in the global order: hash order, then the hot ones, rarest first."""
-    n = len(s)
-    count = n - -(-n * threshold // 100) + 1
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-        often = hot[at] == s
-        s = np.concatenate([s[~often][:count], s[often][np.argsort(rank[at[often]], kind="stable")]])
-    return s[:count]
+@cache
+def bounds(threshold: int) -> list[int]:
+    """Where the classes of set size begin: partners are of one class, or of two neighbouring ones."""
+    ratio, out = max(RATIO, 100 / threshold + 0.05), [1]
+    while out[-1] < 1 << 40:
+        out.append(max(out[-1] + 1, int(out[-1] * ratio)))
+    return out
+
+
+@cache
+def fragments(c: int, threshold: int) -> tuple[int, int]:
+    """How many fragments class c has, and in how many of them two linked sets can differ at most."""
+    low, high = bounds(threshold)[c], bounds(threshold)[c + 1] - 1
+    differ = 2 * high * (100 - threshold) // (100 + threshold)
+    m, least = differ + 1, max(1, low * threshold // 100)
+    for _ in range(8):  # room for fragments that are empty in a set of the least size
+        empty = m * math.exp(-least / m)
+        m = max(m, min(2 * differ + 1, differ + 1 + math.ceil(empty + 3 * math.sqrt(empty))))
+    return m, differ
+
+
+def keys(s: np.ndarray, threshold: int) -> np.ndarray:
+    """The 64-bit keys of a set: digests of its fragments in its class, and in the next one's if a partner may be there."""
+    n, edges, out = len(s), bounds(threshold), []
+    mixed, c = mix(s), bisect_right(edges, n) - 1
+    for k in (c, c + 1) if n * 100 // threshold >= edges[c + 1] else (c,):
+        m, differ = fragments(k, threshold)
+        place = (s >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        salt = np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        out.append(mix(np.add.reduceat(mixed, first) + mix(place[first] + salt)))
+        if len(first) <= differ:  # too many empty fragments: partners of this kind meet under a first shingle
+            out.append(mix(s[: n - -(-n * threshold // 100) + 1] ^ mix(np.array([salt]))))
+    return np.concatenate(out)
+
+
+def profile(s: np.ndarray) -> bytes:
+    """A set's size by fragment, a byte each (255: that or more): BOUND fragments, doubled until FINE shingles are in each."""
+    bits = max(BOUND.bit_length(), (len(s) // FINE).bit_length()) - 1
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
 def node_of(s: np.ndarray) -> int:
@@ -82,9 +128,9 @@ def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def nodes(docs: DataFrame, width: int, threshold: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, node, n of every row, with the set's size by each of BOUND fragments; node null for an empty set.
+    """doc_id, node, n of every row, with the set's size by fragment; node null for an empty set.
 
-    Between them stand rows with counts of shingles that are frequent among some thousand texts (often, not null).
+    Between them stand rows with counts of keys that are frequent among some thousand sets (often, not null).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,22 +139,24 @@ def nodes(docs: DataFrame, width: int, threshold: int, id_col: str = "doc_id", t
 
         def frequent(held: list[np.ndarray]) -> pa.RecordBatch:
             value, count = np.unique(np.concatenate(held), return_counts=True)
-            kept = count >= 3
+            kept = count >= 8
             row = [None, None, None, None, value[kept].view(np.int64), count[kept]]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
 
-        held, size = [], 0
+        held, size, known = [], 0, set()
         for batch in batches:
             node, n, hist = [], [], []
             for s in sets(batch.column("text"), width):
                 n.append(len(s))
                 node.append(node_of(s) if len(s) else None)
-                hist.append(np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BOUND), 65535).astype("<u2").tobytes() if len(s) else None)
-                held.append(s)
-                size += len(s)
-                if size > 4_000_000:
+                hist.append(profile(s) if len(s) else None)
+                if len(s) and node[-1] not in known:
+                    known.add(node[-1])
+                    held.append(keys(s, threshold) & MASK)
+                    size += len(held[-1])
+                if size > 2_000_000:
                     yield frequent(held)
-                    held, size = [], 0
+                    held, size, known = [], 0, set()
             none = [None] * len(n)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x, k) for x, k in zip((node, n, hist, none, none), kinds[1:])]], names)
         if size:
@@ -117,125 +165,178 @@ def nodes(docs: DataFrame, width: int, threshold: int, id_col: str = "doc_id", t
     return _sets(docs, id_col, text_col).mapInArrow(run, "doc_id long, node long, n long, hist binary, often array<long>, times array<long>")
 
 
-def hot_shingles(named: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles counted in a thousandth of all rows or more: at most a thousand times the mean set's size."""
+def hot_keys(named: DataFrame) -> np.ndarray:
+    """The keys counted in a thousandth of all rows or more: at most a thousand times the mean number of keys of a set."""
     least = max(32, named.filter("often IS NULL").count() // 1000)
     each = named.filter("often IS NOT NULL").select(F.explode(F.arrays_zip("often", "times")).alias("x"))
     found = each.groupBy(F.col("x.often").alias("s")).agg(F.sum("x.times").alias("t")).filter(F.col("t") >= least)
-    rows = sorted((r["t"], r["s"]) for r in found.collect())
-    value = np.array([v for _, v in rows], np.int64).view(np.uint64)
-    order = np.argsort(value)
-    return value[order], order  # sorted, each with its place in the order of counts
+    return np.sort(np.array([r["s"] for r in found.select("s").collect()], np.int64).view(np.uint64))
 
 
-def met(docs: DataFrame, width: int, threshold: int, hot: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (key, node, n) of the keys under which sets meet that could be linked by their sizes."""
+def met(docs: DataFrame, width: int, threshold: int, hot: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (key, node): the members of each key that has several, and of each hot key."""
     parts = partitions(docs.sparkSession)
     hot = docs.sparkSession.sparkContext.broadcast(hot)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
 
-        def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-            records = np.unique(np.concatenate(held))
-            part, blob = zip(*scatter(records, mix(records["key"]), parts))
+        def flush(held: list[np.ndarray], owner: list[int]) -> pa.RecordBatch:
+            key = np.concatenate(held)
+            node = np.repeat(np.array(owner, np.int64).view(np.uint64), [len(k) for k in held])
+            records = np.empty(len(key), KEY)
+            records["high"], records["low"], records["node"] = key >> np.uint64(32), key & np.uint64(0xFFFFFFFF), node
+            # Members of a cold key meet; those of a hot key are spread.
+            part, blob = zip(*scatter(records, mix(np.where(np.isin(key, hot.value), key ^ node, key)), parts))
             return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(blob, pa.binary())], ["part", "blob"])
 
-        held, size = [], 0
+        held, owner, size, known = [], [], 0, set()
         for batch in batches:
             for s in sets(batch.column("text"), width):
-                if len(s):
-                    k = keys(s, threshold, *hot.value)
-                    r = np.empty(len(k), KEY)
-                    r["key"], r["node"], r["n"] = k, np.int64(node_of(s)).view(np.uint64), len(s)
-                    held.append(r)
-                    size += len(r)
+                node = node_of(s) if len(s) else None
+                if node is not None and node not in known:
+                    known.add(node)
+                    held.append(keys(s, threshold) & MASK)
+                    owner.append(node)
+                    size += len(held[-1])
                 if size > 2_000_000:
-                    yield flush(held)
-                    held, size = [], 0
+                    yield flush(held, owner)
+                    held, owner, size, known = [], [], 0, set()
         if size:
-            yield flush(held)
+            yield flush(held, owner)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs, part = [], None
-        for batch in batches:
-            blobs += batch.column("blob").to_pylist()
-            part = batch.column("part")[0].as_py() if batch.num_rows else part
-        if blobs:
-            r = np.unique(gather(blobs, KEY))
-            blobs.clear()
-            # In order of size, a set that could be linked with any under its key could be with the one before or after it.
-            r = r[np.lexsort((r["n"], r["key"]))]
-            n = r["n"].astype(np.int64)
-            same = (r["key"][1:] == r["key"][:-1]) & (100 * n[:-1] >= threshold * n[1:])
-            r = r[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(r) else r
-            key, node = (pa.array(np.ascontiguousarray(r[c]).view(np.int64), pa.int64()) for c in ("key", "node"))
-            yield pa.RecordBatch.from_arrays([key, node, pa.array(r["n"].astype(np.int64), pa.int64())], ["key", "node", "n"])
+        blobs = [x for batch in batches for x in batch.column("blob").to_pylist()]
+        if not blobs:
+            return
+        r = gather(blobs, KEY)
+        blobs.clear()
+        key, node = r["high"].astype(np.uint64) << np.uint64(32) | r["low"], np.ascontiguousarray(r["node"])
+        del r
+        order = np.argsort(key, kind="stable")
+        key, node = key[order], node[order]
+        same, often = key[1:] == key[:-1], np.isin(key, hot.value)
+        some = often | np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        key, node, often = key[some], node[some], often[some]
+        order = np.lexsort((node, key))
+        key, node, often = key[order], node[order], often[order]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])]) if len(key) else often
+        key, node, often = key[new], node[new], often[new]  # a set that two map batches sent
+        last = np.flatnonzero(np.concatenate([key[1:] != key[:-1], [True]])) if len(key) else np.zeros(0, np.int64)
+        count = np.diff(np.concatenate([[-1], last]))
+        several = often | (np.repeat(count, count) > 1)
+        key, node = key[several], node[several]
+        for at in range(0, len(key), 1 << 16):
+            some = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(x[some].view(np.int64), pa.int64()) for x in (key, node)], ["key", "node"])
 
     sent = _sets(docs, id_col, text_col).select("text").mapInArrow(send, "part int, blob binary")
-    return deal(sent, parts).mapInArrow(meet, "key long, node long, n long")
+    return deal(sent, parts).mapInArrow(meet, "key long, node long")
 
 
 def _allowed(a: np.ndarray, b: np.ndarray, threshold: int) -> np.ndarray:
-    """Whether sizes by fragment allow a link; 65535 stands for any size from there on."""
-    most, both = np.minimum(a, b).sum(1, dtype=np.int64), a.sum(1, dtype=np.int64) + b.sum(1, dtype=np.int64)
-    return (100 * most >= threshold * (both - most)) | (a == 65535).any(1) | (b == 65535).any(1)
+    """Whether sizes by fragment, along the last axis, allow a link."""
+    most, both = np.minimum(a, b).sum(-1, dtype=np.int64), a.sum(-1, dtype=np.int64) + b.sum(-1, dtype=np.int64)
+    return 100 * most >= threshold * (both - most)
+
+
+def _allow(x: bytes, y: bytes, threshold: int) -> bool:
+    """The same for two profiles: the finer one is summed to the other's fragments."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if (a == 255).any() or (b == 255).any():
+        return True
+    k = min(len(a), len(b))
+    return bool(_allowed(a.reshape(k, -1).sum(1), b.reshape(k, -1).sum(1), threshold))
 
 
 def _bounded(pairs: DataFrame, stats: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose sizes by fragment allow a link."""
-    left = stats.select(F.col("node").alias("a"), F.col("hist").alias("ha"))
-    right = stats.select(F.col("node").alias("b"), F.col("hist").alias("hb"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb")
+    """The pairs (a, b) whose sizes, in all and by fragment, allow a link."""
+    left = stats.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("hist").alias("ha"))
+    right = stats.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("hist").alias("hb"))
+    rows = pairs.join(left, "a").join(right, "b").filter(f"100 * least(na, nb) >= {threshold} * greatest(na, nb)").select("a", "b", "ha", "hb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, BOUND) for c in ("ha", "hb"))
-                yield batch.select(["a", "b"]).filter(pa.array(_allowed(a, b, threshold)))
+            kept = [_allow(x, y, threshold) for x, y in zip(batch.column("ha").to_pylist(), batch.column("hb").to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _under_keys(rows: DataFrame, threshold: int, parts: int) -> DataFrame:
-    """Pairs (a, b) of far sets with sets of other components under a key, whose sizes by fragment allow a link."""
+def _blocks(rows: DataFrame, group: str, block: int) -> DataFrame:
+    """The rows (group, node, root, ...) of groups that hold several components, dealt to cells (columns row and column) of them.
+
+    Members stand in each row of their column; strays, all but the largest component's, also in each column of their row,
+    with query true. A cell has at most about block members and block strays.
+    """
+    per = rows.groupBy(group, "root").agg(F.count("*").alias("m"))
+    whole = per.groupBy(group).agg(F.sum("m").alias("g"), F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("k")).filter("k > 1")
+    down, across = (F.ceil(x / block).cast("int") for x in (F.col("g") - F.col("top.m"), F.col("g")))
+    # Rows of large groups stay where they are.
+    rows = join_groups(rows, cut(whole.select(group, "g", F.col("top.root").alias("main"), down.alias("down"), across.alias("across"))), [group], "g", rows.count())
+    at = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    cell = lambda i, j, q: F.struct(i.alias("row"), j.alias("column"), F.lit(q).alias("query"))
+    member = F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda i: cell(i, at(F.col("across")), False))
+    stray = F.transform(F.sequence(F.lit(0), F.col("across") - 1), lambda j: cell(at(F.col("down")), j, True))
+    cells = F.concat(member, F.when(F.col("root") != F.col("main"), stray).otherwise(F.array().cast("array<struct<row:int,column:int,query:boolean>>")))
+    return rows.withColumn("cell", F.explode(cells)).select("*", "cell.*").drop("cell", "g", "main", "down", "across")
+
+
+def _by_cell(rows: DataFrame, group: str, parts: int) -> DataFrame:
+    """Cells of _blocks together: dealt by a hash of the cell. Dealt by the group itself, the planner drops dealing and sorting as
+    done by a join below, and that join may then run as another."""
+    return rows.withColumn("h", F.xxhash64(group, "row", "column")).repartition(parts, "h").sortWithinPartitions("h", group, "row", "column")
+
+
+def _cells(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[tuple]]:
+    """The rows of each cell in turn; the first three columns name the cell."""
+    held: list[tuple] = []
+    for batch in batches:
+        for r in zip(*[batch.column(c).to_pylist() for c in columns]):
+            if held and r[:3] != held[0][:3]:
+                yield held
+                held = []
+            held.append(r)
+    if held:
+        yield held
+
+
+def _under_keys(rows: DataFrame, threshold: int, parts: int, block: int) -> DataFrame:
+    """Pairs (a, b) of sets of different components under a key, one of them far at least, whose sizes by fragment allow a link."""
+    columns = ["key", "row", "column", "node", "root", "far", "n", "hist", "query"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(held: list[tuple]) -> pa.RecordBatch:
-            node, root, far = np.array([h[1] for h in held]), np.array([h[2] for h in held]), np.array([h[3] for h in held])
-            hist = np.frombuffer(b"".join(h[4] for h in held), "<u2").reshape(-1, BOUND)
-            out: tuple[list, list] = ([], [])
-            for i in np.flatnonzero(far):
-                other = np.flatnonzero(root != root[i])
-                for j in other[_allowed(hist[other], hist[i : i + 1], threshold)]:
-                    out[0].append(min(node[i], node[j]))
-                    out[1].append(max(node[i], node[j]))
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
-
-        held: list[tuple] = []
-        for batch in batches:
-            for r in zip(*[batch.column(c).to_pylist() for c in ("key", "node", "root", "far", "hist")]):
-                if held and r[0] != held[0][0]:
-                    if len(held) > 1:
-                        yield done(held)
-                    held = []
-                held.append(r)
-        if len(held) > 1:
-            yield done(held)
-
-    # Dealt by a hash of the key: by the key itself the planner drops dealing and sorting as done by a join below, and that
-    # join may then run as another.
-    return rows.withColumn("h", F.xxhash64("key")).repartition(parts, "h").sortWithinPartitions("h", "key").mapInArrow(run, "a long, b long")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, stats: DataFrame, width: int, threshold: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The pairs (a, b) that are linked: overlaps by fragment, summed per pair. Also all pairs that were counted, with their differences e."""
-    pairs = cut(_bounded(pairs, stats, threshold))
+        for held in _cells(batches, columns):
+            query = np.array([r[8] for r in held])
+            node, root, far, n = (np.array([r[i] for r in held]) for i in (3, 4, 5, 6))
+            coarse = np.array([np.frombuffer(r[7], np.uint8).reshape(BOUND, -1).sum(1) for r in held], np.int32)
+            full = np.array([255 in r[7] for r in held])
+            members, a, b = np.flatnonzero(~query), [], []
+            for i in np.flatnonzero(query):
+                j = members[(root[members] != root[i]) & (far[members] | far[i]) & (100 * np.minimum(n[members], n[i]) >= threshold * np.maximum(n[members], n[i]))]
+                j = j[_allowed(coarse[j], coarse[i][None, :], threshold) | full[j] | full[i]]
+                for k in j:
+                    if _allow(held[i][7], held[k][7], threshold):
+                        a.append(min(node[i], node[k]))
+                        b.append(max(node[i], node[k]))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], ["a", "b"])
+
+    return _by_cell(_blocks(rows, "key", block), "key", parts).select(*columns).mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, stats: DataFrame, width: int, threshold: int, id_col: str, text_col: str, counted_from: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) that are linked: overlaps by fragment, summed per pair. Also all pairs that were counted, with their differences e.
+
+    Counted are the pairs whose sizes by fragment allow a link, or the lower threshold counted_from.
+    """
+    pairs = cut(_bounded(pairs, stats, threshold if counted_from is None else counted_from))
     used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    first = cut(stats.join(used, "node", "left_semi").select("node", F.col("first").alias("__id")))
-    few = first.count() <= 200_000  # a megabyte or two of ids; beyond, the join shuffles
+    first = cut(stats.join(used, "node", "left_semi").select("first"))
     texts = _sets(docs, id_col, text_col)
-    texts = texts.join(F.broadcast(first) if few else first, F.col("doc_id") == F.col("__id"), "left_semi").select("text")
+    ids = first.filter("first IS NOT NULL").select(F.col("first").alias("doc_id"))
+    nameless = texts.filter("doc_id IS NULL") if first.filter("first IS NULL").take(1) else None  # sets that rows without an id hold
+    texts = of_ids(texts, ids, "doc_id")
+    texts = texts.unionByName(nameless).select("text") if nameless is not None else texts.select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,8 +350,8 @@ def verified(pairs: DataFrame, docs: DataFrame, stats: DataFrame, width: int, th
                         some.append(part.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(fragment, pa.int32()), pa.array(some, pa.binary())], ["node", "fragment", "some"])
 
-    cuts = texts.mapInArrow(run, "node long, fragment int, some binary").dropDuplicates(["node", "fragment"])
-    cuts = cut(cuts)
+    cuts = texts.mapInArrow(run, "node long, fragment int, some binary")
+    cuts = cut(cuts.join(used, "node", "left_semi").groupBy("node", "fragment").agg(F.first("some").alias("some")))
     left = pairs.join(cuts.select(F.col("node").alias("a"), "fragment", F.col("some").alias("sa")), "a")
     both = left.join(cuts.select(F.col("node").alias("b"), "fragment", F.col("some").alias("sb")), ["b", "fragment"])
 
@@ -265,52 +366,44 @@ def verified(pairs: DataFrame, docs: DataFrame, stats: DataFrame, width: int, th
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(n, pa.int64()), pa.array(e, pa.binary())], ["a", "b", "part", "e"])
 
     sums = both.select("a", "b", "sa", "sb").mapInArrow(overlap, "a long, b long, part long, e binary")
-    sums = cut(sums.groupBy("a", "b").agg(F.sum("part").alias("inter"), F.collect_list("e").alias("e")))
-    counted = sums
+    counted = cut(sums.groupBy("a", "b").agg(F.sum("part").alias("inter"), F.collect_list("e").alias("e")))
     size = stats.select("node", "n")
-    sums = sums.join(size.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+    sums = counted.join(size.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
     linked = sums.filter(100 * F.col("inter") >= threshold * (F.col("na") + F.col("nb") - F.col("inter")))
     return linked.select("a", "b", "inter"), counted
 
 
-def _around(members: DataFrame, stats: DataFrame, threshold: int, parts: int) -> DataFrame:
+def _around(members: DataFrame, stats: DataFrame, threshold: int, parts: int, block: int) -> DataFrame:
     """Links (a, b, inter) between components among the members (centre, node, root, e) of each centre; e: what differs from it."""
+    columns = ["centre", "row", "column", "node", "root", "n", "e", "query"]
     rows = members.join(stats.select("node", "n"), "node").select("centre", "node", "root", "n", "e")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(held: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
-            node, root, n = (np.array([h[i] for h in held], np.int64) for i in range(3))
-            size = np.array([len(h[3]) for h in held], np.int64)
-            element, owner = np.concatenate([h[3] for h in held]), np.repeat(np.arange(len(held)), size)
+        for held in _cells(batches, columns):
+            node, root, n = (np.array([h[i] for h in held], np.int64) for i in (3, 4, 5))
+            differ = [np.frombuffer(b"".join(h[6]), "<u8") for h in held]
+            query, size = np.array([h[7] for h in held]), np.array([len(d) for d in differ], np.int64)
+            members = np.flatnonzero(~query)
+            if not len(members):
+                continue
+            element, owner = np.concatenate([differ[m] for m in members]), np.repeat(np.arange(len(members)), size[members])
             order = np.argsort(element, kind="stable")
             element, owner = element[order], owner[order]
-            label, count = np.unique(root, return_counts=True)
             a, b, inter = [], [], []
-            for i in np.flatnonzero(root != label[np.argmax(count)]):
-                lo, hi = np.searchsorted(element, held[i][3], "left"), np.searchsorted(element, held[i][3], "right")
-                met = np.bincount(np.concatenate([owner[x:y] for x, y in zip(lo, hi)] or [owner[:0]]), minlength=len(held))
-                both = n[i] + n
-                shared = (both - (size[i] + size - 2 * met)) // 2
-                found = np.flatnonzero((100 * shared >= threshold * (both - shared)) & (root != root[i]))
-                _, at = np.unique(root[found], return_index=True)
+            for i in np.flatnonzero(query):
+                lo, hi = np.searchsorted(element, differ[i], "left"), np.searchsorted(element, differ[i], "right")
+                met = np.bincount(np.concatenate([owner[x:y] for x, y in zip(lo, hi)] or [owner[:0]]), minlength=len(members))
+                both = n[i] + n[members]
+                shared = (both - (size[i] + size[members] - 2 * met)) // 2
+                found = np.flatnonzero((100 * shared >= threshold * (both - shared)) & (root[members] != root[i]))
+                _, at = np.unique(root[members[found]], return_index=True)
                 for j in found[at]:
-                    a.append(min(node[i], node[j]))
-                    b.append(max(node[i], node[j]))
+                    a.append(min(node[i], node[members[j]]))
+                    b.append(max(node[i], node[members[j]]))
                     inter.append(shared[j])
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, inter)], ["a", "b", "inter"])
-
-        held, last = [], None
-        for batch in batches:
-            for r in zip(*[batch.column(c).to_pylist() for c in ("centre", "node", "root", "n", "e")]):
-                if held and r[0] != last:
-                    yield done(held)
-                    held = []
-                last = r[0]
-                held.append((r[1], r[2], r[3], np.frombuffer(b"".join(r[4]), "<u8")))
-        if held:
-            yield done(held)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, inter)], ["a", "b", "inter"])
 
-    return rows.withColumn("h", F.xxhash64("centre")).repartition(parts, "h").sortWithinPartitions("h", "centre").mapInArrow(links, "a long, b long, inter long")
+    return _by_cell(_blocks(rows, "centre", block), "centre", parts).select(*columns).mapInArrow(links, "a long, b long, inter long")
 
 
 def _pairs(a: str, b: str) -> list:
@@ -322,37 +415,43 @@ def join(docs: DataFrame, width: int = 5, threshold: int = 80, id_col: str = "do
 
     threshold is in hundredths: two documents link when 100 * intersection >= threshold * union.
     """
+    with Work(docs.sparkSession) as work:
+        found, links = _join(docs, width, threshold, id_col, text_col)
+        return work.keep(found), work.keep(links)
+
+
+def _join(docs: DataFrame, width: int, threshold: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    parts = partitions(docs.sparkSession)
     named = cut(nodes(docs, width, threshold, id_col, text_col))
-    hot = hot_shingles(named)
+    hot = hot_keys(named)
     named = named.filter("often IS NULL").select("doc_id", "node", "n", "hist")
+    block = max(BLOCK, named.count() // 1000)
     stats = named.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("hist").alias("hist"))
     stats = cut(stats)
     meets = cut(met(docs, width, threshold, hot, id_col, text_col))
     # The centre of a key: the set that meets most, over all its keys.
-    sizes = meets.groupBy("key").agg(F.count("*").alias("g"))
-    weight = cut(meets.join(sizes, "key").groupBy("node").agg(F.sum("g").alias("w")))
-    weighed = meets.join(weight, "node")
-    centre = weighed.groupBy("key").agg(F.max(F.struct("w", "node")).alias("c")).select("key", F.col("c.node").alias("centre"))
-    placed = cut(meets.join(centre, "key"))
-    size = stats.select(F.col("node").alias("centre"), F.col("n").alias("cn"))
-    spokes = placed.filter("node <> centre").select("centre", "node", "n").distinct().join(size, "centre")
-    spokes = spokes.filter(100 * F.least("n", "cn") >= threshold * F.greatest("n", "cn")).select("centre", "node")
+    sizes = meets.groupBy("key").agg(F.count("*").alias("g")).filter("g > 1")
+    weighed = cut(meets.join(sizes, "key").select("key", "node", "g"))
+    weight = weighed.groupBy("node").agg(F.sum("g").alias("w"))
+    centre = weighed.join(weight, "node").groupBy("key").agg(F.max(F.struct("w", "node"))["node"].alias("centre"))
+    placed = cut(weighed.select("key", "node").join(centre, "key"))
+    spokes = cut(placed.filter("node <> centre").select("centre", "node").distinct())
     star = cut(spokes.select(*_pairs("node", "centre")).distinct())
-    links, counted = verified(star, docs, stats, width, threshold, id_col, text_col)
+    links, counted = verified(star, docs, stats, width, threshold, id_col, text_col, max(1, 2 * threshold - 100))
     links = cut(links)
     roots = cut(components(links.select("a", "b")))
     near = spokes.join(counted, (F.least("node", "centre") == F.col("a")) & (F.greatest("node", "centre") == F.col("b"))).select("centre", "node", "e")
     near = cut(near)
     # Around a centre: the sets that were counted against it, and itself.
     members = near.unionByName(near.select("centre", F.col("centre").alias("node")).distinct().withColumn("e", F.array().cast("array<binary>"))).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = members.groupBy("centre").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("centre")
-    around = _around(members.join(several, "centre", "left_semi"), stats, threshold, partitions(docs.sparkSession))
-    # Under a key: the sets that can't be linked with its centre, against those of other components.
+    around = cut(_around(members, stats, threshold, parts, block))
+    roots = cut(components(links.unionByName(around).select("a", "b")))
+    # Under a key: the sets that weren't counted against its centre (far), against those of other components.
     labelled = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     flagged = labelled.join(near.select("centre", "node").withColumn("near", F.lit(True)), ["centre", "node"], "left").withColumn("far", F.col("near").isNull() & (F.col("node") != F.col("centre")))
     split = flagged.groupBy("key").agg(F.max("far").alias("any"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("any AND lo <> hi").select("key")
-    rows = flagged.join(split, "key", "left_semi").join(stats.select("node", "hist"), "node").select("key", "node", "root", "far", "hist")
-    across = _under_keys(rows, threshold, partitions(docs.sparkSession)).distinct()
+    rows = flagged.join(split, "key", "left_semi").join(stats.select("node", "n", "hist"), "node").select("key", "node", "root", "far", "n", "hist")
+    across = cut(_under_keys(rows, threshold, parts, block).distinct())
     across = cut(across.join(star, ["a", "b"], "left_anti"))
     further, _ = verified(across, docs, stats, width, threshold, id_col, text_col)
     links = cut(links.unionByName(around).unionByName(further))
@@ -360,13 +459,12 @@ def join(docs: DataFrame, width: int = 5, threshold: int = 80, id_col: str = "do
     roots = components(links.select("a", "b"))
     rows = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = rows.filter("doc_id IS NOT NULL AND root IS NOT NULL")
-    shared = ids.groupBy("doc_id").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b")
-    merged = components(shared.select("a", "b")) if shared.take(1) else None
-    if merged is not None:
+    shared = cut(ids.groupBy("doc_id").agg(F.min("root").alias("a"), F.max("root").alias("hi")).filter("a <> hi").select("doc_id", "a"))
+    if shared.take(1):
+        merged = components(ids.join(shared, "doc_id").select("a", F.col("root").alias("b")).distinct())
         rows = rows.join(merged.select(F.col("node").alias("root"), F.col("root").alias("into")), "root", "left").withColumn("root", F.coalesce("into", "root"))
     rows = cut(rows.select("doc_id", "n", "node", "root"))
     least = rows.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("g"))
-
     found = join_groups(rows.filter("root IS NOT NULL"), least, ["root"], "g", max(1, rows.count())).select("doc_id", F.col("n").alias("n_shingles"), "node", "component_id")
     alone = rows.filter("root IS NULL").select("doc_id", F.col("n").alias("n_shingles"), "node", F.col("doc_id").alias("component_id"))
     found = found.unionByName(alone).withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
@@ -376,5 +474,4 @@ def join(docs: DataFrame, width: int = 5, threshold: int = 80, id_col: str = "do
 def keep_representatives(docs: DataFrame, width: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component, that of least doc_id (rows of a null doc_id stay): same columns."""
     found, _ = join(docs, width, threshold, id_col, text_col)
-    dropped = cut(found.filter("component_id < doc_id").select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(dropped, F.col(id_col) == F.col("__id"), "left_anti")
+    return of_ids(docs, cut(found.filter("component_id < doc_id").select("doc_id").distinct()), id_col, but=True)
