@@ -38,6 +38,30 @@ PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*
 PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
+#: What a tokenizer file must say for the shortcuts here to hold: how texts are made even, and where they are cut.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def read_spec(path: str) -> str:
+    """The tokenizer file's text. A file of another make raises: its texts would be cut, lowered or joined otherwise."""
+    text = open(path, encoding="utf-8").read()
+    spec = json.loads(text)
+    cut = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    model, added = spec["model"], spec["added_tokens"]
+    holds = {
+        "normalizer": (spec["normalizer"] or {}).get("normalizers") == NORMALIZER,
+        "pre_tokenizer": len(cut) == 2 and cut[0] == SPLIT and cut[1]["type"] == "ByteLevel" and not cut[1]["add_prefix_space"] and not cut[1].get("use_regex", True),
+        "decoder": spec["decoder"] is None,
+        "post_processor": spec["post_processor"] is None,
+        "model": model["type"] == "BPE" and model["end_of_word_suffix"] == "</w>" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")),
+        "added_tokens": all(t["content"].startswith("<|") and not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]) for t in added),
+    }
+    if wrong := [k for k, ok in holds.items() if not ok]:
+        raise ValueError(f"this operator does not know the file's {', '.join(wrong)}")
+    return text
+
+
 def byte_characters() -> dict[int, int]:
     """The byte-level alphabet: printable Latin-1 stands for itself, other bytes for characters from U+0100 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -244,7 +268,7 @@ def _joined(parts: list[bytes], numbers: np.ndarray, between: bytes, size: int =
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit), decoded_sha256 (UTF-8), row by row."""
     ship(docs.sparkSession)
-    spec = docs.sparkSession.sparkContext.broadcast(open(path, encoding="utf-8").read())
+    spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(spec.value)
@@ -273,7 +297,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (array of int)."""
     ship(docs.sparkSession)
-    spec = docs.sparkSession.sparkContext.broadcast(open(path, encoding="utf-8").read())
+    spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(spec.value)
@@ -292,7 +316,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id and text from doc_id and ids: tokens joined by blanks, special ones too, as a file without a decoder has it."""
     ship(encoded.sparkSession)
-    spec = encoded.sparkSession.sparkContext.broadcast(open(path, encoding="utf-8").read())
+    spec = encoded.sparkSession.sparkContext.broadcast(read_spec(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = encoder(spec.value).names

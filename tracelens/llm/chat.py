@@ -1,13 +1,14 @@
 """Chat formatting as relational expressions: no Python on the executors.
 
-A conversation's rows are collected as structs and sorted by (turn, role, text), nulls first, so that ties and repeated rows
-have one order and each row is a turn of its own. Adjacent turns of one role become one run, formatted as
+A conversation's rows are put in the order of (turn, role, text), nulls first, so that ties and repeated rows have one order and
+each row is a turn of its own. Adjacent turns of one role become one run, formatted as
 
     open role body text (join text)* close
 
 Every mark that occurs inside a role or text is escaped by a backslash after its first character, one more than stand there
 already; reading back takes one away. So a mark in the output is always the template's, and read_back() restores every row.
-The loss mask is a list of [start, end) spans of code points in the output, one for each assistant text, marks left out.
+The loss mask is a list of [start, end) spans of code points in the output, one for each assistant text, marks left out. Where
+a text starts is a running sum over the turns; turns and spans are then collected and sorted once, so the work is that of a sort.
 
 Defined results. Null text and null role count as empty. A null conv_id is a conversation of its own. A table without rows
 gives no rows. Extra columns are ignored. A conversation is one output value, so its turns meet in one row.
@@ -18,7 +19,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelens.llm.common import let
@@ -44,58 +45,22 @@ class Template:
         return F.regexp_replace(text, places, "")
 
 
-def _runs(turns: Column) -> Column:
-    """Adjacent turns of one role merged: array of (role, texts), linear in the turns."""
-
-    def merged(t: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (t[i]["role"] != t[F.greatest(i - 1, F.lit(0))]["role"]))
-
-        def cut_at(s: Column) -> Column:
-            def run(begin: Column, k: Column) -> Column:
-                end = F.coalesce(F.get(s, k + 1), F.size(t))
-                texts = F.transform(F.slice(t, begin + 1, end - begin), lambda x: x["text"])
-                return F.struct(t[begin]["role"].alias("role"), texts.alias("texts"))
-
-            return F.transform(s, run)
-
-        return let(starts, cut_at)
-
-    return let(turns, merged)
-
-
 def format_chats(chats: DataFrame, template: Template = Template()) -> DataFrame:
     """conv_id, formatted, loss_spans(start, end): one row per conversation."""
-    empty = F.lit("")
-    turn = F.struct("turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
-    rows = chats.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    rows = rows.select("conv_id", _runs(F.col("turns")).alias("runs"))
-    e = template.escape
-    safe = F.transform("runs", lambda r: F.struct(r["role"].alias("role"), e(r["role"]).alias("head"), F.transform(r["texts"], e).alias("texts")))
-    rows = rows.select("conv_id", safe.alias("runs"))
-    one = lambda r: F.concat(F.lit(template.open), r["head"], F.lit(template.body), F.array_join(r["texts"], template.join), F.lit(template.close))
-    # Every text with the count of unlearned code points that stand before it, in order.
-    def pieces(r: Column) -> Column:
-        learned = r["role"] == template.learned
-        first = F.length(r["head"]) + len(template.open) + len(template.body)
-        return F.transform(
-            r["texts"],
-            lambda x, i: F.struct(
-                F.when(i == 0, first).otherwise(F.lit(len(template.join))).alias("skip"),
-                F.length(x).alias("n"),
-                F.when(i == F.size(r["texts"]) - 1, F.lit(len(template.close))).otherwise(F.lit(0)).alias("after"),
-                learned.alias("learned"),
-            ),
-        )
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + p["skip"]
-        span = F.struct(begin.alias("start"), (begin + p["n"]).alias("end"))
-        return F.struct((begin + p["n"] + p["after"]).alias("at"), F.when(p["learned"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    spans = F.aggregate(F.flatten(F.transform("runs", pieces)), start, step, lambda acc: acc["spans"])
-    return rows.select("conv_id", F.array_join(F.transform("runs", one), "").alias("formatted"), spans.alias("loss_spans"))
+    empty, e = F.lit(""), template.escape
+    rows = chats.select("conv_id", "turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    first = ~F.lag("role").over(w).eqNullSafe(F.col("role"))
+    last = ~F.lead("role").over(w).eqNullSafe(F.col("role"))
+    rows = rows.select("conv_id", F.row_number().over(w).alias("i"), (F.col("role") == template.learned).alias("learned"), first.alias("first"), last.alias("last"), e(F.col("role")).alias("head"), e(F.col("text")).alias("safe"))
+    before = F.when(F.col("first"), F.concat(F.lit(template.open), "head", F.lit(template.body))).otherwise(F.lit(template.join))
+    piece = F.concat(before, "safe", F.when(F.col("last"), F.lit(template.close)).otherwise(empty))
+    rows = rows.select("conv_id", "i", "learned", piece.alias("piece"), F.length("safe").alias("n"), F.length(before).alias("skip"))
+    at = F.sum(F.length("piece")).over(Window.partitionBy("conv_id").orderBy("i")) - F.length("piece") + F.col("skip")
+    rows = rows.select("conv_id", F.struct("i", "piece", "learned", at.cast("int").alias("start"), (at + F.col("n")).cast("int").alias("end")).alias("t"))
+    turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    spans = F.transform(F.filter("turns", lambda t: t["learned"]), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
+    return turns.select("conv_id", F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(formatted: Column, template: Template = Template()) -> Column:
@@ -111,8 +76,9 @@ def read_back(formatted: Column, template: Template = Template()) -> Column:
 
 
 def under_mask(formatted: Column, spans: Column, template: Template = Template()) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(spans, lambda s: template.unescape(F.substr(formatted, s["start"] + 1, s["end"] - s["start"]))), "")
+    """All text under the loss mask, unescaped. Four bytes a code point let each span be cut out without reading what stands before."""
+    cut = lambda b: F.transform(spans, lambda s: template.unescape(F.decode(F.substr(b, 4 * s["start"] + 1, 4 * (s["end"] - s["start"])), "UTF-32")))
+    return F.array_join(let(F.encode(formatted, "UTF-32"), cut), "")
 
 
 def digests(formatted: DataFrame, template: Template = Template()) -> DataFrame:

@@ -8,7 +8,7 @@ lacks for its target when the sequence ends, as one of few words does, follow it
 is cut at its target, so what is taken meets the target to the word, and no document is taken more than limit times.
 
 Defined results. Null and empty texts have size 0 and take nothing. Sources whose sizes are all 0 have target 0. Ties in
-the shuffle are broken by doc_id. Repeated rows count each. An empty table gives an empty result. Extra columns are ignored.
+the shuffle are broken by doc_id. Repeated rows count each, and each is taken as often as its own share says. An empty table gives an empty result. Extra columns are ignored.
 Order and result depend on the rows and the seed alone.
 """
 
@@ -20,14 +20,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import cut, join_groups, n_words, running_total
+from tracelens.llm.common import Work, cut, join_groups, n_words, running_total, unused
 
 GOLDEN = (math.sqrt(5) - 1) / 2
 
 
 @dataclass
 class Mixture:
-    documents: DataFrame  # uid, doc_id, source, size, source_size, target, taken
+    documents: DataFrame  # uid, doc_id, print (a hash of the text), source, size, source_size, target, taken
     schedule: DataFrame  # slot, srank, place (rank among the source's slots), block, epoch, take
 
 
@@ -52,8 +52,14 @@ def targets(sources: DataFrame, weights: tuple = (5, 2, 1), epochs: float = 1.5,
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, block: int = 64, weights: tuple = (5, 2, 1), epochs: float = 1.5, limit: float = 2.0) -> Mixture:
+    with Work(docs.sparkSession) as work:
+        found = _mix(docs, id_col, text_col, source_col, seed, block, weights, epochs, limit)
+        return Mixture(work.keep(found.documents), work.keep(found.schedule))
+
+
+def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, block: int, weights: tuple, epochs: float, limit: float) -> Mixture:
     key = F.xxhash64(F.lit(seed), F.col(id_col)).bitwiseAND(F.lit((1 << 62) - 1))
-    rows = cut(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("key")))
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("print"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("key")))
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     sources = cut(targets(sources, weights, epochs, limit))
     total = sources.agg(F.sum("n_docs").alias("n"), F.sum("target").alias("t"), F.min(F.when(F.col("target") > 0, F.col("target"))).alias("least"), F.count("*").alias("k")).first()
@@ -61,7 +67,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = join_groups(rows, sources.select("source", "source_size", "n_docs", "target", "srank"), ["source"], "n_docs", n_docs)
     rows = cut(rows.drop("n_docs"))
 
-    schedule = schedule_of(sources, tokens, total["least"] or 1.0, total["k"], block)
+    schedule = cut(schedule_of(sources, tokens, total["least"] or 1.0, total["k"], block))
     # Where each document's tokens lie in its source's shuffled stream, cut at block edges.
     placed = running_total(rows.filter("size > 0"), ["srank"], ["key", "doc_id", "uid"], "size", "start", 1 + n_docs // 1_000)
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
@@ -71,7 +77,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     used = pieces.join(schedule.select("srank", "block", "take"), ["srank", "block"])
     part = F.greatest(F.lit(0), F.least(F.col("from") + F.col("len"), F.col("take")) - F.col("from"))
     taken = used.groupBy("uid").agg(F.sum(part).alias("taken"))
-    documents = rows.join(taken, "uid", "left").select("uid", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    documents = rows.join(taken, "uid", "left").select("uid", "doc_id", "print", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return Mixture(documents, schedule)
 
 
@@ -82,9 +88,10 @@ def schedule_of(sources: DataFrame, tokens: float, least: float, n_sources: int,
     # A source of few words is a block in every epoch, more than its share of the points: what it lacks is appended below.
     n = needed + min(needed, math.ceil(4 * tokens / max(least, 1.0))) + 4 * n_sources if tokens else 0
     share = F.col("target") / F.lit(tokens or 1.0)
-    w = Window.orderBy("srank").rowsBetween(Window.unboundedPreceding, -1)
-    cells = 4 * n_sources + 1
-    spans = sources.filter("target > 0").withColumn("lo", F.coalesce(F.sum(share).over(w), F.lit(0.0))).withColumn("hi", F.col("lo") + share)
+    cells, buckets = 4 * n_sources + 1, 1 + n_sources // 4_000
+    by_rank = (F.col("srank") * F.lit((1 << 62) // max(n_sources, 1))).alias("at")
+    served = sources.filter("target > 0").select(F.lit(0).alias("all"), by_rank, "srank", "source_size", "target", share.alias("share"))
+    spans = running_total(served, ["all"], ["at"], "share", "lo", buckets).withColumn("hi", F.col("lo") + F.col("share"))
     spans = spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.least(F.lit(cells), F.floor(F.col("hi") * cells)))))
     spans = spans.select("cell", "lo", "hi", "srank", "source_size", F.floor("target").alias("goal"))
     high, low = F.floor(F.col("id") / (1 << 20)), F.col("id") % (1 << 20)
@@ -97,9 +104,10 @@ def schedule_of(sources: DataFrame, tokens: float, least: float, n_sources: int,
     blocks = F.ceil(F.col("source_size") / block)
     need = F.expr("goal div source_size") * blocks + F.ceil((F.col("goal") % F.col("source_size")) / block)
     had = slots.groupBy("srank").agg(F.count("*").alias("had"))
-    late = sources.filter("target > 0").select("srank", "source_size", F.floor("target").alias("goal")).join(had, "srank", "left")
+    late = served.select("all", "at", "srank", "source_size", F.floor("target").alias("goal")).join(had, "srank", "left")
     late = late.withColumns({"had": F.coalesce("had", F.lit(0).cast("long")), "need": need.cast("long")}).filter("need > had")
-    late = late.withColumn("after", F.lit(n) + F.coalesce(F.sum(F.col("need") - F.col("had")).over(w), F.lit(0)) - F.col("had"))
+    late = running_total(late.withColumn("lack", F.col("need") - F.col("had")), ["all"], ["at"], "lack", "earlier", buckets)
+    late = late.withColumn("after", F.lit(n) + F.col("earlier") - F.col("had"))
     late = late.withColumn("place", F.explode(F.sequence(F.col("had"), F.col("need") - 1))).withColumn("slot", F.col("after") + F.col("place"))
     slots = running_total(slots, ["srank"], ["at"], "one", "place", 1 + n // 4_000)
     columns = ["slot", "srank", "source_size", "goal", "place"]
@@ -110,16 +118,30 @@ def schedule_of(sources: DataFrame, tokens: float, least: float, n_sources: int,
 
 
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs as the mix takes them, same columns: a document taken twice comes twice, one taken in part is cut after its words."""
-    found = mix(docs, id_col, text_col, **options).documents.filter("taken > 0")
-    found = found.groupBy("doc_id", "size").agg(F.max("taken").alias("taken"))  # rows that are alike share what they take
-    found = found.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    rows = docs.withColumn("__n", n_words(F.col(text_col)))
-    rows = rows.join(found, rows[id_col].eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__size")))
-    turns = F.sequence(F.lit(0).cast("long"), F.floor((F.col("__taken") - 1) / F.col("__size")))
-    rows = rows.withColumn("__k", F.explode(turns)).withColumn("__left", F.col("__taken") - F.col("__k") * F.col("__size"))
-    # The text up to the word numbered __left: split before each word, so that white space stays as it was.
+    """docs as the mix takes them, same columns: a document taken twice comes twice, one taken in part is cut after its words.
+
+    A row is found again by its id and a hash of its text; rows that share both are numbered on either side, so that each has
+    the share of one of them.
+    """
+    found = mix(docs, id_col, text_col, **options).documents
+    spark, (key, hashed, size, place, taken, turn, left, many) = docs.sparkSession, unused(docs, "taken_id", "print", "size", "place", "taken", "turn", "left", "many")
+    found = found.select(F.col("doc_id").alias(key), F.col("print").alias(hashed), F.col("uid").alias(place), F.col("size").alias(size), F.col("taken").alias(taken))
+    with Work(spark) as work:
+        alike = work.keep(found.groupBy(key, hashed).agg(F.count("*").alias(many)).filter(F.col(many) > 1))
+    own, other = unused(docs, "own_id", "own_print")
+    rows = docs.withColumns({own: F.col(id_col), other: F.xxhash64(text_col)})
+    same = F.col(own).eqNullSafe(F.col(key)) & (F.col(other) == F.col(hashed))
+    numbered = F.row_number().over(Window.partitionBy(key, hashed).orderBy(place))
+    both = found.join(alike.select(F.col(key).alias(own), F.col(hashed).alias(other)), same, "left_semi").withColumn(place, numbered)
+    one = found.join(alike.select(F.col(key).alias(own), F.col(hashed).alias(other)), same, "left_anti").filter(F.col(taken) > 0)
+    rank, = unused(both, "rank")
+    again = rows.join(alike, same, "left_semi").withColumn(rank, F.row_number().over(Window.partitionBy(own, other).orderBy(F.lit(1))))
+    again = again.join(both.filter(F.col(taken) > 0), same & (F.col(rank) == F.col(place))).drop(rank)
+    rows = rows.join(one, same).unionByName(again)
+    turns = F.sequence(F.lit(0).cast("long"), F.floor((F.col(taken) - 1) / F.col(size)))
+    rows = rows.withColumn(turn, F.explode(turns)).withColumn(left, F.col(taken) - F.col(turn) * F.col(size))
+    # The text up to the word numbered left: split before each word, so that white space stays as it was.
     starts = r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"
-    head = F.array_join(F.slice(F.split(F.ltrim(F.col(text_col)), starts), 1, F.col("__left").cast("int")), "")
-    text = F.when(F.col("__left") >= F.col("__size"), F.col(text_col)).otherwise(head)
+    head = F.array_join(F.slice(F.split(F.ltrim(F.col(text_col)), starts), 1, F.col(left).cast("int")), "")
+    text = F.when(F.col(left) >= F.col(size), F.col(text_col)).otherwise(head)
     return rows.withColumn(text_col, text).select(*docs.columns)

@@ -3,8 +3,9 @@
 A document's own evidence is the log-odds of a logistic model on counts of characters and words, fitted to at most
 max_labels labelled rows (those of least hash of doc_id). The probabilities are summed by host and by path; a host's
 posterior mean is shrunk toward the global mean, and a path's toward its host's, by prior strengths that the data give
-(method of moments on the spread between groups). The final log-odds are the document's, moved by as much as its path's
-posterior differs from the global mean: sparse sites hardly move them.
+(method of moments: hosts spread about the global mean, paths about their host's). A document's prior leaves its own probability
+out of both sums, so that no row counts its evidence twice and a lone row has the prior of its host, or of all. The final
+log-odds are the document's, moved by as much as that prior differs from the global mean: sparse sites hardly move them.
 
 Defined results. Null and empty texts have zero counts and are scored like any other. Null host or path is a group of its
 own. Without labels of both kinds every row scores the labelled share of good rows (1.0 without any label). Repeated rows
@@ -17,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import SPACE, cut, join_groups
+from tracelens.llm.common import SPACE, Work, cut, join_groups, unused
 from tracelens.llm.rules import CLASSES, words_of
 
 #: Most labelled rows that the model is fitted to.
@@ -52,10 +53,11 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, n
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labels: int = MAX_LABELS):
     """The model, or the share of good rows where it can't be fitted. At most max_labels rows come to the driver."""
-    some = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id"), F.col("quality").alias("__y"))
-    some = some.orderBy(F.xxhash64("__id"), "__id").limit(max_labels)
-    found = docs.join(F.broadcast(some), F.col(id_col) == F.col("__id"))
-    rows = np.array(found.select(F.array(*features(F.col(text_col))).alias("x"), "__y").rdd.map(lambda r: [*r[0], float(r[1])]).collect())
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    some = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("quality").alias("y"))
+    some = some.orderBy(F.xxhash64("id"), "id").limit(max_labels)
+    found = own.join(F.broadcast(some), "id")
+    rows = np.array(found.select(F.array(*features(F.col("text"))).alias("x"), "y").rdd.map(lambda r: [*r[0], float(r[1])]).collect())
     if not len(rows) or len(set(rows[:, -1])) < 2:
         return float(rows[:, -1].mean()) if len(rows) else 1.0
     return fit(rows[:, :-1], rows[:, -1])
@@ -72,9 +74,9 @@ def probability(model, text: Column) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.lit(-12.0), F.least(F.lit(12.0), total))))
 
 
-def strength(groups: DataFrame, mean: float) -> float:
-    """The prior's weight in rows: large where groups differ no more than their sizes explain."""
-    s = groups.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - mean, 2)).alias("b"), F.sum("v").alias("v"), F.count("*").alias("k")).first()
+def strength(groups: DataFrame) -> float:
+    """The prior's weight in rows, of groups (n, s, v, about): large where their means differ from about no more than their sizes explain."""
+    s = groups.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - F.col("about"), 2)).alias("b"), F.sum("v").alias("v"), F.count("*").alias("k")).first()
     if not s["n"] or s["k"] < 2:
         return 1e4
     within = s["v"] / s["n"]
@@ -82,41 +84,56 @@ def strength(groups: DataFrame, mean: float) -> float:
     return float(min(1e4, max(1.0, within / between))) if between > 0 else 1e4
 
 
-def posteriors(scored: DataFrame) -> DataFrame:
-    """host, path, n, host_posterior, path_posterior, shift (log-odds), from host, path and p of every row."""
+def posteriors(scored: DataFrame) -> tuple[DataFrame, float, float, float]:
+    """(host, path, n, s, host_n, host_s) of every path, the global mean, and the strengths of the hosts' and the paths' priors."""
     paths = cut(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q")))
     spread = F.greatest(F.lit(0.0), F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("v")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     total = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     mean = float(total["s"] / total["n"]) if total["n"] else 1.0
-    by_host = hosts.select("host", "n", "s", spread)
-    k_host, k_path = strength(by_host, mean), strength(paths.select("n", "s", spread), mean)
-    by_host = by_host.select(F.col("host").alias("__host"), ((k_host * mean + F.col("s")) / (k_host + F.col("n"))).alias("host_posterior"))
-    rows = paths.join(by_host, F.col("host").eqNullSafe(F.col("__host"))).drop("__host")
-    rows = rows.withColumn("path_posterior", (k_path * F.col("host_posterior") + F.col("s")) / (k_path + F.col("n")))
-    odds = lambda c: F.log(F.greatest(c, F.lit(1e-6)) / F.greatest(1 - c, F.lit(1e-6)))
-    return rows.select("host", "path", "n", "host_posterior", "path_posterior", (odds(F.col("path_posterior")) - odds(F.lit(mean))).alias("shift"))
+    k_host = strength(hosts.select("n", "s", spread, F.lit(mean).alias("about")))
+    of = hosts.select(F.col("host").alias("its_host"), F.col("n").alias("host_n"), F.col("s").alias("host_s"))
+    rows = paths.join(of, F.col("host").eqNullSafe(F.col("its_host"))).drop("its_host")
+    k_path = strength(rows.select("n", "s", spread, (F.col("host_s") / F.col("host_n")).alias("about")))
+    return rows.select("host", "path", "n", "s", "host_n", "host_s"), mean, k_host, k_path
 
 
-def _score(p: Column, shift: Column) -> Column:
-    return 1 / (1 + (1 - p) / F.greatest(p, F.lit(1e-9)) * F.exp(-shift))
+def priors(p: Column, n: Column, s: Column, host_n: Column, host_s: Column, mean: float, k_host: float, k_path: float) -> tuple[Column, Column]:
+    """A row's host and path posterior means without its own probability p."""
+    host = (k_host * mean + host_s - p) / (k_host + host_n - 1)
+    return host, (k_path * host + s - p) / (k_path + n - 1)
+
+
+def _score(p: Column, prior: Column, mean: float) -> Column:
+    """The log-odds of p and of its prior, less those of the mean."""
+    odds = lambda c: F.greatest(c, F.lit(1e-6)) / F.greatest(1 - c, F.lit(1e-6))
+    return 1 / (1 + (1 - p) / F.greatest(p, F.lit(1e-9)) * odds(F.lit(mean)) / odds(prior))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = 0.5, max_labels: int = MAX_LABELS) -> DataFrame:
     """doc_id, host, path, p (the document's own), host_posterior, path_posterior, score, kept: one row per row of docs."""
     model = train(docs, labels, id_col, text_col, max_labels)
-    scored = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.col(path_col).alias("path"), probability(model, F.col(text_col)).alias("p")))
-    groups = cut(posteriors(scored))
-    rows = join_groups(scored, groups, ["host", "path"], "n", scored.count())
-    score = _score(F.col("p"), F.col("shift"))
-    return rows.select("doc_id", "host", "path", "p", "host_posterior", "path_posterior", score.alias("score"), (score >= threshold).alias("kept"))
+    with Work(docs.sparkSession) as work:
+        scored = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.col(path_col).alias("path"), probability(model, F.col(text_col)).alias("p")))
+        groups, *prior = posteriors(scored)
+        rows = join_groups(scored, cut(groups), ["host", "path"], "n", scored.count())
+        c = F.col
+        host, path = priors(c("p"), c("n"), c("s"), c("host_n"), c("host_s"), *prior)
+        rows = rows.select("doc_id", "host", "path", "p", host.alias("host_posterior"), path.alias("path_posterior"))
+        score = _score(F.col("p"), F.col("path_posterior"), prior[0])
+        return work.keep(rows.withColumns({"score": score, "kept": score >= threshold}))
 
 
 def accept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = 0.5, max_labels: int = MAX_LABELS) -> DataFrame:
     """The rows of docs whose score reaches the threshold. Texts of large groups are not moved."""
     model = train(docs, labels, id_col, text_col, max_labels)
-    own = docs.select(F.col(host_col).alias("host"), F.col(path_col).alias("path"), probability(model, F.col(text_col)).alias("p"))
-    groups = cut(posteriors(own).select(F.col("host").alias(host_col), F.col("path").alias(path_col), F.col("n").alias("__n"), F.col("shift").alias("__shift")))
-    total = groups.agg(F.sum("__n")).first()[0] or 0
-    rows = join_groups(docs, groups, [host_col, path_col], "__n", total)
-    return rows.filter(_score(probability(model, F.col(text_col)), F.col("__shift")) >= threshold).select(*docs.columns)
+    p, n, s, host_n, host_s = unused(docs, "p", "n", "s", "host_n", "host_s")
+    with Work(docs.sparkSession) as work:
+        own = cut(docs.select(F.col(host_col).alias("host"), F.col(path_col).alias("path"), probability(model, F.col(text_col)).alias("p")))
+        groups, *prior = posteriors(own)
+        groups = work.keep(groups.select(F.col("host").alias(host_col), F.col("path").alias(path_col), F.col("n").alias(n), F.col("s").alias(s), F.col("host_n").alias(host_n), F.col("host_s").alias(host_s)))
+        total = own.count()
+    rows = join_groups(docs, groups, [host_col, path_col], n, total).withColumn(p, probability(model, F.col(text_col)))
+    c = F.col
+    _, path = priors(c(p), c(n), c(s), c(host_n), c(host_s), *prior)
+    return rows.filter(_score(c(p), path, prior[0]) >= threshold).select(*docs.columns)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelens.llm import bpe, chat, exact_dedup, jaccard_join, mixing, quality, rules, suffix_dedup, token_files, toxicity
-from tracelens.llm.common import cut, table
+from tracelens.llm.common import cut, remove, shared_dir, table
 
 
 def tokenizer_path() -> str:
@@ -37,9 +38,10 @@ def toxic_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exact_dedup_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark)  # a batch into an empty index; the index goes with the query
-    found = cut(exact_dedup.deduplicate(table(spark, sf_dir, "documents"), index))
-    index.drop()
-    return found
+    try:
+        return exact_dedup.deduplicate(table(spark, sf_dir, "documents"), index)
+    finally:
+        index.drop()
 
 
 def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,10 +65,11 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = token_files.write(table(spark, sf_dir, "documents"), tokenizer_path())
-    found = cut(token_files.read(spark, out))
-    token_files.remove(out)
-    return found
+    out = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    try:
+        return cut(token_files.read(spark, token_files.write(table(spark, sf_dir, "documents"), tokenizer_path(), out=out)))
+    finally:
+        remove(spark, out)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,7 +2,8 @@
 
 A document's character-class histogram and common-word histogram are compared with its language's references by
 Jensen-Shannon divergence (base 2). The references are sums over all documents of the language that pass the base rules
-(grouped aggregation). A language with fewer than min_docs documents, and null, use the sums over all languages.
+(grouped aggregation). A language with fewer than min_docs such documents, and null, use the class sums over all languages; how many
+documents other languages have makes no difference to it. COMMON_WORDS lists the words; other languages have the class test alone.
 Short texts are guarded: below min_chars the character test passes, below min_words the word test.
 
 A text without any common word is only as far from the reference as the reference's common-word share allows (0.13 to 0.14
@@ -21,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import SPACE, SPACE_CLASS, cut, let
+from tracelens.llm.common import SPACE, SPACE_CLASS, Work, cut, join_groups, let
 
 SYMBOLS = "#*$%&|<>"
 #: Frequent function words by language.
@@ -45,7 +46,8 @@ def repeated_words(words: Column, window: int = 3) -> Column:
     """How many words lie in a window of that many words that the text has twice or more.
 
     Each window's 64-bit hash is shifted left by the bits that a position needs, the position is put below, and the longs
-    are sorted: equal windows become neighbours. Neighbours with equal hash bits are then compared word by word.
+    are sorted: equal windows become neighbours. Neighbours with equal hash bits are then compared word by word; if any differ,
+    as they may in very long texts, the text's windows are sorted by their words instead.
     """
 
     def counted(w: Column) -> Column:
@@ -57,17 +59,28 @@ def repeated_words(words: Column, window: int = 3) -> Column:
             b, m = c["bits"], c["mask"]
             hashed = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.call_function("shiftleft", F.xxhash64(*[w[i + k] for k in range(window)]), b).bitwiseOR(i.cast("long")))
 
-            def same(x: Column, y: Column) -> Column:
-                equal = F.call_function("shiftright", x, b) == F.call_function("shiftright", y, b)
-                for k in range(window):
-                    equal = equal & (w[x.bitwiseAND(m).cast("int") + k] == w[y.bitwiseAND(m).cast("int") + k])
+            def bits_equal(x: Column, y: Column) -> Column:
+                return F.call_function("shiftright", x, b) == F.call_function("shiftright", y, b)
+
+            def words_equal(x: Column, y: Column) -> Column:
+                at = lambda v, k: w[v.bitwiseAND(m).cast("int") + k]
+                equal = at(x, 0) == at(y, 0)
+                for k in range(1, window):
+                    equal = equal & (at(x, k) == at(y, k))
                 return equal
 
-            def neighbours(s: Column) -> Column:
+            def twice(s: Column, equal) -> Column:
                 last = F.size(s) - 1
-                return F.filter(s, lambda x, i: F.when((i > 0) & same(x, s[F.greatest(i - 1, F.lit(0))]), F.lit(True)).otherwise((i < last) & same(x, s[F.least(i + 1, last)])))
+                return F.filter(s, lambda x, i: F.when((i > 0) & equal(x, s[F.greatest(i - 1, F.lit(0))]), F.lit(True)).otherwise((i < last) & equal(x, s[F.least(i + 1, last)])))
+
+            def found(s: Column) -> Column:
+                mixed = F.exists(F.sequence(F.lit(1), F.size(s) - 1), lambda i: bits_equal(s[i], s[i - 1]) & ~words_equal(s[i], s[i - 1]))
+                whole = F.sort_array(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(*[w[i + k].alias(f"w{k}") for k in range(window)], i.alias("i"))))
+                by_words = let(whole, lambda z: F.transform(twice(z, lambda x, y: F.struct(*[x[f"w{k}"] for k in range(window)]) == F.struct(*[y[f"w{k}"] for k in range(window)])), lambda x: x["i"]))
+                by_hash = F.transform(twice(s, bits_equal), lambda x: x.bitwiseAND(m).cast("int"))
+                return F.when(mixed, by_words).otherwise(by_hash)
 
-            places = let(F.sort_array(hashed), lambda s: F.sort_array(F.transform(neighbours(s), lambda x: x.bitwiseAND(m).cast("int"))))
+            places = let(F.sort_array(hashed), lambda s: F.sort_array(found(s)))
             gaps = let(places, lambda p: F.transform(p, lambda x, i: F.when(i == 0, F.lit(window)).otherwise(F.least(F.lit(window), x - p[F.greatest(i - 1, F.lit(0))]))))
             return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
 
@@ -119,25 +132,26 @@ def divergence(p: Column, q: Column) -> Column:
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_chars: int = 200, min_words: int = 100, max_classes: float = 0.05, max_common: float = 0.2, min_docs: int = 20, reach: float = 0.25) -> DataFrame:
     """doc_id, n_words, the base counts, base_failed, kept, and the two divergences."""
-    rows = cut(counts(docs, id_col, text_col, lang_col))
-    k, widest = len(CLASSES) + 1, 1 + max(len(x) for x in COMMON_WORDS.values())
-    good = rows.filter("NOT base_failed")
-    sums = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(k)] + [F.sum(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(widest)]
-    by_lang = good.groupBy("lang").agg(F.count("*").alias("n"), *sums)
-    both = lambda n: F.array(*[F.col(f"c{i}").cast("double") for i in range(k)])
-    # Languages with at least min_docs rows and, at any size, over 1/1000 of all rows: fewer than 1000, so a broadcast is bounded.
-    total = max(1, good.count())
-    own = by_lang.filter((F.col("n") >= min_docs) & (F.col("n") * 1000 > total) & F.col("lang").isNotNull())
-    words = F.filter(F.array(*[F.col(f"w{i}").cast("double") for i in range(widest)]), lambda x: x.isNotNull())
-    own = own.select(F.col("lang").alias("__lang"), both(k).alias("ref_classes"), words.alias("ref_common"))
-    none_common = F.transform("ref_common", lambda x, i: F.when(i == F.size("ref_common") - 1, F.lit(1.0)).otherwise(F.lit(0.0)))
-    own = own.withColumn("farthest", divergence(none_common, F.col("ref_common")))
-    whole = by_lang.agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(k)]).select(both(k).alias("all_classes"))
-    rows = rows.join(F.broadcast(own), F.col("lang") == F.col("__lang"), "left").join(F.broadcast(whole))
+    with Work(docs.sparkSession) as work:
+        rows = work.keep(counts(docs, id_col, text_col, lang_col))
+        k, widest = len(CLASSES) + 1, 1 + max(len(x) for x in COMMON_WORDS.values())
+        good = ~F.col("base_failed")
+        sums = [F.sum(F.when(good, F.get("classes", F.lit(i)))).alias(f"c{i}") for i in range(k)] + [F.sum(F.when(good, F.get("common", F.lit(i)))).alias(f"w{i}") for i in range(widest)]
+        by_lang = cut(rows.groupBy("lang").agg(F.count("*").alias("all"), F.count_if(good).alias("n"), *sums))
+        whole = by_lang.agg(F.sum("all").alias("all"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(k)]).first()
+        classes = F.array(*[F.coalesce(F.col(f"c{i}"), F.lit(0)).cast("double") for i in range(k)])
+        words = F.filter(F.array(*[F.col(f"w{i}").cast("double") for i in range(widest)]), lambda x: x.isNotNull())
+        known = (F.col("n") >= min_docs) & F.col("lang").isNotNull()
+        of_all = F.array(*[F.lit(float(whole[f"c{i}"] or 0)) for i in range(k)])
+        own = by_lang.select("lang", "all", F.when(known, classes).otherwise(of_all).alias("ref_classes"), F.when(known, words).otherwise(F.array().cast("array<double>")).alias("ref_common"))
+        none_common = F.transform("ref_common", lambda x, i: F.when(i == F.size("ref_common") - 1, F.lit(1.0)).otherwise(F.lit(0.0)))
+        own = work.keep(own.withColumn("farthest", divergence(none_common, F.col("ref_common"))))
+    # Rows of large languages stay where they are, those of small ones meet their reference by a shuffle.
+    rows = join_groups(rows, own, ["lang"], "all", whole["all"] or 0)
     as_double = lambda c: F.transform(c, lambda x: x.cast("double"))
     rows = rows.withColumns({
-        "class_divergence": divergence(as_double("classes"), F.coalesce("ref_classes", F.transform("all_classes", lambda x: F.coalesce(x, F.lit(0.0))))),
-        "word_divergence": F.coalesce(divergence(as_double("common"), F.coalesce("ref_common", F.array().cast("array<double>"))), F.lit(0.0)),
+        "class_divergence": divergence(as_double("classes"), F.col("ref_classes")),
+        "word_divergence": F.coalesce(divergence(as_double("common"), F.col("ref_common")), F.lit(0.0)),
     })
     by_chance = (F.size("common") - 1) / (8 * math.log(2) * F.greatest(F.col("n_words"), F.lit(1)))
     bound = F.least(F.lit(max_common), reach * F.coalesce("farthest", F.lit(0.0)) + by_chance)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelens.llm.bpe import parted, plain
+from tracelens.llm.bpe import parted, plain, read_spec
 from tracelens.llm.chunks import chunked
 from tracelens.llm.common import partitions, shared_dir, ship
 
@@ -93,7 +93,7 @@ def write(docs: DataFrame, path: str, out: str | None = None, end_id: int = 2, i
     """Encodes docs with the tokenizer file at path into the folder out (a new shared one by default), and returns it."""
     spark = docs.sparkSession
     ship(spark)
-    text = open(path, encoding="utf-8").read()
+    text = read_spec(path)
     from tokenizers import Tokenizer
 
     vocab = Tokenizer.from_str(text).get_vocab_size(with_added_tokens=True)
@@ -184,8 +184,3 @@ def read(spark: SparkSession, out: str) -> DataFrame:
     rows = [(p["part"], p["n_docs"], p["n_null"], p["base"]) for p in manifest["parts"]]
     listed = spark.createDataFrame(rows, schema).repartition(max(1, min(len(rows), partitions(spark))))
     return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
-
-
-def remove(out: str) -> None:
-    fs, root = filesystem(out)
-    fs.delete_dir(root)

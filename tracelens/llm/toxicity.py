@@ -197,10 +197,10 @@ def held_out(doc_id: Column) -> Column:
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_texts: int) -> DataFrame:
     """At most max_texts labelled rows (text, y) that are not held out, those of least hash of doc_id."""
-    some = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__y")).filter(F.col("__y").isNotNull() & F.col("__id").isNotNull() & ~held_out(F.col("__id")))
-    some = some.orderBy(F.xxhash64("__id"), "__id").limit(max_texts)
-    rows = docs.join(F.broadcast(some), F.col(id_col) == F.col("__id"))
-    return rows.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col("__y").alias("y"))
+    some = labels.select("doc_id", F.col("toxic").alias("y")).filter(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_texts)
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return own.join(F.broadcast(some), "doc_id")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_texts: int = MAX_TEXTS) -> Machine | float:
