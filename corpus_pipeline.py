@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelens.llm import bpe, exact_dedup, jaccard_join, mixing, quality
-from tracelens.llm.common import shared_dir, table
+from tracelens.llm.common import Work, remove, table
 from tracelens.llm.queries import tokenizer_path
 
 
@@ -49,9 +47,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; a stage's rows go as soon as the next has read them, and the last's stay until the driver ends."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
-        docs = spark.read.parquet(f"{folder}/{i}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with Work(spark) as work:
+        before = None
+        for i, (_, stage) in enumerate(STAGES[:-1]):
+            folder = f"{work.folder}/stage-{i}"
+            stage(spark, docs, sf_dir).write.parquet(folder)
+            docs = spark.read.parquet(folder)
+            if before:
+                remove(spark, before)
+            before = folder
+        return work.keep(STAGES[-1][1](spark, docs, sf_dir))

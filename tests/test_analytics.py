@@ -1,96 +1,295 @@
+"""Operators of the trace analytics: every query against its oracle, and small cases with expectations of their own."""
+
+import difflib
+import gzip
+import json
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tracelens import schema
+from tracelens.functions import html as H
+from tracelens.functions import render
 from tracelens.functions import text as T
+from tracelens.operators import bootstrap, judge, sampling, search, support, traces, validation
 from tracelens.operators import relational as R
 from tracelens.plans import catalog
-from tracelens.sources import jsonl
+from tracelens.sources import jsonl, providers, sinks
 
 
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()[0]
 
 
-@pytest.mark.parametrize("text, expected", [("U.S.A", "us"), ("Twenty-One", "twentyone"), ("twenty one", "20 1"), ("The Serban Ghenea.", "serban ghenea"), (None, "")])
-def test_normalize_answer(spark, text, expected):
-    assert one(spark, T.normalize_answer(F.lit(text).cast("string"))) == expected
+def text(x):
+    return F.lit(x).cast("string")
+
+
+@pytest.fixture(scope="module")
+def con(sf_dir):
+    c = duckdb.connect()
+    for t in catalog.TABLES:
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+def test_query_matches_its_oracle(spark, sf_dir, con, name):
+    norm = lambda v: None if v is None else round(float(v), 5) if isinstance(v, float) or hasattr(v, "as_tuple") else v
+    rows, sql = catalog.queries()[name](spark, sf_dir), catalog.oracle_sql()[name]
+    names = sorted(rows.columns)
+    ours = sorted((tuple(norm(x) for x in r) for r in rows.select(*names).collect()), key=repr)
+    columns = ",".join(f'"{c}"' for c in names)
+    theirs = sorted((tuple(norm(x) for x in r) for r in con.sql(f"SELECT {columns} FROM ({sql})").fetchall()), key=repr)
+    assert sorted(con.sql(sql).columns) == names and ours == theirs
+
+
+@pytest.mark.parametrize("said, expected", [("E.U.A", "eu"), ("Forty-Seven", "fortyseven"), ("seven eleven", "7 11"), ("An Old Mill, the", "old mill"), ("New Delhi city", "new delhi city"), (None, "")])
+def test_normalize_answer(spark, said, expected):
+    assert one(spark, T.normalize_answer(text(said))) == expected
 
 
 def test_grades(spark):
-    assert one(spark, T.exact_match(F.lit("The Serban Ghenea."), F.lit("serban ghenea")))
-    assert one(spark, T.token_f1(F.lit("Taylor Swift"), F.lit("Taylor Alison Swift"))) == pytest.approx(0.8)
-    assert one(spark, T.token_f1(F.lit("a"), F.lit("the"))) == 1.0
-    assert one(spark, T.answer_in_text(F.lit("3"), F.lit("1,234")))
+    assert one(spark, T.exact_match(text("An old mill!"), text("old   mill")))
+    assert one(spark, T.token_f1(text("red red wine"), text("red wine glass"))) == pytest.approx(2 * 2 / 6)
+    assert one(spark, T.token_f1(text("an"), text("the"))) == 1.0 and one(spark, T.token_f1(text("x"), text(""))) == 0.0
+    assert one(spark, T.answer_in_text(text("7"), text("2,578"))) and not one(spark, T.answer_in_text(text(""), text("x"))) and not one(spark, T.answer_in_text(text("x"), text(None)))
+
+
+@pytest.mark.parametrize("url, expected", [
+    ("HTTPS://WWW.Shop.example/a/?utm_medium=m&b=2&gclid=1#top", "https://www.shop.example/a/?b=2"),
+    ("shop.example/a/", "shop.example/a"),
+    ("http://s.example/?q=a b&c", "http://s.example/?q=a+b&c="),
+    ("http://s.example/x?q=%7Eme%2f*", "http://s.example/x?q=~me%2F%2A"),
+    ("http://s.example/x?q=100%", "http://s.example/x?q=100%25"),
+    ("", ""),
+])
+def test_normalize_url(spark, url, expected):
+    assert one(spark, T.normalize_url(text(url))) == expected
 
 
-def test_urls(spark):
-    u = F.lit("https://www.example.com/path?utm_source=x&keep=1#frag")
-    assert one(spark, T.normalize_url(u)) == "https://www.example.com/path?keep=1"
-    assert one(spark, T.root_domain(u)) == "example.com"
-    assert one(spark, T.source_family(F.lit("https://en.wikipedia.org/wiki/Example#Section"))) == "en.wikipedia.org/wiki/example"
+def test_url_families(spark):
+    assert one(spark, T.source_family(text("https://de.wikipedia.org/wiki/M%C3%BChle"))) == "de.wikipedia.org/wiki/m%c3%bchle"
+    assert one(spark, T.source_family(text("https://www.a.example/B/c/d"))) == "a.example/b/c" and one(spark, T.source_family(text("nohost/x"))) == ""
+    assert one(spark, T.root_domain(text("http://me@www.a.example:81/x"))) == "me@www.a.example:81"
 
 
-def test_latest_resume_and_reuse(spark):
-    rows = spark.createDataFrame([("q1", 1, True), ("q1", 2, False), ("q2", 3, True)], "q string, line int, failed boolean")
+def test_answers_and_cuts(spark):
+    for said, answer, given in [("so\nFinal answer:  12   May", "12 May", True), ("just words", "just words", False), ("FINAL ANSWER: Unable to find it", "Unable to find it", False), (None, "", False)]:
+        assert one(spark, T.final_answer(text(said))) == answer and one(spark, T.answered(text(said))) is given
+    assert one(spark, T.truncate(text("ab  cd ef"), 6)) == "ab cd..." and one(spark, T.estimate_tokens(text("abc"))) == 1
+    long = " ".join(f"word{i}" for i in range(90))
+    fitted = one(spark, T.fit_query(text(long), 40, 100))
+    assert len(fitted) <= 100 and long.startswith(fitted + " ")
+    x = one(spark, T.excerpt_around(text("0123456789" * 5), F.array(F.lit("zz"), F.lit("789")), 11))
+    assert (x["start"], x["end"], x["truncated"]) == (3, 14, True) and x["text"] == ("0123456789" * 5)[3:14]
+
+
+def test_json_of_models(spark):
+    shown = lambda s: one(spark, F.try_variant_get(T.parse_json_object(text(s)), "$.a", "int"))
+    assert [shown(s) for s in ('{"a": 4}', '```json\n{"a": 4}\n```', 'well {"a": 4} so', "", "none")] == [4, 4, 4, None, None]
+    digest = one(spark, T.hash_json(b=text(None), a=F.lit("é")))
+    import hashlib
+
+    assert digest == hashlib.sha256(json.dumps({"a": "é", "b": None}, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def test_wilson(spark):
+    assert [one(spark, x) for x in T.wilson(F.lit(8), F.lit(10))] == [49, 94] and [one(spark, x) for x in T.wilson(F.lit(0), F.lit(0))] == [0, 0]
+
+
+def test_relational(spark):
+    rows = spark.createDataFrame([("q1", 1, True), ("q1", 2, False), ("q2", 3, True), (None, 4, True)], "q string, line int, failed boolean")
     assert {r["q"]: r["failed"] for r in R.latest_by_key(rows, ["q"], "line").collect()} == {"q1": False, "q2": True}
-    assert R.resume(rows, rows.filter("failed"), ["q"]).count() == 0
-    assert sorted(r["reuse_class"] for r in R.first_writer(rows, F.col("q"), "line").collect()) == ["duplicate", "fresh", "fresh"]
+    assert R.resume(rows, rows.filter("failed AND q IS NOT NULL"), ["q"]).count() == 1
+    assert sorted(r["reuse_class"] for r in R.first_writer(rows.union(rows), F.col("q"), ["line"]).collect()) == ["duplicate"] * 4 + ["fresh"] * 2 + ["unkeyed"] * 2
 
 
-def test_jsonl(spark, tmp_path):
-    (tmp_path / "a.jsonl").write_text('{"q": "a"}\n\n{"q": "b"}\n')
-    assert [(r["q"], r["line_num"]) for r in jsonl.read_jsonl(spark, str(tmp_path / "a.jsonl"), "q string").orderBy("line_num").collect()] == [("a", 1), ("b", 3)]
+PAGE = {"fetch_status": "success", "extractor": "reader", "extracted_text_chars": 60_000, "extracted_text": "In 1912 the mill in Nantes burned."}
 
 
-def test_queries_match_their_oracles(spark, sf_dir):
-    con = duckdb.connect()
-    for t in catalog.TABLES:
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
-    norm = lambda v: None if v is None else round(float(v), 5) if isinstance(v, float) or hasattr(v, "as_tuple") else v
-    queries, oracle = catalog.queries(), catalog.oracle_sql()
-    for name in ("provider_summary", "policy_ablation", "decision_partition", "latest_runs", "url_parts", "stratified_sample", "pairwise_outcomes"):
-        rows = queries[name](spark, sf_dir)
-        names = sorted(rows.columns)
-        ours = sorted((tuple(norm(x) for x in r) for r in rows.select(*names).collect()), key=repr)
-        theirs = sorted((tuple(norm(x) for x in r) for r in con.sql(f"SELECT {','.join(names)} FROM ({oracle[name]})").fetchall()), key=repr)
-        assert ours == theirs, name
-
-
-def test_query_states_grow_with_the_users_and_fill_every_cell(spark):
-    d = "/root/testdata/sf0.01"
-    events = spark.read.parquet(f"{d}/events.parquet").toPandas()
-    cells, split, fetches = {}, {}, {}
-    for (provider, _), g in events.sort_values("event_id").groupby(["event_type", "user_id"]):
-        pre, page, fetched = g.event_id % 11 == 0, g.event_id % 5 == 0, g.event_id % 4 == 0
-        cell = "SMART" if (pre & fetched).any() else "MISSED" if pre.any() else "BLIND" if fetched.any() else "NOOP"
-        n, correct = cells.get((provider, cell), (0, 0))
-        cells[provider, cell] = n + 1, correct + int(page.any())
-        was = split.get(provider, (0, 0, 0, 0))
-        split[provider] = tuple(a + int(b) for a, b in zip(was, (pre.any(), not pre.any() and page.any(), (pre | page).any(), len(g))))
-        for policy, k in (("fetch_rank_1", 1), ("fetch_top_3", 3), ("fetch_top_5", 5)):
-            n, captured, opened = fetches.get((provider, policy), (0, 0, 0))
-            fetches[provider, policy] = n + 1, captured + int(pre.any() or page[:k].any()), opened + min(k, len(g))
-    queries = catalog.queries()
-    got = {(r["provider"], r["cell"]): (r["queries"], r["correct"]) for r in queries["decision_partition"](spark, d).collect()}
-    assert {k: v for k, v in got.items() if v[0]} == cells and {c for _, c in cells} == {"SMART", "MISSED", "BLIND", "NOOP"}
-    assert {r["provider"]: (r["pre_support"], r["post_discovered"], r["trajectory"], r["urls"]) for r in queries["support_split"](spark, d).collect()} == split
-    got = {(r["provider"], r["policy"]): (r["queries"], r["captured"], r["fetches"]) for r in queries["policy_ablation"](spark, d).collect()}
-    assert {k: got[k] for k in fetches} == fetches
-
-
-def test_bootstrap_resamples_with_replacement(spark, sf_dir):
+def trace(**more):
+    found = {"rank": 3, "url": "https://mill.example/story?utm_source=n", "snippet": "The mill in Nantes", "domain": "mill.example", "provider_metadata": json.dumps({"extra_snippets": ["It burned in 1912"], "age": "", "score": 1})}
+    base = {"trace_id": "t", "query_id": "q", "provider_id": "p", "gold_answer": "1912", "gold_urls": ["https://mill.example/story"], "final_answer": "1913", "answered": True, "total_search_calls": 1, "retrievals": [{"search_query": "mill fire", "search_response": {"results": [found]}}]}
+    return base | more
+
+
+def rows_of(spark, *traces_):
+    lines = [json.dumps(t) for t in traces_]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines, 1)], "line_num long, line string")
+    return df.select("line_num", F.from_json("line", schema.TRACE).alias("t")).select("t.*", "line_num")
+
+
+def test_metrics_of_a_trace(spark):
+    tool = {"fetch_id": "f", "source_rank": 4, "url": "https://mill.example/story", "page_fetch": PAGE}
+    empty = {"trace_id": "e", "query_id": "x", "provider_id": "p"}
+    got = {r["trace_id"]: r for r in traces.per_trace_metrics(rows_of(spark, trace(), trace(trace_id="f", fetches=[tool]), empty)).collect()}
+    t, f, e = got["t"], got["f"], got["e"]
+    assert t["gold_url_exact_hit"] and t["gold_url_prefix_hit"] and t["answer_in_extra_snippets"] and not t["answer_in_snippet"] and t["wrong_with_answer_text_available"]
+    assert t["provider_metadata_field_counts"] == {"extra_snippets": 1, "score": 1} and t["reformulation_rate"] is None and t["first_answer_page_rank"] is None
+    assert f["answer_in_page"] and f["first_answer_page_rank"] == 4 and f["answer_page_mrr"] == 0.25 and f["fetch_status_counts"] == {"success": 1} and f["large_extract_50k_count"] == 1
+    assert e["exact_match"] and not e["answered"] and e["abstained"] and e["result_count"] == 0 and e["snippet_chars_median"] == 0 and e["fetch_status_counts"] == {}
+    v1 = {r["trace_id"]: r for r in traces.trace_metrics(rows_of(spark, trace(), trace(trace_id="g", gold_urls=["http://other.example"]))).collect()}
+    assert v1["t"]["failure_mode"] == "reasoning_failure" and v1["g"]["failure_mode"] == "retrieval_failure" and v1["t"]["premature_termination"]
+
+
+def test_hit_ranks_follow_the_searches(spark):
+    hit = lambda rank: {"rank": rank, "snippet": "it was 1912"}
+    t = trace(retrievals=[{"search_response": {"results": [hit(0), hit(6)]}}, {"search_response": {"results": [hit(1)]}}])
+    assert traces.per_trace_metrics(rows_of(spark, t)).first()["first_answer_snippet_rank"] == 6
+    empty_gold = traces.per_trace_metrics(rows_of(spark, trace(gold_urls=[""]))).first()
+    assert empty_gold["gold_url_prefix_hit"] and not empty_gold["gold_url_exact_hit"]
+
+
+def test_reliability(spark):
+    r = traces.reliability(rows_of(spark, trace(failed=True), trace(), trace(query_id="r", failed=True), trace(query_id=None))).first()
+    assert (r["trace_rows"], r["historical_failed_rows"], r["latest_failed_queries"], r["transient_failures_recovered"], r["latest_queries"]) == (4, 2, 1, 1, 2)
+
+
+def test_reformulation_rate(spark, sf_dir):
+    got = {r["conv_id"]: r["rate"] for r in catalog.queries()["reformulation_rate"](spark, sf_dir).collect()}
+    chats = {}
+    for r in sorted(spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("role = 'user'").collect(), key=lambda r: (r["conv_id"], r["turn"], r["text"] or "")):
+        chats.setdefault(r["conv_id"], []).append((r["text"] or "").lower())
+    for c, q in chats.items():
+        want = None if len(q) < 2 else sum(difflib.SequenceMatcher(None, a, b).ratio() < 0.7 for a, b in zip(q, q[1:])) / (len(q) - 1)
+        assert got[c] == (want if want is None else pytest.approx(want))
+
+
+def test_judge_surfaces_and_reuse(spark):
+    base = {"schema_version": schema.JUDGE_VERSION, "provider_id": "p", "query_id": "q", "retrieval_id": "r", "rank": 1, "url": "http://a.example/x?utm_term=1", "judgment": {"contains_gold_answer": True}}
+    rows = [base | {"seq": 1}, base | {"seq": 2, "rank": 3, "provider_id": "o", "url": "http://a.example/x"}, base | {"seq": 3, "page_fetch_source": "fetch_tool"}, base | {"seq": 4, "judgment_parse_error": "x"}, base | {"seq": 5, "retrieval_id": None}]
+    df = spark.createDataFrame([(json.dumps(r),) for r in rows], "j string").select(F.from_json("j", schema.JUDGE).alias("j")).select("j.*")
+    got = {r["seq"]: r for r in df.select("seq", judge.valid().alias("v"), judge.valid(True).alias("rv"), judge.inferred_surface().alias("s"), judge.reuse_key().alias("k")).collect()}
+    assert [got[i]["v"] for i in range(1, 6)] == [True, True, True, False, True] and not got[5]["rv"]
+    assert got[1]["k"] == got[2]["k"] and got[3]["s"] == "page_visible" and got[3]["k"] is None and got[1]["s"] == "snippet_only"
+    classes = {r["seq"]: r["reuse_class"] for r in judge.reuse_classes(df, df.filter("seq = 99")).collect()}
+    assert classes == {1: "fresh", 2: "duplicate", 3: "fresh", 4: "duplicate", 5: "duplicate"}
+    assert judge.exact_cache(df.filter("seq = 1"), df.filter("seq IN (1, 4)")).count() == 1
+
+
+def test_judge_records(spark):
+    tool = {"fetch_id": "f", "source_retrieval_id": "r1", "source_document_id": "s1r3", "source_rank": 3, "url": "https://mill.example/story", "page_fetch": PAGE}
+    t = trace(fetches=[tool])
+    t["retrievals"][0] |= {"retrieval_id": "r1"}
+    t["retrievals"][0]["search_response"]["results"][0] |= {"document_id": "s1r3"}
+    r = judge.judge_records(rows_of(spark, t)).first()
+    assert r["page_fetch_source"] == "fetch_tool" and r["model_fetched_document"] and r["judge_surface_class"] == "page_visible" and r["document_id"] == "q::p::r1::r3" and not r["document_garbage_precheck"]["is_garbage"]
+
+
+def test_render(spark):
+    assert one(spark, render.escape(text("a<'b'&\"c\">"))) == "a&lt;&#x27;b&#x27;&amp;&quot;c&quot;&gt;"
+    assert one(spark, render.fill(" {{ a }} {{{a}}} {{ none }}x", {"a": text("<")})) == "&lt; <  x".replace("  x", " x")
+
+
+def test_html(spark):
+    page = "<html><head><style>p{}</style><script>var secret=1;</script></head><body><h1>Mill</h1><p>It &amp; all <b>burned</b>.</p><svg><p>no</p></svg></body></html>"
+    assert H.shown_text(page) == "Mill\nIt & all burned ."
+    rows = spark.createDataFrame([(page, b"\x00a"), (None, None)], "h string, b binary")
+    got = rows.select(H.main_text(F.col("h")).alias("t"), H.looks_binary(F.col("b")).alias("b"), H.unescaped(F.lit("&amp;amp;lt;")).alias("u")).collect()
+    assert [r["b"] for r in got] == [True, False] and got[1]["t"] == "" and got[0]["u"] == "<"
+
+
+def test_payloads(spark):
+    body = json.dumps({"data": [{"metadata": {"title": "Old", "description": "Told", "url": "http://a.example"}}, "junk", {"url": "http://b.example", "title": "T", "content": "C"}]})
+    got = providers.parse(spark.createDataFrame([(1, body), (2, "not json")], "i int, payload string"), "firecrawl").collect()
+    assert [(r["rank"], r["title"], r["snippet"], r["domain"]) for r in got] == [(1, "Old", "Told", "a.example"), (2, "T", "C", "b.example")]
+
+
+def test_jsonl_sources(spark, tmp_path):
+    (tmp_path / "brave_run.jsonl").write_text('{"q": "a"}\n\n{"q": "b", "provider_id": ""}\n')
+    (tmp_path / "bad.jsonl").write_text('{"q": "a"}\n{broken\n')
+    rows = jsonl.read_jsonl(spark, str(tmp_path / "brave_run.jsonl"), "q string, provider_id string")
+    assert [(r["q"], r["line_num"]) for r in rows.orderBy("line_num").collect()] == [("a", 1), ("b", 3)]
+    assert jsonl.provider_label(rows).first()["provider"] == "brave" and jsonl.line(rows, 3).first()["q"] == "b"
+    with pytest.raises(Exception, match="bad JSON in line 2"):
+        jsonl.read_jsonl(spark, str(tmp_path / "bad.jsonl"), "q string").collect()
+    assert jsonl.read_tolerant(spark, str(tmp_path / "bad.jsonl"), "q string", F.col("q") == "a").first()["cache_source_line_num"] == 1
+
+
+def test_a_file_in_many_splits_keeps_its_line_numbers(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text("".join(json.dumps({"i": i}) + "\n" for i in range(1, 3001)))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = jsonl.read_jsonl(spark, str(tmp_path / "x.jsonl"), "i long")
+        assert rows.filter("i <> line_num").count() == 0 and rows.count() == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+def test_other_sources_and_sinks(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"queries": [{"query_id": "x"}, {"query_id": "y"}]}, indent=1))
+    assert jsonl.read_array(spark, str(tmp_path / "a.json"), "queries", "query_id STRING").count() == 2
+    (tmp_path / "s.tsv").write_text("provider\tquery_id\tem\tsemantic_match\nA\tq1\t0\t1\nA\tq2\t1\t0\n")
+    assert [(r["provider_id"], r["correct"]) for r in jsonl.read_semantic(spark, str(tmp_path / "s.tsv"), 2).orderBy("query_id").collect()] == [("a", True), ("a", False)]
+    with pytest.raises(ValueError):
+        jsonl.read_semantic(spark, str(tmp_path / "s.tsv"), 3)
+    (tmp_path / "p.json").write_text('{"c1": {"human_value": "true"}}')
+    assert jsonl.read_progress(spark, str(tmp_path / "p.json")).first()["human_value"] == "true"
+    (tmp_path / "l.txt").write_text(jsonl.POINTER + "\noid x\n")
+    assert jsonl.pointers(spark, str(tmp_path / "l.txt")).count() == 1 and jsonl.settings("# no\nA='b'\n") == {"A": "b"}
+    rows = spark.createDataFrame([("http://a.example/", None, [1]), ("http://a.example", None, [2])], "url string, b string, a array<int>")
+    sinks.append_jsonl(rows.limit(1), str(tmp_path / "o"))
+    assert spark.read.text(str(tmp_path / "o")).first()[0] == '{"a":[1],"b":null,"url":"http://a.example/"}'
+    sinks.write_csv(rows, str(tmp_path / "c"))
+    assert spark.read.csv(str(tmp_path / "c"), header=True).columns == ["a", "b", "url"]
+    sinks.write_artifacts(rows.select("url", F.lit("{}").alias("extraction")), str(tmp_path / "art"))
+    files = list((tmp_path / "art").rglob("*.gz"))
+    assert len(files) == 1 and json.loads(gzip.open(files[0]).read())["url"].startswith("http://a.example")
+    table = sinks.pivot(spark.createDataFrame([("x", "u", 1), ("y", "v", 2)], "a string, b string, n int"), "a", "b", F.col("n"))
+    assert sinks.markdown(table) == "| a | u | v |\n| --- | --- | --- |\n| x | 1 | -- |\n| y | -- | 2 |\n"
+
+
+def test_sampling(spark):
+    cells = spark.createDataFrame([("a", 1), ("b", 5), ("c", 4)], "k string, n long")
+    assert {r["k"]: r["taken"] for r in sampling.apportion(cells, ["k"], 9).collect()} == {"a": 1, "b": 4, "c": 4}
+    assert sum(r["taken"] for r in sampling.apportion(cells, ["k"], 10).collect()) == 10
+    with pytest.raises(ValueError):
+        sampling.apportion(cells, ["k"], 11)
+
+
+def test_support_checks_raise(spark):
+    rows = spark.createDataFrame([("p", "q", True, True, True, "SMART")], "provider_id string, query_id string, pre_support boolean, post_discovered boolean, trajectory boolean, cell string")
+    with pytest.raises(Exception, match="disjoint is broken"):
+        support.assert_checks(support.checks(rows)).collect()
+
+
+def test_bootstrap_draws_with_replacement(spark):
     import hashlib
 
-    import numpy as np
-
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").toPandas()
-    d = np.array([(g > 60).sum() - (g > 40).sum() for _, g in events.groupby("user_id")["value"]])
-    pick = lambda rep, i: int(hashlib.md5(f"20260628:{rep}:{i}".encode()).hexdigest()[:8], 16) % len(d)
-    means = [d[[pick(rep, i) for i in range(len(d))]].mean() for rep in range(10_000)]
-    got = catalog.queries()["paired_bootstrap"](spark, sf_dir).first()
-    assert got["reps"] == 10_000 and len(set(means)) > 40
-    assert (got["low"], got["high"]) == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])), abs=1e-6)
-    con = duckdb.connect()
-    con.sql(f"CREATE VIEW events AS SELECT * FROM '{sf_dir}/events.parquet'")
-    assert con.sql(f"SELECT low, high, reps FROM ({catalog.oracle_sql()['paired_bootstrap']})").fetchall()[0] == pytest.approx((got["low"], got["high"], got["reps"]))
+    rows = spark.createDataFrame([(f"q{i}",) for i in range(7)], "query_id string")
+    got = {(r["rep"], r["query_id"]): r["times"] for r in bootstrap.draws(rows, 3).collect()}
+    for rep in range(3):
+        picks = [int(hashlib.md5(f"{bootstrap.SEED}:{rep}:{i}".encode()).hexdigest()[:8], 16) % 7 for i in range(7)]
+        assert {q: n for (r, q), n in got.items() if r == rep} == {f"q{k}": picks.count(k) for k in set(picks)}
+    assert sum(n for (r, _), n in got.items() if r == -1) == 7
+
+
+def test_containment_and_pages(spark):
+    golds = spark.createDataFrame([(1, "seven"), (2, "old red mill"), (3, "the")], "g int, text string")
+    texts = spark.createDataFrame([(1, "An old, red mill"), (2, "seventeen"), (3, None), (4, "bold red millstone, 7")], "t int, text string")
+    assert {(r["g"], r["t"]) for r in search.containment(golds, texts, "g", "t").collect()} == {(2, 1), (2, 4), (1, 2), (1, 4)}
+    got = search.page(texts, ["t"], 2, 3).collect()
+    assert [r["t"] for r in got] == [4] and not got[0]["has_more"]
+    assert validation.merge_labels(golds.withColumnRenamed("g", "case_id"), spark.createDataFrame([(1, "true")], "case_id int, human_value string")).filter("human_value = 'true'").count() == 1
+
+
+def test_streams(spark, tmp_path):
+    from tracelens.streaming import traces as S
+
+    (tmp_path / "in").mkdir()
+    kind = "k string, at timestamp, v int"
+    for i, rows in enumerate([[("a", 1), ("b", 2)], [("a", 3)]]):
+        (tmp_path / "in" / f"{i}.json").write_text("".join(json.dumps({"k": k, "at": f"2026-01-01T00:00:0{v}Z", "v": v}) + "\n" for k, v in rows))
+        S.keep_latest(spark, str(tmp_path / "in"), kind, ["k"], "v", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    assert {r["k"]: r["v"] for r in spark.read.parquet(str(tmp_path / "out" / "version=1")).collect()} == {"a": 3, "b": 2}
+    q = S.first_rows(spark, str(tmp_path / "in"), kind, ["k"], "at").writeStream.format("memory").queryName("firsts").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp2")).start()
+    q.awaitTermination(120)
+    assert sorted(r["k"] for r in spark.sql("SELECT k FROM firsts").collect()) == ["a", "b"]
+
+
+def test_query_states_fill_every_cell(spark):
+    rows = catalog.queries()["decision_partition"](spark, "/root/testdata/sf0.01").collect()
+    assert {r["cell"] for r in rows if r["queries"]} == {"SMART", "MISSED", "BLIND", "NOOP"}

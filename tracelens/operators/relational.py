@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def latest_by_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of each key by order: an aggregation with map-side maxima, not a window over whole groups."""
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.col(order)).alias("r")).select("r.*")
+    """The last row of each key by order: an aggregation with map-side maxima, not a window over whole groups. Rows without a key go."""
+    return rows.dropna(subset=keys).groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.col(order)).alias("r")).select("r.*")
 
 
 def resume(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
@@ -16,24 +16,17 @@ def resume(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return todo.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def first_writer(rows: DataFrame, key: Column, order: str) -> DataFrame:
-    """Each row's class: 'fresh' for the first of its reuse key, 'duplicate' for later ones, 'unkeyed' without a key."""
+def first_writer(rows: DataFrame, key: Column, order: list[str]) -> DataFrame:
+    """Each row's class: 'fresh' for the first of its reuse key, 'duplicate' for later ones, 'unkeyed' without a key.
+
+    order must tell rows of one key apart; of rows that it leaves equal one is fresh.
+    """
+    spread = F.when(F.col("reuse_key").isNull(), F.xxhash64(*order))  # rows without a key are no group
+    rank = F.row_number().over(Window.partitionBy("reuse_key", spread).orderBy(*order))
     keyed = rows.withColumn("reuse_key", key)
-    first = keyed.filter("reuse_key IS NOT NULL").groupBy("reuse_key").agg(F.min(order).alias("first_at"))
-    kind = F.when(F.col("reuse_key").isNull(), "unkeyed").when(F.col(order) == F.col("first_at"), "fresh").otherwise("duplicate")
-    return keyed.join(first, "reuse_key", "left").withColumn("reuse_class", kind)
+    kind = F.when(F.col("reuse_key").isNull(), "unkeyed").when(rank == 1, "fresh").otherwise("duplicate")
+    return keyed.withColumn("reuse_class", kind)
 
 
 def decision_cell(pre: Column, fetched: Column, overlap: Column) -> Column:
     return F.when(pre & overlap, "SMART").when(pre, "MISSED").when(fetched, "BLIND").otherwise("NOOP")
-
-
-def apportion(cells: DataFrame, total: int, size: str = "n", key: str = "cell") -> DataFrame:
-    """Largest remainders: floors, then one more by (fraction, size, key), all descending, within the cell's size."""
-    whole = cells.agg(F.sum(size).alias("__all"))
-    exact = cells.join(F.broadcast(whole)).withColumn("__x", F.col(size) * total / F.col("__all"))
-    exact = exact.withColumn("__f", F.floor("__x")).withColumn("__r", F.col("__x") - F.col("__f"))
-    left = exact.agg((F.lit(total) - F.sum("__f")).alias("__left"))
-    rank = F.row_number().over(Window.orderBy(F.desc("__r"), F.desc(size), F.desc(key)))
-    taken = F.least(F.col(size), F.col("__f") + F.when(F.col("__rn") <= F.col("__left"), 1).otherwise(0))
-    return exact.withColumn("__rn", rank).join(F.broadcast(left)).withColumn("taken", taken.cast("long")).drop("__all", "__x", "__f", "__r", "__rn", "__left")

@@ -13,10 +13,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracelens.functions import text as T
 from tracelens.operators import relational as R
+from tracelens.operators.sampling import apportion
+from tracelens.operators.search import containment
+from tracelens.plans import judge_queries, text_queries, trace_queries
+from tracelens.plans.text_queries import norm_sql
 
-FLAGSHIP = "provider_summary"
+FLAGSHIP = "provider_report"
 #: Of the paired bootstrap, as in the reference.
 REPLICATES, SEED = 10_000, 20260628
 
@@ -71,9 +74,6 @@ SQL = {
     "semi_join_universe": "SELECT event_type, count(*) AS n FROM {events} e WHERE EXISTS (SELECT 1 FROM {customer} c WHERE c.c_custkey = e.user_id AND c.c_acctbal > 0) GROUP BY event_type",
     "incremental_reuse": """
         SELECT reuse_class, count(*) AS n FROM (SELECT CASE WHEN event_id = min(event_id) OVER (PARTITION BY user_id, event_type) THEN 'fresh' ELSE 'duplicate' END AS reuse_class FROM {events}) x GROUP BY reuse_class""",
-    "latest_match": """
-        SELECT q.user_id, q.event_id, max(s.event_id) AS source_event FROM {events} q LEFT JOIN {events} s ON s.user_id = q.user_id AND s.event_type = 'view' AND s.event_id < q.event_id
-        WHERE q.event_type = 'purchase' GROUP BY q.user_id, q.event_id""",
     "first_hit_rank": "SELECT user_id, min_by(rn, event_id) FILTER (WHERE hit) AS first_hit, round(coalesce(1.0 / min_by(rn, event_id) FILTER (WHERE hit), 0.0), 6) AS mrr FROM (SELECT user_id, event_id, value > 80 AS hit, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM {events}) x GROUP BY user_id",
     "top_domains": "SELECT source AS domain, count(*) AS n, min(doc_id) AS first_pos FROM {documents} GROUP BY source ORDER BY n DESC, first_pos LIMIT 20",
     "first_n_per_group": "SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM {documents}) x WHERE rn <= 8",
@@ -83,19 +83,12 @@ SQL = {
         FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id GROUP BY GROUPING SETS ((d.lang), (d.source), ())""",
     "quota_rollup": """
         SELECT d.lang, l.quality, l.toxic, count(*) AS n, least(5, count(*)) AS target FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id GROUP BY d.lang, l.quality, l.toxic""",
-    "distribution_drift": """
-        WITH a AS (SELECT lang, 100.0 * count(*) / (SELECT count(*) FROM {documents}) AS pct FROM {documents} GROUP BY lang),
-        b AS (SELECT lang, 100.0 * count(*) / (SELECT count(*) FROM {documents} WHERE doc_id % 3 = 0) AS pct FROM {documents} WHERE doc_id % 3 = 0 GROUP BY lang)
-        SELECT coalesce(a.lang, b.lang) AS lang, round(CAST(abs(coalesce(a.pct, 0) - coalesce(b.pct, 0)) AS DOUBLE), 2) AS delta_pp FROM a FULL OUTER JOIN b ON a.lang = b.lang""",
     "fill_counts": "SELECT count(*) AS n, count_if(text IS NOT NULL AND text <> '') AS with_text, count_if(coalesce(lang, '') <> '') AS with_lang, count(DISTINCT source) AS sources FROM {documents}",
     "balanced_sample": """
         SELECT quality, doc_id FROM (SELECT quality, doc_id, row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(doc_id AS STRING)), doc_id) AS rn FROM {labels}) x WHERE rn <= 20""",
     "set_union_except": "SELECT 'both' AS part, count(*) AS n FROM (SELECT doc_id FROM {documents} INTERSECT SELECT doc_id FROM {labels}) x UNION ALL SELECT 'unlabelled', count(*) FROM (SELECT doc_id FROM {documents} EXCEPT SELECT doc_id FROM {labels}) y",
     "page_search": "SELECT page_id, url FROM {pages} WHERE lower(url) LIKE '%/a%' OR lower(html) LIKE '%license%' ORDER BY page_id LIMIT 50 OFFSET 5",
-    "containment_join": "SELECT b.item_id, count(d.doc_id) AS docs FROM {benchmark} b LEFT JOIN {documents} d ON contains(lower(d.text), lower(b.text)) GROUP BY b.item_id",
     "cost_rollup": "SELECT user_id, round(sum(CASE WHEN event_type = 'view' THEN value ELSE 0 END) * 0.002 + sum(CASE WHEN event_type = 'click' THEN value ELSE 0 END) * 0.008, 6) AS cost, count(*) AS calls FROM {events} GROUP BY user_id",
-    "garbage_precheck": """
-        SELECT page_id, CASE WHEN html IS NULL THEN 'fetch_failed' WHEN length(html) = 0 THEN 'empty_success' WHEN lower(url) LIKE '%.pdf' THEN 'unsupported_content' WHEN lower(url) LIKE '%.jpg' THEN 'media_content' ELSE 'not_garbage' END AS category FROM {pages}""",
 }
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -110,29 +103,27 @@ def _run(sql: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
-def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, u = spark.read.parquet(f"{sf_dir}/pages.parquet"), F.col("url")
-    return pages.select("page_id", T.normalize_url(u).alias("normalized"), T.root_domain(u).alias("domain"))
+def latest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each purchase with the user's last view before it: one window, not a join with all earlier events."""
+    e, w = spark.read.parquet(f"{sf_dir}/events.parquet"), Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.last(F.when(F.col("event_type") == "view", F.col("event_id")), ignorenulls=True).over(w)
+    return e.select("user_id", "event_id", "event_type", seen.alias("source_event")).filter("event_type = 'purchase'").drop("event_type")
 
 
-URL_SQL = r"""
-WITH p AS (SELECT page_id, trim(url) AS u, list_filter(string_split(regexp_extract(trim(url), '\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_')
-  AND string_split(x, '=')[1] NOT IN ('gclid', 'fbclid', 'mc_cid', 'mc_eid', 'igshid', 'ref', 'ref_src')) AS q FROM pages)
-SELECT page_id, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)) || regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/$', '')
-  || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS normalized,
-  regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\.', '') AS domain
-FROM p"""
+MATCH_SQL = """
+SELECT q.user_id, q.event_id, max(s.event_id) AS source_event FROM events q LEFT JOIN events s ON s.user_id = q.user_id AND s.event_type = 'view' AND s.event_id < q.event_id
+WHERE q.event_type = 'purchase' GROUP BY q.user_id, q.event_id"""
 
 
-def answer_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    a, b = F.col("text"), F.concat(F.lit("The "), F.upper("text"), F.lit("!"))
-    return items.select("item_id", T.normalize_answer(a).alias("normalized"), T.exact_match(a, b).alias("exact"), F.round(T.token_f1(a, b), 6).alias("f1"), T.estimate_tokens(a).alias("tokens"))
+def containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, docs = spark.read.parquet(f"{sf_dir}/benchmark.parquet"), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = containment(items, docs, "item_id", "doc_id").groupBy("item_id").agg(F.count("*").alias("docs"))
+    return items.select("item_id").join(found, "item_id", "left").na.fill(0, ["docs"])
 
 
-def page_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, u = spark.read.parquet(f"{sf_dir}/pages.parquet"), F.col("url")
-    return pages.groupBy(T.source_family(u).alias("family")).agg(F.count("*").alias("n"))
+CONTAINMENT_SQL = rf"""
+WITH g AS (SELECT item_id, {norm_sql('text')} AS n, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS s FROM benchmark), t AS (SELECT doc_id, {norm_sql('text')} AS n, trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) AS s FROM documents)
+SELECT g.item_id, count(t.doc_id) AS docs FROM g LEFT JOIN t ON contains(t.n, g.n) OR contains(t.s, g.s) GROUP BY g.item_id"""
 
 
 def latest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,15 +133,16 @@ def latest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return R.apportion(docs.groupBy(F.col("lang").alias("cell")).agg(F.count("*").alias("n")), 100)
+    return apportion(docs.groupBy("lang").agg(F.count("*").alias("n")), ["lang"], 100).select(F.col("lang").alias("cell"), "n", "taken")
 
 
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """REPLICATES resamples of the users with replacement, the same for both metrics; the index is md5(seed:rep:i) % n."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     users = events.groupBy("user_id").agg((F.count_if(F.col("value") > 60) - F.count_if(F.col("value") > 40)).alias("d"))
+    numbered = users.orderBy("user_id").rdd.zipWithIndex().map(lambda r: (r[0]["d"], r[1]))  # a distributed sort numbers the users
+    users = spark.createDataFrame(numbered, "d long, pos long")
     n = users.count()
-    users = users.select("d", (F.row_number().over(Window.orderBy("user_id")) - 1).cast("long").alias("pos"))
     draws = spark.range(REPLICATES).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))).alias("i"))
     digest = F.md5(F.concat_ws(":", F.lit(str(SEED)), F.col("rep").cast("string"), F.col("i").cast("string")).cast("binary"))
     draws = draws.select("rep", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % max(n, 1)).alias("pos"))
@@ -172,11 +164,23 @@ r AS (SELECT *, row_number() OVER (ORDER BY x - floor(x) DESC, n DESC, cell DESC
 SELECT cell, n, CAST(least(n, floor(x) + CASE WHEN rn <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r"""
 
 
+OWN: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "latest_runs": (latest_runs, LATEST_SQL),
+    "latest_match": (latest_match, MATCH_SQL),
+    "containment_join": (containment_join, CONTAINMENT_SQL),
+    "stratified_sample": (stratified_sample, STRATA_SQL),
+    "paired_bootstrap": (paired_bootstrap, BOOTSTRAP_SQL),
+}
+
+
+def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
+    found = {name: (_run(sql), re.sub(r"\{(\w+)\}", r"\1", sql)) for name, sql in SQL.items()}
+    return found | OWN | trace_queries.QUERIES | judge_queries.QUERIES | text_queries.QUERIES
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {name: _run(sql) for name, sql in SQL.items()}
-    return found | {"url_parts": url_parts, "answer_grades": answer_grades, "page_families": page_families, "latest_runs": latest_runs, "stratified_sample": stratified_sample, "paired_bootstrap": paired_bootstrap}
+    return {name: query for name, (query, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {name: re.sub(r"\{(\w+)\}", r"\1", sql) for name, sql in SQL.items()}
-    return found | {"url_parts": URL_SQL, "latest_runs": LATEST_SQL, "stratified_sample": STRATA_SQL, "paired_bootstrap": BOOTSTRAP_SQL}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
