@@ -32,11 +32,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelens.llm.chunks import chunked
-from tracelens.llm.common import SPACE, ship
+from tracelens.llm.common import SPACE, Work, cut, ship
 from tracelens.llm.rules import words_of
 
 #: Most labelled texts, positive words, negative words and landmarks of each kind that the machine is fitted to.
 MAX_TEXTS, MAX_WORDS, LANDMARKS = 8000, 3000, 300
+ENOUGH = 50
 DECAY, WIDTH, SYMBOLS, BEGIN, MAX_CHUNKS = 0.6, 14, 64, 63, 500_000
 #: Three characters or more with single blanks between, and what a text that has such holds.
 SINGLES = re.compile(rb"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
@@ -203,43 +204,74 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max
     return own.join(F.broadcast(some), "doc_id")
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_texts: int = MAX_TEXTS) -> Machine | float:
-    rows = labelled(docs, labels, id_col, text_col, max_texts)
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Scale and offset of a logistic of margins, held back a little toward a scale of 1."""
+    x, w = np.stack([x, np.ones(len(x))], 1), np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag([0.5, 1e-3]), x.T @ (y - p) - np.array([0.5, 1e-3]) * w)
+    return float(max(w[0], 0.1)), float(w[1])
+
+
+def _machine(rows: DataFrame, each: DataFrame) -> Machine | None:
+    """The machine of some labelled texts (row, y, text) and their words (row, y, word, around); None where no word tells them apart."""
     n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
     if not bad or not good:
-        return bad / max(1, bad + good)
-    bare = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), rf"[^\p{{L}}\p{{N}}{SPACE}@$]+", "")
-    each = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "y", F.explode(F.array_distinct(words_of(bare))).alias("word")).filter("length(word) BETWEEN 3 AND 40")
-    words = each.groupBy("word").agg(F.sum(F.expr("int(y = 1)")).alias("bad"), F.sum(F.expr("int(y = 0)")).alias("good"))
+        return None
+    # A word counts by texts, and in toxic ones by no more than its different surroundings: copies of one text say it once.
+    texts = each.select("word", "y", "row").distinct().groupBy("word").agg(F.count_if(F.col("y") == 1).alias("texts"), F.count_if(F.col("y") == 0).alias("good"))
+    apart = each.filter("y = 1").select("word", "around").distinct().groupBy("word").agg(F.count("*").alias("apart"))
+    words = cut(texts.join(apart, "word", "left").select("word", F.least("texts", F.coalesce("apart", F.lit(0))).alias("bad"), "good"))
     ratio = ((F.col("bad") + 0.1) / bad) / ((F.col("good") + 0.1) / good)
-    # A toxic text names the words that tell it best: those in at least half as many toxic texts as its commonest one. What
-    # merely stands beside an insult, in a few copies of one text, is outvoted by the insult.
-    told = words.filter((F.col("bad") >= 3) & (ratio > 8)).orderBy(F.desc("bad"), "word").select("word", "bad").limit(10 * MAX_WORDS)
-    named = each.filter("y = 1").join(F.broadcast(told), "word")
+    # A toxic text's first witnesses are the words that tell it best: those of at least half as many toxic surroundings as its
+    # best one. What merely stands beside an insult is outvoted by the insult.
+    told = words.filter((F.col("bad") >= 3) & (ratio > 8)).select("word", "bad")
+    named = each.filter("y = 1").select("row", "word").distinct().join(told, "word")
     named = named.withColumn("top", F.max("bad").over(Window.partitionBy("row"))).filter("2 * bad >= top")
-    found = named.groupBy("word").agg(F.count("*").alias("votes")).orderBy(F.desc("votes"), "word").limit(MAX_WORDS // 2).collect()
+    found = named.groupBy("word").agg(F.count("*").alias("votes")).orderBy(F.desc("votes"), "word").limit(MAX_WORDS).collect()
     positive = [r["word"] for r in found]
     if not positive:
-        return bad / (bad + good)
+        return None
     clean = words.filter(f"good > 0 AND bad * {good} <= 2 * good * {bad}")
     frequent = clean.orderBy(F.desc("good"), "word").limit(MAX_WORDS // 2).collect()
     rare = clean.orderBy(F.xxhash64("word"), "word").limit(MAX_WORDS).collect()
     negative = list(dict.fromkeys(w["word"] for pair in zip(rare, frequent) for w in pair) | dict.fromkeys(r["word"] for r in rare))
     machine = train_words(positive + altered(positive), negative)
-    # Words of clean texts that come out highest, as further negatives; then the logistic on each text's highest word.
     for _ in range(2):
-        hard = margins(rows, machine).filter("y = 0 AND margin > -0.8").groupBy("word").agg(F.max("margin").alias("m"))
-        hard = hard.orderBy(F.desc("m"), "word").limit(MAX_WORDS // 2).collect()
-        negative = list(dict.fromkeys(negative + [r["word"] for r in hard]))
+        # Each sentence's highest word speaks for it: of clean ones the highest are further negatives, and of toxic ones a
+        # word that the machine does not place among the clean, however rare, is a further witness.
+        top = cut(margins(rows, machine))
+        hard = top.filter("y = 0 AND margin > -0.8").groupBy("word").agg(F.max("margin").alias("m")).orderBy(F.desc("m"), "word").limit(MAX_WORDS // 2).collect()
+        more = top.filter("y = 1 AND margin > 0.3").groupBy("word").agg(F.max("margin").alias("m")).join(clean.select("word"), "word", "left_anti").orderBy(F.desc("m"), "word").limit(MAX_WORDS).collect()
+        positive = list(dict.fromkeys(positive + [r["word"] for r in more]))
+        negative = [w for w in dict.fromkeys(negative + [r["word"] for r in hard]) if w not in set(positive)]
         machine = train_words(positive + altered(positive), negative)
-    seen = np.array(margins(rows, machine).select("margin", "y").rdd.map(lambda r: (float(r[0]), float(r[1]))).collect())
-    x, y = np.hstack([seen[:, :1], np.ones((len(seen), 1))]), (seen[:, 1] > 0).astype(float)
-    w = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag([0.5, 1e-3]), x.T @ (y - p) - np.array([0.5, 1e-3]) * w)
-    machine.scale, machine.offset = float(max(w[0], 0.1)), float(w[1])
+    return machine
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_texts: int = MAX_TEXTS) -> Machine | float:
+    """The machine, or the share of toxic texts where none can be fitted. Its logistic is fitted to margins that machines of the
+    other half of the texts give, so that it knows how unseen texts come out; with fewer than ENOUGH toxic texts in each half, to its own."""
+    with Work(docs.sparkSession):
+        rows = cut(labelled(docs, labels, id_col, text_col, max_texts).withColumn("row", F.xxhash64("doc_id")))
+        bare = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), rf"[^\p{{L}}\p{{N}}{SPACE}@$]+", "")
+        rows_of = rows.select("row", "y", words_of(bare).alias("w"))
+        near = lambda i: F.xxhash64(F.get("w", i - 1), F.get("w", i + 1))
+        placed = F.transform("w", lambda x, i: F.struct(x.alias("word"), near(i).alias("around")))
+        each = cut(rows_of.select("row", "y", F.inline(F.array_distinct(placed))).filter("length(word) BETWEEN 3 AND 40"))
+        machine = _machine(rows, each)
+        if machine is None:
+            return float(rows.agg(F.avg("y")).first()[0] or 0.0)
+        few, seen = rows.filter("y = 1").count() < 2 * ENOUGH, []
+        for half in () if few else (0, 1):
+            other = F.pmod("row", F.lit(2)) != half
+            m = _machine(rows.filter(other), each.filter(other))
+            seen += margins(rows.filter(~other), m or machine).select("margin", "y").rdd.map(lambda r: (float(r[0]), float(r[1]))).collect()
+        if few:
+            seen = margins(rows, machine).select("margin", "y").rdd.map(lambda r: (float(r[0]), float(r[1]))).collect()
+        seen = np.array(seen)
+        machine.scale, machine.offset = _logistic(seen[:, 0], (seen[:, 1] > 0).astype(float))
     return machine
 
 
