@@ -185,7 +185,7 @@ def test_render(spark):
 
 def test_html(spark):
     page = "<html><head><style>p{}</style><script>var secret=1;</script></head><body><h1>Mill</h1><p>It &amp; all <b>burned</b>.</p><svg><p>no</p></svg></body></html>"
-    assert H.shown_text(page) == "Mill\nIt & all burned ."
+    assert H.shown_text(page) == "Mill\n\nIt & all burned ."
     rows = spark.createDataFrame([(page, b"\x00a"), (None, None)], "h string, b binary")
     got = rows.select(H.main_text(F.col("h")).alias("t"), H.looks_binary(F.col("b")).alias("b"), H.unescaped(F.lit("&amp;amp;lt;")).alias("u")).collect()
     assert [r["b"] for r in got] == [True, False] and got[1]["t"] == "" and got[0]["u"] == "<"
