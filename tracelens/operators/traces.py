@@ -15,6 +15,7 @@ from pyspark.sql.types import DoubleType
 
 from tracelens.functions import text as T
 from tracelens.operators.relational import latest_by_key
+from tracelens.schema import TRACE, TRACE_VERSION
 from tracelens.workers import ship
 
 #: Page sizes that count as large, in characters, and token totals that do.
@@ -409,3 +410,38 @@ def compact(traces: DataFrame) -> DataFrame:
     """The narrow rows that lists show."""
     return trace_metrics(traces).select("trace_id", "query_id", "provider_id", "answered", "exact_match", "f1", "total_search_calls", "source_diversity", "gold_document_hit", "failure_mode")
 
+
+
+def with_defaults(rows: DataFrame) -> DataFrame:
+    """Rows with some of a trace's members as whole traces: an empty trace's values for the others."""
+    empty = {"schema_version": F.lit(TRACE_VERSION), "answered": F.lit(False), "ceiling_hit": F.lit(False), "failed": F.lit(False), "final_response": F.lit(""), "final_answer": F.lit("")}
+    zero = ["total_search_calls", "total_fetch_calls", "total_prompt_tokens", "total_completion_tokens", "total_cost_usd", "wall_time_seconds"]
+    out = []
+    for f in _trace_fields():
+        kind = f.dataType
+        default = empty.get(f.name, F.lit(0) if f.name in zero else F.array() if kind.typeName() == "array" else F.lit(None)).cast(kind)
+        out.append((F.coalesce(F.col(f.name).cast(kind), default) if f.name in rows.columns else default).alias(f.name))
+    return rows.select(*out)
+
+
+def _trace_fields() -> list:
+    from pyspark.sql.types import StructType
+
+    return StructType.fromDDL(TRACE).fields
+
+
+def run_stats(records: DataFrame) -> DataFrame:
+    """What a judge run wrote: rows by how they came about, errors and tokens."""
+    c = F.col
+    some = lambda x: F.coalesce(c(x), F.lit("")) != ""
+    return records.agg(F.count("*").alias("written"), F.count_if(c("reuse_class") != "fresh").alias("reused"), F.count_if(c("reuse_class") == "fresh").alias("fresh"), F.count_if(some("execution_error")).alias("errors"), F.sum(F.coalesce("page_fetch.extracted_text_tokens_estimate", F.lit(0))).alias("tokens"))
+
+
+def snippet_proxy(report: DataFrame) -> DataFrame:
+    """provider_id and the greater of the answers seen in snippets and in extra snippets: a proxy for what the surface showed."""
+    return report.select("provider_id", F.greatest("answer_in_snippet", "answer_in_extra_snippets").alias("surface"))
+
+
+def least_hit_rank(results_: Column, hit: Callable[[Column], Column]) -> Column:
+    """The least rank of the results that hit; ranks of 0 are none."""
+    return F.array_min(F.transform(F.filter(results_, lambda r: hit(r) & (F.coalesce(r["rank"], F.lit(0)) != 0)), lambda r: r["rank"]))
