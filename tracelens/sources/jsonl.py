@@ -15,6 +15,8 @@ from tracelens.functions import text as T
 #: Providers that a file's name may hold, in the order in which they are looked for, and what a pointer file begins with.
 KNOWN_PROVIDERS = ["brave", "tavily", "firecrawl", "exa"]
 POINTER = "version https://git-lfs.github.com/spec/v1"
+#: Fixed value: what the id of a question begins with, before the digits of its digest.
+QUESTION_PREFIX = "sealhard_"
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -72,7 +74,7 @@ def read_array(spark: SparkSession, path: str, member: str, schema: str) -> Data
 
 def with_defaults(rows: DataFrame) -> DataFrame:
     """Source questions: query_id from the question's digest and source_index from the line, where the file has none."""
-    return rows.withColumns({"query_id": F.coalesce("query_id", T.stable_id("sealhard_", F.col("question"))), "source_index": F.coalesce("source_index", F.col("line_num") - 1)})
+    return rows.withColumns({"query_id": F.coalesce("query_id", T.stable_id(QUESTION_PREFIX, F.col("question"))), "source_index": F.coalesce("source_index", F.col("line_num") - 1)})
 
 
 def public_record(rows: DataFrame) -> DataFrame:
