@@ -22,15 +22,16 @@ import re
 import struct
 import sys
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tracelens.llm.chunks import chunked
-from tracelens.llm.common import ship
+from tracelens.llm.common import give_back, ship
 
-MAX_NODES, MAX_CHUNKS = 1_200_000, 700_000
+MAX_NODES, MAX_CHUNKS = 500_000, 300_000
 #: Letters up to U+00FF, closed by marks: the normaliser only lowers them, the pre-tokeniser cuts before the marks.
 PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
 
@@ -203,8 +204,13 @@ class Encoder:
         self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.names = {i: t.encode() for t, i in (model["vocab"] | self.special).items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the tables of chunks and words; what a next task needs of them it learns as fast."""
         self.ids: dict[bytes, bytes] = {b"": b""}
         self.shown: dict[bytes, bytes] = {b"": b""}
+        self.trie.clear()
 
     def words(self, chunk: bytes) -> list[str | int]:
         """The pre-tokens of a chunk; an int is a special token's id."""
@@ -246,15 +252,21 @@ def parted(chunk: bytes) -> tuple[bytes, bytes]:
     return (base, chunk[len(base) :]) if base[-1:].isalpha() else (chunk, b"")
 
 
-def encoder(spec: str) -> Encoder:
-    """This process's encoder: kept between tasks, in sys so that a pickled copy of this module finds it too."""
+@contextmanager
+def encoder(spec: str) -> Iterator[Encoder]:
+    """This process's encoder for a task. The vocabulary stays for the next one (in sys, so that a pickled copy of this module
+    finds it too); the tables go, as an idle worker keeps its memory."""
     gc.disable()  # the tables are millions of objects without cycles; scanning them takes longer than all else
     kept = sys.__dict__.setdefault("_tracelens_encoders", {})
     key = hashlib.sha256(spec.encode()).hexdigest()
     if key not in kept:
         kept.clear()
         kept[key] = Encoder(spec)
-    return kept[key]
+    try:
+        yield kept[key]
+    finally:
+        kept[key].forget()
+        give_back()
 
 
 def _joined(parts: list[bytes], numbers: np.ndarray, between: bytes, size: int = 1 << 20) -> Iterator[bytes]:
@@ -271,7 +283,10 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(spec.value)
+        with encoder(spec.value) as e:
+            yield from told(batches, e)
+
+    def told(batches: Iterator[pa.RecordBatch], e: Encoder) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, offsets, numbers, chunks in chunked(batch.column("text"), keep="<|"):
                 e.learn(set(chunks))
@@ -300,7 +315,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(spec.value)
+        with encoder(spec.value) as e:
+            yield from told(batches, e)
+
+    def told(batches: Iterator[pa.RecordBatch], e: Encoder) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, offsets, numbers, chunks in chunked(batch.column("text"), keep="<|"):
                 e.learn(set(chunks))
@@ -319,7 +337,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     spec = encoded.sparkSession.sparkContext.broadcast(read_spec(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = encoder(spec.value).names
+        with encoder(spec.value) as e:
+            names = e.names
         for batch in batches:
             texts = [b" ".join([names[i] for i in x.as_py() or []]).decode() for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
