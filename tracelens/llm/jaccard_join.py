@@ -16,8 +16,9 @@ shingles each) allow no link; a spoke stays if they allow twice the distance of
 What could still join two components is compared without writing pairs. Around a centre, the difference of two sets is that of
 their differences from it, counted over an inverted list of these; under a key, sets of which one was not counted against the
 centre go by their sizes by fragment, and what these allow is verified like the spokes. In each such group the rows outside
-its largest component are the strays: they are compared with all members, in blocks of at most `block` strays by `block` members,
-so a group of any size is split over tasks. So every pair that could join two components is verified or ruled out.
+its largest component (strays) or those that weren't counted, whichever are fewer, are compared with all members, in blocks of at
+most `block` by `block` rows, so a group of any size is split over tasks. So every pair that could join two components is
+verified or ruled out.
 
 Defined results. Text is lower-cased for A-Z; words are [^\\x20\\x09-\\x0D]+. With fewer words than `width`, the sequence of all
 words is the one shingle. Null, empty and blank texts have the empty set and link with nothing. Repeated rows, and rows that
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelens.llm.chunks import chunked
-from tracelens.llm.common import Work, components, cut, deal, gather, join_groups, mix, of_ids, partitions, scatter, ship
+from tracelens.llm.common import Work, components, cut, deal, gather, give_back, join_groups, mix, of_ids, partitions, scatter, ship
 
 #: A key, by 48 bits (that two keys share these costs a comparison only), and a member.
 KEY = np.dtype([("high", "<u2"), ("low", "<u4"), ("node", "<u8")])
@@ -49,8 +50,8 @@ MASK = np.uint64((1 << 48) - 1)
 RATIO = 1.6
 #: Fragments by which pairs are counted; the least number by which their overlap is bounded, and shingles in each beyond that.
 COUNTED, BOUND, FINE = 8, 64, 2
-#: Rows of one group of strays or members that are compared in one task, at least; beyond, a thousandth of all documents.
-BLOCK = 500
+#: Members, or queries, of one group that are compared in one task, at least; beyond, a thousandth of all documents.
+BLOCK = 1000
 SPREAD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
 
@@ -204,6 +205,8 @@ def met(docs: DataFrame, width: int, threshold: int, hot: np.ndarray, id_col: st
                     held, owner, size, known = [], [], 0, set()
         if size:
             yield flush(held, owner)
+        del held
+        give_back()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [x for batch in batches for x in batch.column("blob").to_pylist()]
@@ -229,6 +232,8 @@ def met(docs: DataFrame, width: int, threshold: int, hot: np.ndarray, id_col: st
         for at in range(0, len(key), 1 << 16):
             some = slice(at, at + (1 << 16))
             yield pa.RecordBatch.from_arrays([pa.array(x[some].view(np.int64), pa.int64()) for x in (key, node)], ["key", "node"])
+        del key, node, often, order, same, several
+        give_back()
 
     sent = _sets(docs, id_col, text_col).select("text").mapInArrow(send, "part int, blob binary")
     return deal(sent, parts).mapInArrow(meet, "key long, node long")
@@ -264,22 +269,25 @@ def _bounded(pairs: DataFrame, stats: DataFrame, threshold: int) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, group: str, block: int) -> DataFrame:
-    """The rows (group, node, root, ...) of groups that hold several components, dealt to cells (columns row and column) of them.
+    """The rows (group, node, root, far, ...) of groups that hold several components, dealt to cells (columns row and column) of them.
 
-    Members stand in each row of their column; strays, all but the largest component's, also in each column of their row,
-    with query true. A cell has at most about block members and block strays.
+    Every pair of components has a stray, a row outside the largest one; every pair that matters has a far row. Whichever are
+    fewer in a group are its queries. Members stand in each row of their column; queries, with query true, in each column of
+    their row. A cell has at most about block members and block queries.
     """
-    per = rows.groupBy(group, "root").agg(F.count("*").alias("m"))
-    whole = per.groupBy(group).agg(F.sum("m").alias("g"), F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("k")).filter("k > 1")
-    down, across = (F.ceil(x / block).cast("int") for x in (F.col("g") - F.col("top.m"), F.col("g")))
+    per = rows.groupBy(group, "root").agg(F.count("*").alias("m"), F.count_if("far").alias("f"))
+    whole = per.groupBy(group).agg(F.sum("m").alias("g"), F.sum("f").alias("f"), F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("k")).filter("k > 1 AND f > 0")
+    strays = F.col("g") - F.col("top.m")
+    down, across = (F.ceil(x / block).cast("int") for x in (F.least("f", strays), F.col("g")))
     # Rows of large groups stay where they are.
-    rows = join_groups(rows, cut(whole.select(group, "g", F.col("top.root").alias("main"), down.alias("down"), across.alias("across"))), [group], "g", rows.count())
+    rows = join_groups(rows, cut(whole.select(group, "g", F.col("top.root").alias("main"), (F.col("f") < strays).alias("by_far"), down.alias("down"), across.alias("across"))), [group], "g", rows.count())
     at = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     cell = lambda i, j, q: F.struct(i.alias("row"), j.alias("column"), F.lit(q).alias("query"))
     member = F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda i: cell(i, at(F.col("across")), False))
-    stray = F.transform(F.sequence(F.lit(0), F.col("across") - 1), lambda j: cell(at(F.col("down")), j, True))
-    cells = F.concat(member, F.when(F.col("root") != F.col("main"), stray).otherwise(F.array().cast("array<struct<row:int,column:int,query:boolean>>")))
-    return rows.withColumn("cell", F.explode(cells)).select("*", "cell.*").drop("cell", "g", "main", "down", "across")
+    query = F.transform(F.sequence(F.lit(0), F.col("across") - 1), lambda j: cell(at(F.col("down")), j, True))
+    asks = F.when(F.col("by_far"), F.col("far")).otherwise(F.col("root") != F.col("main"))
+    cells = F.concat(member, F.when(asks, query).otherwise(F.array().cast("array<struct<row:int,column:int,query:boolean>>")))
+    return rows.withColumn("cell", F.explode(cells)).select("*", "cell.*").drop("cell", "g", "main", "by_far", "down", "across")
 
 
 def _by_cell(rows: DataFrame, group: str, parts: int) -> DataFrame:
@@ -376,7 +384,7 @@ def verified(pairs: DataFrame, docs: DataFrame, stats: DataFrame, width: int, th
 def _around(members: DataFrame, stats: DataFrame, threshold: int, parts: int, block: int) -> DataFrame:
     """Links (a, b, inter) between components among the members (centre, node, root, e) of each centre; e: what differs from it."""
     columns = ["centre", "row", "column", "node", "root", "n", "e", "query"]
-    rows = members.join(stats.select("node", "n"), "node").select("centre", "node", "root", "n", "e")
+    rows = members.join(stats.select("node", "n"), "node").select("centre", "node", "root", "n", "e", F.lit(True).alias("far"))
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _cells(batches, columns):
