@@ -460,7 +460,7 @@ def _edges(rows: DataFrame, marks: DataFrame, length: int, parts: int, n_docs: i
 def _leading(ords: np.ndarray, first: np.ndarray, contexts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     """(ord, start, hash, leads) of the windows of the contexts, each once; leads marks the earliest of those of one hash."""
     out: tuple[list, ...] = ([], [], [])
-    at, reach = 0, 1 << 18
+    at, reach = 0, max(1 << 18, 4 * length)
     roller = Roller(reach + 1)
     while at < len(contexts):  # as far as the roller reaches at a time
         n, size = at, 0
