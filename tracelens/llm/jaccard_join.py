@@ -309,7 +309,7 @@ def _cells(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[li
         yield held
 
 
-def _under_keys(rows: DataFrame, threshold: int, parts: int, block: int) -> DataFrame:
+def _under_keys(rows: DataFrame, stats: DataFrame, threshold: int, parts: int, block: int) -> DataFrame:
     """Pairs (a, b) of sets of different components under a key, one of them far at least, whose sizes by fragment allow a link."""
     columns = ["key", "row", "column", "node", "root", "far", "n", "hist", "query"]
 
@@ -329,7 +329,8 @@ def _under_keys(rows: DataFrame, threshold: int, parts: int, block: int) -> Data
                         b.append(max(node[i], node[k]))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], ["a", "b"])
 
-    return _by_cell(_blocks(rows, "key", block), "key", parts).select(*columns).mapInArrow(run, "a long, b long")
+    cells = _blocks(rows, "key", block).join(stats.select("node", "n", "hist"), "node")
+    return _by_cell(cells, "key", parts).select(*columns).mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, stats: DataFrame, width: int, threshold: int, id_col: str, text_col: str, counted_from: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -381,15 +382,15 @@ def verified(pairs: DataFrame, docs: DataFrame, stats: DataFrame, width: int, th
     return linked.select("a", "b", "inter"), counted
 
 
-def _around(members: DataFrame, stats: DataFrame, threshold: int, parts: int, block: int) -> DataFrame:
-    """Links (a, b, inter) between components among the members (centre, node, root, e) of each centre; e: what differs from it."""
+def _around(members: DataFrame, near: DataFrame, stats: DataFrame, threshold: int, parts: int, block: int) -> DataFrame:
+    """Links (a, b, inter) between components among the members (centre, node, root) of each centre; near has what differs from it, e."""
     columns = ["centre", "row", "column", "node", "root", "n", "e", "query"]
-    rows = members.join(stats.select("node", "n"), "node").select("centre", "node", "root", "n", "e", F.lit(True).alias("far"))
+    rows = members.withColumn("far", F.lit(True))
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _cells(batches, columns):
             node, root, n = (np.array([h[i] for h in held], np.int64) for i in (3, 4, 5))
-            differ = [np.frombuffer(b"".join(h[6]), "<u8") for h in held]
+            differ = [np.frombuffer(b"".join(h[6] or []), "<u8") for h in held]  # the centre itself differs in nothing
             query, size = np.array([h[7] for h in held]), np.array([len(d) for d in differ], np.int64)
             members = np.flatnonzero(~query)
             if not len(members):
@@ -411,7 +412,8 @@ def _around(members: DataFrame, stats: DataFrame, threshold: int, parts: int, bl
                     inter.append(shared[j])
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, inter)], ["a", "b", "inter"])
 
-    return _by_cell(_blocks(rows, "centre", block), "centre", parts).select(*columns).mapInArrow(links, "a long, b long, inter long")
+    cells = _blocks(rows, "centre", block).join(near, ["centre", "node"], "left").join(stats.select("node", "n"), "node")
+    return _by_cell(cells, "centre", parts).select(*columns).mapInArrow(links, "a long, b long, inter long")
 
 
 def _pairs(a: str, b: str) -> list:
@@ -451,15 +453,14 @@ def _join(docs: DataFrame, width: int, threshold: int, id_col: str, text_col: st
     near = spokes.join(counted, (F.least("node", "centre") == F.col("a")) & (F.greatest("node", "centre") == F.col("b"))).select("centre", "node", "e")
     near = cut(near)
     # Around a centre: the sets that were counted against it, and itself.
-    members = near.unionByName(near.select("centre", F.col("centre").alias("node")).distinct().withColumn("e", F.array().cast("array<binary>"))).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    around = cut(_around(members, stats, threshold, parts, block))
+    spoke = near.select("centre", "node")
+    members = spoke.unionByName(spoke.select("centre", F.col("centre").alias("node")).distinct()).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    around = cut(_around(cut(members), near, stats, threshold, parts, block))
     roots = cut(components(links.unionByName(around).select("a", "b")))
     # Under a key: the sets that weren't counted against its centre (far), against those of other components.
     labelled = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    flagged = labelled.join(near.select("centre", "node").withColumn("near", F.lit(True)), ["centre", "node"], "left").withColumn("far", F.col("near").isNull() & (F.col("node") != F.col("centre")))
-    split = flagged.groupBy("key").agg(F.max("far").alias("any"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("any AND lo <> hi").select("key")
-    rows = flagged.join(split, "key", "left_semi").join(stats.select("node", "n", "hist"), "node").select("key", "node", "root", "far", "n", "hist")
-    across = cut(_under_keys(rows, threshold, parts, block).distinct())
+    flagged = labelled.join(spoke.withColumn("near", F.lit(True)), ["centre", "node"], "left").withColumn("far", F.col("near").isNull() & (F.col("node") != F.col("centre")))
+    across = cut(_under_keys(cut(flagged.select("key", "node", "root", "far")), stats, threshold, parts, block).distinct())
     across = cut(across.join(star, ["a", "b"], "left_anti"))
     further, _ = verified(across, docs, stats, width, threshold, id_col, text_col)
     links = cut(links.unionByName(around).unionByName(further))
