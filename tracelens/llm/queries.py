@@ -5,11 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelens.llm import bpe, chat, exact_dedup, jaccard_join, mixing, quality, rules, suffix_dedup, token_files, toxicity
-from tracelens.llm.common import cut, remove, shared_dir, table
+from tracelens.llm import bpe, chat, exact_dedup, jaccard_join, mixing, periodic, quality, rules, suffix_dedup, token_files, toxicity
+from tracelens.llm.common import cut, let, remove, shared_dir, table
 
 
 def tokenizer_path() -> str:
@@ -72,6 +72,23 @@ def token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         remove(spark, out)
 
 
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    hashed = F.crc32(F.col("doc_id").cast("string"))
+
+    def planted(words: Column) -> Column:
+        """The words, from a number a on repeated with a period p."""
+        n, g = F.size(words).cast("long"), F.floor(hashed / 10)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        at = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.when(i < a, i).otherwise(a + (i - a) % p))
+        return F.when(n > 0, F.array_join(F.transform(at, lambda i: F.get(words, i.cast("int"))), " "))
+
+    text = F.coalesce("text", F.lit(""))
+    text = F.when(F.coalesce(hashed % 10 == 0, F.lit(False)), let(rules.words_of(text), planted)).otherwise(text)
+    return periodic.digests(periodic.find(docs, text_col=text))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": quality_classifier,
@@ -84,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": chat_format,
         "op9_quality_rules": quality_rules,
         "op10_token_id_files": token_id_files,
+        "op13_periodic_runs": periodic_runs,
     }
 
 
@@ -115,5 +133,46 @@ FROM m GROUP BY conv_id
 """
 
 
+#: DuckDB has no crc32: eight steps for each digit of the id.
+CRC32_SQL = r"""crc AS (
+  SELECT doc_id, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END)), 4294967295::BIGINT) AS h
+  FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+)"""
+
+#: Equal words of a text at each distance, islands of them, and the smallest distance of each stretch.
+OP13_SQL = rf"""
+WITH {CRC32_SQL}, split AS (
+  SELECT d.doc_id, coalesce(c.h, 1) AS h, list_filter(string_split_regex(coalesce(d.text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents d LEFT JOIN crc c ON d.doc_id = c.doc_id
+), sized AS (
+  SELECT *, len(w) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM split
+), planned AS (
+  SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM sized
+), texts AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM planned
+), words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(n)) AS i FROM texts
+), equal AS (
+  SELECT x.doc_id, y.i - x.i AS q, x.i AS i, x.i - row_number() OVER (PARTITION BY x.doc_id, y.i - x.i ORDER BY x.i) AS island
+  FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i
+), islands AS (
+  SELECT doc_id, q, min(i) AS s, count(*) + q AS len FROM equal GROUP BY doc_id, q, island HAVING count(*) >= greatest(q, 12 - q)
+), runs AS (
+  SELECT doc_id, s, len, min(q) AS q FROM islands GROUP BY doc_id, s, len
+), dropped AS (
+  SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM runs
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id
+), told AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines,
+    first(struct_pack(s := s, len := len, q := q) ORDER BY len DESC, s, q) AS top FROM runs GROUP BY doc_id
+)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(top.s AS BIGINT) AS start, CAST(top.len AS BIGINT) AS length, CAST(top.q AS BIGINT) AS period,
+  CAST(1000 * top.len // top.q AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM texts t LEFT JOIN told ON t.doc_id = told.doc_id LEFT JOIN kept ON t.doc_id = kept.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup_index": OP5_SQL, "op8_chat_format": OP8_SQL}
+    return {"op5_exact_dedup_index": OP5_SQL, "op8_chat_format": OP8_SQL, "op13_periodic_runs": OP13_SQL}
