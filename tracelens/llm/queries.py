@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelens.llm import bpe, chat, exact_dedup, jaccard_join, mixing, periodic, quality, rules, suffix_dedup, token_files, toxicity
+from tracelens.llm import bpe, chat, exact_dedup, jaccard_join, merkle, mixing, periodic, quality, rules, simhash, suffix_dedup, token_files, toxicity
 from tracelens.llm.common import cut, let, remove, shared_dir, table
 
 
@@ -72,6 +72,16 @@ def token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         remove(spark, out)
 
 
+def simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)
+    return found
+
+
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return merkle.audit(table(spark, sf_dir, "documents"), changed, {"n_chars": F.col("n_chars") + 1})
+
+
 def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     hashed = F.crc32(F.col("doc_id").cast("string"))
@@ -101,6 +111,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": chat_format,
         "op9_quality_rules": quality_rules,
         "op10_token_id_files": token_id_files,
+        "op11_simhash_tiles": simhash_tiles,
+        "op12_merkle_manifest": merkle_manifest,
         "op13_periodic_runs": periodic_runs,
     }
 
@@ -140,6 +152,48 @@ CRC32_SQL = r"""crc AS (
   FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
 )"""
 
+def _leaf(n_chars: str) -> str:
+    told = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END"
+    return f"sha256({' || '.join(told(c) for c in ('d.doc_id', 'source', 'lang', n_chars, 'text'))})"
+
+
+#: Both trees level by level, and each leaf's way up them: a step is its node's slot and, after it, the sibling's digest.
+OP12_SQL = rf"""
+WITH RECURSIVE {CRC32_SQL}, told AS (
+  SELECT d.doc_id, lang, {_leaf('n_chars')} AS leaf, CASE WHEN h % 7 = 0 THEN {_leaf('(n_chars + 1)')} END AS changed
+  FROM documents d LEFT JOIN crc c ON d.doc_id = c.doc_id
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM told
+), nodes AS (
+  SELECT lang, 0 AS l, i, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT lang, l + 1, i // 2, (max(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY lang, l, i // 2
+), subroots AS (
+  SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1
+), tops AS (
+  SELECT 0 AS l, i, n, h FROM subroots
+  UNION ALL
+  SELECT l + 1, i // 2, (max(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY l, i // 2
+), own AS (
+  SELECT lang, i, unnest(range(64)) AS l FROM leaves
+), steps AS (
+  SELECT o.lang, o.i, list(CAST((o.i >> o.l) % 2 AS VARCHAR) || coalesce(s.h, '') ORDER BY o.l) AS path
+  FROM own o JOIN nodes x ON x.lang IS NOT DISTINCT FROM o.lang AND x.l = o.l AND x.i = o.i >> o.l AND x.n > 1
+  LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM o.lang AND s.l = o.l AND s.i = xor(o.i >> o.l, 1) GROUP BY o.lang, o.i
+), top_steps AS (
+  SELECT o.lang, list(CAST((o.i >> x.l) % 2 AS VARCHAR) || coalesce(s.h, '') ORDER BY x.l) AS path
+  FROM subroots o JOIN tops x ON x.i = o.i >> x.l AND x.n > 1 LEFT JOIN tops s ON s.l = x.l AND s.i = xor(x.i, 1) GROUP BY o.lang
+), whole AS (
+  SELECT v.doc_id, v.leaf, coalesce(v.changed, v.leaf) AS now, r.h AS subroot, (SELECT h FROM tops WHERE n = 1) AS root,
+    list_concat(coalesce(s.path, []), coalesce(t.path, [])) AS path
+  FROM leaves v JOIN subroots r ON v.lang IS NOT DISTINCT FROM r.lang
+  LEFT JOIN steps s ON v.lang IS NOT DISTINCT FROM s.lang AND v.i = s.i LEFT JOIN top_steps t ON v.lang IS NOT DISTINCT FROM t.lang
+), folded AS (
+  SELECT *, list_reduce(list_concat([now], path), lambda h, x: sha256(CASE WHEN x[1] = '1' THEN x[2:] || h ELSE h || x[2:] END)) AS folded_root FROM whole
+)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda x: x[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
 #: Equal words of a text at each distance, islands of them, and the smallest distance of each stretch.
 OP13_SQL = rf"""
 WITH {CRC32_SQL}, split AS (
@@ -175,4 +229,4 @@ FROM texts t LEFT JOIN told ON t.doc_id = told.doc_id LEFT JOIN kept ON t.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup_index": OP5_SQL, "op8_chat_format": OP8_SQL, "op13_periodic_runs": OP13_SQL}
+    return {"op5_exact_dedup_index": OP5_SQL, "op8_chat_format": OP8_SQL, "op12_merkle_manifest": OP12_SQL, "op13_periodic_runs": OP13_SQL}
