@@ -55,7 +55,7 @@ def bit_counts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def _of_texts(texts: pa.Array, width: int) -> np.ndarray:
     """The fingerprint of each text."""
     words = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
-    plain = pc.binary_join(words, " ").cast(pa.large_binary())
+    plain = pc.binary_join(words, pa.scalar(" ", pa.large_string())).cast(pa.large_binary())
     edges = np.frombuffer(plain.buffers()[1], "<i8", len(plain) + 1, 8 * plain.offset)
     data = plain.buffers()[2].to_pybytes() if plain.buffers()[2] else b""
     out = np.zeros(len(texts), np.uint64)
@@ -144,8 +144,8 @@ def links_of(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
         linked = np.bitwise_count(a[at : at + SMALL, None] ^ b[where]) <= radius
         for k in np.flatnonzero(linked.any(1)):
             forest.join(at + k, len(a) + where[linked[k]])
-    pairs = np.array(forest.links, np.int64).reshape(-1, 2)
-    return forest.nodes[pairs]
+    pairs = forest.nodes[np.array(forest.links, np.int64).reshape(-1, 2)]
+    return pairs[pairs[:, 0] != pairs[:, 1]]  # one tile's nodes are there twice
 
 
 def tile_links(nodes: DataFrame, radius: int = 4) -> DataFrame:
