@@ -136,6 +136,18 @@ def n_words(text: Column) -> Column:
     return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, f"[{SPACE_CLASS}]+"))).cast("long")
 
 
+def one_of_each(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str, text_col: str) -> DataFrame:
+    """id, text, y: at most `most` labelled ids, those of least hash, a row each however many documents or labels the id has.
+
+    Of several documents the one whose text comes first by hash, then by itself, stands for the id; of several labels the least.
+    """
+    some = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.min(label).alias("y"))
+    some = some.orderBy(F.xxhash64("id"), "id").limit(most)
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), F.col("text").alias("text")))
+    return own.join(F.broadcast(some), "id").groupBy("id", "y").agg(first.alias("one")).select("id", F.col("one.text").alias("text"), "y")
+
+
 #: So many ids go to every executor: a few megabytes. More are joined by a shuffle; the result is the same.
 FEW_IDS = 200_000
 
@@ -194,14 +206,31 @@ def running_total(df: DataFrame, group: list[str], order: list[str], value: str,
     return joined.withColumn(out, F.col("__base") + F.col("__local")).drop("__b", "__c", "__base", "__local", *[f"__g{i}" for i in range(len(group))])
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def counted_off(df: DataFrame, keys: list[str], uid: str, out: str) -> DataFrame:
+    """Adds column out: 1, 2, ... for the rows of each key, in the order of uid, a table's column of monotonically_increasing_id().
+
+    Rows are counted off within each partition that uid names, after the rows of the key in earlier ones: no task has a whole key.
+    """
+    part, at, n, base, *its = unused(df.withColumn(out, F.lit(0)), "part", "at", "n", "base", *[f"its_{k}" for k in keys])
+    df = df.withColumn(part, F.shiftright(uid, 33))
+    earlier = Window.partitionBy(*its).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    pieces = df.groupBy(*[F.col(k).alias(i) for k, i in zip(keys, its)], F.col(part).alias(at)).agg(F.count("*").alias(n))
+    pieces = pieces.withColumn(base, F.coalesce(F.sum(n).over(earlier), F.lit(0)))
+    same = F.col(part) == F.col(at)
+    for k, i in zip(keys, its):
+        same = same & F.col(k).eqNullSafe(F.col(i))
+    rows = df.withColumn(out, F.row_number().over(Window.partitionBy(*keys, part).orderBy(uid)))
+    return rows.join(pieces, same).withColumn(out, F.col(out) + F.col(base)).drop(part, at, n, base, *its)
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b), both longs: rows (node, root), root the least node that node reaches.
 
     Alternating large-star and small-star steps. Every step is an aggregation with map-side minima and a join, cut by a
     checkpoint; the driver sees one count a round.
     """
     e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(rounds):
+    while True:  # each round but the last merges neighbours, so it ends
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).withColumnRenamed("a", "u")
         large = both.filter("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -213,8 +242,6 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if new.count() == e.count() and not new.join(e, ["a", "b"], "left_anti").take(1):
             break
         e = new
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelens.llm.common import SPACE, Work, cut, join_groups, partitions, setting, unused
@@ -92,6 +92,13 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.withColumns({sha: F.sha2(F.translate(text, SPACE, ""), 256), n: F.length(text)})
     rows = rows.join(found, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(sha) == F.col(digest)), "left_semi")
-    # Rows that share doc_id and normalised text: the one with the most code points, once.
-    w = Window.partitionBy(id_col, sha).orderBy(F.desc(n))
-    return rows.withColumn(place, F.row_number().over(w)).filter(F.col(place) == 1).select(*docs.columns)
+    # Rows that share doc_id and normalised text: the one with the most code points, then the first of all columns as JSON, once.
+    with Work(docs.sparkSession) as work:
+        many = work.keep(rows.groupBy(F.col(id_col).alias(key), F.col(sha).alias(digest)).count().filter("count > 1").select(key, digest))
+    if not many.take(1):
+        return rows.select(*docs.columns)
+    same = F.col(id_col).eqNullSafe(F.col(key)) & (F.col(sha) == F.col(digest))
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    first = F.min_by(whole, F.struct((-F.col(n)).alias("n"), F.to_json(whole).alias("all")))
+    some = rows.join(many, same, "left_semi").groupBy(id_col, sha).agg(first.alias(place)).select(f"{place}.*")
+    return rows.join(many, same, "left_anti").select(*docs.columns).unionByName(some)

@@ -8,8 +8,9 @@ lacks for its target when the sequence ends, as one of few words does, follow it
 is cut at its target, so what is taken meets the target to the word, and no document is taken more than limit times.
 
 Defined results. Null and empty texts have size 0 and take nothing. Sources whose sizes are all 0 have target 0. Ties in
-the shuffle are broken by doc_id. Repeated rows count each, and each is taken as often as its own share says. An empty table gives an empty result. Extra columns are ignored.
-Order and result depend on the rows and the seed alone.
+the shuffle are broken by doc_id, then by a hash of the text. Repeated rows count each, and each is taken as often as its own
+share says. An empty table gives an empty result. Extra columns are ignored. The result depends on the rows and the seed alone,
+not on their order: only which of several equal rows has which of their shares is open.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import Work, cut, join_groups, n_words, running_total, unused
+from tracelens.llm.common import SPACE, Work, counted_off, cut, join_groups, n_words, running_total, unused
 
 GOLDEN = (math.sqrt(5) - 1) / 2
 
@@ -69,7 +70,7 @@ def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int
 
     schedule = cut(schedule_of(sources, tokens, total["least"] or 1.0, total["k"], block))
     # Where each document's tokens lie in its source's shuffled stream, cut at block edges.
-    placed = running_total(rows.filter("size > 0"), ["srank"], ["key", "doc_id", "uid"], "size", "start", 1 + n_docs // 1_000)
+    placed = running_total(rows.filter("size > 0"), ["srank"], ["key", "doc_id", "print", "uid"], "size", "start", 1 + n_docs // 1_000)
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     pieces = placed.select("uid", "srank", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
     begin = F.greatest("start", F.col("block") * block)
@@ -131,17 +132,19 @@ def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
     own, other = unused(docs, "own_id", "own_print")
     rows = docs.withColumns({own: F.col(id_col), other: F.xxhash64(text_col)})
     same = F.col(own).eqNullSafe(F.col(key)) & (F.col(other) == F.col(hashed))
-    numbered = F.row_number().over(Window.partitionBy(key, hashed).orderBy(place))
-    both = found.join(alike.select(F.col(key).alias(own), F.col(hashed).alias(other)), same, "left_semi").withColumn(place, numbered)
-    one = found.join(alike.select(F.col(key).alias(own), F.col(hashed).alias(other)), same, "left_anti").filter(F.col(taken) > 0)
-    rank, = unused(both, "rank")
-    again = rows.join(alike, same, "left_semi").withColumn(rank, F.row_number().over(Window.partitionBy(own, other).orderBy(F.lit(1))))
+    names = alike.select(F.col(key).alias(own), F.col(hashed).alias(other))
+    both = counted_off(found.join(names, same, "left_semi"), [key, hashed], place, turn).drop(place).withColumnRenamed(turn, place)
+    one = found.join(names, same, "left_anti").filter(F.col(taken) > 0)
+    uid, rank = unused(rows, "uid", "rank")
+    with Work(spark) as work:  # numbered once, whatever is read again
+        again = work.keep(rows.join(alike, same, "left_semi").withColumn(uid, F.monotonically_increasing_id()))
+    again = counted_off(again, [own, other], uid, rank).drop(uid)
     again = again.join(both.filter(F.col(taken) > 0), same & (F.col(rank) == F.col(place))).drop(rank)
     rows = rows.join(one, same).unionByName(again)
     turns = F.sequence(F.lit(0).cast("long"), F.floor((F.col(taken) - 1) / F.col(size)))
     rows = rows.withColumn(turn, F.explode(turns)).withColumn(left, F.col(taken) - F.col(turn) * F.col(size))
     # The text up to the word numbered left: split before each word, so that white space stays as it was.
     starts = r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"
-    head = F.array_join(F.slice(F.split(F.ltrim(F.col(text_col)), starts), 1, F.col(left).cast("int")), "")
+    head = F.array_join(F.slice(F.split(F.btrim(F.col(text_col), F.lit(SPACE)), starts), 1, F.col(left).cast("int")), "")
     text = F.when(F.col(left) >= F.col(size), F.col(text_col)).otherwise(head)
     return rows.withColumn(text_col, text).select(*docs.columns)

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import SPACE, Work, cut, join_groups, unused
+from tracelens.llm.common import SPACE, Work, cut, join_groups, one_of_each, unused
 from tracelens.llm.rules import CLASSES, words_of
 
 #: Most labelled rows that the model is fitted to.
@@ -52,11 +52,9 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, n
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labels: int = MAX_LABELS):
-    """The model, or the share of good rows where it can't be fitted. At most max_labels rows come to the driver."""
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    some = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("quality").alias("y"))
-    some = some.orderBy(F.xxhash64("id"), "id").limit(max_labels)
-    found = own.join(F.broadcast(some), "id")
+    """The model, or the share of good rows where it can't be fitted. At most max_labels rows come to the driver: a label's is the
+    document of that doc_id whose text is the least in order of hash."""
+    found = one_of_each(docs, labels, "quality", max_labels, id_col, text_col)
     rows = np.array(found.select(F.array(*features(F.col("text"))).alias("x"), "y").rdd.map(lambda r: [*r[0], float(r[1])]).collect())
     if not len(rows) or len(set(rows[:, -1])) < 2:
         return float(rows[:, -1].mean()) if len(rows) else 1.0

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelens.llm.chunks import chunked
-from tracelens.llm.common import SPACE, Work, cut, ship
+from tracelens.llm.common import SPACE, Work, cut, one_of_each, ship
 from tracelens.llm.rules import words_of
 
 #: Most labelled texts, positive words, negative words and landmarks of each kind that the machine is fitted to.
@@ -197,11 +197,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_texts: int) -> DataFrame:
-    """At most max_texts labelled rows (text, y) that are not held out, those of least hash of doc_id."""
-    some = labels.select("doc_id", F.col("toxic").alias("y")).filter(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_texts)
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return own.join(F.broadcast(some), "doc_id")
+    """At most max_texts labelled rows (doc_id, text, y) that are not held out, those of least hash of doc_id."""
+    return one_of_each(docs, labels.filter(~held_out(F.col("doc_id"))), "toxic", max_texts, id_col, text_col).withColumnRenamed("id", "doc_id")
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
