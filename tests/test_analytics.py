@@ -12,7 +12,7 @@ from tracelens import schema
 from tracelens.functions import html as H
 from tracelens.functions import render
 from tracelens.functions import text as T
-from tracelens.operators import bootstrap, judge, sampling, search, support, traces, validation
+from tracelens.operators import automaton, bootstrap, judge, quantiles, sampling, search, support, traces, validation
 from tracelens.operators import relational as R
 from tracelens.plans import catalog
 from tracelens.sources import jsonl, providers, sinks
@@ -183,12 +183,24 @@ def test_render(spark):
     assert one(spark, render.fill(" {{ a }} {{{a}}} {{ none }}x", {"a": text("<")})) == "&lt; <  x".replace("  x", " x")
 
 
-def test_html(spark):
-    page = "<html><head><style>p{}</style><script>var secret=1;</script></head><body><h1>Mill</h1><p>It &amp; all <b>burned</b>.</p><svg><p>no</p></svg></body></html>"
-    assert H.shown_text(page) == "Mill\n\nIt & all burned ."
-    rows = spark.createDataFrame([(page, b"\x00a"), (None, None)], "h string, b binary")
-    got = rows.select(H.main_text(F.col("h")).alias("t"), H.looks_binary(F.col("b")).alias("b"), H.unescaped(F.lit("&amp;amp;lt;")).alias("u")).collect()
-    assert [r["b"] for r in got] == [True, False] and got[1]["t"] == "" and got[0]["u"] == "<"
+def test_entities_and_binary_bodies(spark):
+    import html
+
+    texts = ["&amp;amp;lt;", "a &lt;b&gt; &quot;c&quot; &apos; &nbsp;|", "&#65;&#x1F600;&#xE9;", "&#128;&#150;&#0;&#xD800;&#x110000;", "&nope; & &; &#; &#x;", "", "&copy;&euro;&Alpha;&alpha;", "x&amp;#38;lt;y"]
+    bodies = [b"\x00a", b"", None, b"plain text\n\t", bytes(range(1, 32)) * 3, "é".encode() * 300, b"\xff\xfe" + b"a" * 50, b"a" * 4096 + b"\x00", b"a" * 4000 + b"\x01" * 2000]
+    plain = set(range(32, 127)) | set(b"\n\r\t\b\f")
+
+    def brute(body):
+        head, shown = (body or b"")[:4096], (body or b"").decode("utf-8", "replace")[:4096]
+        return bool(head) and (0 in head or sum(b not in plain for b in head) / len(head) > 0.30 or shown.count("\ufffd") / len(shown) > 0.02)
+
+    def thrice(t):
+        return html.unescape(html.unescape(html.unescape(t)))
+
+    rows = spark.createDataFrame([(t, bodies[i % len(bodies)]) for i, t in enumerate([*texts, ""])], "t string, b binary")
+    got = rows.select("t", H.unescaped(F.col("t")).alias("u"), "b", H.looks_binary(F.col("b")).alias("is")).collect()
+    assert [r["u"] for r in got] == [thrice(r["t"]) for r in got]
+    assert [r["is"] for r in got] == [brute(None if r["b"] is None else bytes(r["b"])) for r in got]
 
 
 def test_payloads(spark):
@@ -256,19 +268,60 @@ def test_support_checks_raise(spark):
         support.assert_checks(support.checks(rows)).collect()
 
 
-def test_bootstrap_draws_with_replacement(spark):
+def test_bootstrap_draws_with_replacement(spark, monkeypatch):
+    """Sums of some blocks and tasks against draws one by one."""
     import hashlib
 
-    rows = spark.createDataFrame([(f"q{i}",) for i in range(7)], "query_id string")
-    got = {(r["rep"], r["query_id"]): r["times"] for r in bootstrap.draws(rows, 3).collect()}
-    for rep in range(3):
-        picks = [int(hashlib.md5(f"{bootstrap.SEED}:{rep}:{i}".encode()).hexdigest()[:8], 16) % 7 for i in range(7)]
-        assert {q: n for (r, q), n in got.items() if r == rep} == {f"q{k}": picks.count(k) for k in set(picks)}
-    assert sum(n for (r, _), n in got.items() if r == -1) == 7
+    monkeypatch.setattr(bootstrap, "BLOCK", 4)
+    monkeypatch.setattr(bootstrap, "CHUNK", 2)
+    monkeypatch.setattr(bootstrap, "DIGESTS", 1)
+    rows = [(f"q{i}", g, float(i * k)) for i in range(11) for k, g in ((1, "a"), (10, "b"), (7, "b")) if i % k == 0 or g == "a"]
+    got = bootstrap.drawn_sums(spark.createDataFrame(rows, "query_id string, g string, x double"), ["g"], ["x"], 3).groupBy("rep", "g").agg(F.sum("times").alias("n"), F.sum("x").alias("x"))
+    got = {(r["rep"], r["g"]): (r["n"], r["x"]) for r in got.collect()}
+    names = sorted({q for q, _, _ in rows})
+    for rep in range(-1, 3):
+        digests = [hashlib.md5(f"{bootstrap.SEED}:{rep}:{j}".encode()).hexdigest() for j in range(3)]
+        picks = [int(h[8 * k : 8 * k + 8], 16) % 11 for h in digests for k in range(4)][:11] if rep >= 0 else range(11)
+        for g in "ab":
+            drawn = [x for p in picks for q, of, x in rows if q == names[p] and of == g]
+            assert got.get((rep, g), (0, 0)) == (len(drawn), sum(drawn))
+    assert len(list(bootstrap.drawn(bootstrap.SEED, 0, 11))) == 3
+
+
+@pytest.mark.parametrize("piece", [3, 2048])
+def test_automaton_finds_what_texts_hold(spark, monkeypatch, piece):
+    import random
+
+    rng = random.Random(piece)
+    monkeypatch.setattr(automaton, "PIECE", piece)
+    monkeypatch.setattr(automaton, "BLOCK_BYTES", 40)
+    letters = lambda n: "".join(rng.choice("ab é") for _ in range(n))
+    patterns = [(i, i % 2, letters(rng.randint(0, 7))) for i in range(60)]
+    texts = [(j, letters(rng.randint(0, 60)), letters(rng.randint(0, 60))) for j in range(30)] + [(30, None, ""), (31, "", None)]
+    got = automaton.found_in(spark.createDataFrame(patterns, "id long, form int, pattern string"), spark.createDataFrame(texts, "text_id long, x string, y string"), ["x", "y"])
+    want = {(i, j) for i, form, p in patterns for j, *t in texts if p and p in (t[form] or "")}
+    rows = [(r["id"], r["text_id"]) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    assert automaton.blocks(spark.createDataFrame(patterns, "id long, form int, pattern string")).select("block").distinct().count() > 3
+
+
+def test_quantiles_of_hot_groups(spark):
+    """One group with all rows, narrowed over values of very unlike sizes, against Spark's own percentile."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    values = [*rng.exponential(1e3, 900), *rng.normal(0, 1e-9, 300), *[1e300, -1e300, 0.0, 7.0] * 30]
+    wanted = {"a": ("x", 0.5, "linear"), "b": ("x", 0.9, "nearest"), "c": ("y", 0.025, "linear"), "d": ("x", 0.0, "linear"), "e": ("y", 1.0, "nearest")}
+    for groups in (["g"], ["all", "few", None]):
+        rows = spark.createDataFrame([(groups[i % len(groups)], None if i % 11 == 0 else float(v), float(i % 5)) for i, v in enumerate(values)], "g string, x double, y double")
+        exact = rows.groupBy("g").agg(F.percentile("x", 0.5).alias("a"), F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY x)").alias("b"), F.percentile("y", 0.025).alias("c"), F.min("x").alias("d"), F.max("y").alias("e"))
+        for few in (50, 10_000):
+            got = quantiles.quantiles(rows, ["g"], wanted, few=few)
+            assert sorted(map(repr, got.collect())) == sorted(map(repr, exact.collect()))
 
 
 def test_containment_and_pages(spark):
-    golds = spark.createDataFrame([(1, "seven"), (2, "old red mill"), (3, "the")], "g int, text string")
+    golds = spark.createDataFrame([(1, "seven"), (2, "old red mill"), (3, "the"), (4, None)], "g int, text string")
     texts = spark.createDataFrame([(1, "An old, red mill"), (2, "seventeen"), (3, None), (4, "bold red millstone, 7")], "t int, text string")
     assert {(r["g"], r["t"]) for r in search.containment(golds, texts, "g", "t").collect()} == {(2, 1), (2, 4), (1, 2), (1, 4)}
     got = search.page(texts, ["t"], 2, 3).collect()

@@ -1,23 +1,33 @@
 """Paired bootstrap of provider metrics: one matrix of drawn queries for all providers and metrics.
 
-Rows are (provider_id, query_id, ...) with each provider holding every query. Draw i of replicate r is md5(seed:r:i) % n, so that it
-is the same everywhere and needs no random state. A replicate's sums come from partial aggregation; metrics are ratios of sums.
+Rows are (provider_id, query_id, ...) with each provider holding every query. Draw 4j + k of replicate r is the k-th 32 bits of
+md5(seed:r:j), modulo the number of queries, so that it is the same everywhere and needs no random state. Queries are numbered and lie
+in blocks. A task has one block's rows and some replicates: it counts how often each of its queries is drawn in each replicate, and
+multiplies that matrix with the rows' values. Only these sums leave it, a row for each replicate and group; they are added up over
+the blocks, and metrics are ratios of them. Draws are made where they are counted and never shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelens.workers import ship
+
 #: The seed and the number of replicates.
 SEED, REPLICATES = 20260628, 10_000
+#: Queries of a block and replicates of a task (a matrix of 32 MB), and digests that are held at once.
+BLOCK, CHUNK, DIGESTS = 1 << 14, 250, 1 << 16
 
 
 def _sum(column: str) -> Column:
     """The sum over a replicate's queries, each as often as it was drawn."""
-    return F.sum(F.col(column) * F.col("times")).cast("double")
+    return F.sum(column).cast("double")
 
 
 def _ratio(a: str, b: str, times: int = 1) -> Callable[[], Column]:
@@ -28,7 +38,7 @@ def _mean(column: str) -> Callable[[], Column]:
     return lambda: _sum(column) / F.sum("times")
 
 
-#: The registry: each metric as an aggregate over a provider's drawn queries.
+#: The registry: each metric as an aggregate over a provider's sums.
 METRICS: dict[str, Callable[[], Column]] = {
     "correct": lambda: _sum("correct"),
     "token_f1": _mean("token_f1"),
@@ -39,35 +49,80 @@ METRICS: dict[str, Callable[[], Column]] = {
     "fetch_calls": _mean("fetch_calls"),
     "tokens": _mean("tokens"),
 }
+VALUES = ["correct", "token_f1", "pre_support", "rank1_rows", "pre_rows", "contra_rows", "gold_rows", "fetched", "fetch_calls", "tokens"]
+
+
+def numbered(queries: DataFrame) -> DataFrame:
+    """query_id and pos of each query: its place in the order of query_id, by a distributed sort (RDD zipWithIndex)."""
+    found = queries.select("query_id").distinct().orderBy("query_id")
+    pairs = found.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1]))
+    return queries.sparkSession.createDataFrame(pairs, f"query_id {dict(found.dtypes)['query_id']}, pos long")
+
+
+def drawn(seed: int, replicate: int, n: int) -> Iterator[np.ndarray]:
+    """The numbers of the n queries that a replicate draws, some at a time."""
+    for at in range(0, -(-n // 4), DIGESTS):
+        some = range(at, min(at + DIGESTS, -(-n // 4)))
+        bits = b"".join([hashlib.md5(b"%d:%d:%d" % (seed, replicate, j), usedforsecurity=False).digest() for j in some])
+        yield np.frombuffer(bits, ">u4")[: n - 4 * at].astype(np.int64) % n
 
 
-def draws(queries: DataFrame, replicates: int, seed: int = SEED) -> DataFrame:
-    """rep, query_id, times: how often each replicate draws each query, and all of them once under rep -1.
+def drawn_sums(rows: DataFrame, groups: list[str], values: list[str], replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
+    """rep, the groups, times (queries drawn) and the sums of values: partial ones, to be added by rep and groups. rep -1 has every query once.
 
-    Queries get their numbers by a distributed sort (RDD zipWithIndex), not by one task's window.
+    rows has query_id, any number of rows of each; values are numbers without nulls, groups are of any type that Arrow has.
     """
-    spark = queries.sparkSession
-    numbered = queries.select("query_id").distinct().orderBy("query_id").rdd.zipWithIndex().map(lambda r: (r[0][0], r[1]))
-    numbered = spark.createDataFrame(numbered, "query_id string, pos long")
-    n = numbered.count()
-    at = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("i").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % max(n, 1)
-    drawn = spark.range(replicates).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("i")).select("rep", at.alias("pos"))
-    times = drawn.groupBy("rep", "pos").agg(F.count("*").alias("times"))
-    once = numbered.select(F.lit(-1).cast("long").alias("rep"), "pos", F.lit(1).cast("long").alias("times"))
-    return times.unionByName(once).join(numbered, "pos").select("rep", "query_id", "times")
+    ship()
+    spark = rows.sparkSession
+    number = numbered(rows).persist()
+    n = number.count()
+    placed = rows.join(number, "query_id").select("pos", *groups, *[F.col(v).cast("double").alias(v) for v in values])
+    kinds = ", ".join(f"`{g}` {dict(rows.dtypes)[g]}" for g in groups)
+    inner = F.struct((F.col("pos") % BLOCK).alias("pos"), *groups, *values)
+    whole = placed.groupBy(F.floor(F.col("pos") / BLOCK).alias("block")).agg(F.collect_list(inner).alias("rows"))
+    chunks = F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(CHUNK)) if replicates else F.array().cast("array<int>")
+    work = whole.withColumn("first", F.explode(chunks))
+    work = work.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "block", "first")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, first, held in zip(batch.column("block").to_pylist(), batch.column("first").to_pylist(), batch.column("rows")):
+                held = held.values
+                pos = np.asarray(held.field("pos"))
+                matrix = np.stack([np.ones(len(pos)), *[np.asarray(held.field(v)) for v in values]], 1)
+                keys = list(zip(*[held.field(g).to_pylist() for g in groups])) or [()] * len(pos)
+                member: dict[tuple, list[int]] = {}
+                for i, k in enumerate(keys):
+                    member.setdefault(k, []).append(i)
+                reps = np.arange(first, min(first + CHUNK, replicates))
+                counts = np.zeros((len(reps), BLOCK))
+                for row, rep in zip(counts, reps.tolist()):
+                    for some in drawn(seed, rep, n):
+                        some = some[some // BLOCK == block] % BLOCK
+                        row += np.bincount(some, minlength=BLOCK)
+                sums = [counts[:, pos[m]] @ matrix[m] for m in member.values()]
+                whose = [k for k in member for _ in reps]
+                total = np.concatenate(sums)
+                columns = [pa.array(np.tile(reps, len(member)), pa.int64()), *[pa.array([k[i] for k in whose], held.field(g).type) for i, g in enumerate(groups)], *[pa.array(total[:, i]) for i in range(total.shape[1])]]
+                yield pa.RecordBatch.from_arrays(columns, ["rep", *groups, "times", *values])
+
+    schema = ", ".join(["rep long", *([kinds] if kinds else []), "times double", *[f"`{v}` double" for v in values]])
+    sums = work.select("block", "first", "rows").mapInArrow(run, schema)
+    once = placed.groupBy(*groups).agg(F.count("*").cast("double").alias("times"), *[F.sum(v).alias(v) for v in values])
+    return sums.unionByName(once.select(F.lit(-1).cast("long").alias("rep"), *groups, "times", *values))
 
 
 def replicated(rows: DataFrame, replicates: int, seed: int = SEED) -> DataFrame:
     """rep, provider_id, metric, value: every metric of every replicate, in long form."""
-    drawn = draws(rows, replicates, seed).join(rows, "query_id")
-    found = drawn.groupBy("rep", "provider_id").agg(*[m().alias(n) for n, m in METRICS.items()])
+    sums = drawn_sums(rows, ["provider_id"], VALUES, replicates, seed).filter("times > 0")
+    found = sums.groupBy("rep", "provider_id").agg(*[m().alias(n) for n, m in METRICS.items()])
     return found.unpivot(["rep", "provider_id"], list(METRICS), "metric", "value")
 
 
 def _interval(values: DataFrame, keys: list[str]) -> DataFrame:
     """estimate (rep -1), low and high: the 2.5 and 97.5 percentiles, linear between ranks, over the replicates that have a value."""
-    drawn = F.when((F.col("rep") >= 0) & ~F.isnan("value"), F.col("value"))
-    return values.groupBy(*keys).agg(F.max(F.when(F.col("rep") == -1, F.col("value"))).alias("estimate"), F.percentile(drawn, 0.025).alias("low"), F.percentile(drawn, 0.975).alias("high"))
+    some = F.when((F.col("rep") >= 0) & ~F.isnan("value"), F.col("value"))  # as many as there are replicates
+    return values.groupBy(*keys).agg(F.max(F.when(F.col("rep") == -1, F.col("value"))).alias("estimate"), F.percentile(some, 0.025).alias("low"), F.percentile(some, 0.975).alias("high"))
 
 
 def intervals(rows: DataFrame, replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
@@ -84,7 +139,8 @@ def differences(rows: DataFrame, replicates: int = REPLICATES, seed: int = SEED)
 
 def cell_rates(rows: DataFrame, replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
     """queries, correct, and the share of correct ones in per cent with its interval, by provider and decision cell."""
-    drawn = draws(rows, replicates, seed).join(rows, "query_id").groupBy("rep", "provider_id", "cell").agg(F.sum("times").alias("c"), F.sum(F.col("correct") * F.col("times")).alias("ok"))
-    value = drawn.withColumn("value", 100.0 * F.col("ok") / F.col("c"))
-    counts = value.filter("rep = -1").select("provider_id", "cell", F.col("c").alias("queries"), F.col("ok").alias("correct"))
+    sums = drawn_sums(rows, ["provider_id", "cell"], ["correct"], replicates, seed).filter("times > 0")
+    total = sums.groupBy("rep", "provider_id", "cell").agg(F.sum("times").alias("c"), F.sum("correct").alias("ok"))
+    value = total.withColumn("value", 100.0 * F.col("ok") / F.col("c"))
+    counts = value.filter("rep = -1").select("provider_id", "cell", F.col("c").cast("long").alias("queries"), F.col("ok").cast("long").alias("correct"))
     return counts.join(_interval(value, ["provider_id", "cell"]), ["provider_id", "cell"])

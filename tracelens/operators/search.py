@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelens.functions import text as T
+from tracelens.operators.automaton import found_in
 
 
 def text_search(rows: DataFrame, columns: list[str], query: str) -> DataFrame:
@@ -54,23 +55,12 @@ def star(centre: DataFrame, parts: list[DataFrame], keys: list[str]) -> DataFram
 
 
 def containment(golds: DataFrame, texts: DataFrame, gold_id: str, text_id: str) -> DataFrame:
-    """(gold_id, text_id) of golds whose answer a text holds; both sides have a column text.
+    """(gold_id, text_id) of golds whose answer a text holds, normalised or as it is in lower case; both sides have a column text.
 
-    Each text is normalised once. A gold of three words or more names its rarest inner word, which a text must hold as a
-    word; that is an equi-join, and only its pairs are compared. Golds of one or two words can lie inside a word, so they are
-    a query set that is compared with all texts.
+    Each text is normalised once, and walked once for each block of golds by an automaton of them.
     """
-    words = F.split(F.col("norm"), " ")
-    g = golds.select(gold_id, "text").withColumns({"norm": T.normalize_answer(F.col("text")), "simple": T.simple_text(F.col("text"))}).filter("norm <> ''").drop("text")
-    t = texts.select(text_id, "text").withColumns({"t_norm": T.normalize_answer(F.col("text")), "t_simple": T.simple_text(F.col("text"))}).filter("t_norm <> ''").drop("text")
-    holds = F.contains("t_norm", "norm") | F.contains("t_simple", "simple")
-    long, short = g.filter(F.size(words) >= 3), g.filter(F.size(words) < 3)
-    each = t.select(text_id, F.explode(F.array_distinct(F.split("t_norm", " "))).alias("word"))
-    inner = long.select(gold_id, F.explode(F.array_distinct(F.slice(words, 2, F.size(words) - 2))).alias("word"))
-    asked = inner.select("word").distinct()
-    heard = each.join(asked, "word", "left_semi")
-    known = heard.groupBy("word").agg(F.count("*").alias("df"))
-    rarest = inner.join(known, "word", "left").na.fill(0, ["df"]).groupBy(gold_id).agg(F.min(F.struct("df", "word"))["word"].alias("word"))
-    pairs = heard.join(rarest, "word").select(gold_id, text_id)
-    found = pairs.join(long, gold_id).join(t, text_id).filter(holds).select(gold_id, text_id)
-    return found.unionByName(t.join(short, holds).select(gold_id, text_id))
+    norm, plain = T.normalize_answer(F.col("text")), T.simple_text(F.col("text"))
+    forms = F.array(F.struct(F.lit(0).alias("form"), norm.alias("pattern")), F.struct(F.lit(1).alias("form"), plain.alias("pattern")))
+    g = golds.filter(norm != "").select(F.col(gold_id).alias("id"), F.inline(forms))
+    t = texts.select(F.col(text_id).alias("text_id"), norm.alias("norm"), plain.alias("plain")).filter("norm <> ''")
+    return found_in(g, t, ["norm", "plain"]).select(F.col("id").alias(gold_id), F.col("text_id").alias(text_id))

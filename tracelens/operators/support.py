@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelens.functions import text as T
 from tracelens.operators.judge import pre_support, url_id, valid
+from tracelens.operators.quantiles import LINEAR, quantiles
 
 CELLS = ["SMART", "MISSED", "BLIND", "NOOP"]
 POLICIES = ["snippet_only", "fetch_rank_1", "fetch_top_3", "fetch_top_5", "observed_agent_policy", "oracle_fetch_if_any_support", "oracle_fetch_if_needed"]
@@ -93,7 +94,9 @@ def imputed_tokens(records: DataFrame) -> DataFrame:
     t = F.coalesce("page_fetch.extracted_text_tokens_estimate", F.lit(0))
     known = (F.col("judge_surface_class") == "page_visible") & F.col("page_fetch").isNotNull()
     rows = records.filter(valid()).withColumn("t", F.when(known, t))
-    return rows.groupBy("provider_id").agg(F.bround(F.coalesce(F.median(F.nullif("t", F.lit(0))), F.median("t"), F.lit(0.0))).cast("long").alias("imputed"))
+    rows = rows.select("provider_id", "t", F.nullif("t", F.lit(0)).alias("some"))
+    found = quantiles(rows, ["provider_id"], {"of_some": ("some", 0.5, LINEAR), "of_all": ("t", 0.5, LINEAR)})
+    return found.select("provider_id", F.bround(F.coalesce("of_some", "of_all", F.lit(0.0))).cast("long").alias("imputed"))
 
 
 def simulate(states: DataFrame, imputed: DataFrame) -> DataFrame:

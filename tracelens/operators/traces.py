@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tracelens.functions import text as T
+from tracelens.operators.quantiles import LINEAR, NEAREST, quantiles
 from tracelens.operators.relational import latest_by_key
 from tracelens.schema import TRACE, TRACE_VERSION
-from tracelens.workers import ship
+from tracelens.workers import ship, stored
 
 #: Page sizes that count as large, in characters, and token totals that do.
 LARGE_PAGES, LARGE_TOKENS = (50_000, 100_000, 500_000), (100_000, 500_000)
@@ -269,13 +270,9 @@ def safe_mean(value: Column) -> Column:
     return F.coalesce(F.avg(F.when(~F.isnan(value.cast("double")), value.cast("double"))), F.lit(0.0))
 
 
-def nearest_rank(value: str, q: float) -> Column:
-    return F.coalesce(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})"), F.lit(0))
-
-
-def reliability(traces: DataFrame) -> DataFrame:
-    """Rows, queries, failed rows in history, failed latest rows, and failed rows whose query did not fail at last."""
-    now = latest(traces).select("provider_id", "query_id", F.coalesce("failed", F.lit(False)).alias("__last"))
+def reliability(traces: DataFrame, now: DataFrame | None = None) -> DataFrame:
+    """Rows, queries, failed rows in history, failed latest rows (of now, if it is known), and failed rows whose query did not fail at last."""
+    now = (latest(traces) if now is None else now).select("provider_id", "query_id", F.coalesce("failed", F.lit(False)).alias("__last"))
     rows = traces.withColumn("__failed", F.coalesce("failed", F.lit(False))).join(now, ["provider_id", "query_id"], "left")
     counted = rows.groupBy("provider_id").agg(F.count("*").alias("trace_rows"), F.count_if("__failed").alias("historical_failed_rows"), F.count_if(F.col("__failed") & (F.col("__last") == False)).alias("transient_failures_recovered"))  # noqa: E712
     last = now.groupBy("provider_id").agg(F.count("*").alias("latest_queries"), F.count_if("__last").alias("latest_failed_queries"))
@@ -284,8 +281,8 @@ def reliability(traces: DataFrame) -> DataFrame:
 
 def summarize_providers(traces: DataFrame) -> DataFrame:
     """One row per provider: totals, means, medians and thresholds over its latest traces, and its reliability."""
-    now = latest(traces)
-    metrics = per_trace_metrics(now)
+    now = stored(latest(traces))
+    metrics = stored(per_trace_metrics(now).drop("question", "gold_answer", "final_answer"))
     counted = ["answered", "abstained", "exact_match", "gold_url_exact_hit", "gold_url_prefix_hit", "gold_domain_hit", "gold_source_family_hit", "answer_in_snippet", "answer_in_extra_snippets", "answer_in_page", "answer_in_any_retrieved_text", "gold_hit_but_no_answer_text", "answer_text_without_gold_prefix", "wrong_with_answer_text_available", "wrong_without_answer_text_available"]
     t = F.col("total_tokens")
     per_trace = metrics.groupBy("provider_id").agg(
@@ -298,20 +295,21 @@ def summarize_providers(traces: DataFrame) -> DataFrame:
         safe_mean(F.col("reformulation_rate")).alias("avg_reformulation_rate"),
         safe_mean(F.col("redundant_search_rate")).alias("avg_redundant_search_rate"),
         safe_mean(F.col("multi_search_turn_rate")).alias("multi_search_turn_rate_avg"),
-        F.sum(t).alias("total_tokens"), safe_mean(t).alias("avg_tokens"), F.median(t).alias("median_tokens"), F.max(t).alias("max_tokens"),
+        F.sum(t).alias("total_tokens"), safe_mean(t).alias("avg_tokens"), F.max(t).alias("max_tokens"),
         *[F.count_if(t > n).alias(f"queries_over_{n // 1000}k_tokens") for n in LARGE_TOKENS],
         F.sum("wall_time_seconds").alias("total_wall_time_seconds"), safe_mean(F.col("wall_time_seconds")).alias("avg_wall_time_seconds"),
     )
     searches = now.select("provider_id", F.explode("retrievals").alias("s")).select("provider_id", F.coalesce(F.col("s.search_response.results"), F.array()).alias("r"))
     per_search = searches.groupBy("provider_id").agg(safe_mean(F.size("r")).alias("avg_result_count_per_search"))
     snippets = results(now).select("provider_id", F.length(F.coalesce("result.snippet", F.lit(""))).alias("n"))
-    per_result = snippets.groupBy("provider_id").agg(F.median("n").alias("median_snippet_chars"))
+    per_result = quantiles(snippets, ["provider_id"], {"median_snippet_chars": ("n", 0.5, LINEAR)})
     pages = now.select("provider_id", F.explode(page_fetches()).alias("p")).select("provider_id", F.coalesce("p.page_fetch.extracted_text_chars", F.lit(0)).alias("chars"))
-    per_page = pages.groupBy("provider_id").agg(F.median("chars").alias("median_extracted_chars"), nearest_rank("chars", 0.9).alias("p90_extracted_chars"), F.max("chars").alias("max_extracted_chars"), *[F.count_if(F.col("chars") > n).alias(f"large_extract_over_{n}") for n in LARGE_PAGES])
-    found = reliability(traces)
-    for part in (per_trace, per_search, per_result, per_page):
+    page_sizes = quantiles(pages, ["provider_id"], {"median_extracted_chars": ("chars", 0.5, LINEAR), "p90_extracted_chars": ("chars", 0.9, NEAREST)})
+    per_page = pages.groupBy("provider_id").agg(F.max("chars").alias("max_extracted_chars"), *[F.count_if(F.col("chars") > n).alias(f"large_extract_over_{n}") for n in LARGE_PAGES])
+    found = reliability(traces, now)
+    for part in (per_trace, quantiles(metrics, ["provider_id"], {"median_tokens": ("total_tokens", 0.5, LINEAR)}), per_search, per_result, per_page, page_sizes):
         found = found.join(part, "provider_id", "left")
-    return found.na.fill(0)
+    return found.withColumn("p90_extracted_chars", F.col("p90_extracted_chars").cast("long")).na.fill(0)
 
 
 def page_counts(traces: DataFrame) -> DataFrame:

@@ -13,15 +13,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracelens.operators import bootstrap as B
 from tracelens.operators import relational as R
+from tracelens.operators.quantiles import LINEAR, quantiles
 from tracelens.operators.sampling import apportion
 from tracelens.operators.search import containment
 from tracelens.plans import io_queries, judge_queries, text_queries, trace_queries
 from tracelens.plans.text_queries import norm_sql
 
 FLAGSHIP = "provider_report"
-#: Of the paired bootstrap, as in the reference.
-REPLICATES, SEED = 10_000, 20260628
 
 RUNS = "SELECT event_type AS provider, user_id AS query_id, event_id AS line_num, value AS tokens, value > 60 AS correct, event_id % 7 = 0 AS failed FROM {events}"
 LATEST = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY provider, query_id ORDER BY line_num DESC) AS rn FROM ({RUNS}) r) x WHERE rn = 1"
@@ -68,8 +68,6 @@ SQL = {
             sum(CASE WHEN selected THEN tokens ELSE 0 END) AS tokens, bool_or(contra AND selected) AS opened_contra FROM s GROUP BY provider, policy, query_id)
         SELECT provider, policy, count(*) AS queries, count_if(captured) AS captured, count_if(incremental) AS incremental, sum(fetches) AS fetches, sum(tokens) AS fetch_tokens, count_if(opened_contra) AS contradictions,
           round(count_if(captured) / nullif(CAST(sum(fetches) AS DOUBLE), 0), 4) AS support_per_fetch FROM q GROUP BY provider, policy""",
-    "median_imputation": "SELECT event_type AS provider, coalesce(median(nullif(floor(value), 0)), median(floor(value)), 0) AS imputed FROM {events} GROUP BY event_type",
-    "linear_percentiles": "SELECT event_type AS provider, round(percentile_cont(0.025) WITHIN GROUP (ORDER BY value), 6) AS low, round(percentile_cont(0.975) WITHIN GROUP (ORDER BY value), 6) AS high FROM {events} GROUP BY event_type",
     "resume_anti_join": "SELECT o.o_orderkey FROM {orders} o WHERE NOT EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_orderkey = o.o_orderkey)",
     "semi_join_universe": "SELECT event_type, count(*) AS n FROM {events} e WHERE EXISTS (SELECT 1 FROM {customer} c WHERE c.c_custkey = e.user_id AND c.c_acctbal > 0) GROUP BY event_type",
     "incremental_reuse": """
@@ -137,26 +135,55 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """REPLICATES resamples of the users with replacement, the same for both metrics; the index is md5(seed:rep:i) % n."""
+    """Resamples of the users with replacement, the same for both metrics."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    users = events.groupBy("user_id").agg((F.count_if(F.col("value") > 60) - F.count_if(F.col("value") > 40)).alias("d"))
-    numbered = users.orderBy("user_id").rdd.zipWithIndex().map(lambda r: (r[0]["d"], r[1]))  # a distributed sort numbers the users
-    users = spark.createDataFrame(numbered, "d long, pos long")
-    n = users.count()
-    draws = spark.range(REPLICATES).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))).alias("i"))
-    digest = F.md5(F.concat_ws(":", F.lit(str(SEED)), F.col("rep").cast("string"), F.col("i").cast("string")).cast("binary"))
-    draws = draws.select("rep", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % max(n, 1)).alias("pos"))
-    means = draws.join(users, "pos").groupBy("rep").agg(F.avg("d").alias("diff"))
+    users = events.groupBy(F.col("user_id").alias("query_id")).agg((F.count_if(F.col("value") > 60) - F.count_if(F.col("value") > 40)).alias("d"))
+    means = B.drawn_sums(users, [], ["d"]).filter("rep >= 0").groupBy("rep").agg((F.sum("d") / F.sum("times")).alias("diff"))
     at = lambda p: F.round(F.percentile("diff", F.lit(p)), 6)
     return means.agg(at(0.025).alias("low"), at(0.975).alias("high"), F.count("*").alias("reps"))
 
 
 BOOTSTRAP_SQL = f"""
 WITH u AS (SELECT row_number() OVER (ORDER BY user_id) - 1 AS pos, count_if(value > 60) - count_if(value > 40) AS d, count(*) OVER () AS n FROM events GROUP BY user_id),
-m AS (SELECT r.rep, avg(u.d) AS diff FROM (SELECT r.range AS rep, ('0x' || substr(md5('{SEED}:' || r.range || ':' || q.pos), 1, 8))::BIGINT % q.n AS pick FROM range({REPLICATES}) r CROSS JOIN u q) r JOIN u ON u.pos = r.pick GROUP BY r.rep)
+h AS (SELECT n, r.range AS rep, u.pos AS i, md5('{B.SEED}:' || r.range || ':' || u.pos) AS h FROM range({B.REPLICATES}) r CROSS JOIN u WHERE 4 * u.pos < n),
+m AS (SELECT rep, avg(u.d) AS diff FROM (SELECT rep, ('0x' || substr(h, 1 + 8 * k.range, 8))::BIGINT % n AS pick FROM h, range(4) k WHERE 4 * i + k.range < n) r JOIN u ON u.pos = r.pick GROUP BY rep)
 SELECT round(quantile_cont(diff, 0.025), 6) AS low, round(quantile_cont(diff, 0.975), 6) AS high, count(*) AS reps FROM m"""
 
 
+def linear_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("provider"), "value")
+    found = quantiles(events, ["provider"], {"low": ("value", 0.025, LINEAR), "high": ("value", 0.975, LINEAR)})
+    return found.select("provider", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+PERCENTILES_SQL = "SELECT event_type AS provider, round(percentile_cont(0.025) WITHIN GROUP (ORDER BY value), 6) AS low, round(percentile_cont(0.975) WITHIN GROUP (ORDER BY value), 6) AS high FROM events GROUP BY event_type"
+
+
+def median_imputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("provider"), F.floor("value").alias("size"))
+    sizes = sizes.withColumn("some", F.nullif("size", F.lit(0)))
+    found = quantiles(sizes, ["provider"], {"of_some": ("some", 0.5, LINEAR), "of_all": ("size", 0.5, LINEAR)})
+    return found.select("provider", F.coalesce("of_some", "of_all", F.lit(0.0)).alias("imputed"))
+
+
+IMPUTATION_SQL = "SELECT event_type AS provider, coalesce(median(nullif(floor(value), 0)), median(floor(value)), 0) AS imputed FROM events GROUP BY event_type"
+
+
+def short_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of one and of two words, the first of each item: they may lie inside words, too."""
+    first = F.filter(F.split("text", " "), lambda w: w != "")
+    golds = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("words"), first.alias("w"))
+    golds = golds.select((F.col("item_id") * 10 + F.col("words")).alias("answer_id"), F.array_join(F.slice("w", F.lit(1), F.col("words")), " ").alias("text"))
+    found = containment(golds, spark.read.parquet(f"{sf_dir}/documents.parquet"), "answer_id", "doc_id")
+    return found.groupBy("answer_id").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
+
+
+SHORT_SQL = rf"""
+WITH w AS (SELECT item_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM benchmark), i AS (SELECT item_id * 10 + k AS answer_id, array_to_string(w[1:k], ' ') AS text FROM w, (VALUES (1), (2)) v(k)),
+g AS (SELECT answer_id, {norm_sql('text')} AS n, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS s FROM i), t AS (SELECT doc_id, {norm_sql('text')} AS n, trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) AS s FROM documents)
+SELECT answer_id, count(*) AS docs, min(doc_id) AS first_doc FROM g JOIN t ON g.n <> '' AND t.n <> '' AND (contains(t.n, g.n) OR contains(t.s, g.s)) GROUP BY answer_id"""
+
+
 LATEST_SQL = "SELECT event_type, user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id DESC) AS rn FROM events) x WHERE rn = 1"
 STRATA_SQL = """
 WITH c AS (SELECT lang AS cell, count(*) AS n FROM documents GROUP BY lang), x AS (SELECT *, n * 100.0 / sum(n) OVER () AS x FROM c),
@@ -170,6 +197,9 @@ OWN: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "containment_join": (containment_join, CONTAINMENT_SQL),
     "stratified_sample": (stratified_sample, STRATA_SQL),
     "paired_bootstrap": (paired_bootstrap, BOOTSTRAP_SQL),
+    "linear_percentiles": (linear_percentiles, PERCENTILES_SQL),
+    "median_imputation": (median_imputation, IMPUTATION_SQL),
+    "short_answers": (short_answers, SHORT_SQL),
 }
 
 

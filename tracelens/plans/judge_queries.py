@@ -242,7 +242,7 @@ SELECT case_id, machine FROM t WHERE chosen OR more <= lack"""
 
 
 def bootstrap_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return B.intervals(_bootstrap_rows(spark, d), 100).withColumns({c: F.round(c, 6) for c in ("estimate", "low", "high")})
+    return B.intervals(_bootstrap_rows(spark, d)).withColumns({c: F.round(c, 6) for c in ("estimate", "low", "high")})
 
 
 def _bootstrap_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -257,7 +257,7 @@ def _bootstrap_rows(spark: SparkSession, d: str) -> DataFrame:
 
 BOOT = f"""WITH per AS (SELECT user_id, event_type AS provider_id, count(*) AS n, count_if(value > 60) AS high, count_if(value > 30) AS mid, CAST(sum(floor(value)) AS BIGINT) AS tokens FROM events GROUP BY 1, 2),
 q AS (SELECT k.provider_id, u.user_id, u.pos, coalesce(n, 0) AS n, coalesce(high, 0) AS high, coalesce(mid, 0) AS mid, coalesce(tokens, 0) AS tokens FROM (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS pos FROM (SELECT DISTINCT user_id FROM events)) u CROSS JOIN (VALUES ('click'), ('view'), ('purchase')) k(provider_id) LEFT JOIN per ON per.user_id = u.user_id AND per.provider_id = k.provider_id),
-size AS (SELECT count(DISTINCT pos) AS n FROM q), draw AS (SELECT r.range AS rep, ('0x' || substr(md5('{B.SEED}:' || r.range || ':' || i.range), 1, 8))::BIGINT % size.n AS pos FROM size, range(100) r, LATERAL (SELECT unnest(range(size.n)) AS range) i UNION ALL SELECT -1, unnest(range(n)) FROM size),
+size AS (SELECT count(DISTINCT pos) AS n FROM q), draw AS (SELECT rep, ('0x' || substr(h, 1 + 8 * k.range, 8))::BIGINT % n AS pos FROM (SELECT size.n, r.range AS rep, i.range AS i, md5('{B.SEED}:' || r.range || ':' || i.range) AS h FROM size, range({B.REPLICATES}) r, LATERAL (SELECT unnest(range((size.n + 3) // 4)) AS range) i) x, range(4) k WHERE 4 * i + k.range < n UNION ALL SELECT -1, unnest(range(n)) FROM size),
 m AS (SELECT rep, provider_id, count(*) AS c, sum(CASE WHEN high > 2 THEN 1 ELSE 0 END) AS correct, sum(high / CAST(greatest(n, 1) AS DOUBLE)) / count(*) AS token_f1, sum(CASE WHEN mid > 3 THEN 1 ELSE 0 END) AS pre_support, 100 * sum(high) / nullif(CAST(sum(mid) AS DOUBLE), 0) AS rank1_share, sum(n - mid) / nullif(CAST(sum(n) AS DOUBLE), 0) AS contradiction_ratio, sum(CASE WHEN n > 5 THEN 1 ELSE 0 END) AS fetched, CAST(sum(n) AS DOUBLE) / count(*) AS fetch_calls, CAST(sum(tokens) AS DOUBLE) / count(*) AS tokens
   FROM draw JOIN q ON q.pos = draw.pos GROUP BY rep, provider_id),
 long AS (SELECT rep, provider_id, x.metric, CAST(x.value AS DOUBLE) AS value FROM m, LATERAL (VALUES ('correct', CAST(correct AS DOUBLE)), ('token_f1', token_f1), ('pre_support', CAST(pre_support AS DOUBLE)), ('rank1_share', rank1_share), ('contradiction_ratio', contradiction_ratio), ('fetched', CAST(fetched AS DOUBLE)), ('fetch_calls', fetch_calls), ('tokens', tokens)) x(metric, value))"""
@@ -265,14 +265,14 @@ BOOTSTRAP_SQL = f"{BOOT} SELECT provider_id, metric, round(max(value) FILTER (WH
 
 
 def bootstrap_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return B.differences(_bootstrap_rows(spark, d), 100).withColumns({c: F.round(c, 6) for c in ("estimate", "low", "high")})
+    return B.differences(_bootstrap_rows(spark, d)).withColumns({c: F.round(c, 6) for c in ("estimate", "low", "high")})
 
 
 PAIRS_SQL = f"{BOOT}, p AS (SELECT a.rep, a.provider_id AS provider_a, b.provider_id AS provider_b, a.metric, a.value - b.value AS value FROM long a JOIN long b ON a.rep = b.rep AND a.metric = b.metric AND a.provider_id < b.provider_id) SELECT provider_a, provider_b, metric, round(max(value) FILTER (WHERE rep = -1), 6) AS estimate, round(quantile_cont(value, 0.025) FILTER (WHERE rep >= 0), 6) AS low, round(quantile_cont(value, 0.975) FILTER (WHERE rep >= 0), 6) AS high FROM p GROUP BY 1, 2, 3"
 
 
 def bootstrap_cells(spark: SparkSession, d: str) -> DataFrame:
-    return B.cell_rates(_bootstrap_rows(spark, d), 100).withColumns({c: F.round(c, 6) for c in ("estimate", "low", "high")})
+    return B.cell_rates(_bootstrap_rows(spark, d)).withColumns({c: F.round(c, 6) for c in ("estimate", "low", "high")})
 
 
 BOOT_CELLS_SQL = f"""{BOOT}, t AS (SELECT rep, provider_id, CASE n % 4 WHEN 0 THEN 'SMART' WHEN 1 THEN 'MISSED' WHEN 2 THEN 'BLIND' ELSE 'NOOP' END AS cell, count(*) AS c, sum(CASE WHEN high > 2 THEN 1 ELSE 0 END) AS ok FROM draw JOIN q ON q.pos = draw.pos GROUP BY 1, 2, 3)

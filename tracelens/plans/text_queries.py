@@ -225,8 +225,33 @@ def page_tags(spark: SparkSession, d: str) -> DataFrame:
 TAGS_SQL = r"SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, len(regexp_extract_all(html, '(?is)<p[^>]*>(.*?)</p>', 1)) AS paragraphs FROM pages"
 
 
-def html_main_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", H.main_text(F.col("html")).alias("text"), H.unescaped(T.tag_text(F.col("html"), "title")).alias("title"), H.looks_binary(F.col("html").cast("binary")).alias("binary"))
+def unescaped_titles(spark: SparkSession, d: str) -> DataFrame:
+    """C17: titles with entities of each kind behind them, one escaped twice."""
+    i = F.col("page_id")
+    more = F.concat(F.lit(" &amp;amp;lt;&#x"), F.hex(i % 200 + 160), F.lit(";&copy;&#"), (i % 500 + 300).cast("string"), F.lit(";&nope;&#128;"))
+    return table(spark, d, "pages").select("page_id", H.unescaped(F.concat(T.tag_text(F.col("html"), "title"), more)).alias("title"))
+
+
+def _read(x: str) -> str:
+    return f"replace(replace({x}, '&quot;', chr(34)), '&amp;', '&')"
+
+
+UNESCAPED_SQL = rf"""SELECT page_id, {_read(_read(_read("trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))")))} || ' <' || chr(CAST(page_id % 200 + 160 AS INTEGER)) || '©' || chr(CAST(page_id % 500 + 300 AS INTEGER)) || '&nope;€' AS title FROM pages"""
+
+
+def binary_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """pages, noise, pages with a zero byte behind them, and nothing; read by what they hold, without type or name."""
+    i = F.col("page_id")
+    noise = F.unhex(F.repeat(F.md5(F.col("url").cast("binary")), 40))
+    body = F.when(i % 4 == 0, F.col("html").cast("binary")).when(i % 4 == 1, noise).when(i % 4 == 2, F.concat(F.col("html").cast("binary"), F.lit(b"\x00"))).otherwise(F.lit(b""))
+    rows = table(spark, d, "pages").select("page_id", "html", H.looks_binary(body).alias("binary"), F.octet_length(body).cast("long").alias("n"))
+    head = F.when(i % 8 == 0, F.col("html"))
+    return rows.select("page_id", "n", "binary", H.extractor(F.lit(None).cast("string"), F.lit(None).cast("string"), head, F.col("binary")).alias("extractor"))
+
+
+BODIES_SQL = r"""WITH b AS (SELECT page_id, html, CASE page_id % 4 WHEN 0 THEN encode(html) WHEN 1 THEN unhex(repeat(md5(url), 40)) WHEN 2 THEN encode(html) || '\x00'::BLOB ELSE ''::BLOB END AS body FROM pages),
+h AS (SELECT *, hex(body)[1:8192] AS hx FROM b), x AS (SELECT *, octet_length(body) AS n, length(hx) > 0 AND (regexp_matches(hx, '^(..)*00') OR length(regexp_replace(hx, '0[89ACD]|[2-6].|7[0-9A-E]|(..)', '\1', 'g')) / 2 > 0.3 * length(hx) / 2) AS is_binary FROM h)
+SELECT page_id, CAST(n AS BIGINT) AS n, is_binary AS "binary", CASE WHEN page_id % 8 = 0 AND contains(lower(substr(html, 1, 1000)), '<html') THEN 'stdlib_html_parser' WHEN is_binary THEN 'binary_unsupported_v1' ELSE 'plain_text' END AS extractor FROM x"""
 
 
 def searched_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -337,7 +362,8 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "render_search_documents": (rendered_documents, RENDERED_SQL),
     "provider_payloads": (parsed_payloads, PAYLOAD_SQL),
     "page_tags": (page_tags, TAGS_SQL),
-    "html_main_text": (html_main_text, None),
+    "unescaped_titles": (unescaped_titles, UNESCAPED_SQL),
+    "binary_bodies": (binary_bodies, BODIES_SQL),
     "paged_text_search": (searched_documents, SEARCHED_SQL),
     "todo_orders": (todo_orders, TODO_SQL),
     "capped_documents": (capped_documents, CAPPED_SQL),

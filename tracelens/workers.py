@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship() -> None:
@@ -32,3 +32,10 @@ def scratch(spark: SparkSession) -> str:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df computed once, into a table in a new folder: later plans read it there, also after a lost executor."""
+    folder = scratch(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
