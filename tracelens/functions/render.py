@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from tracelens.functions.templates import escape, render
 
 #: The members of a page that its XML names, in order.
 PAGE_MEMBERS = ["fetch_backend", "fetch_status", "http_status", "content_type", "extractor", "artifact_path", "final_url", "extracted_text_chars", "extracted_text_tokens_estimate"]
 
 
-def escape(value: Column) -> Column:
-    """Text for XML; null reads as nothing."""
-    t = F.coalesce(value.cast("string"), F.lit(""))
-    for plain, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
-        t = F.replace(t, F.lit(plain), F.lit(safe))
-    return t
-
-
 def _lines(*parts: Column) -> Column:
     return F.concat_ws("\n", *parts)
 
@@ -56,13 +50,8 @@ def fetched_xml(page: Column, url: Column, source: dict[str, Column]) -> Column:
 
 
 def fill(template: str, values: dict[str, Column]) -> Column:
-    """A template's text: {{ name }} escaped, {{{ name }}} as it is; names without a value read as nothing."""
-    parts, at = [], 0
-    for m in re.finditer(r"\{\{\{\s*(?P<raw>[^}]+?)\s*\}\}\}|\{\{\s*(?P<safe>[^}]+?)\s*\}\}", template):
-        value = values.get(m["raw"] or m["safe"], F.lit(None).cast("string"))
-        parts += [F.lit(template[at : m.start()]), F.coalesce(value.cast("string"), F.lit("")) if m["raw"] else escape(value)]
-        at = m.end()
-    return F.trim(F.concat(*parts, F.lit(template[at:])))
+    """A template's text, of values that are text."""
+    return render(template, {n: (c, StringType()) for n, c in values.items()})
 
 
 def capped(page: Column, limit: int) -> tuple[Column, Column]:
@@ -72,9 +61,14 @@ def capped(page: Column, limit: int) -> tuple[Column, Column]:
     return F.when(cut, F.substring(text, 1, max(limit, 0))).otherwise(text), cut
 
 
-def judge_prompt(template: str, values: dict[str, Column], page: Column, limit: int = 0) -> tuple[Column, Column]:
-    """The messages (role, content) that the judge gets, and whether the page was cut; values hold the document's XML too."""
-    _, cut = capped(page, limit)
-    content = fill(template, values | {"text_truncated": F.when(cut, "true").otherwise("false")})
+def judge_prompt(template: str, values: dict[str, Column | Callable[[Column], Column]], page: Column, limit: int = 0) -> tuple[Column, Column]:
+    """The messages (role, content) that the judge gets, and whether the page was cut.
+
+    values hold the document's XML too; one that depends on the page is a function of it, and gets the page as it was cut.
+    """
+    text, cut = capped(page, limit)
+    shown = F.when(cut, page.withField("extracted_text", text)).otherwise(page) if limit > 0 else page
+    known = {n: v(shown) if callable(v) and not isinstance(v, Column) else v for n, v in values.items()}
+    content = fill(template, known | {"text_truncated": F.when(cut, "true").otherwise("false")})
     message = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
     return F.array(message("system", F.lit("You are a precise JSON-only evaluation judge.")), message("user", content)), cut

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from tracelens import schema
+from tracelens.functions import render as R
 from tracelens.functions import text as T
 
 #: Extractors that give no text.
@@ -87,36 +89,79 @@ def reuse_key() -> Column:
 def match_fetches(results: DataFrame, fetches: DataFrame) -> DataFrame:
     """Each result (trace_id, retrieval_id, document_id, rank, url) with its fetch_id and status, null without one.
 
-    A fetch of that search by document id comes first; without one, by URL or rank. Of several: a success, then the lowest
-    iteration, then fetch_id. Two equi-joins and an aggregation: no theta join.
+    A fetch of that search by document id comes first; then, where results have retrieval_index, one under s{index}r{rank};
+    without one, by URL or rank. Of several: a success, then the lowest iteration, then fetch_id. Equi-joins and an
+    aggregation: no theta join.
     """
-    r, on = results.withColumn("row", F.struct("trace_id", "retrieval_id", "document_id", "rank", "url")), ["trace_id", "retrieval_id"]
+    if "retrieval_index" not in results.columns:
+        results = results.withColumn("retrieval_index", F.lit(None).cast("int"))
+    given = (F.coalesce("retrieval_index", F.lit(0)) != 0) & (F.coalesce("rank", F.lit(0)) != 0)
+    results = results.withColumn("alias", F.when(given, F.concat(F.lit("s"), F.col("retrieval_index").cast("string"), F.lit("r"), F.col("rank").cast("string"))))
+    r, on = results.withColumn("row", F.struct("trace_id", "retrieval_id", "document_id", "rank", "url", "alias")), ["trace_id", "retrieval_id"]
     order = F.struct((F.coalesce(F.col("fetch_status"), F.lit("")) != "success").cast("int").alias("s"), F.coalesce("iteration_num", F.lit(0)).alias("i"), F.coalesce("fetch_id", F.lit("")).alias("f"), F.col("fetch_status").alias("status"))
     f = fetches.select(*on, F.col("document_id").alias("f_document"), F.col("url").alias("f_url"), F.col("rank").alias("f_rank"), order.alias("o")).filter("retrieval_id <> '' AND f_document <> ''")
 
     def by(key: str, other: str, first: int) -> DataFrame:
         return r.join(f.withColumnRenamed(other, key), [*on, key]).filter(F.col(key).isNotNull()).select("row", F.struct(F.lit(first).alias("p"), "o").alias("c"))
 
-    found = by("document_id", "f_document", 0).unionByName(by("url", "f_url", 1)).unionByName(by("rank", "f_rank", 1))
+    found = by("document_id", "f_document", 0).unionByName(by("alias", "f_document", 1)).unionByName(by("url", "f_url", 2)).unionByName(by("rank", "f_rank", 2))
     best = found.groupBy("row").agg(F.min("c").alias("c"))
     rows = r.join(best, r["row"].eqNullSafe(best["row"]), "left").drop("row")
-    return rows.select("*", F.col("c.o.f").alias("fetch_id"), F.col("c.o.status").alias("fetch_status"), F.col("c").isNotNull().alias("model_fetched_document")).drop("c")
+    return rows.select("*", F.col("c.o.f").alias("fetch_id"), F.col("c.o.status").alias("fetch_status"), F.col("c").isNotNull().alias("model_fetched_document")).drop("c", "alias")
 
 
-def judge_records(traces: DataFrame) -> DataFrame:
-    """A record for each result of each trace: its document id, the page that counts, its surface and precheck, its signatures."""
+#: What the judge is asked; callers may give a text of their own with the same names.
+QUESTION = """Question: {{ question }}
+Reference answer: {{ gold_answer }}
+Given answer: {{ final_answer }}
+Page text cut: {{ text_truncated }}
+
+{{{ model_visible_document }}}"""
+
+
+def _member(value: Column, kind: StructType, name: str, other: str) -> Column:
+    """A struct's member; null of the type other where the struct has none of that name."""
+    return value[name] if name in kind.names else F.lit(None).cast(other)
+
+
+def _whole(page: Column, kind: StructType) -> Column:
+    """A page with all of its schema's members."""
+    whole = DataType.fromDDL(schema.PAGE)
+    members = [_member(page, kind, f.name, f.dataType.simpleString()).cast(f.dataType).alias(f.name) for f in whole]
+    return F.when(page.isNotNull(), F.struct(*members))
+
+
+def judge_records(traces: DataFrame, template: str = QUESTION, max_chars: int = 0) -> DataFrame:
+    """A record for each result of each trace: its document id, the page that counts, its surface and precheck, its signatures, and
+    the messages that the judge sees, with the page's text cut to max_chars (0: whole)."""
     from tracelens.operators.traces import extra_snippets, results
 
-    rows = results(traces).select("provider_id", "query_id", "trace_id", "retrieval_id", "search_query", "result", F.col("result.document_id").alias("document_id"), F.col("result.rank").alias("rank"), F.col("result.url").alias("url"))
-    fetched = traces.select("trace_id", F.explode("fetches").alias("f")).select("trace_id", F.col("f.source_retrieval_id").alias("retrieval_id"), F.col("f.source_document_id").alias("document_id"), F.col("f.url").alias("url"), F.col("f.source_rank").alias("rank"), "f.fetch_id", "f.iteration_num", F.col("f.page_fetch.fetch_status").alias("fetch_status"), F.col("f.page_fetch").alias("tool_page"))
-    rows = match_fetches(rows, fetched).join(fetched.select("trace_id", "fetch_id", "tool_page"), ["trace_id", "fetch_id"], "left")
-    shape = lambda p: F.struct(p["fetch_status"].alias("fetch_status"), p["extractor"].alias("extractor"), p["extracted_text_chars"].alias("extracted_text_chars"), F.lit(None).cast("string").alias("content_type"), p["extracted_text"].alias("extracted_text"))
-    page = F.when(F.col("model_fetched_document"), shape(F.col("tool_page"))).when(F.col("result.page_fetch").isNotNull(), shape(F.col("result.page_fetch")))
+    fetch = traces.schema["fetches"].dataType.elementType
+    rows = results(traces, "question", "final_answer")
+    result = rows.schema["result"].dataType
+    rows = rows.select("provider_id", "query_id", "trace_id", "question", "gold_answer", "final_answer", "retrieval_id", "retrieval_index", "search_query", "result", F.col("result.document_id").alias("document_id"), F.col("result.rank").alias("rank"), F.col("result.url").alias("url"))
+    f = F.col("f")
+    asked = _member(f, fetch, "requested_document_id", "string")
+    named = F.when(F.coalesce(f["source_document_id"], F.lit("")) != "", f["source_document_id"]).otherwise(asked)
+    fetched = traces.select("trace_id", F.explode("fetches").alias("f")).select("trace_id", f["source_retrieval_id"].alias("retrieval_id"), named.alias("document_id"), asked.alias("asked"), f["url"].alias("url"), f["source_rank"].alias("rank"), "f.fetch_id", "f.iteration_num", f["page_fetch"]["fetch_status"].alias("fetch_status"), _whole(f["page_fetch"], fetch["page_fetch"].dataType).alias("tool_page"))
+    rows = match_fetches(rows, fetched).join(fetched.select("trace_id", "fetch_id", "tool_page", "asked", F.col("iteration_num").alias("fetch_iteration")), ["trace_id", "fetch_id"], "left")
+    own = _whole(F.col("result.page_fetch"), result["page_fetch"].dataType)
+    page = F.when(F.col("model_fetched_document"), F.col("tool_page")).otherwise(own)
     source = F.when(F.col("model_fetched_document"), "fetch_tool").when(F.col("result.page_fetch").isNotNull(), "search_result_auto_fetch").otherwise("none")
-    rows = rows.withColumns({"page_fetch": page, "page_fetch_source": source})
+    rows = rows.withColumns({"page_fetch": page, "page_fetch_source": source, "extra": extra_snippets(F.col("result"))})
+    rows = rows.withColumns({"judge_surface_class": surface_class(F.col("page_fetch_source"), F.col("page_fetch")), "document_garbage_precheck": garbage_precheck(F.col("page_fetch"))})
+    extras = F.from_json(F.get_json_object("result.provider_metadata", "$.extra_snippets"), "array<string>")
+
+    def document(shown: Column) -> Column:
+        return R.documents_xml(F.col("search_query"), F.col("provider_id"), F.array(F.col("result").withField("page_fetch", shown)), lambda _: F.filter(extras, lambda x: F.coalesce(x, F.lit("")) != ""))
+
+    messages, _ = R.judge_prompt(template, {"question": F.col("question"), "gold_answer": F.col("gold_answer"), "final_answer": F.col("final_answer"), "model_visible_document": document}, F.col("page_fetch"), max_chars)
+    rows = rows.withColumn("messages", messages)
+    signature = F.when(F.col("judge_surface_class") == "page_visible", page_signature(prompt())).otherwise("")
     return rows.select(
-        F.lit(schema.JUDGE_VERSION).alias("schema_version"), "provider_id", "query_id", "trace_id", "retrieval_id", "search_query", "rank", "url", F.col("document_id").alias("source_document_id"), T.document_id(F.col("query_id"), F.col("provider_id"), F.col("retrieval_id"), F.col("rank")).alias("document_id"),
-        T.normalize_url(F.col("url")).alias("normalized_url"), "page_fetch_source", surface_class(F.col("page_fetch_source"), F.col("page_fetch")).alias("judge_surface_class"), "model_fetched_document", "fetch_id", "page_fetch", garbage_precheck(F.col("page_fetch")).alias("document_garbage_precheck"), snippet_signature(F.col("result"), extra_snippets(F.col("result"))).alias("judge_snippet_surface_signature"),
+        F.lit(schema.JUDGE_VERSION).alias("schema_version"), F.lit("document_support").alias("judge_type"), "provider_id", "query_id", "trace_id", "retrieval_id", "search_query", "rank", F.col("result.title").alias("title"), "url", F.col("result.domain").alias("domain"), F.col("document_id").alias("source_document_id"), T.document_id(F.col("query_id"), F.col("provider_id"), F.col("retrieval_id"), F.col("rank")).alias("document_id"),
+        T.normalize_url(F.col("url")).alias("normalized_url"), "page_fetch_source", "judge_surface_class", "model_fetched_document", "fetch_id", F.col("asked").alias("fetch_tool_requested_document_id"), F.col("fetch_iteration").alias("fetch_tool_iteration_num"), "page_fetch", "document_garbage_precheck", F.col("document_garbage_precheck.is_garbage").alias("effective_is_garbage"),
+        snippet_signature(F.col("result"), F.col("extra")).alias("judge_snippet_surface_signature"), signature.alias("judge_page_fetch_signature"), "messages",
     )
 
 

@@ -34,11 +34,14 @@ def latest(traces: DataFrame) -> DataFrame:
     return latest_by_key(traces.filter("query_id <> ''"), ["provider_id", "query_id"], "line_num")
 
 
-def results(traces: DataFrame) -> DataFrame:
-    """A row for every result, with its trace's keys: retrieval_pos, retrieval_id, search_query, result_pos, result."""
-    keys = ["provider_id", "query_id", "trace_id", "line_num", "gold_answer"]
+def results(traces: DataFrame, *more: str) -> DataFrame:
+    """A row for every result, with its trace's keys (and more of its columns): retrieval_pos, retrieval_id, retrieval_index, search_query,
+    result_pos, result."""
+    keys = ["provider_id", "query_id", "trace_id", "line_num", "gold_answer", *more]
     rows = traces.select(*keys, F.posexplode("retrievals").alias("retrieval_pos", "retrieval"))
-    rows = rows.select(*keys, "retrieval_pos", F.col("retrieval.retrieval_id").alias("retrieval_id"), F.col("retrieval.search_query").alias("search_query"), F.posexplode("retrieval.search_response.results").alias("result_pos", "result"))
+    known = "retrieval_index" in traces.schema["retrievals"].dataType.elementType.names
+    index = F.col("retrieval.retrieval_index") if known else F.lit(None).cast("int")
+    rows = rows.select(*keys, "retrieval_pos", F.col("retrieval.retrieval_id").alias("retrieval_id"), index.alias("retrieval_index"), F.col("retrieval.search_query").alias("search_query"), F.posexplode("retrieval.search_response.results").alias("result_pos", "result"))
     return rows
 
 

@@ -18,7 +18,7 @@ from tracelens.operators import relational as R
 from tracelens.operators.quantiles import LINEAR, quantiles
 from tracelens.operators.sampling import apportion
 from tracelens.operators.search import containment
-from tracelens.plans import io_queries, judge_queries, text_queries, trace_queries
+from tracelens.plans import io_queries, judge_queries, prompt_queries, text_queries, trace_queries
 from tracelens.plans.text_queries import norm_sql
 
 FLAGSHIP = "provider_report"
@@ -205,7 +205,7 @@ OWN: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     found = {name: (_run(sql), re.sub(r"\{(\w+)\}", r"\1", sql)) for name, sql in SQL.items()}
-    return found | OWN | trace_queries.QUERIES | judge_queries.QUERIES | text_queries.QUERIES | io_queries.QUERIES
+    return found | OWN | trace_queries.QUERIES | judge_queries.QUERIES | text_queries.QUERIES | io_queries.QUERIES | prompt_queries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -71,8 +71,7 @@ def artifact_cache(spark: SparkSession, d: str) -> DataFrame:
     some = pages.filter("page_id % 2 = 0").select("url", T.normalize_url(c("url")).alias("normalized_url"), F.lit("").alias("fetch_backend"), F.lit(None).cast("string").alias("final_url"), F.lit(None).cast("string").alias("reader_url"), F.lit(1.5).alias("fetch_latency_ms"), text.alias("extraction"), http.alias("http"))
     K.write_artifacts(some, out)
     kind = "url STRING, normalized_url STRING, fetch_backend STRING, final_url STRING, reader_url STRING, fetch_latency_ms DOUBLE, extraction STRUCT<status: STRING, method: STRING, text_chars: LONG, tokens_estimate: LONG, text_sha256: STRING, error: STRING, text: STRING>, http STRUCT<status: INT, content_type: STRING, truncated_by_max_bytes: BOOLEAN>"
-    held = spark.read.schema(kind).option("recursiveFileLookup", "true").json(out).withColumn("path", c("_metadata.file_path"))
-    held = held.withColumn("digest", F.regexp_extract("path", "digest=([0-9a-f]{64})", 1))
+    held = S.read_artifacts(spark, out, kind)
     found = S.lookup_artifacts(pages.select("page_id", "url"), held)
     shown = S.page_summary(held).select("normalized_url", "fetch_backend", "fetch_status", "extracted_text_chars", "extracted_text_tokens_estimate", "truncated_by_max_bytes")
     return found.select("page_id", T.normalize_url(c("url")).alias("normalized_url"), "hit").join(shown, "normalized_url", "left").select("page_id", "hit", "fetch_backend", "fetch_status", c("extracted_text_tokens_estimate").alias("tokens"), "truncated_by_max_bytes")

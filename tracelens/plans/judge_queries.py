@@ -334,7 +334,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "judge_summary": (judge_summary, SUMMARY_SQL),
     "judge_exact_cache": (judge_exact_cache, CACHE_SQL),
     "fetch_match_best": (fetch_match, FETCH_SQL),
-    "judge_record_build": (judge_record_build, None),
     "judge_documents": (judge_documents, DOCUMENTS_SQL),
     "validation_cases": (validation_cases, CASES_SQL),
     "agreement_report": (agreement_report, AGREEMENT_SQL),

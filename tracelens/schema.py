@@ -2,7 +2,7 @@
 
 PAGE = "STRUCT<fetch_backend:STRING,fetch_status:STRING,http_status:INT,content_type:STRING,final_url:STRING,reader_url:STRING,artifact_path:STRING,truncated_by_max_bytes:BOOLEAN,extractor:STRING,extracted_text_chars:BIGINT,extracted_text_tokens_estimate:BIGINT,text_sha256:STRING,fetch_latency_ms:DOUBLE,error:STRING,extracted_text:STRING>"
 RESULT = f"STRUCT<document_id:STRING,rank:INT,title:STRING,url:STRING,snippet:STRING,domain:STRING,provider_metadata:STRING,page_fetch:{PAGE}>"
-RETRIEVAL = f"STRUCT<retrieval_id:STRING,iteration_num:INT,tool_call_id:STRING,search_query:STRING,search_response:STRUCT<provider_id:STRING,query:STRING,latency_ms:DOUBLE,timestamp:STRING,raw_response:STRING,results:ARRAY<{RESULT}>>>"
+RETRIEVAL = f"STRUCT<retrieval_id:STRING,retrieval_index:INT,iteration_num:INT,tool_call_id:STRING,search_query:STRING,search_response:STRUCT<provider_id:STRING,query:STRING,latency_ms:DOUBLE,timestamp:STRING,raw_response:STRING,results:ARRAY<{RESULT}>>>"
 FETCH = f"STRUCT<fetch_id:STRING,iteration_num:INT,tool_call_id:STRING,requested_document_id:STRING,url:STRING,reason:STRING,seen_in_search_results:BOOLEAN,source_retrieval_id:STRING,source_document_id:STRING,source_search_query:STRING,source_rank:INT,source_title:STRING,source_domain:STRING,source_snippet:STRING,page_fetch:{PAGE}>"
 USAGE = "STRUCT<prompt_tokens:BIGINT,completion_tokens:BIGINT,total_tokens:BIGINT>"
 ITERATION = f"STRUCT<iteration_num:INT,llm_request:STRING,llm_response:STRING,llm_tool_calls:STRING,llm_usage:{USAGE},llm_latency_ms:DOUBLE,agent_decision:STRING,searches:ARRAY<STRUCT<retrieval_id:STRING>>,fetches:ARRAY<STRUCT<fetch_id:STRING>>>"

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelens.functions import text as T
+from tracelens.sources.artifacts import ArtifactStore
+from tracelens.workers import ship
 
 
 def append_jsonl(rows: DataFrame, path: str, mode: str = "append") -> None:
@@ -30,15 +32,19 @@ def write_json(rows: DataFrame, path: str) -> None:
 
 
 def write_artifacts(rows: DataFrame, root: str, backend: str = "local", url: str = "url") -> None:
-    """One gzipped JSON for each page, below two levels of its digest's prefixes; a page that several rows hold is written once."""
-    path = T.artifact_path(F.col(url), backend)
-    parts = rows.withColumns({"p1": F.substring_index(path, "/", 1), "p2": F.substring(path, 4, 2), "digest": F.regexp_extract(path, "([0-9a-f]{64})", 1)}).dropDuplicates(["digest"])
-    parts.select("p1", "p2", "digest", F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("append").partitionBy("p1", "p2", "digest").option("compression", "gzip").text(root)
-
-
-def pivot(rows: DataFrame, index: str, columns: str, value: Column) -> DataFrame:
-    """A table of one row per index and one column per value of columns; of rows that share a cell the greatest holds."""
-    return rows.groupBy(index).pivot(columns).agg(F.max(value)).orderBy(index)
+    """One gzipped JSON for each page, below two levels of its digest's prefixes, in place of an older one. Of several rows of a page
+    the greatest, as JSON, is written."""
+    ship()
+    rows.sparkSession.dataSource.register(ArtifactStore)
+    digest = F.regexp_extract(T.artifact_path(F.col(url), backend), "([0-9a-f]{64})", 1)
+    value = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
+    files = rows.select(digest.alias("digest"), value.alias("value")).groupBy("digest").agg(F.max("value").alias("value"))
+    files.write.format(ArtifactStore.name()).mode("append").save(root)
+
+
+def pivot(rows: DataFrame, index: str, columns: str, value: Column, order: Column | None = None) -> DataFrame:
+    """A table of one row per index and one column per value of columns; of rows that share a cell the last by order holds, else the greatest."""
+    return rows.groupBy(index).pivot(columns).agg(F.max(value) if order is None else F.max_by(value, order)).orderBy(index)
 
 
 def markdown(table: DataFrame, most: int = 1000) -> str:
