@@ -288,6 +288,30 @@ def test_bootstrap_draws_with_replacement(spark, monkeypatch):
     assert len(list(bootstrap.drawn(bootstrap.SEED, 0, 11))) == 3
 
 
+#: Whether the answers to a hundred questions, in order, are right, and the intervals that were published for them.
+RIGHT = {
+    "brave": "0011101000010100001001010010000100111001000110100001000001010010000000100000000001100000000000000000",
+    "tavily": "0001101000010000011010010010000000111001101010001001000000010000100100010001000000000001001000000000",
+    "firecrawl": "0000101000010001001001000010000100101011100110111001100000000000000000010010000000000000001010100001",
+}
+PUBLISHED = {"brave": (25, 17, 34), "tavily": (25, 17, 34), "firecrawl": (26, 18, 35)}
+
+
+def test_intervals_of_draws_in_sequence_are_the_published_ones(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(bootstrap, "WORDS", 1000)
+    rows = spark.createDataFrame([(p, f"q{i:03}", int(flag)) for p, flags in RIGHT.items() for i, flag in enumerate(flags)], "provider_id string, query_id string, correct long")
+    for v in bootstrap.VALUES:
+        rows = rows.withColumn(v, F.col("correct"))
+    got = bootstrap.intervals(rows, in_sequence=True).filter("metric = 'correct'").collect()
+    assert {r["provider_id"]: (r["estimate"], r["low"], r["high"]) for r in got} == PUBLISHED
+    rng = random.Random(7)
+    want = [sum(int(RIGHT["brave"][rng.randrange(100)]) for _ in range(100)) for _ in range(600)]
+    sums = bootstrap.drawn_sums(rows.filter("provider_id = 'brave'"), [], ["correct"], 600, 7, True).filter("rep >= 0").orderBy("rep").collect()
+    assert [r["correct"] for r in sums] == want
+
+
 @pytest.mark.parametrize("piece", [3, 2048])
 def test_automaton_finds_what_texts_hold(spark, monkeypatch, piece):
     import random

@@ -1,7 +1,9 @@
 """Paired bootstrap of provider metrics: one matrix of drawn queries for all providers and metrics.
 
 Rows are (provider_id, query_id, ...) with each provider holding every query. Draw 4j + k of replicate r is the k-th 32 bits of
-md5(seed:r:j), modulo the number of queries, so that it is the same everywhere and needs no random state. Queries are numbered and lie
+md5(seed:r:j), modulo the number of queries, so that it is the same everywhere and needs no random state. In place of these, draws can
+be those of one Mersenne Twister that is asked for all replicates in turn, as Python's random.Random(seed).randrange gives them: one
+pass over its words notes the generator's state where each task's replicates begin. Queries are numbered and lie
 in blocks. A task has one block's rows and some replicates: it counts how often each of its queries is drawn in each replicate, and
 multiplies that matrix with the rows' values. Only these sums leave it, a row for each replicate and group; they are added up over
 the blocks, and metrics are ratios of them. Draws are made where they are counted and never shuffled.
@@ -10,7 +12,9 @@ the blocks, and metrics are ratios of them. Draws are made where they are counte
 from __future__ import annotations
 
 import hashlib
+import random
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +25,8 @@ from tracelens.workers import ship
 
 #: The seed and the number of replicates.
 SEED, REPLICATES = 20260628, 10_000
-#: Queries of a block and replicates of a task (a matrix of 32 MB), and digests that are held at once.
-BLOCK, CHUNK, DIGESTS = 1 << 14, 250, 1 << 16
+#: Queries of a block and replicates of a task (a matrix of 32 MB), and digests or words that are held at once.
+BLOCK, CHUNK, DIGESTS, WORDS = 1 << 14, 250, 1 << 16, 1 << 16
 
 
 def _sum(column: str) -> Column:
@@ -67,10 +71,46 @@ def drawn(seed: int, replicate: int, n: int) -> Iterator[np.ndarray]:
         yield np.frombuffer(bits, ">u4")[: n - 4 * at].astype(np.int64) % n
 
 
-def drawn_sums(rows: DataFrame, groups: list[str], values: list[str], replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
+@dataclass(frozen=True)
+class Start:
+    """A Mersenne Twister before some words, and how many of the draws from them are of earlier replicates."""
+
+    key: np.ndarray
+    pos: int
+    skip: int
+
+    def draws(self, n: int) -> Iterator[np.ndarray]:
+        """Draws below n without end: words are cut to n's bits, and those that are n or more are left out."""
+        bits, skip = np.random.MT19937(), self.skip
+        bits.state = {"bit_generator": "MT19937", "state": {"key": self.key, "pos": self.pos}}
+        while True:
+            found = bits.random_raw(WORDS) >> np.uint64(32 - n.bit_length())
+            yield found[found < n][skip:].astype(np.int64)
+            skip = 0
+
+
+def starts(seed: int, n: int, replicates: int) -> dict[int, Start]:
+    """Where the replicates of each task begin in the sequence of random.Random(seed)."""
+    if n >= 1 << 32:
+        raise ValueError("a draw is one word of 32 bits")
+    *key, pos = random.Random(seed).getstate()[1]
+    bits, found, before, wanted = np.random.MT19937(), {}, 0, 0
+    bits.state = {"bit_generator": "MT19937", "state": {"key": np.array(key, np.uint32), "pos": pos}}
+    while wanted < replicates:
+        state = bits.state["state"]
+        more = int((bits.random_raw(WORDS) >> np.uint64(32 - n.bit_length()) < n).sum())
+        while wanted < replicates and wanted * n < before + more:
+            found[wanted] = Start(state["key"], int(state["pos"]), wanted * n - before)
+            wanted += CHUNK
+        before += more
+    return found
+
+
+def drawn_sums(rows: DataFrame, groups: list[str], values: list[str], replicates: int = REPLICATES, seed: int = SEED, in_sequence: bool = False) -> DataFrame:
     """rep, the groups, times (queries drawn) and the sums of values: partial ones, to be added by rep and groups. rep -1 has every query once.
 
-    rows has query_id, any number of rows of each; values are numbers without nulls, groups are of any type that Arrow has.
+    rows has query_id, any number of rows of each; values are numbers without nulls, groups are of any type that Arrow has. in_sequence:
+    draws are those of one Mersenne Twister.
     """
     ship()
     spark = rows.sparkSession
@@ -84,6 +124,22 @@ def drawn_sums(rows: DataFrame, groups: list[str], values: list[str], replicates
     work = whole.withColumn("first", F.explode(chunks))
     work = work.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "block", "first")
 
+    begin = spark.sparkContext.broadcast(starts(seed, n, replicates) if in_sequence and n else {})
+
+    def each(first: int, reps: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+        """Some of the draws of some replicates at a time."""
+        if not in_sequence:
+            yield from ((i, some) for i, rep in enumerate(reps) for some in drawn(seed, rep, n))
+            return
+        at = 0
+        for some in begin.value[first].draws(n):
+            which = (at + np.arange(len(some))) // n
+            at += len(some)
+            for i in range(int(which[0]) if len(which) else 0, min(len(reps), -(-at // n))):
+                yield i, some[which == i]
+            if at >= n * len(reps):
+                return
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, first, held in zip(batch.column("block").to_pylist(), batch.column("first").to_pylist(), batch.column("rows")):
@@ -96,10 +152,8 @@ def drawn_sums(rows: DataFrame, groups: list[str], values: list[str], replicates
                     member.setdefault(k, []).append(i)
                 reps = np.arange(first, min(first + CHUNK, replicates))
                 counts = np.zeros((len(reps), BLOCK))
-                for row, rep in zip(counts, reps.tolist()):
-                    for some in drawn(seed, rep, n):
-                        some = some[some // BLOCK == block] % BLOCK
-                        row += np.bincount(some, minlength=BLOCK)
+                for i, some in each(first, reps.tolist()):
+                    counts[i] += np.bincount(some[some // BLOCK == block] % BLOCK, minlength=BLOCK)
                 sums = [counts[:, pos[m]] @ matrix[m] for m in member.values()]
                 whose = [k for k in member for _ in reps]
                 total = np.concatenate(sums)
@@ -112,9 +166,9 @@ def drawn_sums(rows: DataFrame, groups: list[str], values: list[str], replicates
     return sums.unionByName(once.select(F.lit(-1).cast("long").alias("rep"), *groups, "times", *values))
 
 
-def replicated(rows: DataFrame, replicates: int, seed: int = SEED) -> DataFrame:
+def replicated(rows: DataFrame, replicates: int, seed: int = SEED, in_sequence: bool = False) -> DataFrame:
     """rep, provider_id, metric, value: every metric of every replicate, in long form."""
-    sums = drawn_sums(rows, ["provider_id"], VALUES, replicates, seed).filter("times > 0")
+    sums = drawn_sums(rows, ["provider_id"], VALUES, replicates, seed, in_sequence).filter("times > 0")
     found = sums.groupBy("rep", "provider_id").agg(*[m().alias(n) for n, m in METRICS.items()])
     return found.unpivot(["rep", "provider_id"], list(METRICS), "metric", "value")
 
@@ -125,8 +179,8 @@ def _interval(values: DataFrame, keys: list[str]) -> DataFrame:
     return values.groupBy(*keys).agg(F.max(F.when(F.col("rep") == -1, F.col("value"))).alias("estimate"), F.percentile(some, 0.025).alias("low"), F.percentile(some, 0.975).alias("high"))
 
 
-def intervals(rows: DataFrame, replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
-    return _interval(replicated(rows, replicates, seed), ["provider_id", "metric"])
+def intervals(rows: DataFrame, replicates: int = REPLICATES, seed: int = SEED, in_sequence: bool = False) -> DataFrame:
+    return _interval(replicated(rows, replicates, seed, in_sequence), ["provider_id", "metric"])
 
 
 def differences(rows: DataFrame, replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:

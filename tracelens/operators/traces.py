@@ -431,11 +431,16 @@ def _trace_fields() -> list:
     return StructType.fromDDL(TRACE).fields
 
 
-def run_stats(records: DataFrame) -> DataFrame:
+def run_counts() -> list[Column]:
     """What a judge run wrote: rows by how they came about, errors and tokens."""
     c = F.col
     some = lambda x: F.coalesce(c(x), F.lit("")) != ""
-    return records.agg(F.count("*").alias("written"), F.count_if(c("reuse_class") != "fresh").alias("reused"), F.count_if(c("reuse_class") == "fresh").alias("fresh"), F.count_if(some("execution_error")).alias("errors"), F.sum(F.coalesce("page_fetch.extracted_text_tokens_estimate", F.lit(0))).alias("tokens"))
+    tokens = F.coalesce("page_fetch.extracted_text_tokens_estimate", F.lit(0))
+    return [F.count(F.lit(1)).alias("written"), F.count_if(c("reuse_class") != "fresh").alias("reused"), F.count_if(c("reuse_class") == "fresh").alias("fresh"), F.count_if(some("execution_error")).alias("errors"), F.sum(tokens).alias("tokens")]
+
+
+def run_stats(records: DataFrame) -> DataFrame:
+    return records.agg(*run_counts())
 
 
 def snippet_proxy(report: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tracelens.functions import text as T
 from tracelens.operators import judge as J
+from tracelens.operators import relational as R
 from tracelens.operators import traces as O
-from tracelens.plans.surrogates import RESULTS_SQL, judge_rows, table, traces
+from tracelens.plans.surrogates import JUDGE_SQL, RESULTS_SQL, judge_rows, sequenced, table, traces
 from tracelens.sources import jsonl as S
 from tracelens.sources import sinks as K
 from tracelens.workers import scratch
@@ -153,12 +154,27 @@ PROXY_SQL = f"WITH {RESULTS_SQL} SELECT provider_id, greatest(count_if(in_snippe
 
 
 def judge_run_stats(spark: SparkSession, d: str) -> DataFrame:
-    rows = judge_rows(spark, d)
-    rows = rows.join(rows.groupBy("seq").agg(F.count("*").alias("k")).filter("k = 1").select("seq"), "seq", "left_semi")
-    return O.run_stats(J.reuse_classes(rows, rows.filter("1 = 0")))
-
-
-STATS_SQL = """WITH u AS (SELECT *, l_orderkey * 10000000 + l_linenumber * 1000000 + l_partkey AS seq FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey) = 1),
+    """The counts come with the write itself."""
+    rows = sequenced(judge_rows(spark, d))
+    found = K.write_judgments(J.reuse_classes(rows, rows.filter("1 = 0")), scratch(spark), False, O.run_counts())
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"{n} long" for n in found))
+
+
+def resumed_run(spark: SparkSession, d: str) -> DataFrame:
+    """K2: a run that breaks off after the orders of even number, and one that writes what it finds undone; then what the file holds."""
+    out, rows = scratch(spark), sequenced(judge_rows(spark, d)).select("seq", "provider_id", "query_id", "rank", "judge_surface_class")
+    stats = [F.count(F.lit(1)).alias("written"), F.count_if(F.col("judge_surface_class") == "snippet_only").alias("snippets")]
+    first = K.write_judgments(rows.filter("CAST(substr(query_id, 2) AS BIGINT) % 2 = 0"), out, False, stats)
+    kind = "seq LONG, provider_id STRING, query_id STRING, rank INT, judge_surface_class STRING"
+    rest = R.resume(rows, spark.read.schema(kind).json(out), ["seq"])
+    second = K.write_judgments(rest, out, True, stats)
+    held = spark.read.schema(kind).json(out).groupBy("provider_id").agg(F.count("*").alias("held"), F.count_distinct("seq").alias("different"))
+    return held.withColumns({f"{run}_{n}": F.lit(v).cast("long") for run, found in (("first", first), ("second", second)) for n, v in found.items()})
+
+
+RESUMED_SQL = f"""WITH {JUDGE_SQL} SELECT provider_id, count(*) AS held, count(*) AS different, (SELECT count_if(q % 2 = 0) FROM judge) AS first_written, (SELECT count_if(q % 2 = 0 AND seen) FROM judge) AS first_snippets,
+(SELECT count_if(q % 2 = 1) FROM judge) AS second_written, (SELECT count_if(q % 2 = 1 AND seen) FROM judge) AS second_snippets FROM judge GROUP BY 1"""
+STATS_SQL = """WITH u AS (SELECT *, (l_orderkey * 10000000 + l_linenumber * 1000000 + l_partkey) * 100 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey ORDER BY l_linestatus, l_returnflag, l_suppkey % 3, floor(l_quantity)) AS seq FROM lineitem),
 k AS (SELECT *, CASE WHEN l_partkey % 83 <> 0 AND (l_linestatus = 'O' OR l_partkey % 5 <> 0) THEN l_orderkey || '|' || (l_partkey % 20) || '|' || CASE WHEN l_linestatus = 'O' THEN 's' ELSE l_returnflag END END AS reuse FROM u),
 c AS (SELECT *, reuse IS NOT NULL AND row_number() OVER (PARTITION BY reuse ORDER BY seq) > 1 AS again FROM k)
 SELECT count(*) AS written, count_if(again) AS reused, count_if(NOT again) AS fresh, count_if(l_partkey % 79 = 0) AS errors, CAST(sum(CASE WHEN l_linestatus = 'F' AND l_partkey % 7 <> 0 THEN floor(l_quantity) ELSE 0 END) AS BIGINT) AS tokens FROM c"""
@@ -184,5 +200,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "trace_defaults": (trace_defaults, DEFAULTS_SQL),
     "surface_proxy": (surface_proxy, PROXY_SQL),
     "judge_run_stats": (judge_run_stats, STATS_SQL),
+    "resumed_run": (resumed_run, RESUMED_SQL),
     "distinct_union": (distinct_union, UNION_SQL),
 }

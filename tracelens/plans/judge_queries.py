@@ -279,6 +279,11 @@ BOOT_CELLS_SQL = f"""{BOOT}, t AS (SELECT rep, provider_id, CASE n % 4 WHEN 0 TH
 SELECT provider_id, cell, CAST(max(c) FILTER (WHERE rep = -1) AS BIGINT) AS queries, CAST(max(ok) FILTER (WHERE rep = -1) AS BIGINT) AS correct, round(max(100.0 * ok / c) FILTER (WHERE rep = -1), 6) AS estimate, round(quantile_cont(100.0 * CAST(ok AS DOUBLE) / c, 0.025) FILTER (WHERE rep >= 0), 6) AS low, round(quantile_cont(100.0 * CAST(ok AS DOUBLE) / c, 0.975) FILTER (WHERE rep >= 0), 6) AS high FROM t GROUP BY 1, 2 HAVING count_if(rep = -1) > 0"""
 
 
+def bootstrap_in_sequence(spark: SparkSession, d: str) -> DataFrame:
+    """T7 with the draws of one Mersenne Twister, which SQL hasn't: tests hold it against Python's."""
+    return B.intervals(_bootstrap_rows(spark, d), in_sequence=True).withColumns({c: F.round(c, 6) for c in ("estimate", "low", "high")})
+
+
 def stratified_documents(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "lang", "source")
     return A.stratified(docs, ["lang", "source"], "doc_id", 100).select("doc_id", "lang", "source")
@@ -342,6 +347,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "bootstrap_metrics": (bootstrap_metrics, BOOTSTRAP_SQL),
     "bootstrap_pairwise": (bootstrap_pairs, PAIRS_SQL),
     "bootstrap_cells": (bootstrap_cells, BOOT_CELLS_SQL),
+    "bootstrap_in_sequence": (bootstrap_in_sequence, None),
     "stratified_documents": (stratified_documents, STRATIFIED_SQL),
     "sample_drift": (sample_drift, DRIFT_SQL),
     "list_prevalence": (list_prevalence, PREVALENCE_SQL),

@@ -6,7 +6,7 @@ is also a judged document: its order the query, its supplier modulo 3 the provid
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelens import schema
@@ -128,3 +128,9 @@ JUDGE_SQL = """
 judge AS (SELECT l_orderkey * 10000000 + l_linenumber * 1000000 + l_partkey AS seq, l_partkey % 97 <> 0 AND l_partkey % 79 <> 0 AND l_partkey % 71 <> 0 AND l_partkey % 83 <> 0 AS valid, l_partkey % 89 <> 0 AS named,
   'p' || (l_suppkey % 3) AS provider_id, l_orderkey AS q, l_linenumber AS rank, l_partkey % 20 AS url, l_linestatus = 'O' AS seen, l_discount >= 0.09 AND l_partkey % 71 <> 0 AS contains_gold, l_tax >= 0.07 AND l_partkey % 71 <> 0 AS in_snippets,
   l_quantity >= 45 AND l_partkey % 71 <> 0 AS in_page, l_discount <= 0.01 AND l_partkey % 71 <> 0 AS contra, CAST(floor(l_quantity) AS BIGINT) AS tokens, l_linestatus, l_returnflag, l_partkey, l_quantity, o_custkey AS cust FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"""
+
+
+def sequenced(rows: DataFrame) -> DataFrame:
+    """Judge records with a seq of their own: lines that share order, number and part follow each other."""
+    alike = Window.partitionBy("seq").orderBy("judge_surface_class", F.col("messages")[0]["content"], "provider_id", "page_fetch.extracted_text_tokens_estimate")
+    return rows.withColumn("seq", F.col("seq") * 100 + F.row_number().over(alike))

@@ -13,7 +13,7 @@ from tracelens.functions import text as T
 from tracelens.operators import judge as J
 from tracelens.operators import search as Q
 from tracelens.operators.traces import overlap, prefix_hit
-from tracelens.plans.surrogates import JUDGE_SQL, judge_rows, table
+from tracelens.plans.surrogates import JUDGE_SQL, judge_rows, sequenced, table
 from tracelens.sources import providers as P
 from tracelens.sources import sinks as K
 
@@ -332,14 +332,13 @@ SELECT *, sha256('{"extra":["' || mode || '","é"],"title":"' || shown || '","ur
 
 
 def reuse_classes(spark: SparkSession, d: str) -> DataFrame:
-    """W6 on the records whose seq is one record's: an earlier run judged those of even orders."""
-    rows = judge_rows(spark, d)
-    rows = rows.join(rows.groupBy("seq").agg(F.count("*").alias("k")).filter("k = 1").select("seq"), "seq", "left_semi")
+    """W6 on all records: an earlier run judged those of even orders."""
+    rows = sequenced(judge_rows(spark, d))
     cache = rows.filter("CAST(substr(query_id, 2) AS BIGINT) % 2 = 0 AND rank % 2 = 0")
     return J.reuse_classes(rows, cache).groupBy("provider_id", "reuse_class").agg(F.count("*").alias("n"))
 
 
-REUSE_SQL = f"""WITH {JUDGE_SQL}, u AS (SELECT * FROM judge WHERE seq IN (SELECT seq FROM judge GROUP BY seq HAVING count(*) = 1)),
+REUSE_SQL = f"""WITH {JUDGE_SQL}, u AS (SELECT * REPLACE (seq * 100 + row_number() OVER (PARTITION BY seq ORDER BY l_linestatus, l_returnflag, provider_id, tokens) AS seq) FROM judge),
 k AS (SELECT *, CASE WHEN l_partkey % 83 <> 0 AND (seen OR l_partkey % 5 <> 0) THEN q || '|' || url || '|' || CASE WHEN seen THEN 's' ELSE l_returnflag END END AS reuse, q % 2 = 0 AND rank % 2 = 0 AS cached FROM u),
 fk AS (SELECT *, provider_id || '|' || q || '|' || rank || '|' || url AS full_key FROM k), known AS (SELECT full_key, max_by(l_returnflag, seq) AS prompt FROM fk WHERE cached AND valid AND named GROUP BY 1), early AS (SELECT DISTINCT reuse FROM fk WHERE cached AND valid AND named AND reuse IS NOT NULL), first AS (SELECT reuse, min(seq) AS seq FROM fk WHERE reuse IS NOT NULL GROUP BY 1)
 SELECT fk.provider_id, CASE WHEN named AND l_partkey % 83 <> 0 AND known.prompt = l_returnflag THEN 'exact_cache' WHEN early.reuse IS NOT NULL OR first.seq < fk.seq THEN 'duplicate' ELSE 'fresh' END AS reuse_class, count(*) AS n

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tracelens.functions import text as T
@@ -16,9 +16,14 @@ def append_jsonl(rows: DataFrame, path: str, mode: str = "append") -> None:
     rows.select(json.alias("value")).write.mode(mode).text(path)
 
 
-def write_judgments(rows: DataFrame, path: str, resume: bool) -> None:
-    """Judge records: added to what is there if the run resumes, else anew."""
-    append_jsonl(rows, path, "append" if resume else "overwrite")
+def write_judgments(rows: DataFrame, path: str, resume: bool, counts: list[Column] | None = None) -> dict[str, int]:
+    """Judge records: added to what is there if the run resumes, else anew. Returns the counts, aggregates of rows, taken as they are written.
+
+    The counts are those of one run of each task; a job that is started again starts them anew.
+    """
+    seen = Observation()
+    append_jsonl(rows.observe(seen, *counts) if counts else rows, path, "append" if resume else "overwrite")
+    return seen.get if counts else {}
 
 
 def write_csv(rows: DataFrame, path: str, columns: list[str] | None = None) -> None:
