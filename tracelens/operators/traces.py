@@ -9,7 +9,7 @@ import difflib
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -330,8 +330,9 @@ def top_domains(traces: DataFrame, k: int = 20) -> DataFrame:
     rows = results(latest(traces)).filter("result.domain <> ''")
     place = F.struct("line_num", "retrieval_pos", "result_pos")
     counted = rows.groupBy("provider_id", F.col("result.domain").alias("domain")).agg(F.count("*").alias("n"), F.min(place).alias("first"))
-    top = counted.groupBy("provider_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "first", "domain", "n"))), 1, k).alias("d"))
-    return top.select("provider_id", F.posexplode("d").alias("pos", "d")).select("provider_id", (F.col("pos") + 1).alias("place"), "d.domain", "d.n")
+    # A row_number with a bound keeps only each provider's head in every task before the shuffle.
+    place = F.row_number().over(Window.partitionBy("provider_id").orderBy(F.desc("n"), "first"))
+    return counted.withColumn("place", place).filter(F.col("place") <= k).select("provider_id", "place", "domain", "n")
 
 
 def domain_rows(traces: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from tracelens.operators import relational as R
 from tracelens.operators import traces as O
 from tracelens.plans.surrogates import JUDGE_SQL, RESULTS_SQL, judge_rows, sequenced, table, traces
 from tracelens.sources import jsonl as S
+from tracelens.sources import lines as L
 from tracelens.sources import sinks as K
 from tracelens.workers import scratch
 
@@ -153,6 +154,37 @@ def surface_proxy(spark: SparkSession, d: str) -> DataFrame:
 PROXY_SQL = f"WITH {RESULTS_SQL} SELECT provider_id, greatest(count_if(in_snippet), count_if(in_extra)) AS surface FROM trace WHERE newest GROUP BY provider_id"
 
 
+def _numbered_files(spark: SparkSession, d: str) -> str:
+    """Events as JSON lines in seven files, by number; the indexed folder's name."""
+    out = scratch(spark)
+    rows = table(spark, d, "events").select((F.col("event_id") % 7).alias("g"), "event_id", F.to_json(F.struct("event_id", "event_type", "props")).alias("value"))
+    rows.repartition(7, "g").sortWithinPartitions("g", "event_id").select("value", "g").write.partitionBy("g").text(f"{out}/files")
+    L.write_index(spark, f"{out}/files", f"{out}/index", mark=100, span=100_000)
+    return out
+
+
+def indexed_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Every line with its number, by an index of offsets in ranges that cut lines and files."""
+    rows = L.read_lines(spark, f"{_numbered_files(spark, d)}/index")
+    row = F.from_json("line", "event_id LONG, event_type STRING")
+    return rows.select(F.regexp_extract("file", r"/g=(\d+)/", 1).cast("long").alias("g"), "line_num", row["event_id"].alias("event_id"), row["event_type"].alias("event_type"))
+
+
+INDEXED_SQL = "SELECT event_id % 7 AS g, row_number() OVER (PARTITION BY event_id % 7 ORDER BY event_id) AS line_num, event_id, event_type FROM events"
+
+
+def line_lookups(spark: SparkSession, d: str) -> DataFrame:
+    """the lines of each file that customers' keys name, and none for keys beyond its end; only their blocks are read."""
+    index = f"{_numbered_files(spark, d)}/index"
+    files = spark.read.parquet(index).select("file").distinct().withColumn("g", F.regexp_extract("file", r"/g=(\d+)/", 1).cast("long"))
+    wanted = table(spark, d, "customer").select((F.col("c_custkey") % 7).alias("g"), F.col("c_custkey").alias("line_num")).join(files, "g")
+    found = L.lookup(spark, index, wanted, mark=100)
+    return found.select(F.get_json_object("line", "$.event_id").cast("long").alias("event_id"), "line_num")
+
+
+LOOKUP_SQL = f"SELECT event_id, line_num FROM ({INDEXED_SQL}) x JOIN customer ON c_custkey % 7 = g AND c_custkey = line_num"
+
+
 def judge_run_stats(spark: SparkSession, d: str) -> DataFrame:
     """The counts come with the write itself."""
     rows = sequenced(judge_rows(spark, d))
@@ -200,6 +232,8 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "trace_defaults": (trace_defaults, DEFAULTS_SQL),
     "surface_proxy": (surface_proxy, PROXY_SQL),
     "judge_run_stats": (judge_run_stats, STATS_SQL),
+    "indexed_lines": (indexed_lines, INDEXED_SQL),
+    "line_lookups": (line_lookups, LOOKUP_SQL),
     "resumed_run": (resumed_run, RESUMED_SQL),
     "distinct_union": (distinct_union, UNION_SQL),
 }

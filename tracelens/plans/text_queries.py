@@ -12,10 +12,12 @@ from tracelens.functions import render as R
 from tracelens.functions import text as T
 from tracelens.operators import judge as J
 from tracelens.operators import search as Q
+from tracelens.operators import text_index as X
 from tracelens.operators.traces import overlap, prefix_hit
 from tracelens.plans.surrogates import JUDGE_SQL, judge_rows, sequenced, table
 from tracelens.sources import providers as P
 from tracelens.sources import sinks as K
+from tracelens.workers import scratch
 
 PUNCTUATION = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
 NUMBERS = "['zero','one','two','three','four','five','six','seven','eight','nine','ten','eleven','twelve','thirteen','fourteen','fifteen','sixteen','seventeen','eighteen','nineteen','twenty']"
@@ -254,11 +256,36 @@ h AS (SELECT *, hex(body)[1:8192] AS hx FROM b), x AS (SELECT *, octet_length(bo
 SELECT page_id, CAST(n AS BIGINT) AS n, is_binary AS "binary", CASE WHEN page_id % 8 = 0 AND contains(lower(substr(html, 1, 1000)), '<html') THEN 'stdlib_html_parser' WHEN is_binary THEN 'binary_unsupported_v1' ELSE 'plain_text' END AS extractor FROM x"""
 
 
+def _index(spark: SparkSession, d: str, columns: list[str]) -> str:
+    folder = scratch(spark)
+    X.write_index(table(spark, d, "documents"), "doc_id", columns, folder)
+    return folder
+
+
 def searched_documents(spark: SparkSession, d: str) -> DataFrame:
-    rows = Q.text_search(table(spark, d, "documents"), ["doc_id", "lang", "text"], " THE ")
+    """a page of the documents that hold a word, found by trigrams."""
+    columns = ["doc_id", "lang", "text"]
+    rows = X.search(table(spark, d, "documents"), "doc_id", columns, " THE ", _index(spark, d, columns))
     return Q.page(rows.select("doc_id", "lang"), ["doc_id"], 3, 20)
 
 
+SOUGHT = ["worthless", "THE. The", "lyestion", "qzx!", "of th", "ed", "é"]
+
+
+def indexed_search(spark: SparkSession, d: str) -> DataFrame:
+    """Common, rare and unknown strings, and some that are too short for the index."""
+    columns, found = ["source", "text"], None
+    folder = _index(spark, d, columns)
+    for query in SOUGHT:
+        rows = X.search(table(spark, d, "documents"), "doc_id", columns, query, folder)
+        one = rows.agg(F.lit(query).alias("query"), F.count("*").alias("docs"), F.sum("doc_id").alias("ids"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+INDEXED_SQL = "SELECT q AS query, count(doc_id) AS docs, CAST(sum(doc_id) AS BIGINT) AS ids FROM (SELECT unnest([" + ", ".join(f"'{q}'" for q in SOUGHT) + "]) AS q) s LEFT JOIN documents ON contains(lower(coalesce(source, '') || ' ' || coalesce(text, '')), lower(q)) GROUP BY q"
+
+
 SEARCHED_SQL = "WITH f AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) AS rn, count(*) OVER () AS n FROM documents WHERE contains(lower(doc_id || ' ' || coalesce(lang, '') || ' ' || coalesce(text, '')), 'the')) SELECT doc_id, lang, n > 60 AS has_more FROM f WHERE rn BETWEEN 41 AND 60"
 
 
@@ -363,6 +390,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "page_tags": (page_tags, TAGS_SQL),
     "unescaped_titles": (unescaped_titles, UNESCAPED_SQL),
     "binary_bodies": (binary_bodies, BODIES_SQL),
+    "indexed_search": (indexed_search, INDEXED_SQL),
     "paged_text_search": (searched_documents, SEARCHED_SQL),
     "todo_orders": (todo_orders, TODO_SQL),
     "capped_documents": (capped_documents, CAPPED_SQL),
