@@ -7,8 +7,11 @@ each row is a turn of its own. Adjacent turns of one role become one run, format
 
 Every mark that occurs inside a role or text is escaped by a backslash after its first character, one more than stand there
 already; reading back takes one away. So a mark in the output is always the template's, and read_back() restores every row.
-The loss mask is a list of [start, end) spans of code points in the output, one for each assistant text, marks left out. Where
-a text starts is a running sum over the turns; turns and spans are then collected and sorted once, so the work is that of a sort.
+The loss mask is a list of [start, end) spans of code points in the output, one for each assistant text, marks left out.
+
+A conversation's turns are collected as structs and sorted; slices of that array from one change of role to the next are its runs,
+and each run's texts are joined. Where a text starts is a running sum over the runs' lengths, and over the texts' in a run, by
+pieces, so that n turns take n times the square root of n steps at most.
 
 Defined results. Null text and null role count as empty. A null conv_id is a conversation of its own. A table without rows
 gives no rows. Extra columns are ignored. A conversation is one output value, so its turns meet in one row.
@@ -19,7 +22,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelens.llm.common import let
@@ -45,22 +48,58 @@ class Template:
         return F.regexp_replace(text, places, "")
 
 
+def running(values: Column) -> Column:
+    """For each of an array's numbers, the sum of those before it: by pieces of about the square root of their number."""
+
+    def by_pieces(v: Column) -> Column:
+        n = F.size(v)
+        size = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
+        total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x)
+        pieces = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), lambda k: F.slice(v, k * size + 1, size))
+        within = lambda p, base: F.transform(p, lambda _, i: base + total(F.slice(p, F.lit(1), i)))
+        summed = lambda ps, sums: F.flatten(F.transform(ps, lambda p, k: let(total(F.slice(sums, F.lit(1), k)), lambda base: within(p, base))))
+        return F.when(n == 0, F.array().cast("array<int>")).otherwise(let(pieces, lambda ps: let(F.transform(ps, total), lambda sums: summed(ps, sums))))
+
+    return let(values, by_pieces)
+
+
+def merged(turns: Column, template: Template) -> Column:
+    """Runs of adjacent turns of one role, in order: head (the role) and texts, both escaped, and whether they are learned."""
+
+    def by_starts(t: Column, starts: Column) -> Column:
+        def run(start: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(starts, k + 1), F.size(t))
+            texts = F.transform(F.slice(t, start + 1, end - start), lambda x: template.escape(x["text"]))
+            return F.struct(template.escape(t[start]["role"]).alias("head"), (t[start]["role"] == template.learned).alias("learned"), texts.alias("texts"))
+
+        return F.transform(starts, run)
+
+    def runs(t: Column) -> Column:
+        begins = F.transform(t, lambda x, i: F.when((i == 0) | (x["role"] != t[F.greatest(i - 1, F.lit(0))]["role"]), i))
+        return let(F.array_compact(begins), lambda starts: by_starts(t, starts))
+
+    return let(turns, runs)
+
+
 def format_chats(chats: DataFrame, template: Template = Template()) -> DataFrame:
     """conv_id, formatted, loss_spans(start, end): one row per conversation."""
-    empty, e = F.lit(""), template.escape
-    rows = chats.select("conv_id", "turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    first = ~F.lag("role").over(w).eqNullSafe(F.col("role"))
-    last = ~F.lead("role").over(w).eqNullSafe(F.col("role"))
-    rows = rows.select("conv_id", F.row_number().over(w).alias("i"), (F.col("role") == template.learned).alias("learned"), first.alias("first"), last.alias("last"), e(F.col("role")).alias("head"), e(F.col("text")).alias("safe"))
-    before = F.when(F.col("first"), F.concat(F.lit(template.open), "head", F.lit(template.body))).otherwise(F.lit(template.join))
-    piece = F.concat(before, "safe", F.when(F.col("last"), F.lit(template.close)).otherwise(empty))
-    rows = rows.select("conv_id", "i", "learned", piece.alias("piece"), F.length("safe").alias("n"), F.length(before).alias("skip"))
-    at = F.sum(F.length("piece")).over(Window.partitionBy("conv_id").orderBy("i")) - F.length("piece") + F.col("skip")
-    rows = rows.select("conv_id", F.struct("i", "piece", "learned", at.cast("int").alias("start"), (at + F.col("n")).cast("int").alias("end")).alias("t"))
-    turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    spans = F.transform(F.filter("turns", lambda t: t["learned"]), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
-    return turns.select("conv_id", F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("formatted"), spans.alias("loss_spans"))
+    empty = F.lit("")
+    turn = F.struct("turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
+    rows = chats.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    rows = rows.select("conv_id", merged(F.col("turns"), template).alias("runs"))
+    before = lambda r: F.concat(F.lit(template.open), r["head"], F.lit(template.body))
+    piece = lambda r: F.concat(before(r), F.array_join(r["texts"], template.join), F.lit(template.close))
+    rows = rows.select("conv_id", "runs", F.transform("runs", piece).alias("pieces"))
+    rows = rows.select("conv_id", "runs", "pieces", running(F.transform("pieces", lambda x: F.length(x))).alias("at"))
+
+    def spans(r: Column, at: Column) -> Column:
+        first, sizes = at + F.length(before(r)), F.transform(r["texts"], lambda x: F.length(x))
+        starts = running(F.transform(sizes, lambda n: n + len(template.join)))
+        return F.zip_with(sizes, starts, lambda n, x: F.struct((first + x).alias("start"), (first + x + n).alias("end")))
+
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    learned = F.zip_with("runs", "at", lambda r, at: F.when(r["learned"], spans(r, at)).otherwise(none))
+    return rows.select("conv_id", F.array_join("pieces", "").alias("formatted"), F.flatten(learned).alias("loss_spans"))
 
 
 def read_back(formatted: Column, template: Template = Template()) -> Column:
