@@ -2,8 +2,9 @@
 
 A document's character-class histogram and common-word histogram are compared with its language's references by
 Jensen-Shannon divergence (base 2). The references are sums over all documents of the language that pass the base rules
-(grouped aggregation). A language with fewer than min_docs such documents, and null, use the class sums over all languages; how many
-documents other languages have makes no difference to it. COMMON_WORDS lists the words; other languages have the class test alone.
+(grouped aggregation). A language with fewer than min_docs such documents, and null, use the class sums over all languages and have no word
+test; how many documents other languages have makes no difference to it. COMMON_WORDS lists the words; other languages have the
+class test alone.
 Short texts are guarded: below min_chars the character test passes, below min_words the word test.
 
 A text without any common word is only as far from the reference as the reference's common-word share allows (0.13 to 0.14

@@ -11,6 +11,10 @@ Words are what ASCII white space parts, lowered, with digits read as the letters
 single characters are read as one word too. Words of over WIDTH letters are scored in overlapping windows. Nothing but the
 text enters a score.
 
+The fit is bounded, not the scoring: it takes MAX_TEXTS labelled texts, one of each id, and of their words those of 3 to 40 letters,
+MAX_WORDS of either kind at most, of a long word its first window, and LANDMARKS of each kind. The logistic is fitted to margins of
+texts that the machine has not seen, if each half of the texts has ENOUGH toxic ones, else to those that it has.
+
 Defined results. Null and empty texts have no words and get the lowest score. Rows without a label, and repeated rows, are
 scored like others. Without labels of both kinds (or words that tell them apart) every row gets the share of toxic labels.
 An empty table gives an empty result. Extra columns are ignored. Texts of any length are read whole.
