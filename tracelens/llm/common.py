@@ -8,12 +8,13 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +55,28 @@ def remove(spark: SparkSession, folder: str, at_exit: bool = False) -> None:
     store.deleteOnExit(path) if at_exit else store.delete(path, True)
 
 
+#: After so many tables of a step the driver's memory is settled.
+TABLES = 8
+
+
+def settle(spark: SparkSession) -> None:
+    """Collects what the driver has let go of, so that Spark drops its shuffles and broadcasts, and returns free memory to the system.
+
+    Plans of a long step leave the JVM's C heap in pieces, which it keeps until told; one that lacks the command keeps them.
+    """
+    gc.collect()
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    jvm.System.gc()
+    named = jvm.java.lang.Class.forName
+    kinds, given = new(jvm.java.lang.Class, 4), new(jvm.java.lang.Object, 4)
+    for k, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[k] = named(name)
+    given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    with suppress(Py4JJavaError):
+        named("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(server, given)
+
+
 class Work:
     """Tables in one folder below the shared one. What cut() writes inside the with block goes when the block ends."""
 
@@ -70,6 +93,8 @@ class Work:
     def __exit__(self, *error: object) -> None:
         Work.current.set(self.outer)
         remove(self.spark, self.folder)
+        if self.made >= TABLES:
+            settle(self.spark)
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Like cut(), but the table outlives the block: until the block around it, or the driver, ends."""
@@ -103,6 +128,8 @@ def cut(df: DataFrame) -> DataFrame:
     # Shuffle files of a query that ends in a table are of no further use, also after a lost executor: they go with it.
     with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         df.write.parquet(path)
+    if work and work.made % TABLES == 0:
+        settle(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
