@@ -5,9 +5,9 @@ the fingerprint is 1 if it is set in over half of the hashes. Two fingerprints l
 
 Equal fingerprints are one node. The nodes lie in cells by the number of their ones, from 0 to 64; two of cells further apart
 than the radius can't link, so such cells never meet. A cell is cut into tiles of some TILE nodes by a hash, and each pair of tiles
-of near cells is one row of work: it has two arrays of numbers, whatever their groups are. In it the nodes are sorted by the bit
-counts of their quarters and bytes and cut into small tiles of SMALL; pairs of these whose counts by byte differ beyond the radius are
-skipped, all others are compared by numpy. Of the links that are found a row returns a spanning forest alone: no more than it
+of near cells is one row of work: it has two arrays of numbers, whatever their groups are. In it nodes of equal bit counts in each
+quarter are a small tile; pairs of these whose counts by quarter differ beyond the radius are skipped, all others are compared by
+numpy. Of the links that are found a row returns a spanning forest alone: no more than it
 has nodes, however many of them agree. Connected components of all forests are those of all links.
 
 Defined results. Null, empty and blank texts have fingerprint zero, and link like any other. Texts of fewer words than `width`
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tracelens.llm.common import Work, components, cut, give_back, join_groups, of_ids, partitions, setting, ship
 
 SEED, BITS = 42, 64
-#: Nodes of a tile, about, and of the small tiles within.
+#: Nodes of a tile, about, and those of a small tile that are compared at once.
 TILE, SMALL = 1 << 15, 128
 #: Texts that are hashed at once: at most so many bytes, but for a single longer one; and shingles of them.
 BYTES, SHINGLES = 4 << 20, 1 << 18
@@ -104,12 +104,14 @@ def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_c
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, node long")
 
 
-def _sorted(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nodes by the bit counts of their quarters, then their bytes; and those of the bytes."""
-    by_byte = np.bitwise_count(nodes.astype("<u8").view(np.uint8).reshape(-1, 8))
-    quarters = by_byte.reshape(-1, 4, 2).sum(2)
-    order = np.lexsort((*by_byte[:, ::2].T, *quarters.T))
-    return nodes[order], by_byte[order].astype(np.int16)
+def _small(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nodes by the bit counts of their quarters, where each small tile of equal counts begins (and the end), and its counts."""
+    counts = np.bitwise_count(nodes.astype("<u8").view("<u2").reshape(-1, 4)).astype(np.int64)
+    order = np.lexsort(counts.T)
+    counts = counts[order]
+    new = np.flatnonzero((counts[1:] != counts[:-1]).any(1)) + 1
+    first = np.concatenate([[0], new]) if len(nodes) else np.zeros(0, np.int64)
+    return nodes[order], np.append(first, len(nodes)), counts[first]
 
 
 class _Forest:
@@ -128,24 +130,21 @@ class _Forest:
         self.label[np.isin(self.label, labels)] = mine
 
 
-def links_of(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    """A spanning forest, as pairs of nodes, of the links between the tiles a and b; these may be one tile."""
-    (a, by_a), (b, by_b) = _sorted(a), _sorted(b)
-    cuts = [np.arange(0, len(x), SMALL) for x in (a, b)]
-    low, high = ([f.reduceat(x, c, axis=0) for x, c in zip((by_a, by_b), cuts)] for f in (np.minimum, np.maximum))
-    forest = _Forest(np.concatenate([a, b]))
-    for i, at in enumerate(cuts[0]):
-        apart = np.maximum(0, np.maximum(low[0][i] - high[1], low[1] - high[0][i])).sum(1)
-        near = np.flatnonzero(apart <= radius)
-        if not len(near):
-            continue
-        where = (cuts[1][near][:, None] + np.arange(SMALL)).ravel()
-        where = where[where < len(b)]
-        linked = np.bitwise_count(a[at : at + SMALL, None] ^ b[where]) <= radius
-        for k in np.flatnonzero(linked.any(1)):
-            forest.join(at + k, len(a) + where[linked[k]])
-    pairs = forest.nodes[np.array(forest.links, np.int64).reshape(-1, 2)]
-    return pairs[pairs[:, 0] != pairs[:, 1]]  # one tile's nodes are there twice
+def links_of(a: np.ndarray, b: np.ndarray, radius: int, one: bool = False) -> np.ndarray:
+    """A spanning forest, as pairs of nodes, of the links between the tiles a and b; or within them, if they are one."""
+    a, at_a, counts_a = _small(a)
+    b, at_b, counts_b = (a, at_a, counts_a) if one else _small(b)
+    base = 0 if one else len(a)
+    forest = _Forest(a if one else np.concatenate([a, b]))
+    for i, (x, y) in enumerate(zip(at_a[:-1], at_a[1:])):
+        near = np.flatnonzero(np.abs(counts_a[i] - counts_b).sum(1) <= radius)
+        size = at_b[near + 1] - at_b[near]
+        where = np.repeat(at_b[near] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        for k in range(x, y, SMALL):
+            linked = np.bitwise_count(a[k : min(k + SMALL, y), None] ^ b[where]) <= radius
+            for n in np.flatnonzero(linked.any(1)):
+                forest.join(k + n, base + where[linked[n]])
+    return forest.nodes[np.array(forest.links, np.int64).reshape(-1, 2)]
 
 
 def tile_links(nodes: DataFrame, radius: int = 4) -> DataFrame:
@@ -164,12 +163,12 @@ def tile_links(nodes: DataFrame, radius: int = 4) -> DataFrame:
     pairs = held.select("cell", "tile").join(plan, "cell").select("cell", "tile", "other", F.explode(F.sequence(first, F.col("others") - 1)).alias("far"))
     work = pairs.join(held, ["cell", "tile"]).withColumnRenamed("nodes", "left")
     work = work.join(held.select(F.col("cell").alias("other"), F.col("tile").alias("far"), F.col("nodes").alias("right")), ["other", "far"])
-    work = work.select("left", "right").repartition(partitions(spark))
+    work = work.select("left", "right", ((F.col("cell") == F.col("other")) & (F.col("tile") == F.col("far"))).alias("one")).repartition(partitions(spark))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y in zip(batch.column("left"), batch.column("right")):
-                found = links_of(*(np.asarray(v.values).view(np.uint64) for v in (x, y)), radius)
+            for x, y, one in zip(batch.column("left"), batch.column("right"), batch.column("one").to_pylist()):
+                found = links_of(*(np.asarray(v.values).view(np.uint64) for v in (x, y)), radius, one)
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, i].view(np.int64), pa.int64()) for i in (0, 1)], ["a", "b"])
 
     with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "32"):  # rows of half a megabyte
