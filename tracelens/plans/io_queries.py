@@ -55,13 +55,13 @@ def support_scan(spark: SparkSession, d: str) -> DataFrame:
     out, c = scratch(spark), F.col
     flags = ["pre_fetch_surface_support", "post_fetch_discovered_support", "trajectory_visible_support", "legacy_visible_support", "fetched_any_url", "fetched_pre_fetch_support_url"]
     counts = ["semantic_correct", "pre_fetch_support_url_count", "page_extracted_gold_url_count", "fetched_url_count", "valid_snippet_rows", "valid_page_rows"]
-    rows = table(spark, d, "orders").select(F.concat(F.lit("P"), (c("o_orderkey") % 3).cast("string")).alias("provider"), F.concat(F.lit("q"), c("o_orderkey").cast("string")).alias("query_id"), *[(c("o_orderkey") % (i + 2) == 0).cast("int").alias(f) for i, f in enumerate(flags)], F.lower(F.lit("Missed")).alias("decision_cell"), *[(c("o_custkey") % (i + 2)).cast("int").alias(f) for i, f in enumerate(counts)])
+    rows = table(spark, d, "orders").select(F.concat(F.lit("P"), (c("o_orderkey") % 3).cast("string")).alias("provider"), F.concat(F.lit("q"), c("o_orderkey").cast("string")).alias("query_id"), *[(c("o_orderkey") % (i + 2) == 0).cast("int").alias(f) for i, f in enumerate(flags)], F.element_at(F.array(*[F.lit(x) for x in ("Smart", "missed", "BLIND", "noop")]), (c("o_custkey") % 4 + 1).cast("int")).alias("decision_cell"), *[(c("o_custkey") % (i + 2)).cast("int").alias(f) for i, f in enumerate(counts)])
     rows.write.csv(out, header=True)
     universe = table(spark, d, "orders").filter("o_orderkey % 5 = 0").select(F.concat(F.lit("p"), (c("o_orderkey") % 3).cast("string")).alias("provider_id"), F.concat(F.lit("q"), c("o_orderkey").cast("string")).alias("query_id"))
     return S.read_query_support(spark, out, universe).groupBy("provider_id", "decision_cell").agg(F.count("*").alias("n"), F.sum("pre_fetch_surface_support").alias("pre"), F.sum("valid_page_rows").alias("pages"))
 
 
-SUPPORT_SQL = "SELECT 'p' || (o_orderkey % 3) AS provider_id, 'MISSED' AS decision_cell, count(*) AS n, CAST(sum(CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS pre, CAST(sum(o_custkey % 7) AS BIGINT) AS pages FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1, 2"
+SUPPORT_SQL = "SELECT 'p' || (o_orderkey % 3) AS provider_id, ['SMART', 'MISSED', 'BLIND', 'NOOP'][CAST(o_custkey % 4 AS INTEGER) + 1] AS decision_cell, count(*) AS n, CAST(sum(CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS pre, CAST(sum(o_custkey % 7) AS BIGINT) AS pages FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1, 2"
 
 
 def artifact_cache(spark: SparkSession, d: str) -> DataFrame:
@@ -97,18 +97,24 @@ def question_document(spark: SparkSession, d: str) -> DataFrame:
 DOCUMENT_SQL = "SELECT CASE WHEN item_id % 2 = 0 THEN 'q' || item_id ELSE 'sealhard_' || substr(sha256(text), 1, 12) END AS query_id, CASE WHEN item_id % 3 = 0 THEN item_id ELSE item_id - 1 END AS source_index, text AS question, '' AS answer, CAST(0 AS BIGINT) AS urls FROM benchmark"
 
 
-def labelled_files(spark: SparkSession, d: str) -> DataFrame:
-    """Trace files named after providers: the last row's provider, else the name's."""
-    out, rows = scratch(spark), table(spark, d, "region")
-    for name, last in (("run_tavily.jsonl", ""), ("other.jsonl", "x"), ("plain.jsonl", "")):
-        lines = rows.select(F.to_json(F.struct("r_regionkey", F.when(F.col("r_regionkey") == 4, last).otherwise("y").alias("provider_id"))).alias("value"), "r_regionkey")
-        lines.repartition(1).sortWithinPartitions("r_regionkey").select("value").write.text(f"{out}/{name}")
-    parts = [S.read_jsonl(spark, f"{out}/{n}", "r_regionkey INT, provider_id STRING").withColumn("file", F.lit(f"{out}/{n}")) for n in ("run_tavily.jsonl", "other.jsonl", "plain.jsonl")]
-    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return S.provider_label(both).select("provider")
+NAMES = ["run_tavily.jsonl", "other.jsonl", "Exa-and-brave.jsonl", "plain.txt"]
 
 
-FILES_SQL = "SELECT unnest(['tavily', 'x', 'plain']) AS provider"
+def labelled_files(spark: SparkSession, d: str) -> DataFrame:
+    """Events in files by user, some without a provider: the last row's provider, else the one that the file's name holds."""
+    out, c = scratch(spark), F.col
+    name = F.element_at(F.array(*[F.lit(n) for n in NAMES]), (c("user_id") % len(NAMES) + 1).cast("int"))
+    given = F.when(c("user_id") % 3 == 0, "").otherwise(F.concat(c("event_type"), (c("event_id") % 5).cast("string")))
+    rows = table(spark, d, "events").select(name.alias("name"), "event_id", F.to_json(F.struct("event_id", given.alias("provider_id"))).alias("value"))
+    rows.repartition(len(NAMES), "name").sortWithinPartitions("name", "event_id").select("value", "name").write.partitionBy("name").text(out)
+    read = S.read_jsonl(spark, out, "event_id LONG, provider_id STRING").withColumn("name", F.regexp_extract("file", "/name=([^/]+)/", 1))
+    found = S.provider_label(read.withColumn("file", F.concat(F.lit(f"{out}/"), "name")))
+    last = read.groupBy("name").agg(F.max("line_num").alias("lines"))
+    return found.select(F.regexp_extract("file", "([^/]+)$", 1).alias("name"), "provider").join(last, "name")
+
+
+FILES_SQL = f"""WITH e AS (SELECT {NAMES}[CAST(user_id % {len(NAMES)} AS INTEGER) + 1] AS name, event_id, CASE WHEN user_id % 3 = 0 THEN '' ELSE event_type || (event_id % 5) END AS given FROM events)
+SELECT name, coalesce(nullif(max_by(given, event_id), ''), CASE name WHEN 'run_tavily.jsonl' THEN 'tavily' WHEN 'other.jsonl' THEN 'other' WHEN 'plain.txt' THEN 'plain' ELSE 'brave' END) AS provider, count(*) AS lines FROM e GROUP BY name"""
 
 
 def people_labels(spark: SparkSession, d: str) -> DataFrame:
