@@ -57,7 +57,7 @@ FROM trace t LEFT JOIN h ON h.o_orderkey = t.o_orderkey GROUP BY 1, 2, 3"""
 def provider_report(spark: SparkSession, d: str) -> DataFrame:
     rows = O.summarize_providers(traces(spark, d))
     long = ["trace_rows", "latest_queries", "historical_failed_rows", "latest_failed_queries", "transient_failures_recovered", "answered", "abstained", "exact_match", "gold_url_exact_hit", "gold_url_prefix_hit", "gold_domain_hit", "answer_in_snippet", "answer_in_extra_snippets", "answer_in_page", "answer_in_any_retrieved_text", "wrong_with_answer_text_available", "answer_after_first_search", "total_search_calls", "total_tokens", "max_tokens", "queries_over_100k_tokens", "queries_over_500k_tokens", "p90_extracted_chars", "max_extracted_chars", "large_extract_over_50000", "large_extract_over_100000", "large_extract_over_500000", "gold_source_family_hit", "gold_hit_but_no_answer_text", "answer_text_without_gold_prefix", "wrong_without_answer_text_available"]
-    real = ["avg_f1", "avg_search_calls", "avg_source_diversity", "avg_tokens", "median_tokens", "total_wall_time_seconds", "avg_wall_time_seconds", "median_snippet_chars", "median_extracted_chars", "avg_result_count_per_search"]
+    real = ["avg_f1", "avg_search_calls", "avg_source_diversity", "avg_tokens", "median_tokens", "total_wall_time_seconds", "avg_wall_time_seconds", "median_snippet_chars", "median_extracted_chars", "avg_result_count_per_search", "multi_search_turn_rate_avg", "avg_redundant_search_rate"]
     return rows.select("provider_id", *[F.col(c).cast("long").alias(c) for c in long], *[F.round(F.col(c).cast("double"), 4).alias(c) for c in real])
 
 
@@ -65,6 +65,10 @@ REPORT_SQL = f"""{WITH}, n AS (SELECT * FROM trace WHERE newest), page AS (
   SELECT provider_id, CAST(floor(l_extendedprice * 2) AS BIGINT) AS chars FROM n JOIN res ON l_orderkey = o_orderkey WHERE l_linestatus = 'F' UNION ALL SELECT provider_id, CAST(floor(l_extendedprice) AS BIGINT) FROM n JOIN res ON l_orderkey = o_orderkey WHERE k = 0 AND l_returnflag = 'R'),
 p AS (SELECT provider_id, median(chars) AS median_extracted_chars, quantile_disc(chars, 0.9) AS p90_extracted_chars, max(chars) AS max_extracted_chars, count_if(chars > 50000) AS large_extract_over_50000, count_if(chars > 100000) AS large_extract_over_100000, count_if(chars > 500000) AS large_extract_over_500000 FROM page GROUP BY provider_id),
 r AS (SELECT provider_id, median(length('quantity ' || CAST(floor(l_quantity) AS BIGINT))) AS median_snippet_chars, CAST(count(*) AS DOUBLE) / count(DISTINCT l_orderkey * 10 + k) AS avg_result_count_per_search FROM n JOIN res ON l_orderkey = o_orderkey GROUP BY provider_id),
+sets AS (SELECT provider_id, o_orderkey, k, list(DISTINCT l_suppkey % 7 || '/' || l_partkey % 200) AS urls, least(count(*), 2) > 1 AS many, row_number() OVER (PARTITION BY o_orderkey ORDER BY k) AS at FROM n JOIN res ON l_orderkey = o_orderkey GROUP BY provider_id, o_orderkey, k),
+turns AS (SELECT x.provider_id, x.o_orderkey, avg(CASE WHEN x.many THEN 1.0 ELSE 0.0 END) AS multi, avg(CASE WHEN y.k IS NULL THEN NULL WHEN len(list_intersect(x.urls, y.urls)) / CAST(len(list_distinct(list_concat(x.urls, y.urls))) AS DOUBLE) > 0.7 THEN 1.0 ELSE 0.0 END) AS again
+  FROM sets x LEFT JOIN sets y ON y.o_orderkey = x.o_orderkey AND y.at = x.at + 1 GROUP BY 1, 2),
+w AS (SELECT provider_id, round(coalesce(avg(multi), 0), 4) AS multi_search_turn_rate_avg, round(coalesce(avg(again), 0), 4) AS avg_redundant_search_rate FROM turns GROUP BY 1),
 a AS (SELECT t.provider_id, count(*) AS trace_rows, count_if(t.bad) AS historical_failed_rows, count_if(t.bad AND NOT n.bad) AS transient_failures_recovered FROM trace t JOIN n ON n.provider_id = t.provider_id AND n.query_id = t.query_id GROUP BY t.provider_id),
 m AS (SELECT *, in_snippet OR in_page OR in_extra AS text, CAST(floor(o_totalprice) AS BIGINT) + o_custkey % 1000 AS tokens, o_orderkey % 600 * 0.5 AS wall, CASE WHEN o_orderkey % 50 <> o_custkey % 50 THEN 0.0 WHEN o_orderkey % 2 = 0 THEN 2.0 / 3 ELSE 1.0 END AS f1 FROM n),
 g AS (SELECT provider_id, count(*) AS latest_queries, count_if(bad) AS latest_failed_queries, count_if(given) AS answered, count_if(NOT given AND NOT bad) AS abstained, count_if(em) AS exact_match, count_if(exact_hit) AS gold_url_exact_hit, count_if(prefix_hit) AS gold_url_prefix_hit, count_if(domain_hit) AS gold_domain_hit,
@@ -72,7 +76,7 @@ g AS (SELECT provider_id, count(*) AS latest_queries, count_if(bad) AS latest_fa
   CAST(sum(searches) AS BIGINT) AS total_search_calls, CAST(sum(tokens) AS BIGINT) AS total_tokens, max(tokens) AS max_tokens, count_if(tokens > 100000) AS queries_over_100k_tokens, count_if(tokens > 500000) AS queries_over_500k_tokens, avg(f1) AS avg_f1, avg(searches) AS avg_search_calls, avg(domains) AS avg_source_diversity,
   avg(tokens) AS avg_tokens, median(tokens) AS median_tokens, sum(wall) AS total_wall_time_seconds, avg(wall) AS avg_wall_time_seconds FROM m GROUP BY provider_id)
 SELECT * REPLACE (round(avg_f1, 4) AS avg_f1, round(avg_search_calls, 4) AS avg_search_calls, round(avg_source_diversity, 4) AS avg_source_diversity, round(avg_tokens, 4) AS avg_tokens, round(median_tokens, 4) AS median_tokens, round(CAST(total_wall_time_seconds AS DOUBLE), 4) AS total_wall_time_seconds, round(CAST(avg_wall_time_seconds AS DOUBLE), 4) AS avg_wall_time_seconds,
-  round(median_snippet_chars, 4) AS median_snippet_chars, round(median_extracted_chars, 4) AS median_extracted_chars, round(avg_result_count_per_search, 4) AS avg_result_count_per_search) FROM g JOIN a USING (provider_id) JOIN p USING (provider_id) JOIN r USING (provider_id)"""
+  round(median_snippet_chars, 4) AS median_snippet_chars, round(median_extracted_chars, 4) AS median_extracted_chars, round(avg_result_count_per_search, 4) AS avg_result_count_per_search) FROM g JOIN a USING (provider_id) JOIN p USING (provider_id) JOIN r USING (provider_id) JOIN w USING (provider_id)"""
 
 
 def page_histograms(spark: SparkSession, d: str) -> DataFrame:
