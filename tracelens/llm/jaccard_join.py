@@ -50,6 +50,8 @@ MASK = np.uint64((1 << 48) - 1)
 RATIO = 1.6
 #: Fragments by which pairs are counted; the least number by which their overlap is bounded, and shingles in each beyond that.
 COUNTED, BOUND, FINE = 8, 64, 2
+#: Keys that a task deals out at once.
+SENT = 500_000
 #: Members, or queries, of one group that are compared in one task, at least; beyond, a thousandth of all documents.
 BLOCK = 1000
 SPREAD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
@@ -200,7 +202,7 @@ def met(docs: DataFrame, width: int, threshold: int, hot: np.ndarray, id_col: st
                     held.append(keys(s, threshold) & MASK)
                     owner.append(node)
                     size += len(held[-1])
-                if size > 2_000_000:
+                if size > SENT:
                     yield flush(held, owner)
                     held, owner, size, known = [], [], 0, set()
         if size:
