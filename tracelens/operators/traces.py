@@ -150,6 +150,33 @@ def prefix_hit(gold: Column, retrieved: Column) -> Column:
     return F.exists(g, lambda x: F.exists(r, lambda y: F.startswith(y, x) | F.startswith(x, y)))
 
 
+def url_hits(gold: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
+    """Per group of golds (by, url) what prefix_hit says of them and the group's found URLs, and whether they share an address, a domain
+    or a source family; null URLs don't count. Groups of any size: equal values meet by a join, and a URL's beginnings only at the
+    lengths that the group's other side has."""
+
+    def forms(rows: DataFrame) -> DataFrame:
+        rows = rows.filter("url IS NOT NULL").select(*by, "url").distinct()
+        u = F.col("url")
+        rows = rows.select(*by, T.normalize_url(u).alias("exact"), T.root_domain(u).alias("domain"), T.source_family(u).alias("family"))
+        return rows.withColumn("bare", F.regexp_replace("exact", r"^.*?://", ""))
+
+    def values(rows: DataFrame, others: DataFrame, whole: str, begun: str) -> DataFrame:
+        lengths = others.groupBy(*by).agg(F.collect_set(F.length("bare")).alias("lengths"))
+        named = [F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("exact", "domain", "family")]
+        same = F.filter(F.array(*named), lambda x: x["value"] != "")
+        some = F.filter(F.coalesce("lengths", F.array().cast("array<int>")), lambda n: n <= F.length("bare"))
+        begins = F.transform(some, lambda n: F.struct(F.lit(begun).alias("kind"), F.substr("bare", F.lit(1), n).alias("value")))
+        own = F.array(F.struct(F.lit(whole).alias("kind"), F.col("bare").alias("value")))
+        return rows.join(lengths, by, "left").select(*by, F.inline(F.concat(same, own, begins))).distinct()
+
+    g, r = forms(gold), forms(found)
+    both = values(g, r, "gold", "found").join(values(r, g, "found", "gold"), [*by, "kind", "value"])
+    hit = lambda *kinds: F.bool_or(F.col("kind").isin(*kinds))
+    hits = both.groupBy(*by).agg(hit("gold", "found").alias("prefix"), *[hit(k).alias(k) for k in ("exact", "domain", "family")])
+    return g.select(*by).distinct().join(hits, by, "left").na.fill(False)
+
+
 def median_of(values: Column) -> Column:
     """Middle value, or the mean of both; 0 for none."""
     s, n = F.array_sort(values), F.size(values)
