@@ -4,9 +4,10 @@ Rows are (provider_id, query_id, ...) with each provider holding every query. Dr
 md5(seed:r:j), modulo the number of queries, so that it is the same everywhere and needs no random state. In place of these, draws can
 be those of one Mersenne Twister that is asked for all replicates in turn, as Python's random.Random(seed).randrange gives them: one
 pass over its words notes the generator's state where each task's replicates begin. Queries are numbered and lie
-in blocks. A task has one block's rows and some replicates: it counts how often each of its queries is drawn in each replicate, and
-multiplies that matrix with the rows' values. Only these sums leave it, a row for each replicate and group; they are added up over
-the blocks, and metrics are ratios of them. Draws are made where they are counted and never shuffled.
+in blocks. A task makes the draws of some replicates once, counts how often each query is drawn in each, and gives these counts out by
+block, mostly a byte each. With a block's rows another task multiplies its counts with the rows' values. Only these sums leave it, a
+row for each replicate and group; they are added up over the blocks, and metrics are ratios of them. Draws grow with the queries, and
+are never shuffled.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from tracelens.workers import ship
 
 #: The seed and the number of replicates.
 SEED, REPLICATES = 20260628, 10_000
-#: Queries of a block and replicates of a task (a matrix of 32 MB), and digests or words that are held at once.
-BLOCK, CHUNK, DIGESTS, WORDS = 1 << 14, 250, 1 << 16, 1 << 16
+#: Queries of a block and replicates of a task, digests or words that are held at once, and bytes of counts that are given out together.
+BLOCK, CHUNK, DIGESTS, WORDS, HELD = 1 << 14, 250, 1 << 16, 1 << 16, 1 << 25
 
 
 def _sum(column: str) -> Column:
@@ -118,50 +119,69 @@ def drawn_sums(rows: DataFrame, groups: list[str], values: list[str], replicates
     n = number.count()
     placed = rows.join(number, "query_id").select("pos", *groups, *[F.col(v).cast("double").alias(v) for v in values])
     kinds = ", ".join(f"`{g}` {dict(rows.dtypes)[g]}" for g in groups)
-    inner = F.struct((F.col("pos") % BLOCK).alias("pos"), *groups, *values)
-    whole = placed.groupBy(F.floor(F.col("pos") / BLOCK).alias("block")).agg(F.collect_list(inner).alias("rows"))
-    chunks = F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(CHUNK)) if replicates else F.array().cast("array<int>")
-    work = whole.withColumn("first", F.explode(chunks))
-    work = work.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "block", "first")
-
+    block = F.floor(F.col("pos") / BLOCK).alias("block")
+    firsts = spark.range(0, replicates, CHUNK, max(1, -(-replicates // CHUNK))).select(F.col("id").alias("first"))
     begin = spark.sparkContext.broadcast(starts(seed, n, replicates) if in_sequence and n else {})
 
-    def each(first: int, reps: list[int]) -> Iterator[tuple[int, np.ndarray]]:
-        """Some of the draws of some replicates at a time."""
+    def each(first: int, reps: range) -> Iterator[tuple[int, np.ndarray]]:
+        """The counts of all queries in each replicate: (replicate, times each is drawn)."""
         if not in_sequence:
-            yield from ((i, some) for i, rep in enumerate(reps) for some in drawn(seed, rep, n))
+            for rep in reps:
+                yield rep, sum((np.bincount(some, minlength=n) for some in drawn(seed, rep, n)), np.zeros(n, np.int64))
             return
-        at = 0
+        at, rep, times = 0, first, np.zeros(n, np.int64)
         for some in begin.value[first].draws(n):
-            which = (at + np.arange(len(some))) // n
-            at += len(some)
-            for i in range(int(which[0]) if len(which) else 0, min(len(reps), -(-at // n))):
-                yield i, some[which == i]
-            if at >= n * len(reps):
-                return
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            while len(some):
+                part, some = some[: n - at], some[n - at :]
+                times += np.bincount(part, minlength=n)
+                at += len(part)
+                if at == n:
+                    yield rep, times
+                    at, rep, times = 0, rep + 1, np.zeros(n, np.int64)
+                    if rep == reps.stop:
+                        return
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, first, held in zip(batch.column("block").to_pylist(), batch.column("first").to_pylist(), batch.column("rows")):
-                held = held.values
-                pos = np.asarray(held.field("pos"))
-                matrix = np.stack([np.ones(len(pos)), *[np.asarray(held.field(v)) for v in values]], 1)
-                keys = list(zip(*[held.field(g).to_pylist() for g in groups])) or [()] * len(pos)
-                member: dict[tuple, list[int]] = {}
-                for i, k in enumerate(keys):
-                    member.setdefault(k, []).append(i)
-                reps = np.arange(first, min(first + CHUNK, replicates))
-                counts = np.zeros((len(reps), BLOCK))
-                for i, some in each(first, reps.tolist()):
-                    counts[i] += np.bincount(some[some // BLOCK == block] % BLOCK, minlength=BLOCK)
-                sums = [counts[:, pos[m]] @ matrix[m] for m in member.values()]
-                whose = [k for k in member for _ in reps]
-                total = np.concatenate(sums)
-                columns = [pa.array(np.tile(reps, len(member)), pa.int64()), *[pa.array([k[i] for k in whose], held.field(g).type) for i, g in enumerate(groups)], *[pa.array(total[:, i]) for i in range(total.shape[1])]]
-                yield pa.RecordBatch.from_arrays(columns, ["rep", *groups, "times", *values])
+            for first in batch.column("first").to_pylist():
+                held: list[np.ndarray] = []
+                reps = range(first, min(first + CHUNK, replicates))
+                at = first
+                for rep, times in each(first, reps) if n else ():
+                    held.append(times.astype(np.min_scalar_type(int(times.max()))))
+                    if rep + 1 == reps.stop or sum(x.nbytes for x in held) >= HELD:
+                        yield from spread(at, held)
+                        at, held = rep + 1, []
+
+    def spread(at: int, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Of some replicates from `at` a row for each block: its queries' counts, replicate by replicate."""
+        matrix = np.stack(held)
+        for block in range(-(-n // BLOCK)):
+            part = matrix[:, block * BLOCK : (block + 1) * BLOCK]
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([at], pa.int64()), pa.array([len(held)], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["block", "at", "reps", "times"])
+
+    def multiply(key: tuple, counts: pa.Table, held: pa.Table) -> pa.Table:
+        pos = held.column("pos").to_numpy() % BLOCK
+        matrix = np.stack([np.ones(len(pos)), *[held.column(v).to_numpy() for v in values]], 1)
+        keys = list(zip(*[held.column(g).to_pylist() for g in groups])) or [()] * len(pos)
+        member: dict[tuple, list[int]] = {}
+        for i, k in enumerate(keys):
+            member.setdefault(k, []).append(i)
+        width, reps, whose, total = min(BLOCK, n - key[0].as_py() * BLOCK), [], [], [np.zeros((0, 1 + len(values)))]
+        for at, size, raw in zip(counts.column("at").to_pylist(), counts.column("reps").to_pylist(), counts.column("times")):
+            raw = np.frombuffer(raw.as_buffer(), f"<u{len(raw.as_buffer()) // (size * width)}").reshape(size, width)
+            times = raw.astype(float)
+            for k, m in member.items():
+                total.append(times[:, pos[m]] @ matrix[m])
+                reps += range(at, at + size)
+                whose += [k] * size
+        sums = np.concatenate(total)
+        columns = [pa.array(reps, pa.int64()), *[pa.array([k[i] for k in whose], held.schema.field(g).type) for i, g in enumerate(groups)], *[pa.array(sums[:, i]) for i in range(sums.shape[1])]]
+        return pa.Table.from_arrays(columns, ["rep", *groups, "times", *values])
 
     schema = ", ".join(["rep long", *([kinds] if kinds else []), "times double", *[f"`{v}` double" for v in values]])
-    sums = work.select("block", "first", "rows").mapInArrow(run, schema)
+    counted = firsts.mapInArrow(count, "block long, at long, reps long, times binary")
+    sums = counted.groupBy("block").cogroup(placed.withColumn("block", block).groupBy("block")).applyInArrow(multiply, schema)
     once = placed.groupBy(*groups).agg(F.count("*").cast("double").alias("times"), *[F.sum(v).alias(v) for v in values])
     return sums.unionByName(once.select(F.lit(-1).cast("long").alias("rep"), *groups, "times", *values))
 
@@ -173,10 +193,10 @@ def replicated(rows: DataFrame, replicates: int, seed: int = SEED, in_sequence:
     return found.unpivot(["rep", "provider_id"], list(METRICS), "metric", "value")
 
 
-def _interval(values: DataFrame, keys: list[str]) -> DataFrame:
+def _interval(values: DataFrame, keys: list[str], *more: Column) -> DataFrame:
     """estimate (rep -1), low and high: the 2.5 and 97.5 percentiles, linear between ranks, over the replicates that have a value."""
     some = F.when((F.col("rep") >= 0) & ~F.isnan("value"), F.col("value"))  # as many as there are replicates
-    return values.groupBy(*keys).agg(F.max(F.when(F.col("rep") == -1, F.col("value"))).alias("estimate"), F.percentile(some, 0.025).alias("low"), F.percentile(some, 0.975).alias("high"))
+    return values.groupBy(*keys).agg(*more, F.max(F.when(F.col("rep") == -1, F.col("value"))).alias("estimate"), F.percentile(some, 0.025).alias("low"), F.percentile(some, 0.975).alias("high"))
 
 
 def intervals(rows: DataFrame, replicates: int = REPLICATES, seed: int = SEED, in_sequence: bool = False) -> DataFrame:
@@ -185,9 +205,11 @@ def intervals(rows: DataFrame, replicates: int = REPLICATES, seed: int = SEED, i
 
 def differences(rows: DataFrame, replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
     """The same for the difference of each pair of providers, on the same draws."""
-    v = replicated(rows, replicates, seed)
-    a, b = v.select("rep", "metric", F.col("provider_id").alias("provider_a"), F.col("value").alias("va")), v.select("rep", "metric", F.col("provider_id").alias("provider_b"), F.col("value").alias("vb"))
-    both = a.join(b, ["rep", "metric"]).filter("provider_a < provider_b").withColumn("value", F.col("va") - F.col("vb"))
+    found = F.array_sort(F.collect_list(F.struct("provider_id", "value")))
+    v = replicated(rows, replicates, seed).groupBy("rep", "metric").agg(found.alias("all"))  # the providers of one metric
+    later = lambda a: F.filter("all", lambda b: b["provider_id"] > a["provider_id"])
+    pairs = F.flatten(F.transform("all", lambda a: F.transform(later(a), lambda b: F.struct(a["provider_id"].alias("provider_a"), b["provider_id"].alias("provider_b"), (a["value"] - b["value"]).alias("value")))))
+    both = v.select("rep", "metric", F.inline(pairs))
     return _interval(both, ["provider_a", "provider_b", "metric"])
 
 
@@ -196,5 +218,5 @@ def cell_rates(rows: DataFrame, replicates: int = REPLICATES, seed: int = SEED)
     sums = drawn_sums(rows, ["provider_id", "cell"], ["correct"], replicates, seed).filter("times > 0")
     total = sums.groupBy("rep", "provider_id", "cell").agg(F.sum("times").alias("c"), F.sum("correct").alias("ok"))
     value = total.withColumn("value", 100.0 * F.col("ok") / F.col("c"))
-    counts = value.filter("rep = -1").select("provider_id", "cell", F.col("c").cast("long").alias("queries"), F.col("ok").cast("long").alias("correct"))
-    return counts.join(_interval(value, ["provider_id", "cell"]), ["provider_id", "cell"])
+    whole = [F.max(F.when(F.col("rep") == -1, F.col(c))).cast("long").alias(name) for c, name in (("c", "queries"), ("ok", "correct"))]
+    return _interval(value, ["provider_id", "cell"], *whole).filter("queries IS NOT NULL")
