@@ -181,10 +181,23 @@ def seen_id(search: Column, rank: Column) -> Column:
     return F.concat(F.lit("s"), search.cast("string"), F.lit("r"), shown)
 
 
+def _named(*bits: Column) -> Column:
+    """Parts of a name, joined; characters that a name may not have go. A separator is never part of such a run: parts can be named apart."""
+    return F.regexp_replace(F.concat_ws("__", *[F.coalesce(b.cast("string"), F.lit("")) for b in bits]), r"[^A-Za-z0-9_.:-]+", "_")
+
+
+def case_stem(provider: Column, query: Column, retrieval: Column, rank: Column, surface: Column) -> Column:
+    """What the case_ids of a record's labels begin with."""
+    return _named(provider, query, retrieval, F.concat(F.lit("r"), F.coalesce(rank.cast("string"), F.lit("None"))), surface)
+
+
+def stem_label(stem: Column, label: Column) -> Column:
+    """The case_id of a stem's label."""
+    return F.concat(stem, F.lit("__"), _named(label))
+
+
 def case_id(provider: Column, query: Column, retrieval: Column, rank: Column, surface: Column, label: Column) -> Column:
-    empty = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    bits = [empty(provider), empty(query), empty(retrieval), F.concat(F.lit("r"), F.coalesce(rank.cast("string"), F.lit("None"))), empty(surface), empty(label)]
-    return F.regexp_replace(F.concat_ws("__", *bits), r"[^A-Za-z0-9_.:-]+", "_")
+    return stem_label(case_stem(provider, query, retrieval, rank, surface), label)
 
 
 def agent_decision(tools: Column) -> Column:

@@ -217,9 +217,31 @@ def by_retrieval(records: DataFrame) -> DataFrame:
     return records.groupBy("provider_id", "query_id", "retrieval_id").agg(F.array_sort(F.collect_list(F.struct("rank", "url", "judge_surface_class"))).alias("documents"))
 
 
+#: The labels that people validate, by name.
+LABELS = {"snippet_gold": "gold_answer_in_snippets", "page_gold": "gold_answer_in_extracted_page", "contradiction": "contradicts_gold_answer"}
+
+
+def _stem() -> Column:
+    return T.case_stem(F.col("provider_id"), F.col("query_id"), F.col("retrieval_id"), F.col("rank"), F.col("judge_surface_class"))
+
+
+def _by_label(values: dict[str, str], value: str) -> Column:
+    """label, value and case_id of each label, of a row with the stem and a column for each label's value."""
+    return F.array(*[F.struct(F.lit(n).alias("label"), F.col(c).alias(value), T.stem_label(F.col("stem"), F.lit(n)).alias("case_id")) for n, c in values.items()])
+
+
 def unpivot(records: DataFrame) -> DataFrame:
-    """Validation cases: a row for each label of a record that has a value."""
-    labels = {"gold_answer_in_snippets": "snippet_gold", "gold_answer_in_extracted_page": "page_gold", "contradicts_gold_answer": "contradiction"}
-    cases = F.array(*[F.struct(F.lit(n).alias("label"), F.col(f"judgment.{c}").alias("value")) for c, n in labels.items()])
-    rows = records.select("provider_id", "query_id", "retrieval_id", "rank", "judge_surface_class", F.inline(cases)).filter("value IS NOT NULL")
-    return rows.withColumn("case_id", T.case_id(F.col("provider_id"), F.col("query_id"), F.col("retrieval_id"), F.col("rank"), F.col("judge_surface_class"), F.col("label")))
+    """Validation cases: a row for each label of a record that has a value. The stem is made once for all labels."""
+    keys = ["provider_id", "query_id", "retrieval_id", "rank", "judge_surface_class"]
+    rows = records.select(*keys, _stem().alias("stem"), *[F.col(f"judgment.{c}").alias(c) for c in LABELS.values()])
+    return rows.select(*keys, F.inline(_by_label(LABELS, "value"))).filter("value IS NOT NULL")
+
+
+def merged_cases(records: DataFrame) -> DataFrame:
+    """The cases of unpivot, each once: case_id, provider_id, surface, label and machine, whether any of its records says yes.
+
+    Records of a stem meet before they are unfolded: a third of the rows is shuffled.
+    """
+    flags = [F.bool_or(f"judgment.{c}").alias(c) for c in LABELS.values()]
+    rows = records.groupBy(_stem().alias("stem"), "provider_id", F.col("judge_surface_class").alias("surface")).agg(*flags)
+    return rows.select("provider_id", "surface", F.inline(_by_label(LABELS, "machine"))).filter("machine IS NOT NULL").select("case_id", "provider_id", "surface", "label", "machine")

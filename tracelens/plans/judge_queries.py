@@ -194,14 +194,15 @@ CASES_SQL = f"{CASES} SELECT provider_id, surface AS judge_surface_class, label,
 
 def _progress(cases: DataFrame) -> DataFrame:
     """Human labels made from the case's digest: a third true, a third false, some unclear, others none."""
-    h = F.conv(F.substring(F.md5(F.col("case_id").cast("binary")), 1, 4), 16, 10).cast("long") % 7
+    digest = F.conv(F.substring(F.md5(F.col("case_id").cast("binary")), 1, 4), 16, 10).cast("long") % 7
+    rows = cases.groupBy("case_id").agg(F.max(digest).alias("h"))  # a value of the group: filters on it don't reach below
+    h = F.col("h")
     value = F.when(h < 2, "true").when(h < 4, "false").when(h == 4, "unclear").otherwise("")
-    return cases.select("case_id", value.alias("human_value"), F.when(h % 2 == 0, "p" + "attern").otherwise("").alias("pattern")).distinct()
+    return rows.select("case_id", value.alias("human_value"), F.when(h % 2 == 0, "p" + "attern").otherwise("").alias("pattern"))
 
 
 def _case_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = J.unpivot(judge_rows(spark, d).filter(J.valid()))
-    return rows.groupBy("case_id", "provider_id", F.col("judge_surface_class").alias("surface"), "label").agg(F.bool_or("value").alias("machine"))
+    return J.merged_cases(judge_rows(spark, d).filter(J.valid()))
 
 
 CASE_ROWS = f"""{CASES}, c AS (SELECT case_id, provider_id, surface, label, bool_or(value) AS machine FROM cases GROUP BY 1, 2, 3, 4),
