@@ -37,3 +37,18 @@ def test_names_are_cleaned_once_a_record(spark, sf_dir):
         plan = _plan(catalog.queries()[name](spark, sf_dir))
         assert "regexp_replace" in plan and "regexp_replace" not in plan.split("Generate")[0], name
         assert not [line for line in plan.splitlines() if "Filter" in line and "md5" in line]
+
+
+def test_reports_count_cases_once(spark, sf_dir):
+    """The reports read counts that were taken once, and not the cases again for each of their parts."""
+    for name in ("agreement_report", "quota_report"):
+        plan = _plan(catalog.queries()[name](spark, sf_dir))
+        assert "lineitem" not in plan and "md5" not in plan, name
+
+
+def test_agreement_of_few_cases(spark):
+    cases = spark.createDataFrame([("a", "p", "s", "l", True), ("b", "p", "s", "m", False), ("c", "q", None, "m", True), ("d", "q", "s", "m", True)], "case_id string, provider_id string, surface string, label string, machine boolean")
+    sheet = spark.createDataFrame([("a", "false", "x"), ("b", "true", ""), ("c", "unclear", "y"), ("z", "true", "x")], "case_id string, human_value string, pattern string")
+    got = {(r["kind"], r["name"]): tuple(r)[2:] for r in V.agreement_report(cases, sheet).select("kind", "name", "sampled", "reviewed", "clear", "unclear", "agree", "disagree", "top_pattern", "agreement_rate").collect()}
+    assert got["all", "all"] == (4, 3, 2, 1, 0, 2, "unspecified", 0.0) and got["label", "m"] == (3, 2, 1, 1, 0, 1, "unspecified", 0.0)
+    assert got["surface", None] == (1, 1, 0, 1, 0, 0, "", None) and got["provider", "q"] == (2, 1, 0, 1, 0, 0, "", None) and len(got) == 7

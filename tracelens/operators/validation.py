@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelens.functions import text as T
+from tracelens.workers import stored
 
 
 def reviewed(cases: DataFrame, progress: DataFrame) -> DataFrame:
@@ -16,12 +17,16 @@ def reviewed(cases: DataFrame, progress: DataFrame) -> DataFrame:
 
 def agreement_report(cases: DataFrame, progress: DataFrame) -> DataFrame:
     """kind, name and counts by label, by provider, by surface and over all; the commonest pattern of disagreement, ties by name."""
-    rows = reviewed(cases, progress)
+    rows = reviewed(cases, progress).withColumn("same", F.col("human") == F.col("machine"))
+    # Cases are counted once by all that the report asks for; the rest works on these counts.
+    n, asked = F.col("n"), ["label", "provider_id", "surface", "pattern", "done", "human", "same"]
+    counts = stored(rows.groupBy(*asked).agg(F.count("*").alias("n")))
     dims = {"label": F.col("label"), "provider": F.col("provider_id"), "surface": F.col("surface"), "all": F.lit("all")}
-    rows = rows.withColumn("same", F.col("human") == F.col("machine")).select("*", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("name")) for k, c in dims.items()])))
-    found = rows.groupBy("kind", "name").agg(F.count("*").alias("sampled"), F.count_if("done").alias("reviewed"), F.count("human").alias("clear"), F.count_if(F.col("done") & F.col("human").isNull()).alias("unclear"), F.count_if("same").alias("agree"), F.count_if(~F.col("same")).alias("disagree"))
-    per = rows.filter(~F.col("same")).groupBy("kind", "name", "pattern").agg(F.count("*").alias("n"))
-    top = per.groupBy("kind", "name").agg(F.min(F.struct((-F.col("n")).alias("n"), "pattern"))["pattern"].alias("top_pattern"))
+    rows = counts.select("*", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("name")) for k, c in dims.items()])))
+    of = lambda c: F.sum(F.when(c, n).otherwise(0))
+    found = rows.groupBy("kind", "name").agg(F.sum("n").alias("sampled"), of(F.col("done")).alias("reviewed"), of(F.col("human").isNotNull()).alias("clear"), of(F.col("done") & F.col("human").isNull()).alias("unclear"), of(F.col("same")).alias("agree"), of(~F.col("same")).alias("disagree"))
+    per = rows.filter(~F.col("same")).groupBy("kind", "name", "pattern").agg(F.sum("n").alias("n"))
+    top = per.groupBy("kind", "name").agg(F.min(F.struct((-n).alias("n"), "pattern"))["pattern"].alias("top_pattern"))
     found = found.join(top, ["kind", "name"], "left").withColumn("top_pattern", F.coalesce("top_pattern", F.lit("")))
     return found.withColumn("agreement_rate", T.rate(F.col("agree"), F.col("clear")))
 
