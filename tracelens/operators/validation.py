@@ -34,12 +34,13 @@ def agreement_report(cases: DataFrame, progress: DataFrame) -> DataFrame:
 def quotas(cases: DataFrame, progress: DataFrame, target: int = 5) -> DataFrame:
     """level (leaf, core, total): every combination of the dimensions, with what is to review and what is left."""
     rows = reviewed(cases, progress)
-    one = lambda c: rows.select(c).distinct()
+    keys = ["provider_id", "label", "surface", "machine"]
+    # Cases are counted once; the dimensions' values, and all levels, come from these few counts.
+    counted = stored(rows.groupBy(*keys).agg(F.count("*").alias("sampled"), F.count_if("done").alias("reviewed")))
+    one = lambda c: counted.select(c).distinct()
     both = rows.sparkSession.createDataFrame([(True,), (False,)], "machine boolean")
     # The product of the dimensions' few values, not of rows.
     dims = one("provider_id").crossJoin(one("label")).crossJoin(one("surface")).crossJoin(both)
-    keys = ["provider_id", "label", "surface", "machine"]
-    counted = rows.groupBy(*keys).agg(F.count("*").alias("sampled"), F.count_if("done").alias("reviewed"))
     leaf = dims.join(counted, keys, "left").na.fill(0, ["sampled", "reviewed"]).withColumn("target", F.least(F.lit(target).cast("long"), "sampled"))
     left = F.greatest(F.lit(0).cast("long"), F.col("target") - F.col("reviewed"))
     leaf = leaf.withColumns({"remaining": left, "complete": F.col("reviewed") >= F.col("target")})
