@@ -73,8 +73,16 @@ def simple_text(text: Column) -> Column:
 
 def answer_in_text(gold: Column, text: Column) -> Column:
     """Whether the text holds the answer, normalised or as it is; false where either is empty."""
-    g, t, exact = normalize_answer(gold), normalize_answer(text), simple_text(gold)
-    return F.coalesce((g != "") & (t != "") & (F.contains(t, g) | ((exact != "") & F.contains(simple_text(text), exact))), F.lit(False))
+    return holds(normalize_answer(gold), simple_text(gold), text)
+
+
+def holds(gold: Column, exact: Column, text: Column) -> Column:
+    """answer_in_text with the answer's forms, normalised and simple, at hand: in a lambda, these are not made again for each text.
+
+    A text that holds an answer that is not empty isn't empty itself, so that it is normalised once more only after a simple hit.
+    """
+    t = normalize_answer(text)
+    return F.coalesce((gold != "") & (F.contains(t, gold) | ((exact != "") & F.contains(simple_text(text), exact) & (t != ""))), F.lit(False))
 
 
 def _part(url: Column, group: int) -> Column:
@@ -93,7 +101,15 @@ def _reencode(piece: Column) -> Column:
 
 def normalize_url(url: Column) -> Column:
     """Tracking parameters and the fragment out, the query encoded anew, scheme and host lowered, one closing slash dropped."""
-    u = strip(F.coalesce(url, F.lit("")))
+    return _normalized(strip(F.coalesce(url, F.lit(""))))
+
+
+def normalized_urls(urls: Column) -> Column:
+    """normalize_url of each URL of an array; each is stripped once."""
+    return F.transform(F.transform(urls, lambda u: strip(F.coalesce(u, F.lit("")))), _normalized)
+
+
+def _normalized(u: Column) -> Column:
     name = lambda p: F.substring_index(p, "=", 1)
     value = lambda p: F.when(F.contains(p, F.lit("=")), F.substr(p, F.instr(p, "=") + 1)).otherwise("")
     pairs = F.transform(F.filter(F.split(_part(u, 5), "&"), lambda p: p != ""), lambda p: F.struct(_reencode(name(p)).alias("k"), _reencode(value(p)).alias("v")))
@@ -106,7 +122,11 @@ def normalize_url(url: Column) -> Column:
 
 def source_family(url: Column) -> Column:
     """The host with the first two parts of the path, lowered; an encyclopedia's page goes by its last part; '' without a host."""
-    u = normalize_url(url)
+    return normalized_family(normalize_url(url))
+
+
+def normalized_family(u: Column) -> Column:
+    """source_family of a normalised URL."""
     host = F.regexp_replace(_part(u, 3), r"^www\.", "")
     parts = F.filter(F.split(_part(u, 4), "/"), lambda x: x != "")
     wiki = F.contains(host, F.lit("wikipedia.org")) & (F.size(parts) > 0)

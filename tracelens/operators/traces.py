@@ -145,7 +145,11 @@ def overlap(a: Column, b: Column) -> Column:
 
 def prefix_hit(gold: Column, retrieved: Column) -> Column:
     """Whether a gold URL begins with a retrieved one or the other way round, schemes aside. An empty one begins all."""
-    bare = lambda c: F.transform(c, lambda u: F.regexp_replace(T.normalize_url(u), r"^.*?://", ""))
+    return _normalized_prefix_hit(T.normalized_urls(gold), T.normalized_urls(retrieved))
+
+
+def _normalized_prefix_hit(gold: Column, retrieved: Column) -> Column:
+    bare = lambda c: F.transform(c, lambda u: F.regexp_replace(u, r"^.*?://", ""))
     g, r = bare(gold), bare(retrieved)
     return F.exists(g, lambda x: F.exists(r, lambda y: F.startswith(y, x) | F.startswith(x, y)))
 
@@ -199,26 +203,35 @@ def per_trace_metrics(traces: DataFrame) -> DataFrame:
     """One row per trace with every metric; all from the trace's own arrays, so nothing is shuffled."""
     rows = traces.withColumns({"__r": F.coalesce(_results(), F.array()), "__p": page_fetches(), "__gold": F.coalesce("gold_answer", F.lit("")), "__golds": F.filter(_list(F.col("gold_urls"), "array<string>"), lambda u: u.isNotNull())})
     gold = F.col("__gold")
-    hit = lambda part: F.exists("__r", lambda r: T.answer_in_text(gold, text_fields(r)[part]))
-    of_page = lambda p: T.answer_in_text(gold, p["page_fetch"]["extracted_text"])
+    # What lambdas ask for again and again is a column of its own, made once a trace: the answer's forms, normalised URLs, which texts hold it.
+    rows = rows.withColumns({"__norm": T.normalize_answer(gold), "__plain": T.simple_text(gold), "__found": _urls(F.col("__r"))})
+    held = lambda text: T.holds(F.col("__norm"), F.col("__plain"), text)
+    rows = rows.withColumns({
+        "__snippet": F.transform("__r", lambda r: held(text_fields(r)["snippet"])),
+        "__page": F.transform("__p", lambda p: held(p["page_fetch"]["extracted_text"])),
+        "__gold_urls": T.normalized_urls(F.col("__golds")),
+        "__found_urls": T.normalized_urls(F.col("__found")),
+    })
+    hit = lambda part: F.exists("__r", lambda r: held(text_fields(r)[part]))
     # The first hit gives the rank; a hit without a rank leaves it to the next.
-    ranks = F.filter("__r", lambda r: T.answer_in_text(gold, r["snippet"]) & (F.coalesce(r["rank"], F.lit(0)) != 0))
-    pages = F.filter("__p", lambda p: of_page(p) & p["rank"].isNotNull())
+    ranks = F.filter("__r", lambda r, i: F.get("__snippet", i) & (F.coalesce(r["rank"], F.lit(0)) != 0))
+    pages = F.filter("__p", lambda p, i: F.get("__page", i) & p["rank"].isNotNull())
     chars = F.transform("__p", lambda p: F.coalesce(p["page_fetch"]["extracted_text_chars"], F.lit(0)))
+    golds, found = F.col("__gold_urls"), F.col("__found_urls")
     rows = rows.withColumns({
         "answer_in_title": hit("title"),
-        "answer_in_snippet": hit("snippet"),
+        "answer_in_snippet": F.exists("__snippet", lambda x: x),
         "answer_in_extra_snippets": hit("extra_snippets"),
-        "answer_in_page": F.exists("__p", of_page),
+        "answer_in_page": F.exists("__page", lambda x: x),
         "first_answer_snippet_rank": F.get(ranks, F.lit(0))["rank"],
         "first_answer_page_rank": F.get(pages, F.lit(0))["rank"],
         "__chars": chars,
         "exact_match": T.exact_match(F.col("final_answer"), gold),
         "f1": T.token_f1(F.col("final_answer"), gold),
-        "gold_url_prefix_hit": prefix_hit(F.col("__golds"), _urls(F.col("__r"))),
-        "gold_url_exact_hit": overlap(F.transform("__golds", T.normalize_url), F.transform(_urls(F.col("__r")), T.normalize_url)),
-        "gold_domain_hit": overlap(F.transform("__golds", T.root_domain), F.transform(_urls(F.col("__r")), T.root_domain)),
-        "gold_source_family_hit": overlap(F.transform("__golds", T.source_family), F.transform(_urls(F.col("__r")), T.source_family)),
+        "gold_url_prefix_hit": _normalized_prefix_hit(golds, found),
+        "gold_url_exact_hit": overlap(golds, found),
+        "gold_domain_hit": overlap(F.transform("__golds", T.root_domain), F.transform("__found", T.root_domain)),
+        "gold_source_family_hit": overlap(F.transform(golds, T.normalized_family), F.transform(found, T.normalized_family)),
         "__queries": F.transform(F.coalesce(F.col("retrievals"), F.array()), lambda r: r["search_query"]),
     })
     support = F.col("answer_in_snippet") | F.col("answer_in_page") | F.col("answer_in_extra_snippets")
@@ -414,9 +427,14 @@ def file_summary(traces: DataFrame) -> DataFrame:
 
 def find_seen(url: Column) -> Column:
     """Of a trace row: (retrieval_id, search_query, rank) of the first result with that URL in the latest search that has it."""
-    wanted = T.normalize_url(url)
-    hits = F.transform(F.reverse(F.coalesce(F.col("retrievals"), F.array())), lambda r: F.struct(r["retrieval_id"].alias("retrieval_id"), r["search_query"].alias("search_query"), F.get(F.filter(F.coalesce(r["search_response"]["results"], F.array()), lambda x: T.normalize_url(x["url"]) == wanted), F.lit(0))["rank"].alias("rank"), F.exists(F.coalesce(r["search_response"]["results"], F.array()), lambda x: T.normalize_url(x["url"]) == wanted).alias("found")))
-    return F.get(F.filter(hits, lambda h: h["found"]), F.lit(0))
+    # An array of one element binds its value: the wanted URL is normalised once a trace, and each result's once.
+    one = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    listed = lambda r: F.coalesce(r["search_response"]["results"], F.array())
+    place = lambda r, wanted: F.array_position(T.normalized_urls(F.transform(listed(r), lambda x: x["url"])), wanted)
+    placed = lambda wanted: F.transform(F.reverse(F.coalesce(F.col("retrievals"), F.array())), lambda r: F.struct(r.alias("r"), place(r, wanted).alias("at")))
+    last = F.get(F.filter(one(T.normalize_url(url), placed), lambda h: h["at"] > 0), F.lit(0))
+    hit = lambda h: F.struct(h["r"]["retrieval_id"].alias("retrieval_id"), h["r"]["search_query"].alias("search_query"), F.get(listed(h["r"]), (h["at"] - 1).cast("int"))["rank"].alias("rank"), F.lit(True).alias("found"))
+    return one(last, lambda h: F.when(h.isNotNull(), hit(h)))
 
 
 def zip_pages(results_: Column, pages: Column) -> Column:
