@@ -10,19 +10,19 @@ from tracelens.sources.artifacts import ArtifactStore
 from tracelens.workers import ship
 
 
-def append_jsonl(rows: DataFrame, path: str, mode: str = "append") -> None:
+def append_jsonl(rows: DataFrame, path: str, mode: str = "append", compression: str = "none") -> None:
     """JSON lines with sorted keys; null members are written too."""
     json = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(rows.columns)]), {"ignoreNullFields": "false"})
-    rows.select(json.alias("value")).write.mode(mode).text(path)
+    rows.select(json.alias("value")).write.mode(mode).text(path, compression=compression)
 
 
 def write_judgments(rows: DataFrame, path: str, resume: bool, counts: list[Column] | None = None) -> dict[str, int]:
     """Judge records: added to what is there if the run resumes, else anew. Returns the counts, aggregates of rows, taken as they are written.
 
-    The counts are those of one run of each task; a job that is started again starts them anew.
+    The files are gzipped, as every record names all of its members; readers of JSON lines see the same lines. The counts are those of one run of each task; a job that is started again starts them anew.
     """
     seen = Observation()
-    append_jsonl(rows.observe(seen, *counts) if counts else rows, path, "append" if resume else "overwrite")
+    append_jsonl(rows.observe(seen, *counts) if counts else rows, path, "append" if resume else "overwrite", "gzip")
     return seen.get if counts else {}
 
 
