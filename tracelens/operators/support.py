@@ -107,14 +107,23 @@ def simulate(states: DataFrame, imputed: DataFrame) -> DataFrame:
     rows = rows.withColumns({"first_any": F.min(F.when(F.col("pre") | F.col("page"), F.col("rn"))).over(w), "first_page": F.min(F.when(F.col("page"), F.col("rn"))).over(w), "any_pre": F.bool_or("pre").over(w)})
     rn, none = F.col("rn"), F.lit(False)
     chosen = [none, rn <= 1, rn <= 3, rn <= 5, F.col("fetched"), F.coalesce(rn == F.col("first_any"), none), F.coalesce(~F.col("any_pre") & (rn == F.col("first_page")), none)]
-    rows = rows.withColumn("x", F.explode(F.array(*[F.struct(F.lit(p).alias("policy"), c.alias("on")) for p, c in zip(POLICIES, chosen)])))
-    on, cost = F.col("x.on"), F.when(F.col("known"), F.col("tokens")).otherwise(F.col("imputed"))
-    page, urls = F.bool_or(F.col("page") & on), F.array_sort(F.collect_list(F.when(on, F.struct("rn", "u"))))
-    return rows.groupBy(*q, F.col("x.policy").alias("policy")).agg(
-        (F.bool_or("pre") | page).alias("captured"), F.bool_or("pre").alias("pre_support"), page.alias("page_support"), (~F.bool_or("pre") & page).alias("incremental"), (F.bool_or("pre") | F.bool_or("page")).alias("trajectory"), F.count_if(on).alias("fetches"),
-        F.sum(F.when(on, cost).otherwise(0)).alias("tokens"), F.count_if(on & ~F.col("known")).alias("imputed_fetches"), F.bool_or("surface_contra").alias("surface_contradiction"), F.bool_or(on & (F.col("surface_contra") | F.col("opened_contra"))).alias("opened_contradiction"),
-        F.array_join(F.transform(urls, lambda x: x["u"]), ";").alias("selected_urls"),
-    )
+    # A query's URLs are aggregated for all policies at once; only the results are unfolded.
+    cost, sums, policies = F.when(F.col("known"), F.col("tokens")).otherwise(F.col("imputed")), [], []
+    rows = rows.withColumns({f"on{i}": c for i, c in enumerate(chosen)})
+    for i, policy in enumerate(POLICIES):
+        on = F.col(f"on{i}")
+        found = {
+            "page": F.bool_or(F.col("page") & on), "fetches": F.count_if(on), "tokens": F.sum(F.when(on, cost).otherwise(0)), "imputed": F.count_if(on & ~F.col("known")),
+            "contra": F.bool_or(on & (F.col("surface_contra") | F.col("opened_contra"))), "urls": F.array_sort(F.collect_list(F.when(on, F.struct("rn", "u")))),
+        }
+        sums += [c.alias(f"{n}{i}") for n, c in found.items()]
+        of = {n: F.col(f"{n}{i}") for n in found}
+        policies.append(F.struct(
+            F.lit(policy).alias("policy"), (F.col("pre") | of["page"]).alias("captured"), F.col("pre").alias("pre_support"), of["page"].alias("page_support"), (~F.col("pre") & of["page"]).alias("incremental"), (F.col("pre") | F.col("page")).alias("trajectory"), of["fetches"].alias("fetches"),
+            of["tokens"].alias("tokens"), of["imputed"].alias("imputed_fetches"), F.col("surface_contra").alias("surface_contradiction"), of["contra"].alias("opened_contradiction"), F.array_join(F.transform(of["urls"], lambda x: x["u"]), ";").alias("selected_urls"),
+        ))
+    per = rows.groupBy(*q).agg(*[F.bool_or(c).alias(c) for c in ("pre", "page", "surface_contra")], *sums)
+    return per.select(*q, F.inline(F.array(*policies)))
 
 
 def summarize_policies(rows: DataFrame) -> DataFrame:
