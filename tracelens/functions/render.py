@@ -38,8 +38,13 @@ def document_xml(result: Column, extra: Column, with_page: bool = True) -> Colum
 
 def documents_xml(query: Column, provider: Column, results: Column, extra: Callable[[Column], Column], with_page: bool = True) -> Column:
     """A search's results as the model sees them."""
+    return search_xml(query, provider, F.array_join(F.transform(results, lambda r: document_xml(r, extra(r), with_page)), ""))
+
+
+def search_xml(query: Column, provider: Column, documents: Column) -> Column:
+    """The same around the text of its documents."""
     head = F.concat(F.lit('<search_documents>\n<search query="'), escape(query), F.lit('" provider="'), escape(provider), F.lit('">\n'))
-    return F.concat(head, F.array_join(F.transform(results, lambda r: document_xml(r, extra(r), with_page)), ""), F.lit("\n</search>\n</search_documents>"))
+    return F.concat(head, documents, F.lit("\n</search>\n</search_documents>"))
 
 
 def fetched_xml(page: Column, url: Column, source: dict[str, Column]) -> Column:

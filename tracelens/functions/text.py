@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANK = r"(?U)[\s\x1c-\x1f]"
+#: The same characters, one by one.
+BLANKS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Number words by value, and the ASCII punctuation that normalisation deletes.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -20,9 +22,13 @@ THROTTLED = ["429", "rate limit", "ratelimit", "too many requests", "throttle"]
 #: RFC 3986, appendix B, with the scheme's letters checked.
 URL = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(//([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
+#: What it begins with: scheme and host.
+PLACE = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?"
+
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{BLANK}+|{BLANK}+$", "")
+    """Trimmed from both ends: a pattern would be tried at each blank within the text."""
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def tokens(text: Column) -> Column:
@@ -112,11 +118,15 @@ def normalized_urls(urls: Column) -> Column:
 def _normalized(u: Column) -> Column:
     name = lambda p: F.substring_index(p, "=", 1)
     value = lambda p: F.when(F.contains(p, F.lit("=")), F.substr(p, F.instr(p, "=") + 1)).otherwise("")
-    pairs = F.transform(F.filter(F.split(_part(u, 5), "&"), lambda p: p != ""), lambda p: F.struct(_reencode(name(p)).alias("k"), _reencode(value(p)).alias("v")))
+    # Scheme and host are all that a pattern looks for; a name that begins with the prefix does so encoded anew, too, and goes before that.
+    bare = F.substring_index(u, "#", 1)
+    head = F.substring_index(bare, "?", 1)
+    place = F.regexp_extract(head, PLACE, 0)
+    asked = F.filter(F.split(F.substr(bare, F.length(head) + 2), "&"), lambda p: (p != "") & ~F.startswith(p, F.lit(TRACKING_PREFIX)))
+    pairs = F.transform(asked, lambda p: F.struct(_reencode(name(p)).alias("k"), _reencode(value(p)).alias("v")))
     kept = F.filter(pairs, lambda p: ~p["k"].isin(TRACKING_PARAMS) & ~F.startswith(p["k"], F.lit(TRACKING_PREFIX)))
     query = F.array_join(F.transform(kept, lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&")
-    scheme = _part(u, 1)
-    whole = F.concat(F.when(scheme != "", F.concat(F.lower(scheme), F.lit(":"))).otherwise(""), F.lower(_part(u, 2)), _part(u, 4), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    whole = F.concat(F.lower(place), F.substr(head, F.length(place) + 1), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
     return F.regexp_replace(whole, "/$", "")
 
 

@@ -63,7 +63,11 @@ def page_fetches() -> Column:
 
 
 def extra_snippets(result: Column) -> Column:
-    found = F.from_json(F.get_json_object(result["provider_metadata"], "$.extra_snippets"), "array<string>")
+    return extra_text(F.from_json(F.get_json_object(result["provider_metadata"], "$.extra_snippets"), "array<string>"))
+
+
+def extra_text(found: Column) -> Column:
+    """The extra snippets that are not empty, as one text."""
     return F.array_join(F.filter(_list(found, "array<string>"), lambda s: s.isNotNull() & (s != "")), " ")
 
 

@@ -169,7 +169,7 @@ SELECT trace_id, coalesce(document_id, '-') AS document_id, CAST(rank AS BIGINT)
 def judge_record_build(spark: SparkSession, d: str) -> DataFrame:
     """P12 over the surrogate traces: records by surface, source and precheck."""
     rows = J.judge_records(traces(spark, d))
-    return rows.groupBy("provider_id", "judge_surface_class", "page_fetch_source", F.col("document_garbage_precheck.category").alias("category")).agg(F.count("*").alias("n"), F.count_if("model_fetched_document").alias("fetched"), F.count_distinct("normalized_url").alias("urls"), F.count_distinct("judge_snippet_surface_signature").cast("boolean").alias("signed"))
+    return rows.groupBy("provider_id", "judge_surface_class", "page_fetch_source", F.col("document_garbage_precheck.category").alias("category")).agg(F.count("*").alias("n"), F.count_if("model_fetched_document").alias("fetched"), F.count_distinct("normalized_url").alias("urls"), (F.count("judge_snippet_surface_signature") > 0).alias("signed"))
 
 
 def judge_documents(spark: SparkSession, d: str) -> DataFrame:
