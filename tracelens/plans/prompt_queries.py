@@ -101,6 +101,7 @@ def fetch_match_alias(spark: SparkSession, d: str) -> DataFrame:
     """Fetches under a result's id, or s{search}r{rank} as the model may name it, or another name with its URL or rank."""
     c, shown = F.col, lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     lines = table(spark, d, "lineitem").select(c("l_orderkey").alias("trace_id"), F.lit("it1").alias("retrieval_id"), (c("l_suppkey") % 3).cast("int").alias("retrieval_index"), c("l_linenumber").alias("rank"), "l_partkey", shown("u", c("l_suppkey") % 5).alias("url"))
+    lines = J.by_trace(lines)  # what follows needs no other partitions
     results = lines.select("trace_id", "retrieval_id", "retrieval_index", F.when(c("l_partkey") % 3 > 0, shown("d", c("l_partkey"))).alias("document_id"), "rank", "url").distinct()
     under = F.when(c("l_partkey") % 12 == 0, shown("d", c("l_partkey") + 1)).when(c("l_partkey") % 8 == 0, shown("s", c("retrieval_index"), "r", c("rank"))).otherwise(shown("d", c("l_partkey")))
     fetches = lines.filter("l_partkey % 4 = 0").select("trace_id", "retrieval_id", under.alias("document_id"), "url", (c("rank") + 1).alias("rank"), shown("f", c("l_partkey"), "_", c("retrieval_index")).alias("fetch_id"), (c("l_partkey") % 5).cast("int").alias("iteration_num"), F.when(c("l_partkey") % 7 > 2, "success").otherwise("failed").alias("fetch_status")).distinct()
