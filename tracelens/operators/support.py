@@ -20,7 +20,7 @@ def _yes(c: str) -> Column:
 def query_support(records: DataFrame, universe: DataFrame) -> DataFrame:
     """One row per (provider_id, query_id) of the universe, with or without judge rows: counts of rows and URLs, flags, and the cell."""
     seen, opened, pre = F.col("judge_surface_class") == "snippet_only", F.col("judge_surface_class") == "page_visible", F.col("pre")
-    rows = records.filter(valid()).join(universe.select("provider_id", "query_id").distinct(), ["provider_id", "query_id"], "left_semi")
+    rows = records.filter(valid())  # those of other queries find no partner in the universe at last
     rows = rows.withColumns({"u": url_id(), "pre": pre_support()})
     page_gold = opened & _yes("judgment.gold_answer_in_extracted_page")
     per_url = rows.groupBy("provider_id", "query_id", "u").agg(
