@@ -1,10 +1,12 @@
 """Validation cases: their names, and how often the work on them is done."""
 
+import hashlib
 import re
 
 from pyspark.sql import functions as F
 
 from tracelens.operators import judge as J
+from tracelens.operators import sampling as A
 from tracelens.operators import validation as V
 from tracelens.plans import catalog
 
@@ -52,3 +54,46 @@ def test_agreement_of_few_cases(spark):
     got = {(r["kind"], r["name"]): tuple(r)[2:] for r in V.agreement_report(cases, sheet).select("kind", "name", "sampled", "reviewed", "clear", "unclear", "agree", "disagree", "top_pattern", "agreement_rate").collect()}
     assert got["all", "all"] == (4, 3, 2, 1, 0, 2, "unspecified", 0.0) and got["label", "m"] == (3, 2, 1, 1, 0, 1, "unspecified", 0.0)
     assert got["surface", None] == (1, 1, 0, 1, 0, 0, "", None) and got["provider", "q"] == (2, 1, 0, 1, 0, 0, "", None) and len(got) == 7
+
+
+def _balanced(rows, cap):
+    """cell, key and flag of the keys to take, of (cell, key, flag) rows."""
+    merged, out = {}, set()
+    for cell, key, flag in rows:
+        if flag is not None:
+            merged[cell, key] = merged.get((cell, key), False) or flag
+    draw = lambda key: ("", "") if key is None else (hashlib.md5(f"{A.SEED}:{key}".encode()).hexdigest(), key)
+    for cell in {c for c, _ in merged}:
+        keys = sorted((k for c, k in merged if c == cell), key=draw)
+        yes, no = ([k for k in keys if merged[cell, k] is flag] for flag in (True, False))
+        chosen, rest = yes[: cap // 2] + no[: cap - cap // 2], yes[cap // 2 : cap] + no[cap - cap // 2 : cap]
+        out |= {(cell, k, merged[cell, k]) for k in chosen + sorted(rest, key=draw)[: cap - len(chosen)]}
+    return out
+
+
+def test_balanced_keys_of_several_rows(spark):
+    """Flags that are common, rare, mixed within a key, null or missing; a cell's name and a key may be null."""
+    rows = []
+    for i in range(3000):
+        rows += [("even", f"a{i}", i % 2 == 0), ("rare yes", f"b{i}", i in (7, 2900)), ("rare no", f"c{i}", i % 1000 != 3), (None, f"d{i}", i % 3 == 0)]
+        # A yes of a later row turns over most of these keys.
+        rows += [("mixed", f"e{i}", False), ("mixed", f"e{i}", None if i % 50 == 0 else True)]
+    rows += [("few", "x", False), ("few", "x", True), ("few", "y", None), ("few", None, True), ("even", None, False), ("none", "z", None), ("all yes", "u", True), ("all yes", "v", True)]
+    for cap in (8, 3, 1):
+        # Rows of a key lie apart, in different tasks.
+        table = spark.createDataFrame(rows, "cell string, key string, flag boolean").repartition(7)
+        got = [tuple(r) for r in A.balanced_keys(table, ["cell"], "flag", "key", cap).select("cell", "key", "flag").collect()]
+        assert len(got) == len(set(got)) and set(got) == _balanced(rows, cap), cap
+
+
+def test_few_cases_are_merged_and_sorted(spark, sf_dir):
+    """Windows and merge stand over a join with the cells' bounds, not over all cases."""
+    plan = _plan(catalog.queries()["balanced_cases"](spark, sf_dir))
+    near, joined, _ = plan.partition("last_no__")
+    assert joined and "Window" in near and "Aggregate" in near and "Generate" not in near and "lineitem" not in near
+
+
+def test_names_are_matched_by_a_table_of_characters(spark, sf_dir):
+    """Ranges of characters cost a test each on every character of every name."""
+    for name in ("merged_labels", "validation_cases", "balanced_cases"):
+        assert "A-Z" not in _plan(catalog.queries()[name](spark, sf_dir)), name

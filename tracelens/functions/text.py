@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ ANSWER_MARK = r"(?is)FINAL ANSWER:\s*(.+)"
 ABSTENTIONS = ["cannot determine", "unable to find", "insufficient information", "no final answer"]
 #: What a throttled service's message holds.
 THROTTLED = ["429", "rate limit", "ratelimit", "too many requests", "throttle"]
+#: Fixed value: the characters of a case's name, one by one: Java looks these up in a table, but tries each range on each character.
+NAMED = f"{string.ascii_letters}{string.digits}_.:-"
 #: RFC 3986, appendix B, with the scheme's letters checked.
 URL = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(//([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
@@ -213,7 +217,7 @@ def seen_id(search: Column, rank: Column) -> Column:
 
 def _named(*bits: Column) -> Column:
     """Parts of a name, joined; characters that a name may not have go. A separator is never part of such a run: parts can be named apart."""
-    return F.regexp_replace(F.concat_ws("__", *[F.coalesce(b.cast("string"), F.lit("")) for b in bits]), r"[^A-Za-z0-9_.:-]+", "_")
+    return F.regexp_replace(F.concat_ws("__", *[F.coalesce(b.cast("string"), F.lit("")) for b in bits]), f"[^{NAMED}]+", "_")
 
 
 def case_stem(provider: Column, query: Column, retrieval: Column, rank: Column, surface: Column) -> Column:

@@ -62,6 +62,32 @@ def balanced(rows: DataFrame, cells: list[str], flag: str, key: str, cap: int, s
     return r.filter(F.col("chosen__") | (F.col("more__") <= F.col("lack__"))).select(*rows.columns)
 
 
+def balanced_keys(rows: DataFrame, cells: list[str], flag: str, key: str, cap: int, seed: int = SEED) -> DataFrame:
+    """As balanced, of keys with several rows each, whose flag says whether any of its rows says yes (null: no say): cells, key and flag.
+
+    Most keys come too late in the seeded order to be taken, so each cell's bounds on it are found first, and only rows within
+    these are merged and sorted. A bound is a place in the order before which, it included, cap keys of the flag stand. Rows are
+    dealt out by their key's digest into parts; the first key of a part has its merged flag, as all its rows are there. A cell
+    that shows too few firsts of a flag has no bound for it, and all its rows are merged.
+    """
+    parts = 64 * cap
+    yes, place = F.col(flag), F.conv(F.substring(drawn(key, seed), 1, 15), 16, 10).cast("long")
+    rows = rows.filter(yes.isNotNull()).select(*cells, key, flag, F.coalesce(place, F.lit(-1)).alias("place__"))
+    part, first = F.pmod("place__", F.lit(parts)).alias("part__"), F.shiftleft("place__", 1) + F.when(yes, 0).otherwise(1)
+    # Of the rows at one place a yes comes first: an odd minimum is a key without any.
+    firsts = rows.groupBy(*cells, part).agg(F.min(F.when(yes, F.col("place__"))).alias("yes__"), F.min(first).alias("first__"))
+    no = F.when(F.col("first__").bitwiseAND(1) == 1, F.shiftright("first__", 1))
+    bound = lambda c: F.coalesce(F.get(F.sort_array(F.collect_list(c)), F.lit(cap - 1)), F.lit(2**62))
+    bounds = firsts.groupBy(*[F.col(c).alias(f"{c}__") for c in cells]).agg(bound(F.col("yes__")).alias("last_yes__"), bound(no).alias("last_no__"))
+    same = F.lit(True)
+    for c in cells:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}__"))
+    # A yes settles its key alone; up to the last no, all of a key's rows stay.
+    within = (F.col("place__") <= F.col("last_no__")) | (yes & (F.col("place__") <= F.col("last_yes__")))
+    near = rows.join(F.broadcast(bounds), same & within).groupBy(*cells, key).agg(F.bool_or(flag).alias(flag))
+    return balanced(near, cells, flag, key, cap, seed)
+
+
 def distribution(rows: DataFrame, column: str) -> DataFrame:
     """value, n: how often each value stands there; of a list every element counts. Null reads None."""
     c = F.col(column)

@@ -233,7 +233,8 @@ UNION ALL SELECT 'total', NULL, NULL, NULL, NULL, CAST(sum(sampled) AS BIGINT),
 
 
 def balanced_cases(spark: SparkSession, d: str) -> DataFrame:
-    return A.balanced(_case_rows(spark, d), ["provider_id", "surface", "label"], "machine", "case_id", 8).select("case_id", "machine")
+    rows = J.unpivot(judge_rows(spark, d).filter(J.valid())).withColumnsRenamed({"judge_surface_class": "surface", "value": "machine"})
+    return A.balanced_keys(rows, ["provider_id", "surface", "label"], "machine", "case_id", 8).select("case_id", "machine")
 
 
 BALANCED_SQL = f"""{CASE_ROWS}, r AS (SELECT case_id, machine, provider_id, surface, label, md5('{A.SEED}:' || case_id) AS k, row_number() OVER (PARTITION BY provider_id, surface, label, machine ORDER BY md5('{A.SEED}:' || case_id), case_id) AS rn FROM c),
