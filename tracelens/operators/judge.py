@@ -94,9 +94,18 @@ def reuse_key() -> Column:
     return F.when(_some("query_id") & url.isNotNull() & shown.isNotNull(), F.struct(F.col("query_id").alias("query_id"), url.alias("url"), shown.alias("surface")))
 
 
+def _dealt(rows: DataFrame, key: str | Column) -> DataFrame:
+    """Rows dealt out by a key, finer than a shuffle does: they are sorted, and take far more memory there than bytes in the shuffle."""
+    return rows.repartition(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def by_trace(rows: DataFrame) -> DataFrame:
-    """Rows dealt out by trace, finer than a shuffle does: they are sorted, and take far more memory there than bytes in the shuffle."""
-    return rows.repartition(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "trace_id")
+    return _dealt(rows, "trace_id")
+
+
+def by_query(rows: DataFrame, query: str | Column = "query_id") -> DataFrame:
+    """Rows dealt out by query; Spark leaves rows that are dealt out so already where they are."""
+    return _dealt(rows, query)
 
 
 def match_fetches(results: DataFrame, fetches: DataFrame) -> DataFrame:
@@ -221,19 +230,30 @@ def exact_cache(records: DataFrame, cache: DataFrame) -> DataFrame:
     return records.join(known, KEY).filter(prompt() == F.col("cached_prompt")).drop("cached_prompt")
 
 
-def reuse_classes(records: DataFrame, cache: DataFrame) -> DataFrame:
-    """Each record (by seq) as exact_cache, duplicate or fresh: what a run in the order of seq would do.
+def reuse_classes(records: DataFrame, cache: DataFrame | Column | None = None) -> DataFrame:
+    """Each record as exact_cache, duplicate or fresh: what a run in the order of seq would do.
 
-    A cached judgment and a fresh one make their reuse key known to later records. One aggregation by key finds where a
-    key is first known; a record without a key is fresh.
+    cache: rows of an earlier run, a condition that tells which records are also such rows, or none. A cached judgment and a
+    fresh one make their reuse key known to later records; a record without a key is fresh. Both kinds of key name the query,
+    so records and cached rows are dealt out by query together, once, and see each other in windows: no join. All of a query's
+    records meet in one task.
     """
-    hit = exact_cache(records, cache).select("seq", F.lit(True).alias("hit"))
-    rows = records.withColumn("reuse_key", reuse_key()).join(hit, "seq", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    earlier = cache.filter(valid(True)).select(reuse_key().alias("reuse_key")).filter("reuse_key IS NOT NULL").distinct().withColumn("cached", F.lit(True))
-    first = rows.filter("reuse_key IS NOT NULL").groupBy("reuse_key").agg(F.min("seq").alias("first"))
-    rows = rows.join(first, "reuse_key", "left").join(earlier, "reuse_key", "left")
-    again = F.coalesce("cached", F.lit(False)) | F.coalesce(F.col("first") < F.col("seq"), F.lit(False))
-    return rows.withColumn("reuse_class", F.when(F.col("hit"), "exact_cache").when(again, "duplicate").otherwise("fresh")).drop("hit", "first", "cached")
+    added = {"reuse_key": reuse_key(), "prompt__": prompt()}
+    if isinstance(cache, DataFrame):
+        kinds = {f.name: f.dataType for f in records.schema}
+        known = cache.filter(valid(True)).select(*[F.col(c).try_cast(kinds[c]).alias(c) for c in KEY], "seq", *[c.alias(n) for n, c in added.items()], F.lit(True).alias("known__"))
+        rows = by_query(records.withColumns(added | {"known__": F.lit(False), "record__": F.lit(True)}).unionByName(known, allowMissingColumns=True))
+    else:
+        rows = by_query(records).withColumns(added | {"known__": F.lit(False) if cache is None else F.coalesce(cache, F.lit(False)) & valid(True), "record__": F.lit(True)})
+    alike = Window.partitionBy("query_id", "reuse_key")
+    rows = rows.withColumns({"first__": F.min(F.when(F.col("record__"), F.col("seq"))).over(alike), "early__": F.lit(False) if cache is None else F.bool_or("known__").over(alike)})
+    hit = F.lit(False)
+    if cache is not None:
+        # Of cached rows that share a key the last counts. A row without a rank shares none.
+        rows = rows.withColumn("cached__", F.max_by("prompt__", F.when(F.col("known__"), F.col("seq"))).over(Window.partitionBy(*KEY)))
+        hit = F.col("rank").isNotNull() & (F.col("prompt__") == F.col("cached__"))
+    again = F.col("reuse_key").isNotNull() & (F.col("early__") | (F.col("first__") < F.col("seq")))
+    return rows.filter("record__").withColumn("reuse_class", F.when(hit, "exact_cache").when(again, "duplicate").otherwise("fresh")).select(*records.columns, "reuse_key", "reuse_class")
 
 
 #: The flags of a record, by name; a flag counts only where it is true.
